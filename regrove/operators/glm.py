@@ -154,13 +154,13 @@ def _advance(st: _State, v: np.ndarray, tol: float) -> None:
     st.iterations += 1
     if ll >= st.loglik - 1e-10 * abs(ll):
         gain = ll - st.loglik
-        st.current, st.loglik, st.n, st.pearson = st.trial, ll, int(n), pearson
+        st.current, st.loglik, st.n, st.pearson = st.trial, float(ll), int(n), float(pearson)
         st.grad, st.info = v[3:3 + p], v[3 + p:].reshape(p, p)
         st.step = _newton(st)
         at_edge = st.model.free_theta and not (PHI_RANGE[0] < st.current[k] < PHI_RANGE[1])
         if np.abs(st.grad @ st.step) < tol * (1 + abs(ll)) * 1e-4 or (at_edge and gain < 1e-6):
             st.done = True
-            st.converged = not at_edge
+            st.converged = bool(not at_edge)
     else:
         st.step = st.step / 2
         if np.abs(st.step).max() < 1e-10:
@@ -245,7 +245,7 @@ def fit_models(df: DataFrame, models: Sequence[Model], group_col: str | None = N
                     continue
                 n, mean = v[0], v[1] / v[0]
                 var = v[2] / n - mean * mean
-                st.null_mean = mean
+                st.null_mean = float(mean)
                 st.trial = np.zeros(st.model.size)
                 st.trial[0] = math.log(mean)
                 if st.model.free_theta:

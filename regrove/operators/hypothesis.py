@@ -92,7 +92,7 @@ def letters(df: DataFrame, keys: Sequence[str], group: str, value: str, level: f
     far = t.filter("same").groupBy(*ks, "i").agg(F.max("j").alias("reach"))
     runs = pos.join(far, [*ks, "i"], "left").withColumn("reach", F.coalesce("reach", "i"))
     before = Window.partitionBy(*ks).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.filter(F.col("reach") > F.coalesce(F.max("reach").over(before), F.lit(0)))
+    runs = runs.withColumn("__prev", F.coalesce(F.max("reach").over(before), F.lit(0))).filter("reach > __prev")
     runs = runs.withColumn("code", F.row_number().over(Window.partitionBy(*ks).orderBy("i")))
     inner = t.filter(~F.col("same")).select(*ks, F.col("i").alias("p"), F.col("j").alias("q"))
     spans = runs.select(*ks, "code", F.col("i").alias("start"), "reach")
@@ -151,11 +151,11 @@ def with_ranks(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataF
     Ranks are computed per distinct value and looked up by an equi-join whose rank
     side has unique keys, so adaptive execution can split a heavily tied value.
     """
+    base = df.withColumns({c: F.col(c).cast("double") for c in cols})
+    out = base
     for c in cols:
-        df = df.withColumn(c, F.col(c).cast("double"))
-        r = tie_ranks(df, keys, c).select(*keys, c, F.col("rank").alias(f"rank_{c}"))
-        df = df.join(r, [*keys, c], "left")
-    return df
+        out = out.join(tie_ranks(base, keys, c), [*keys, c], "left")
+    return out
 
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:

@@ -70,11 +70,9 @@ def _block_offsets(totals: DataFrame, keys: Sequence[str], measures: Sequence[st
 
 
 def tie_ranks(df: DataFrame, keys: Sequence[str], value: str, blocks: int = BLOCKS) -> DataFrame:
-    """Tie-averaged rank of each distinct value within its key."""
-    counted = running_totals(df.withColumn("n", F.lit(1).cast("bigint")), keys, value, ["n"], blocks)
-    return counted.select(*keys, value, "n",
-                          (F.col("n_before") + (F.col("n") + 1) / 2.0).alias("rank"),
-                          F.col("n_total").alias("total"))
+    """Tie-averaged rank of each distinct value within its key: ``keys, value, rank_<value>``."""
+    counted = running_totals(df.withColumn("__n", F.lit(1).cast("bigint")), keys, value, ["__n"], blocks)
+    return counted.select(*keys, value, (F.col("__n_before") + (F.col("__n") + 1) / 2.0).alias(f"rank_{value}"))
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
@@ -91,23 +89,24 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     else:
         keys_in = list(keys)
     blk = _blocked(rows, value, splits)
-    counts = blk.groupBy(*keys_in, "__blk").agg(F.count(F.lit(1)).alias("n"))
-    offs = _block_offsets(counts.withColumn("c", F.col("n")), keys_in, ["n", "c"]).drop("__off_c", "c_total")
-    cnt = natural_inner(offs, counts, [*keys_in, "__blk"])
-    want = cnt.withColumn("__p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-    h = (F.col("n_total") - 1) * F.col("__p")
-    want = want.withColumn("__h", h).withColumn("__rank", F.explode(F.array_distinct(F.array(
-        F.floor("__h").cast("bigint"), F.ceil("__h").cast("bigint")))))
-    want = want.filter((F.col("__rank") >= F.col("__off_n")) & (F.col("__rank") < F.col("__off_n") + F.col("n")))
-    want = want.select(*keys_in, "__blk", "__p", "__h", "__rank", "__off_n")
+    counts = blk.groupBy(*keys_in, "__blk").agg(F.count(F.lit(1)).alias("__n"))
+    # At most ``blocks`` rows per key from here to ``want``.
+    w = Window.partitionBy(*keys_in).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
+    place = counts.withColumns({"__off": F.coalesce(F.sum("__n").over(w), F.lit(0)),
+                                "__all": F.sum("__n").over(Window.partitionBy(*keys_in))})
+    want = place.withColumn("__p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+    want = want.withColumn("__h", (F.col("__all") - 1) * F.col("__p")).withColumn(
+        "__rank", F.explode(F.array_distinct(F.array(F.floor("__h").cast("bigint"), F.ceil("__h").cast("bigint")))))
+    want = want.filter((F.col("__rank") >= F.col("__off")) & (F.col("__rank") < F.col("__off") + F.col("__n")))
+    want = want.select(*keys_in, "__blk", "__p", "__h", "__rank", "__off")
     targets = want.select(*keys_in, "__blk").distinct()
     inside = natural_inner(blk, targets, [*keys_in, "__blk"]).groupBy(*keys_in, "__blk", value).agg(
-        F.count(F.lit(1)).alias("n"))
+        F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy(*keys_in, "__blk").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    inside = inside.withColumn("__lo", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    inside = inside.withColumn("__lo", F.coalesce(F.sum("__n").over(w), F.lit(0)))
+    start = F.col("__off") + F.col("__lo")
     hit = natural_inner(want, inside, [*keys_in, "__blk"]).filter(
-        (F.col("__rank") >= F.col("__off_n") + F.col("__lo"))
-        & (F.col("__rank") < F.col("__off_n") + F.col("__lo") + F.col("n")))
+        (F.col("__rank") >= start) & (F.col("__rank") < start + F.col("__n")))
     # One or two rows per (key, prob): the neighbours of the fractional rank.
     lo, hi = F.min(value), F.max(value)
     frac = F.first("__h") - F.floor(F.first("__h"))

@@ -152,10 +152,10 @@ def mask(cells: DataFrame, edges: DataFrame, grid: Grid, layer: Sequence[str] =
     """
     top = F.greatest("y1", "y2")
     low = F.least("y1", "y2")
-    first = F.greatest(F.ceil((F.lit(grid.ymax) - top) / F.lit(grid.res) - 0.5), F.lit(0))
-    last = F.least(F.floor((F.lit(grid.ymax) - low) / F.lit(grid.res) - 0.5), F.lit(grid.nrow - 1))
+    first = F.greatest(F.ceil((F.lit(grid.ymax) - top) / F.lit(grid.res) - 0.5).cast("int"), F.lit(0))
+    last = F.least(F.floor((F.lit(grid.ymax) - low) / F.lit(grid.res) - 0.5).cast("int"), F.lit(grid.nrow - 1))
     spans = edges.filter(F.col("y1") != F.col("y2")).withColumns({"__a": first, "__b": last, "__lo": low, "__hi": top})
-    spans = spans.filter(F.col("__a") <= F.col("__b")).withColumn("row", F.explode(F.sequence("__a", "__b")).cast("int"))
+    spans = spans.filter(F.col("__a") <= F.col("__b")).withColumn("row", F.explode(F.sequence("__a", "__b")))
     cy = grid.y_of("row")
     spans = spans.filter((cy >= F.col("__lo")) & (cy < F.col("__hi")))
     cx = F.col("x1") + (cy - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
