@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.special import digamma, log_gamma, trigamma
@@ -62,71 +63,89 @@ class _State:
     converged: bool = False
 
 
-def _design(pdf: pd.DataFrame, m: Model, group_col: str | None):
-    if m.group is not None:
-        pdf = pdf[pdf[group_col] == m.group]
-    arr = pdf[[m.response, *m.terms]].to_numpy(dtype=float)
-    arr = arr[~np.isnan(arr).any(axis=1)]
-    x = np.column_stack([np.ones(len(arr)), arr[:, 1:]])
-    return arr[:, 0], x
-
-
-def _start_moments(y, x) -> np.ndarray:
+def _start_moments(y: np.ndarray) -> np.ndarray:
     return np.array([len(y), y.sum(), (y * y).sum()])
 
 
-def _pass_moments(y, x, m: Model, par: np.ndarray) -> np.ndarray:
-    """n, log-likelihood, Pearson chi-square, score and information of one batch."""
+def _pass_moments(y, hist, x, m: Model, par: np.ndarray) -> np.ndarray:
+    """n, log-likelihood, Pearson chi-square, score and information of one batch.
+
+    ``hist`` holds the batch's distinct responses and their counts: the gamma
+    functions depend on a row only through its response.
+    """
     k = x.shape[1]
+    val, cnt = hist
     eta = np.clip(x @ par[:k], -60, 60)
     mu = np.exp(eta)
     p = m.size
     info = np.zeros((p, p))
     score = np.zeros(p)
+    ll = -(cnt @ log_gamma(val + 1))
     if m.family == "poisson":
-        ll = y * eta - mu - log_gamma(y + 1)
+        ll += y @ eta - mu.sum()
         w, r, var = mu, y - mu, mu
     else:
         th = math.exp(par[k]) if m.free_theta else m.theta
+        one = np.array([th])
         tot = mu + th
-        ll = (log_gamma(y + th) - log_gamma(np.array([th]))[0] - log_gamma(y + 1)
-              - th * np.log1p(mu / th) + y * (eta - np.log(tot)))
+        grow = np.log1p(mu / th).sum()
+        ll += cnt @ (log_gamma(val + th) - log_gamma(one)[0]) - th * grow + y @ (eta - np.log(tot))
         r, var = (y - mu) * th / tot, mu * tot / th
         if m.free_theta:
-            w = mu * th * (y + th) / tot ** 2  # observed information
-            s = digamma(y + th) - digamma(np.array([th]))[0] - np.log1p(mu / th) + (mu - y) / tot
-            h = (trigamma(y + th) - trigamma(np.array([th]))[0] + 1 / th - 2 / tot + (y + th) / tot ** 2)
-            score[k] = th * s.sum()
-            info[k, k] = -(th * th * h.sum() + th * s.sum())
-            cross = -(x.T @ (th * (y - mu) * mu / tot ** 2))
+            ratio = (y + th) / tot
+            w = mu * th * ratio / tot  # observed information
+            s = cnt @ (digamma(val + th) - digamma(one)[0]) - grow + ((mu - y) / tot).sum()
+            h = cnt @ (trigamma(val + th) - trigamma(one)[0]) + len(y) / th + ((ratio - 2) / tot).sum()
+            score[k] = th * s
+            info[k, k] = -(th * th * h + th * s)
+            cross = -(x.T @ (th * (y - mu) * mu / (tot * tot)))
             info[k, :k] = cross
             info[:k, k] = cross
         else:
             w = mu * th / tot  # expected information
     score[:k] = x.T @ r
     info[:k, :k] = (x * w[:, None]).T @ x
-    return np.concatenate([[len(y), ll.sum(), ((y - mu) ** 2 / var).sum()], score, info.ravel()])
+    return np.concatenate([[len(y), ll, ((y - mu) ** 2 / var).sum()], score, info.ravel()])
 
 
 def _gather(df: DataFrame, models: Sequence[Model], params: Sequence[np.ndarray | None],
             group_col: str | None) -> list[np.ndarray]:
     """Sum each model's batch moments over the whole table."""
     models, params = list(models), list(params)
+    place = {c: i for i, c in enumerate(c for c in df.columns if c != group_col)}
 
-    def fold(batches: Iterable[pd.DataFrame]):
+    def fold(batches: Iterable[pa.RecordBatch]):
         acc: list[np.ndarray | None] = [None] * len(models)
-        for pdf in batches:
+        for batch in batches:
+            every = np.column_stack([np.ones(batch.num_rows)] + [
+                batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in place])
+            group = batch.column(group_col).to_numpy(zero_copy_only=False) if group_col else None
+            rows, counted = {None: every}, {}
             for i, m in enumerate(models):
-                y, x = _design(pdf, m, group_col)
+                if m.group not in rows:
+                    rows[m.group] = every[group == m.group]
+                used = [0, *(1 + place[t] for t in m.terms)]
+                x, y = rows[m.group][:, used], rows[m.group][:, 1 + place[m.response]]
+                bad = np.isnan(y) | np.isnan(x).any(axis=1)
+                if bad.any():
+                    x, y = x[~bad], y[~bad]
                 if not len(y):
                     continue
-                v = _start_moments(y, x) if params[i] is None else _pass_moments(y, x, m, params[i])
+                if params[i] is None:
+                    v = _start_moments(y)
+                else:
+                    # Models without dropped rows share one histogram per response and group.
+                    key = i if bad.any() else (m.response, m.group)
+                    if key not in counted:
+                        counted[key] = np.unique(y, return_counts=True)
+                    v = _pass_moments(y, counted[key], x, m, params[i])
                 acc[i] = v if acc[i] is None else acc[i] + v
         for i, v in enumerate(acc):
             if v is not None:
-                yield pd.DataFrame({"m": i, "k": np.arange(len(v)), "v": v})
+                yield pa.RecordBatch.from_pydict({"m": np.full(len(v), i, dtype=np.int32),
+                                                  "k": np.arange(len(v), dtype=np.int32), "v": v})
 
-    sums = df.mapInPandas(fold, "m int, k int, v double").groupBy("m", "k").agg(F.sum("v").alias("v"))
+    sums = df.mapInArrow(fold, "m int, k int, v double").groupBy("m", "k").agg(F.sum("v").alias("v"))
     out: list[dict[int, float]] = [{} for _ in models]
     for m, k, v in sums.collect():  # moments only: (terms + 2)^2 numbers per model
         out[m][k] = v
@@ -230,11 +249,16 @@ class Fit:
 
 
 def fit_models(df: DataFrame, models: Sequence[Model], group_col: str | None = None, max_iter: int = 60,
-               tol: float = 1e-8, chunk: int = CHUNK) -> Fit:
-    """Fit every model; models that never settle are marked, not raised."""
+               tol: float = 1e-8, chunk: int = CHUNK, min_partitions: int | None = None) -> Fit:
+    """Fit every model; models that never settle are marked, not raised.
+
+    ``min_partitions`` spreads the cached design once when its files hold too
+    few splits to keep the cluster busy through the passes.
+    """
     need = dict.fromkeys(c for m in models for c in (m.response, *m.terms))
     cols = [F.col(f"`{c}`").cast("double").alias(c) for c in need]
-    data = df.select(*([group_col] if group_col else []), *cols).persist()
+    data = df.select(*([group_col] if group_col else []), *cols)
+    data = (data.repartition(min_partitions) if min_partitions else data).persist()
     fit = Fit(df.sparkSession, [_State(m) for m in models])
     try:
         for at in range(0, len(models), chunk):
@@ -290,37 +314,32 @@ def count_checks(fit: Fit, df: DataFrame, model_id: str, row_id: Sequence[str],
                  sims: int = 250, seed: int = 1) -> DataFrame:
     """Simulation checks of a negative-binomial fit: dispersion, zero share, residual uniformity.
 
-    Replicates are drawn per row from a seed hashed from its id.  Partitions emit
-    one sum per replicate and a 20-bin histogram of scaled residuals.
+    Rows are dealt by id hash into buckets of about 4,096; a bucket's draws are
+    seeded by its number, so results repeat under any partitioning.  A bucket
+    emits one sum per replicate and a 20-bin histogram of scaled residuals.
     """
     st = next(s for s in fit.states if s.model.id == model_id)
     theta = fit.theta(model_id)
     rows = fit.fitted(df, model_id, group_col).filter(F.col("mu").isNotNull()).select(
         F.xxhash64(*row_id).alias("id"), F.col(st.model.response).cast("double").alias("y"), "mu").filter("y is not null")
-
-    def draw(batches):
-        var = np.zeros(sims + 1)
-        zero = np.zeros(sims + 1)
-        hist = np.zeros(20)
-        for pdf in batches:
-            y, mu, ids = pdf["y"].to_numpy(), pdf["mu"].to_numpy(), pdf["id"].to_numpy()
-            sim = np.empty((len(pdf), sims))
-            jit = np.empty(len(pdf))
-            for i in range(len(pdf)):
-                rng = np.random.default_rng([seed, int(ids[i]) & 0xFFFFFFFF, (int(ids[i]) >> 32) & 0xFFFFFFFF])
-                jit[i] = rng.random()
-                sim[i] = rng.poisson(rng.gamma(theta, mu[i] / theta, sims))
-            var[0] += ((y - mu) ** 2).sum()
-            var[1:] += ((sim - mu[:, None]) ** 2).sum(axis=0)
-            zero[0] += (y == 0).sum()
-            zero[1:] += (sim == 0).sum(axis=0)
-            below, tied = (sim < y[:, None]).mean(axis=1), (sim == y[:, None]).mean(axis=1)
-            hist += np.bincount(np.minimum(((below + jit * tied) * 20).astype(int), 19), minlength=20)
-        yield pd.DataFrame({"kind": ["var"] * (sims + 1) + ["zero"] * (sims + 1) + ["bin"] * 20,
-                            "k": [*range(sims + 1), *range(sims + 1), *range(20)],
-                            "v": np.concatenate([var, zero, hist])})
-
-    s = rows.mapInPandas(draw, "kind string, k int, v double").groupBy("kind", "k").agg(F.sum("v").alias("v"))
+    rows = rows.withColumn("bucket", F.pmod("id", F.lit(max(1, st.n // 4096))))
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["id", "y", "mu"])
+        y, mu = pdf["y"].to_numpy(), pdf["mu"].to_numpy()
+        rng = np.random.default_rng([seed, int(pdf["bucket"].iloc[0])])
+        sim = rng.poisson(rng.gamma(theta, mu[:, None] / theta, (len(pdf), sims)))
+        var = np.concatenate([[((y - mu) ** 2).sum()], ((sim - mu[:, None]) ** 2).sum(axis=0)])
+        zero = np.concatenate([[(y == 0).sum()], (sim == 0).sum(axis=0)])
+        below, tied = (sim < y[:, None]).mean(axis=1), (sim == y[:, None]).mean(axis=1)
+        scaled = below + rng.random(len(pdf)) * tied
+        hist = np.bincount(np.minimum((scaled * 20).astype(int), 19), minlength=20)
+        return pd.DataFrame({"kind": ["var"] * (sims + 1) + ["zero"] * (sims + 1) + ["bin"] * 20,
+                             "k": [*range(sims + 1), *range(sims + 1), *range(20)],
+                             "v": np.concatenate([var, zero, hist]).astype(float)})
+
+    s = rows.groupBy("bucket").applyInPandas(draw, "kind string, k int, v double").groupBy("kind", "k").agg(
+        F.sum("v").alias("v"))
     test = s.filter("kind <> 'bin'").groupBy("kind").agg(
         F.max(F.when(F.col("k") == 0, F.col("v"))).alias("observed"),
         F.avg(F.when(F.col("k") > 0, F.col("v"))).alias("expected"),

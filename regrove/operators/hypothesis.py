@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import tails
 from .joins import natural_inner
-from .ordered import quantile_columns, running_totals, tie_ranks
+from .ordered import block_splits, quantile_columns, running_totals, tie_ranks
 from .reshape import melt
 
 
@@ -152,9 +152,10 @@ def with_ranks(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataF
     side has unique keys, so adaptive execution can split a heavily tied value.
     """
     base = df.withColumns({c: F.col(c).cast("double") for c in cols})
+    splits = block_splits(base, cols)
     out = base
     for c in cols:
-        out = out.join(tie_ranks(base, keys, c), [*keys, c], "left")
+        out = out.join(tie_ranks(base, keys, c, splits=splits[c]), [*keys, c], "left")
     return out
 
 
@@ -207,7 +208,7 @@ _POISSON1 = np.cumsum([np.exp(-1.0) / float(np.prod(range(1, k + 1)) if k else 1
 
 
 def bootstrap_mean(df: DataFrame, keys: Sequence[str], value: str, row_id: Sequence[str], reps: int = 1000,
-                   conf: float = 0.95, seed: int = 1) -> DataFrame:
+                   conf: float = 0.95, seed: int = 1, min_partitions: int | None = None) -> DataFrame:
     """Mean with percentile bootstrap limits per group.
 
     Every row gets a Poisson(1) weight per replicate from a hash of its id, so
@@ -232,7 +233,9 @@ def bootstrap_mean(df: DataFrame, keys: Sequence[str], value: str, row_id: Seque
         for gk, acc in sums.items():
             yield pd.DataFrame({"gk": gk, "rep": rep, "w": acc[0], "wv": acc[1]})
 
-    parts = rows.select("gk", "id", "v").mapInPandas(partial, "gk string, rep int, w double, wv double")
+    spread = rows.select("gk", "id", "v")
+    spread = spread.repartition(min_partitions) if min_partitions else spread
+    parts = spread.mapInPandas(partial, "gk string, rep int, w double, wv double")
     means = parts.groupBy("gk", "rep").agg(F.try_divide(F.sum("wv"), F.sum("w")).alias("m"))
     tail = (1.0 - conf) / 2.0
     # ``reps`` rows per group: bounded, so the built-in percentile is fine.

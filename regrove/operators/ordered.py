@@ -21,10 +21,11 @@ from .joins import natural_inner
 BLOCKS = 256
 
 
-def _splits(df: DataFrame, value: str, blocks: int) -> list[float]:
+def block_splits(df: DataFrame, values: Sequence[str], blocks: int = BLOCKS) -> dict[str, list[float]]:
+    """Equal-depth boundaries of several columns from one sketching pass."""
     probs = [i / blocks for i in range(1, blocks)]
-    cuts = df.select(F.col(value).cast("double").alias("v")).approxQuantile("v", probs, 0.5 / blocks)
-    return [float("-inf"), *sorted(set(cuts)), float("inf")]
+    cuts = df.select(*[F.col(v).cast("double").alias(v) for v in values]).approxQuantile(list(values), probs, 0.5 / blocks)
+    return {v: [float("-inf"), *sorted(set(c)), float("inf")] for v, c in zip(values, cuts)}
 
 
 def _blocked(df: DataFrame, value: str, splits: list[float]) -> DataFrame:
@@ -38,13 +39,13 @@ def _present(df: DataFrame, keys: Sequence[str], value: str, extra: Sequence[str
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str],
-                   blocks: int = BLOCKS) -> DataFrame:
+                   blocks: int = BLOCKS, splits: list[float] | None = None) -> DataFrame:
     """Running sums of measures by increasing value within each key.
 
     Returns one row per (key, value) with ``<m>``, ``<m>_before`` and ``<m>_total``.
     """
     rows = _present(df, keys, value, measures)
-    splits = _splits(rows, value, blocks)
+    splits = splits or block_splits(rows, [value], blocks)[value]
     per_value = rows.groupBy(*keys, value).agg(*[F.sum(m).alias(m) for m in measures])
     per_value = _blocked(per_value, value, splits)
     totals = _block_offsets(
@@ -69,9 +70,10 @@ def _block_offsets(totals: DataFrame, keys: Sequence[str], measures: Sequence[st
                          *[F.sum(m).over(everything).alias(f"{m}_total") for m in measures])
 
 
-def tie_ranks(df: DataFrame, keys: Sequence[str], value: str, blocks: int = BLOCKS) -> DataFrame:
+def tie_ranks(df: DataFrame, keys: Sequence[str], value: str, blocks: int = BLOCKS,
+              splits: list[float] | None = None) -> DataFrame:
     """Tie-averaged rank of each distinct value within its key: ``keys, value, rank_<value>``."""
-    counted = running_totals(df.withColumn("__n", F.lit(1).cast("bigint")), keys, value, ["__n"], blocks)
+    counted = running_totals(df.withColumn("__n", F.lit(1).cast("bigint")), keys, value, ["__n"], blocks, splits)
     return counted.select(*keys, value, (F.col("__n_before") + (F.col("__n") + 1) / 2.0).alias(f"rank_{value}"))
 
 
@@ -83,7 +85,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     orders only the one or two blocks that hold each requested rank.
     """
     rows = _present(df, keys, value)
-    splits = _splits(rows, value, blocks)
+    splits = block_splits(rows, [value], blocks)[value]
     if not keys:
         rows, keys_in = rows.withColumn("__g", F.lit(1)), ["__g"]
     else:

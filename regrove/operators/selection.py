@@ -37,12 +37,12 @@ def term_subsets(spark: SparkSession, terms: Sequence[str], min_terms: int = 1,
 
 
 def fit_subsets(df: DataFrame, response: str, subsets: DataFrame, family: str = "negbin",
-                theta: float | None = None, group: str | None = None, group_col: str | None = None) -> Fit:
+                theta: float | None = None, group: str | None = None, group_col: str | None = None, **options) -> Fit:
     """Fit one model per subset; the model id is ``<group or response>#<bit code>``."""
     rows = subsets.select("subset", "terms").orderBy("subset").collect()  # bounded by 2**MAX_TERMS
     models = [Model(f"{group or response}#{r['subset']}", response, tuple(r["terms"].split(",")), family, theta, group)
               for r in rows]
-    return fit_models(df, models, group_col)
+    return fit_models(df, models, group_col, **options)
 
 
 def ranked_models(summary: DataFrame, chat: float | None = None) -> DataFrame:
@@ -83,12 +83,12 @@ def average_models(ranked: DataFrame, coefs: DataFrame, delta: float = 2.0) -> D
     return out.withColumn("signif", excludes_zero("lower", "upper"))
 
 
-def leave_one_out(df: DataFrame, model: Model, group_col: str | None = None) -> DataFrame:
+def leave_one_out(df: DataFrame, model: Model, group_col: str | None = None, **options) -> DataFrame:
     """Drop in R squared when each term is left out of the model."""
     from .glm import likelihood_r2
     less = [Model(f"{model.id}-{t}", model.response, tuple(x for x in model.terms if x != t), model.family, model.theta,
                   model.group) for t in model.terms]
-    r2 = likelihood_r2(fit_models(df, with_null_models([model, *less]), group_col).summary())
+    r2 = likelihood_r2(fit_models(df, with_null_models([model, *less]), group_col, **options).summary())
     whole = r2.filter(F.col("model_id") == model.id).select(F.col("r2").alias("r2_full"), F.lit(1).alias("__k"))
     part = r2.filter(F.col("model_id") != model.id).select(
         F.substring(F.col("model_id"), len(model.id) + 2, 1000).alias("term"), F.col("r2").alias("r2_without"), F.lit(1).alias("__k"))

@@ -17,6 +17,11 @@ from .statistics import _normal_p, _RANKS, _student_p
 _FLAGS = ("A", "N", "R")
 
 
+def _wide(spark):
+    """The shared tables are single files: spread them over the cores once."""
+    return {"min_partitions": spark.sparkContext.defaultParallelism}
+
+
 def _design(spark, d):
     li = read(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag", "l_linestatus", F.col("l_quantity").alias("y"),
@@ -49,7 +54,7 @@ t AS (SELECT '(Intercept)' AS term, a.a AS e, a.va AS q FROM a UNION ALL SELECT
 def _crossed(spark, d, family="poisson"):
     from ..operators.regression import interaction_terms
     df, main, cross = interaction_terms(_design(spark, d), "price", "l_linestatus", ["F", "O"])
-    return fit_models(df, [Model("crossed", "y", tuple(main + cross), family)])
+    return fit_models(df, [Model("crossed", "y", tuple(main + cross), family)], **_wide(spark))
 
 
 @query(f"WITH {_POIS}, {_CROSSED} SELECT term, {R('e', 5)} AS estimate, {R('sqrt(q)', 5)} AS se, {R('e / sqrt(q)', 2)} AS stat, {R(_normal_p('(e / sqrt(q))'), 5)} AS p FROM t")
@@ -72,7 +77,7 @@ def overdispersion_chat(spark, d):
 @query(f"""WITH {_chain('1 / (1 + exp(a + b * x))', 'l_returnflag', 14)}, t AS (SELECT g, '(Intercept)' AS term, a AS e, va AS q FROM fin UNION ALL SELECT g, 'price', b, vb FROM fin)
 SELECT g AS model_group, term, {R('e', 5)} AS estimate, {R('sqrt(q)', 5)} AS se FROM t""")
 def nb_glm_fixed(spark, d):
-    fit = fit_models(_design(spark, d), [Model(f, "y", ("price",), theta=1.0, group=f) for f in _FLAGS], "l_returnflag")
+    fit = fit_models(_design(spark, d), [Model(f, "y", ("price",), theta=1.0, group=f) for f in _FLAGS], "l_returnflag", **_wide(spark))
     return out(fit.coefficients(), "model_group", "term", "estimate", "se", digits=5)
 
 
@@ -110,7 +115,7 @@ _NB_TERMS = "t AS (SELECT g, '(Intercept)' AS term, a AS e, sqrt(va) AS s FROM f
 
 
 def _by_flag(spark, d, terms=("price",)):
-    return fit_models(_design(spark, d), with_null_models([Model(f, "y", tuple(terms), group=f) for f in _FLAGS]), "l_returnflag")
+    return fit_models(_design(spark, d), with_null_models([Model(f, "y", tuple(terms), group=f) for f in _FLAGS]), "l_returnflag", **_wide(spark))
 
 
 @query(f"WITH {_NB}, {_NB_TERMS} SELECT g AS model_group, term, {R('e', 4)} AS estimate, {R('s', 4)} AS se, {R('e / s', 1)} AS stat, {R(_normal_p('(e / s)'), 4)} AS p FROM t")
@@ -168,7 +173,7 @@ _PREDICTORS = ["disc", "line", "price", "tax", "total"]
 def _subset_fit(spark, d, group="A"):
     df = _design(spark, d)
     mask = hy.independence_mask(hy.spearman_matrix(df, _PREDICTORS))
-    return sel.fit_subsets(df, "y", sel.term_subsets(spark, _PREDICTORS, 1, 4, mask), group=group, group_col="l_returnflag")
+    return sel.fit_subsets(df, "y", sel.term_subsets(spark, _PREDICTORS, 1, 4, mask), group=group, group_col="l_returnflag", **_wide(spark))
 
 
 @query()
@@ -186,7 +191,7 @@ def model_average(spark, d):
 
 @query()
 def partial_r2(spark, d):
-    return out(sel.leave_one_out(_design(spark, d), Model("full", "y", ("price", "disc", "tax"))), digits=4)
+    return out(sel.leave_one_out(_design(spark, d), Model("full", "y", ("price", "disc", "tax")), **_wide(spark)), digits=4)
 
 
 @query()
@@ -200,5 +205,5 @@ def species_models(spark, d):
 @query()
 def nb_checks(spark, d):
     df = _design(spark, d)
-    fit = fit_models(df, [Model("N", "y", ("price",), group="N")], "l_returnflag")
+    fit = fit_models(df, [Model("N", "y", ("price",), group="N")], "l_returnflag", **_wide(spark))
     return out(count_checks(fit, df, "N", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"], "l_returnflag", sims=100), digits=4)

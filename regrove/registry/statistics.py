@@ -177,7 +177,8 @@ def collinear_pairs(spark, d):
 
 @query()
 def bootstrap_ci(spark, d):
-    return out(hy.bootstrap_mean(read(spark, d, "events"), ["event_type"], "value", ["event_id"], reps=1000))
+    return out(hy.bootstrap_mean(read(spark, d, "events"), ["event_type"], "value", ["event_id"], reps=1000,
+                                 min_partitions=spark.sparkContext.defaultParallelism))
 
 
 # --- linear models -----------------------------------------------------------
