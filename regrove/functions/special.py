@@ -31,4 +31,4 @@ def trigamma(x):
     down = sum(1.0 / (x + k) ** 2 for k in range(_SHIFT))
     z = x + _SHIFT
     r = 1.0 / (z * z)
-    return (1.0 + 0.5 / z + r * (1.0 / 6 - r * (1.0 / 30 - r * (1.0 / 42 - r / 30)))) / z + down
+    return (1.0 + 0.5 / z + r * (1.0 / 6 - r * (1.0 / 30 - r * (1.0 / 42 - r * (1.0 / 30 - r * 5.0 / 66))))) / z + down

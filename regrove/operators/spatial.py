@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut_lineage
 from .ordered import running_totals
 
 LEAF_POINTS = 256
@@ -105,16 +106,21 @@ def nearest_feature(points: DataFrame, features: DataFrame, x: str = "x", y: str
     occupied = feats.select("qi", "qj").distinct()
     cand = where.select("pi", "pj").distinct().withColumns({"qi": F.lit(0), "qj": F.lit(0)})
     best = Window.partitionBy("pi", "pj")
-    for level in range(1, leaf + 1):
+    level, rounds = 0, 0
+    while level < leaf:
+        stride = min(2, leaf - level)
+        level, rounds, side = level + stride, rounds + 1, 1 << stride
         shift = leaf - level
         here = occupied.select(F.shiftright("qi", shift).alias("qi"), F.shiftright("qj", shift).alias("qj")).distinct()
-        kids = cand.withColumn("__k", F.explode(F.array(*[F.lit(k) for k in range(4)])))
-        kids = kids.select("pi", "pj", (F.col("qi") * 2 + F.col("__k") % 2).alias("qi"),
-                           (F.col("qj") * 2 + F.shiftright("__k", 1)).alias("qj"))
+        kids = cand.withColumn("__k", F.explode(F.array(*[F.lit(k) for k in range(side * side)])))
+        kids = kids.select("pi", "pj", (F.col("qi") * side + F.col("__k") % side).alias("qi"),
+                           (F.col("qj") * side + F.shiftright("__k", stride)).alias("qj"))
         kids = kids.join(here, ["qi", "qj"], "left_semi")
         near, far = _cell_bounds("pi", "pj", quad.side(leaf), "qi", "qj", quad.side(level))
         kids = kids.withColumns({"__near": near, "__far": far}).withColumn("__cut", F.min("__far").over(best))
         cand = kids.filter(F.col("__near") <= F.col("__cut")).select("pi", "pj", "qi", "qj")
+        if rounds % 3 == 0:
+            cand = cut_lineage(cand)  # keeps deep descents from replanning every earlier level
     reach = where.join(cand, ["pi", "pj"]).join(feats, ["qi", "qj"])
     found = reach.groupBy(x, y).agg(F.min(distance(x, y, fx, fy)).alias(name))
     return points.join(found, [x, y], "left").select(*points.columns, name)
@@ -209,65 +215,68 @@ def _bracket(hist: DataFrame, low_rank: float, high_rank: float, step: float) ->
     return edges[0], edges[1]
 
 
-def pair_distance_median(points: DataFrame, x: str = "x", y: str = "y",
-                         leaf_points: int = LEAF_POINTS) -> DataFrame:
+def pair_distance_median(points: DataFrame, x: str = "x", y: str = "y", stop_at: float = 2e7) -> DataFrame:
     """Exact median of all pairwise distances: one row ``n_pairs, median_distance``.
 
     Works on pairs of cells, not of points.  At each level, cell pairs whose
     whole distance range is below the median's bracket are only counted, those
-    above are dropped, and the rest are split.  The few location pairs left
-    undecided are streamed into a histogram of the bracket; only the pairs of the
-    median's own bin are ever sorted.
+    above are dropped, and the rest are split until at most ``stop_at`` location
+    pairs are undecided.  Those are streamed into a histogram of the bracket; only
+    the pairs of the median's own bin are ever sorted.
     """
     spark = points.sparkSession
     locs = _locations(points, x, y).persist()
-    quad = _fit_quad([(locs, "x", "y")], (locs, "x", "y"), leaf_points)
+    box = locs.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.sum("n")).first()
     schema = "n_pairs bigint, median_distance double"
-    total = locs.agg(F.sum("n")).first()[0] or 0.0
-    m = int(total * (total - 1) / 2)
+    m = int((box[4] or 0) * ((box[4] or 0) - 1) / 2)
     if m == 0:
         locs.unpersist()
         return spark.createDataFrame([(0, None)], schema)
+    size = max(box[1] - box[0], box[3] - box[2], 1e-9) * (1 + 1e-9)
+    quad = Quad(box[0], box[2], size, MAX_LEVELS)
     ranks = ((m - 1) // 2, m // 2)
-    reach = math.hypot(quad.size, quad.size) * (1 + 1e-6)
-    step = reach / BINS
-    low, high, below = 0.0, reach, 0.0
-    i, j = quad.cell("x", "y", quad.levels)
-    leaves = locs.groupBy(i.alias("i"), j.alias("j")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"))
+    step = math.hypot(size, size) * (1 + 1e-6) / BINS
+    low, high, below = 0.0, step * BINS, 0.0
+    i, j = quad.cell("x", "y", MAX_LEVELS)
+    cell = locs.withColumns({"i": i, "j": j})
     pairs = spark.createDataFrame([(0, 0, 0, 0)], "ai int, aj int, bi int, bj int")
-    held = [locs]
     quarter = F.array(*[F.lit(k) for k in range(16)])
-    for level in range(1, quad.levels + 1):
-        shift = quad.levels - level
-        here = leaves.groupBy(F.shiftright("i", shift).alias("i"), F.shiftright("j", shift).alias("j")).agg(
-            F.sum("n").alias("n"))
-        kids = pairs.withColumn("k", F.explode(quarter)).select(
-            (F.col("ai") * 2 + F.col("k") % 2).alias("ai"), (F.col("aj") * 2 + F.shiftright("k", 1) % 2).alias("aj"),
-            (F.col("bi") * 2 + F.shiftright("k", 2) % 2).alias("bi"), (F.col("bj") * 2 + F.shiftright("k", 3)).alias("bj"))
-        kids = kids.filter((F.col("ai") < F.col("bi")) | ((F.col("ai") == F.col("bi")) & (F.col("aj") <= F.col("bj"))))
-        kids = kids.join(here.withColumnsRenamed({"i": "ai", "j": "aj", "n": "na"}), ["ai", "aj"]).join(
-            here.withColumnsRenamed({"i": "bi", "j": "bj", "n": "nb"}), ["bi", "bj"])
+    for level in range(1, MAX_LEVELS + 1):
+        shift = MAX_LEVELS - level
+        here = cell.groupBy(F.shiftright("i", shift).alias("i"), F.shiftright("j", shift).alias("j")).agg(
+            F.sum("n").alias("n"), F.count(F.lit(1)).cast("double").alias("k"))
+        one = (F.col("ai") == F.col("bi")) & (F.col("aj") == F.col("bj"))  # a cell with itself yields both orders
+        kids = pairs.withColumn("q", F.explode(quarter)).select(
+            one.alias("one"), (F.col("ai") * 2 + F.col("q") % 2).alias("ai"), (F.col("aj") * 2 + F.shiftright("q", 1) % 2).alias("aj"),
+            (F.col("bi") * 2 + F.shiftright("q", 2) % 2).alias("bi"), (F.col("bj") * 2 + F.shiftright("q", 3)).alias("bj"))
+        kids = kids.filter(~F.col("one") | (F.col("ai") < F.col("bi")) | ((F.col("ai") == F.col("bi")) & (F.col("aj") <= F.col("bj"))))
+        kids = kids.join(here.withColumnsRenamed({"i": "ai", "j": "aj", "n": "na", "k": "ka"}), ["ai", "aj"]).join(
+            here.withColumnsRenamed({"i": "bi", "j": "bj", "n": "nb", "k": "kb"}), ["bi", "bj"])
         same = (F.col("ai") == F.col("bi")) & (F.col("aj") == F.col("bj"))
         near, far = _cell_bounds("ai", "aj", quad.side(level), "bi", "bj", quad.side(level))
-        kids = kids.withColumns({"near": near, "far": far, "w": F.when(
-            same, F.col("na") * (F.col("na") - 1) / 2).otherwise(F.col("na") * F.col("nb"))}).persist()
-        held.append(kids)
+        kids = kids.withColumns({"near": near, "far": far, "met": F.col("ka") * F.col("kb"), "w": F.when(
+            same, F.col("na") * (F.col("na") - 1) / 2).otherwise(F.col("na") * F.col("nb"))})
+        kids = cut_lineage(kids.select("ai", "aj", "bi", "bj", "near", "far", "met", "w"))
         ends = F.explode(F.array(F.struct(F.lit(0).alias("s"), F.col("near").alias("d")),
                                  F.struct(F.lit(1).alias("s"), F.col("far").alias("d"))))
         hist = kids.select("w", ends.alias("e")).groupBy(
             F.col("e.s").alias("s"), F.floor(F.col("e.d") / F.lit(step)).cast("int").alias("b")).agg(F.sum("w").alias("w"))
         lo, hi = _bracket(hist, ranks[0] - below, ranks[1] - below, step)
         low, high = max(low, lo), min(high, hi)
-        below += kids.filter(F.col("far") < low).agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
-        kept = kids.filter((F.col("far") >= low) & (F.col("near") <= high)).select("ai", "aj", "bi", "bj", "w")
-        pairs = kept
-    cell = locs.withColumns({"i": i, "j": j})
+        kept = (F.col("far") >= low) & (F.col("near") <= high)
+        done, undecided = kids.agg(F.coalesce(F.sum(F.when(F.col("far") < low, F.col("w"))), F.lit(0.0)),
+                                   F.coalesce(F.sum(F.when(kept, F.col("met"))), F.lit(0.0))).first()
+        below += done
+        pairs = kids.filter(kept).select("ai", "aj", "bi", "bj")
+        if undecided <= stop_at:
+            break
+    cell = cell.withColumns({"i": F.shiftright("i", MAX_LEVELS - level), "j": F.shiftright("j", MAX_LEVELS - level)})
     same = (F.col("ai") == F.col("bi")) & (F.col("aj") == F.col("bj"))
     left = cell.select(F.col("i").alias("ai"), F.col("j").alias("aj"), F.col("x").alias("xa"),
                        F.col("y").alias("ya"), F.col("n").alias("ca"))
     right = cell.select(F.col("i").alias("bi"), F.col("j").alias("bj"), F.col("x").alias("xb"),
                         F.col("y").alias("yb"), F.col("n").alias("cb"))
-    met = pairs.drop("w").join(left, ["ai", "aj"]).join(right, ["bi", "bj"])
+    met = pairs.join(left, ["ai", "aj"]).join(right, ["bi", "bj"])
     once = (F.col("xa") < F.col("xb")) | ((F.col("xa") == F.col("xb")) & (F.col("ya") < F.col("yb")))
     met = met.filter(~same | once).select(distance("xa", "ya", "xb", "yb").alias("d"), (F.col("ca") * F.col("cb")).alias("w"))
     twins = cell.filter("n > 1").join(pairs.filter(same).select(F.col("ai").alias("i"), F.col("aj").alias("j")), ["i", "j"],
@@ -290,6 +299,5 @@ def pair_distance_median(points: DataFrame, x: str = "x", y: str = "y",
     got = pos.select("d", (F.col("w_before") + F.lit(start)).alias("lo"), (F.col("w_before") + F.col("w") + F.lit(start)).alias("hi"))
     pick = lambda r: F.min(F.when((F.col("lo") <= r) & (F.col("hi") > r), F.col("d")))
     middle = got.agg(((pick(ranks[0]) + pick(ranks[1])) / 2.0).alias("v")).first()[0]
-    for t in held:
-        t.unpersist()
+    locs.unpersist()
     return spark.createDataFrame([(m, middle)], schema)
