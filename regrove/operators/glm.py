@@ -315,24 +315,30 @@ def count_checks(fit: Fit, df: DataFrame, model_id: str, row_id: Sequence[str],
     """Simulation checks of a negative-binomial fit: dispersion, zero share, residual uniformity.
 
     Rows are dealt by id hash into buckets of about 4,096; a bucket's draws are
-    seeded by its number, so results repeat under any partitioning.  A bucket
-    emits one sum per replicate and a 20-bin histogram of scaled residuals.
+    seeded by its number, so results repeat under any partitioning.  Copies of
+    one row are counted first and dealt in chunks, so they cannot pile up in a
+    bucket.  A bucket emits one sum per replicate and a 20-bin histogram of
+    scaled residuals.
     """
+    deal = 4096
     st = next(s for s in fit.states if s.model.id == model_id)
     theta = fit.theta(model_id)
     rows = fit.fitted(df, model_id, group_col).filter(F.col("mu").isNotNull()).select(
         F.xxhash64(*row_id).alias("id"), F.col(st.model.response).cast("double").alias("y"), "mu").filter("y is not null")
-    rows = rows.withColumn("bucket", F.pmod("id", F.lit(max(1, st.n // 4096))))
+    rows = rows.groupBy("id", "y", "mu").agg(F.count(F.lit(1)).alias("c"))
+    rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), ((F.col("c") - 1) / deal).cast("int"))))
+    rows = rows.select("y", "mu", "id", "chunk", F.least(F.lit(deal), F.col("c") - F.col("chunk") * deal).cast("int").alias("c"),
+                       F.pmod(F.xxhash64("id", "chunk"), F.lit(max(1, st.n // deal))).alias("bucket"))
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["id", "y", "mu"])
-        y, mu = pdf["y"].to_numpy(), pdf["mu"].to_numpy()
+        pdf = pdf.sort_values(["id", "chunk", "y", "mu"])
+        y, mu = np.repeat(pdf["y"].to_numpy(), pdf["c"]), np.repeat(pdf["mu"].to_numpy(), pdf["c"])
         rng = np.random.default_rng([seed, int(pdf["bucket"].iloc[0])])
-        sim = rng.poisson(rng.gamma(theta, mu[:, None] / theta, (len(pdf), sims)))
+        sim = rng.poisson(rng.gamma(theta, mu[:, None] / theta, (len(y), sims)))
         var = np.concatenate([[((y - mu) ** 2).sum()], ((sim - mu[:, None]) ** 2).sum(axis=0)])
         zero = np.concatenate([[(y == 0).sum()], (sim == 0).sum(axis=0)])
         below, tied = (sim < y[:, None]).mean(axis=1), (sim == y[:, None]).mean(axis=1)
-        scaled = below + rng.random(len(pdf)) * tied
+        scaled = below + rng.random(len(y)) * tied
         hist = np.bincount(np.minimum((scaled * 20).astype(int), 19), minlength=20)
         return pd.DataFrame({"kind": ["var"] * (sims + 1) + ["zero"] * (sims + 1) + ["bin"] * 20,
                              "k": [*range(sims + 1), *range(sims + 1), *range(20)],

@@ -105,9 +105,15 @@ def terrain(cells: DataFrame, res: float, value: str = "value", layer: Sequence[
 
 def sample(points: DataFrame, cells: DataFrame, grid: Grid, values: Sequence[str] = ("value",),
            x: str = "x", y: str = "y") -> DataFrame:
-    """Value of the cell under each point; null outside or where no cell exists."""
+    """Value of the cell under each point; null outside or where no cell exists.
+
+    The raster is first reduced to the cells that hold a point.  Points are
+    usually the small table: the semi join can then broadcast their cells, and
+    the raster is not shuffled.
+    """
     p = points.withColumns({"row": grid.row_of(F.col(y)), "col": grid.col_of(F.col(x))})
-    c = cells.select("row", "col", *values).filter(F.col("row").isNotNull() & F.col("col").isNotNull())
+    asked = p.select("row", "col").filter(grid.inside(F.col("row"), F.col("col"))).distinct()
+    c = cells.select("row", "col", *values).join(asked, ["row", "col"], "left_semi")
     return p.join(c, ["row", "col"], "left").drop("row", "col")
 
 

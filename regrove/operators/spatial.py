@@ -137,7 +137,7 @@ def _locations(df: DataFrame, x: str, y: str, z: str | None = None) -> DataFrame
     return keep.groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(*aggs)
 
 
-def close_locations(locs: DataFrame, cutoff: float, payload: Sequence[str], block: int = 1024) -> DataFrame:
+def close_locations(locs: DataFrame, cutoff: float, payload: Sequence[str], block: int = 2048) -> DataFrame:
     """Each unordered pair of distinct locations within ``cutoff``, once.
 
     Locations meet in cells as wide as the cutoff.  A cell with more than
@@ -174,7 +174,7 @@ def close_locations(locs: DataFrame, cutoff: float, payload: Sequence[str], bloc
 
 
 def semivariogram(points: DataFrame, value: str, cutoff: float, width: float, x: str = "x", y: str = "y",
-                  block: int = 1024) -> DataFrame:
+                  block: int = 2048) -> DataFrame:
     """Empirical semivariogram: ``lag, np, dist, gamma`` for pairs within the cutoff.
 
     Pairs are folded into lag sums as they are met and never shuffled.

@@ -38,7 +38,7 @@ def stage(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def layer_stack(spark: SparkSession, pattern: str, name: str = "layer") -> DataFrame:
     """All raster layers matching a glob, tagged by file or folder name."""
     df = spark.read.parquet(pattern) if "*" not in pattern else spark.read.option("pathGlobFilter", "*.parquet").parquet(pattern)
-    return df.withColumn(name, F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(/part-[^/]*)?(\.parquet)?$", 1))
+    return df.withColumn(name, F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.parquet)?(/part-[^/]*)?$", 1))
 
 
 def point_layer(df: DataFrame, parts: Sequence[str], x: str = "x", y: str = "y", sep: str = "-") -> DataFrame:
