@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.ecology import excludes_zero, normal_interval, significant
 from ..functions.missing import clamp, label
@@ -114,3 +114,20 @@ def effect_table(coefs: DataFrame, kinds: dict[str, str], labels: dict[str, str]
     if labels:
         out = out.withColumn("term", label("term", list(labels), list(labels.values())))
     return out
+
+
+def averaged_table(averages: DataFrame, kinds: dict[str, str], labels: dict[str, str] | None = None) -> DataFrame:
+    """Averaged effects for display: typed, relabelled, numbered by falling estimate.
+
+    One row per model term, so the ordering window is small.
+    """
+    out = averages.filter(F.col("term") != "(Intercept)")
+    kind = None
+    for t, k in kinds.items():
+        kind = (F if kind is None else kind).when(F.col("term") == F.lit(t), F.lit(k))
+    order = Window.partitionBy("response", "model_group").orderBy(F.col("estimate").desc(), "term")
+    out = out.withColumns({"type": kind, "ord": F.row_number().over(order)})
+    name = F.col("term")
+    for t, text in (labels or {}).items():
+        name = F.when(F.col("term") == F.lit(t), F.lit(text)).otherwise(name)
+    return out.select("response", "model_group", name.alias("predictor"), "estimate", "lower", "upper", "signif", "type", "ord")

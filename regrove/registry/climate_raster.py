@@ -99,6 +99,15 @@ def terrain_tri(spark, d):
     return out(raster.terrain(_cells(spark, d), 100.0, tile=64), "row", "col", "tri")
 
 
+@query(f"""WITH {_CELLS}, {_N8}, {_POINTS}, g AS (SELECT *, {_EAST} AS ge, {_NORTH} AS gn FROM n),
+t AS (SELECT "row", col, value, CASE WHEN k = 9 THEN degrees(atan(sqrt(ge * ge + gn * gn))) END AS slope,
+ CASE WHEN k < 9 THEN NULL WHEN ge = 0 AND gn = 0 THEN 90 ELSE degrees(atan2(-ge, -gn)) END AS asp FROM g)
+SELECT c_custkey, value AS elev, {R('slope')} AS slope, {R('cos(radians(45.0) - radians(asp)) + 1')} AS dev_ne
+FROM p LEFT JOIN t ON t.col = floor(x / 100) AND t."row" = floor((100000 - y) / 100)""")
+def terrain_at_points(spark, d):
+    return out(landscape.terrain_predictors(_points(spark, d), _cells(spark, d), _GRID), "c_custkey", "elev", "slope", "dev_ne")
+
+
 @query(f"""WITH {_CELLS}, {_POINTS} SELECT c_custkey, value FROM p LEFT JOIN c ON c.col = floor(x / 100) AND c."row" = floor((100000 - y) / 100)""")
 def sample_raster(spark, d):
     return raster.sample(_points(spark, d), _cells(spark, d), _GRID).select("c_custkey", "value")

@@ -189,6 +189,14 @@ def model_average(spark, d):
                "signif", "n_models", digits=4)
 
 
+@query()
+def averaged_effects(spark, d):
+    fit = _subset_fit(spark, d, "R")
+    avg = sel.average_models(sel.ranked_models(fit.summary(), chat=1.2), fit.coefficients())
+    kinds = {"price": "Cost", "total": "Cost", "disc": "Terms", "tax": "Terms"}
+    return out(sel.averaged_table(avg, kinds, {"price": "Unit price", "total": "Line total"}), digits=4)
+
+
 @query()
 def partial_r2(spark, d):
     return out(sel.leave_one_out(_design(spark, d), Model("full", "y", ("price", "disc", "tax")), **_wide(spark)), digits=4)

@@ -124,14 +124,23 @@ def median_test(spark, d):
     return out(hy.median_test(o, ["o_orderpriority"], "o_orderstatus", "o_totalprice"), median=4)
 
 
-@query(f"""WITH x AS (SELECT o_orderpriority AS k, o_totalprice AS v, count(*) FILTER (o_orderstatus = 'O') AS a, count(*) FILTER (o_orderstatus = 'P') AS b
+def _ks_sql(key: str) -> str:
+    return f"""x AS (SELECT {key} AS k, o_totalprice AS v, count(*) FILTER (o_orderstatus = 'O') AS a, count(*) FILTER (o_orderstatus = 'P') AS b
  FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1, 2),
 c AS (SELECT k, abs(sum(a) OVER w / sum(a) OVER t - sum(b) OVER w / sum(b) OVER t) AS g, sum(a) OVER t AS n1, sum(b) OVER t AS n2 FROM x
- WINDOW w AS (PARTITION BY k ORDER BY v), t AS (PARTITION BY k)), s AS (SELECT k, max(g) AS d, any_value(n1) AS n1, any_value(n2) AS n2 FROM c GROUP BY 1)
-SELECT k AS o_orderpriority, {R('d')} AS d, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2,
+ WINDOW w AS (PARTITION BY k ORDER BY v), t AS (PARTITION BY k)), s AS (SELECT k, max(g) AS d, any_value(n1) AS n1, any_value(n2) AS n2 FROM c GROUP BY 1)"""
+
+
+@query(f"""WITH {_ks_sql('o_orderpriority')} SELECT k AS o_orderpriority, {R('d')} AS d, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2 FROM s""")
+def ks_by_group(spark, d):
+    k = hy.ks_two_sample(read(spark, d, "orders"), ["o_orderpriority"], "o_orderstatus", "o_totalprice", "O", "P")
+    return out(k, "o_orderpriority", "d", "n1", "n2")
+
+
+@query(f"""WITH {_ks_sql("'all'")} SELECT {R('d')} AS d, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2,
  {R("2 * list_sum(list_transform(range(1, 200), lambda j: (CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * j * j * d * d * n1 * n2 / (n1 + n2))))")} AS p FROM s""")
 def ks_two_sample(spark, d):
-    return out(hy.ks_two_sample(read(spark, d, "orders"), ["o_orderpriority"], "o_orderstatus", "o_totalprice", "O", "P"))
+    return out(hy.ks_two_sample(read(spark, d, "orders"), [], "o_orderstatus", "o_totalprice", "O", "P"))
 
 
 def _corr_sql(x: str, y: str, src: str, key: str, name: str) -> str:

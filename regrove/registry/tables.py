@@ -339,3 +339,33 @@ def filter_rows(spark, d):
     p = read(spark, d, "part").withColumn("b", F.nullif("p_brand", F.lit("Brand#5")))
     return p.filter(ms.member("p_type", ["SMALL", "LARGE"]) & (F.col("p_size") > 10) & F.col("b").isNotNull()).select(
         "p_partkey", "p_size", "p_retailprice")
+
+
+@query(f"""
+SELECT p_partkey, {R('p_size / 50.0')} AS p_size_rel, {R('p_retailprice / 50.0')} AS p_retailprice_rel FROM part""")
+def across_template(spark, d):
+    p = read(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
+    return out(rs.across(p, ["p_size", "p_retailprice"], lambda c: c / 50.0, "{col}_rel").drop("p_size", "p_retailprice"))
+
+
+@query(f"""
+SELECT e.event_id, {R('e.value - g.m')} AS reach FROM events e JOIN (SELECT event_type, avg(value) AS m FROM events GROUP BY 1) g USING (event_type)""")
+def join_to_centroid(spark, d):
+    e = read(spark, d, "events").select("event_id", "event_type", "value")
+    g = e.groupBy("event_type").agg(F.avg("value").alias("m"))
+    return out(jn.natural_inner(e, g).select("event_id", (F.col("value") - F.col("m")).alias("reach")))
+
+
+@query("""
+WITH p AS (SELECT c_name || '-' || c_mktsegment AS plot_id, c_nationkey AS x, floor(c_acctbal / 500) AS y FROM customer WHERE c_nationkey < 20),
+v AS (SELECT c_name || '-' || c_mktsegment AS plot_id, CASE WHEN c_nationkey % 2 = 0 THEN '2019' ELSE '2020' END AS season FROM customer WHERE c_acctbal > 0),
+n AS (SELECT coalesce(p.plot_id, v.plot_id) AS plot_id, season, x, y FROM p FULL JOIN v ON p.plot_id = v.plot_id WHERE x IS NOT NULL AND y IS NOT NULL),
+k AS (SELECT *, row_number() OVER (ORDER BY plot_id, season NULLS FIRST, x, y) AS plot_num FROM n)
+SELECT plot_id, season, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, plot_num FROM (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY plot_num) AS r FROM k) WHERE r = 1""")
+def plot_matching(spark, d):
+    from ..plans.survey import plots_with_points
+    from ..sources.readers import point_layer
+    c = read(spark, d, "customer").withColumns({"name": F.col("c_name"), "today": F.col("c_mktsegment")})
+    pts = point_layer(c.filter("c_nationkey < 20").withColumn("y", F.floor(F.col("c_acctbal") / 500)), ["name", "today"], x="c_nationkey")
+    visits = c.filter("c_acctbal > 0").select("name", "today", F.when(F.col("c_nationkey") % 2 == 0, "2019").otherwise("2020").alias("season"))
+    return plots_with_points(pts, visits).select("plot_id", "season", "x", "y", "plot_num")
