@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut_lineage
-from .joins import natural_left
+from .joins import natural_inner, natural_left
 
 
 def with_group(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
@@ -43,13 +43,7 @@ def group_maximum(df: DataFrame, keys: Sequence[str], value: str, positive: bool
     best = df.groupBy(*keys).agg(F.max(value).alias("__best"))
     if positive:
         best = best.filter("__best > 0")
-    out = natural_left(df, best, keys) if not keys else _inner_on(df, best, keys)
-    return out.filter(F.col(value) == F.col("__best")).drop("__best")
-
-
-def _inner_on(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
-    from .joins import natural_inner
-    return natural_inner(df, stats, keys)
+    return natural_inner(df, best, keys).filter(F.col(value) == F.col("__best")).drop("__best")
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
@@ -103,9 +97,8 @@ def group_index(df: DataFrame, keys: Sequence[str], name: str = "group_id",
     """
     index = number_rows(df.select(*keys).distinct(), list(keys), name)
     if start_after is not None:
-        base = start_after.select(F.col(start_after.columns[0]).alias("__base"), F.lit(1).alias("__one"))
-        index = (index.withColumn("__one", F.lit(1)).join(F.broadcast(base), "__one")  # one row
-                 .withColumn(name, F.col(name) + F.coalesce("__base", F.lit(0))).drop("__base", "__one"))
+        base = start_after.first()[0]  # one number
+        index = index.withColumn(name, F.col(name) + F.lit(int(base or 0)))
     return natural_left(df, index, keys)
 
 

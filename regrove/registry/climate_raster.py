@@ -143,7 +143,7 @@ e AS (SELECT a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM v a JOIN v b ON b.s
 def _perimeter(spark, d):
     k = F.col("n_nationkey")
     angle, radius = 2 * F.lit(math.pi) * k / 25, 900 + 250 * (k * 7 % 5)
-    v = read(spark, d, "nation").select(F.lit(1).alias("poly_id"), F.lit(0).alias("ring"), k.alias("seq"),
+    v = read(spark, d, "nation").select(F.floor(k / 25).alias("poly_id"), F.floor(k / 30).alias("ring"), k.alias("seq"),
                                         (2500 + radius * F.cos(angle)).alias("x"), (98000 + radius * F.sin(angle)).alias("y"))
     return polygon_edges(v)
 

@@ -111,7 +111,7 @@ def tukey_three_levels(spark, d):
 
 @query()
 def letters(spark, d):
-    return hy.letters(read(spark, d, "part"), [], "p_type", "p_retailprice")
+    return hy.letters(read(spark, d, "orders"), ["o_orderstatus"], "o_orderpriority", "o_totalprice")
 
 
 @query(f"""WITH x AS (SELECT o_orderpriority AS k, o_orderstatus AS g, o_totalprice AS v FROM orders WHERE o_orderstatus <> 'F'),
