@@ -35,14 +35,12 @@ def anova(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFra
     """One-way analysis of variance per key: SS, df, F, p and R squared."""
     df, ks = _keyed(df, keys)
     m = group_moments(df, ks, group, value)
-    total = F.sum("n")
-    grand = F.sum(F.col("n") * F.col("mean")) / total
-    a = m.groupBy(*ks).agg(F.count(F.lit(1)).alias("k"), total.alias("n"), grand.alias("__g"),
-                           F.sum("ss").alias("ss_within"), F.collect_list(F.struct("n", "mean")).alias("__m"))
-    # One struct per factor level, already aggregated: sum of squares about the grand mean.
-    ssb = F.aggregate("__m", F.lit(0.0), lambda acc, e: acc + e["n"] * (e["mean"] - F.col("__g"))
-                      * (e["mean"] - F.col("__g")))
-    a = a.withColumns({"ss_between": ssb, "df_between": F.col("k") - 1, "df_within": F.col("n") - F.col("k")})
+    grand = m.groupBy(*ks).agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("__g"))
+    off = F.col("mean") - F.col("__g")
+    a = natural_inner(m, grand, ks).groupBy(*ks).agg(
+        F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum("ss").alias("ss_within"),
+        F.sum(F.col("n") * off * off).alias("ss_between"))
+    a = a.withColumns({"df_between": F.col("k") - 1, "df_within": F.col("n") - F.col("k")})
     a = a.withColumns({"ms_between": F.try_divide("ss_between", "df_between"),
                        "ms_within": F.try_divide("ss_within", "df_within")})
     a = a.withColumn("f", F.try_divide("ms_between", "ms_within"))

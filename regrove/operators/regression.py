@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import tails
+from ..functions.tails import fisher_p, student_cut, student_p, student_tail
 
 
 def simple_lm(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
@@ -26,7 +26,7 @@ def simple_lm(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
         F.struct(F.lit("(Intercept)").alias("term"), F.col("a").alias("estimate"), icpt_se.alias("se")),
         F.struct(F.lit(x).alias("term"), F.col("b").alias("estimate"), slope_se.alias("se")))).alias("r"))
     out = out.select(*keys, "n", "r.*").withColumn("t", F.try_divide("estimate", "se"))
-    return out.select(*keys, "term", "estimate", "se", "t", tails.student_tail("t", F.col("n") - 2).alias("p"), "n")
+    return out.select(*keys, "term", "estimate", "se", "t", student_tail("t", F.col("n") - 2).alias("p"), "n")
 
 
 def lm_band(df: DataFrame, keys: Sequence[str], x: str, y: str, points: int = 80, conf: float = 0.95) -> DataFrame:
@@ -36,7 +36,7 @@ def lm_band(df: DataFrame, keys: Sequence[str], x: str, y: str, points: int = 80
         F.regr_slope(y, x).alias("b"), F.regr_intercept(y, x).alias("a"), F.regr_sxx(y, x).alias("sxx"),
         F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy"), F.avg(x).alias("mx"),
         F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(F.lit(1)).alias("n"))
-    m = m.withColumn("__cut", tails.student_cut(F.lit((1 - conf) / 2), F.col("n") - 2))
+    m = m.withColumn("__cut", student_cut(F.lit((1 - conf) / 2), F.col("n") - 2))
     g = m.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     g = g.withColumn("x", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("step") / F.lit(points - 1.0))
     s2 = F.try_divide(F.col("syy") - F.col("b") * F.col("sxy"), (F.col("n") - 2).cast("double"))
@@ -103,7 +103,7 @@ def linear_model(df: DataFrame, response: str, terms: Sequence[str]) -> DataFram
             coef, se, rss, df_r = _solve(n, mean, cov, list(range(len(terms))))
             t = coef / se
             yield pd.DataFrame({"term": ["(Intercept)", *terms], "estimate": coef, "se": se, "t": t,
-                                "p": [tails.student_p(v, df_r) for v in t], "n": int(n), "rss": rss,
+                                "p": [student_p(v, df_r) for v in t], "n": int(n), "rss": rss,
                                 "r_squared": 1.0 - rss / (cov[0, 0] * n)})
 
     return _moments(df, response, terms).mapInPandas(
@@ -121,7 +121,7 @@ def nested_f(df: DataFrame, response: str, reduced: Sequence[str], extra: Sequen
             _, _, rss1, df1 = _solve(n, mean, cov, list(range(len(reduced) + len(extra))))
             f = ((rss0 - rss1) / (df0 - df1)) / (rss1 / df1)
             yield pd.DataFrame({"df_reduced": [int(df0)], "rss_reduced": [rss0], "df_full": [int(df1)],
-                                "rss_full": [rss1], "f": [f], "p": [tails.fisher_p(f, df0 - df1, df1)]})
+                                "rss_full": [rss1], "f": [f], "p": [fisher_p(f, df0 - df1, df1)]})
 
     return _moments(df, response, reduced + extra).mapInPandas(
         close, "df_reduced bigint, rss_reduced double, df_full bigint, rss_full double, f double, p double")

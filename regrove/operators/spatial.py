@@ -295,7 +295,7 @@ def pair_distance_median(points: DataFrame, x: str = "x", y: str = "y", stop_at:
             break
     b_of = F.greatest(F.lit(-1), F.least(F.lit(BINS), F.floor((F.col("d") - F.lit(low)) / F.lit(fine)))).cast("int")
     chosen = open_pairs.filter(b_of.between(first, last)).groupBy("d").agg(F.sum("w").alias("w"))
-    pos = running_totals(chosen, [], "d", ["w"]) if first is not None else chosen
+    pos = running_totals(cut_lineage(chosen), [], "d", ["w"])  # one bin's distances, met once
     got = pos.select("d", (F.col("w_before") + F.lit(start)).alias("lo"), (F.col("w_before") + F.col("w") + F.lit(start)).alias("hi"))
     pick = lambda r: F.min(F.when((F.col("lo") <= r) & (F.col("hi") > r), F.col("d")))
     middle = got.agg(((pick(ranks[0]) + pick(ranks[1])) / 2.0).alias("v")).first()[0]

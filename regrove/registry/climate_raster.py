@@ -118,7 +118,7 @@ def reclassify(spark, d):
     return raster.reclassify(_cells(spark, d), [(0, 10, 1), (10, 30, None)])
 
 
-@query(f"""WITH {_CELLS} SELECT "row", col, value, col * 100.0 + 50 AS x, 100000 - "row" * 100.0 - 50 AS y FROM c WHERE value <= 40""")
+@query(f"""WITH {_CELLS} SELECT "row", col, value, CAST(col * 100.0 + 50 AS DOUBLE) AS x, CAST(100000 - "row" * 100.0 - 50 AS DOUBLE) AS y FROM c WHERE value <= 40""")
 def raster_points(spark, d):
     return raster.to_points(_cells(spark, d, "CASE WHEN p_size <= 40 THEN p_size END"), _GRID).select("row", "col", "value", "x", "y")
 
@@ -195,7 +195,7 @@ def resample_grid(spark, d):
 
 
 @query(f"""WITH {_CELLS}, {_LAYERS}, k AS (SELECT "row", col, CASE WHEN count(value) = count(*) THEN avg(value) END AS clay FROM l GROUP BY 1, 2)
-SELECT c."row", c.col, c.value, col * 100.0 + 50 AS x, 100000 - c."row" * 100.0 - 50 AS y, {R('clay')} AS clay
+SELECT c."row", c.col, c.value, CAST(col * 100.0 + 50 AS DOUBLE) AS x, CAST(100000 - c."row" * 100.0 - 50 AS DOUBLE) AS y, {R('clay')} AS clay
 FROM c LEFT JOIN k USING ("row", col) WHERE c.col * 100.0 + 50 BETWEEN 0 AND 4000 AND 100000 - c."row" * 100.0 - 50 BETWEEN 90000 AND 99000""")
 def prediction_grid(spark, d):
     return out(raster.prediction_grid(_cells(spark, d), _GRID, (0, 4000, 90000, 99000), {"clay": raster.layer_mean(_layers(spark, d))}))

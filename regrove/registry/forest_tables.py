@@ -64,7 +64,7 @@ def tree_structure(spark, d):
 @query(f"""WITH x AS (SELECT l_suppkey AS plot, l_linestatus AS season, l_returnflag AS sp, coalesce(nullif(l_quantity, 50), 0) AS n,
  (coalesce(CASE WHEN l_suppkey % 3 <> 0 THEN 20.0 + l_suppkey % 10 END, 28.0) + 30.0) * 2 AS area FROM lineitem),
 g AS (SELECT plot, season, sp, sum(area) AS area_m2, sum(n) AS n, sum(n / area * 10000) AS dens_ha FROM x GROUP BY 1, 2, 3)
-SELECT plot, season, sp, {R('area_m2', 4)} AS area_m2, {R('n', 4)} AS count, {R('dens_ha', 3)} AS dens_ha, 0.0 AS basal,
+SELECT plot, season, sp, {R('area_m2', 4)} AS area_m2, {R('n', 4)} AS count, {R('dens_ha', 3)} AS dens_ha, CAST(0 AS DOUBLE) AS basal,
  {R('coalesce(n / nullif(sum(n) OVER (PARTITION BY plot), 0), 0)')} AS impval FROM g""")
 def seedling_structure(spark, d):
     x = read(spark, d, "lineitem").select(

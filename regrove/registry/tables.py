@@ -257,7 +257,7 @@ def row_numbers(spark, d):
 
 
 @query("""
-SELECT o_orderkey, year(o_orderdate) AS yr, o_totalprice FROM orders
+SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS yr, o_totalprice FROM orders
 WHERE year(o_orderdate) = (SELECT max(year(o_orderdate)) FROM orders)""")
 def latest_period(spark, d):
     o = read(spark, d, "orders").withColumn("yr", F.year("o_orderdate"))
