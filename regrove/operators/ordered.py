@@ -48,9 +48,8 @@ def running_totals(df: DataFrame, keys: Sequence[str], value: str, measures: Seq
     splits = splits or block_splits(rows, [value], blocks)[value]
     per_value = rows.groupBy(*keys, value).agg(*[F.sum(m).alias(m) for m in measures])
     per_value = _blocked(per_value, value, splits)
-    totals = _block_offsets(
-        _blocked(rows, value, splits).groupBy(*keys, "__blk").agg(*[F.sum(m).alias(m) for m in measures]),
-        keys, measures)
+    # Block totals come from the distinct values, so both uses share one exchange.
+    totals = _block_offsets(per_value.groupBy(*keys, "__blk").agg(*[F.sum(m).alias(m) for m in measures]), keys, measures)
     w = (Window.partitionBy(*keys, "__blk").orderBy(value)
          .rowsBetween(Window.unboundedPreceding, -1))
     inner = per_value.withColumns({f"__in_{m}": F.coalesce(F.sum(m).over(w), F.lit(0)) for m in measures})
