@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+LOCAL_FOLDER = "/tmp/checkpoints"
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str = "regrove") -> SparkSession:
@@ -17,25 +18,40 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
             .config("spark.sql.session.timeZone", "UTC")
             .config("spark.driver.memory", "12g")
             .config("spark.ui.enabled", "false")
+            .config(CHECKPOINT_KEY, f"{LOCAL_FOLDER}/{app}")
+            .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
             .config("spark.sql.execution.arrow.pyspark.enabled", "true")
             .getOrCreate())
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: the one the cluster names, else one for local masters only."""
+    named = spark.conf.get(CHECKPOINT_KEY, None)
+    if named:
+        return named
+    if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
+        return f"{LOCAL_FOLDER}/{spark.sparkContext.applicationId}"
+    raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors share")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; invent one only in local mode."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = spark.conf.get(CHECKPOINT_KEY, None)
-    if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="regrove-ckpt-"))
-    else:
-        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors share")
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise to reliable storage so later steps never recompute it."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Write the rows once as Parquet in the shared folder and read them back.
+
+    Unlike a cache the files outlive lost executors; unlike ``checkpoint`` the plan runs once.
+    The folder belongs to the job: whoever owns ``spark.checkpoint.dir`` clears it after the job.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
