@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, personal_data, quality_bands, shards
+from . import packing, partenum, personal_data, quality_bands, shards
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -57,3 +57,27 @@ def op3_virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
 def op4_length_buckets(spark: SparkSession, folder: str) -> DataFrame:
     """Bucket and batch of every piece of every document."""
     return packing.pack(read(spark, folder, "documents"), packing.token_length())
+
+
+@query
+def op7_partenum_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Size, copies and near-duplicate component of every document."""
+    found = partenum.similar_groups(read(spark, folder, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+_ORACLES["op7_partenum_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w),
+e AS (SELECT doc_id, unnest(sh) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y
+      WHERE 100 * c >= 75 * (len(a.sh) + len(b.sh) - c)),
+both_ways AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, b.y FROM r JOIN both_ways b ON r.y = b.x)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, m.component_id
+FROM s JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) m ON m.x = s.doc_id
+"""
