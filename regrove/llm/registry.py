@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, partenum, personal_data, quality_bands, shards
+from . import packing, partenum, personal_data, quality_bands, shards, templates
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -81,3 +81,47 @@ r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, b.y FROM
 SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, m.component_id
 FROM s JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) m ON m.x = s.doc_id
 """
+
+
+@query
+def op6_template_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a benchmark item, by template windows."""
+    found = templates.template_matches(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+    return found.groupBy("doc_id", "item_id").agg(*[F.max(c).cast("long").alias(c) for c in ("n_windows", "matched", "n_slots", "n_changed")])
+
+
+def _raw_sql(text: str) -> str:
+    t = f"coalesce({text}, '')"
+    for _ in range(2):
+        t = rf"regexp_replace({t}, '([\p{{L}}\p{{N}},;:] )(\p{{Lu}}\p{{Ll}}+)', '\1' || chr(1) || '\2', 'g')"
+    for _ in range(2):
+        t = rf"regexp_replace({t}, '([0-9])[.,:/]([0-9])', '\1_\2', 'g')"
+    return rf"trim(lower(regexp_replace({t}, '[^\p{{L}}\p{{N}}_\x01]+', ' ', 'g')))"
+
+
+_TEMPLATE_SQL = (r"regexp_replace(regexp_replace(regexp_replace(r, '\x01[\p{L}\p{N}_]+', '#name', 'g'), "
+                 r"'(^| )[0-9][\p{L}\p{N}_]*', '\1#num', 'g'), "
+                 rf"'(#num )({templates.UNITS})( |$)', '\1#unit\3', 'g')")
+
+_ORACLES["op6_template_windows"] = rf"""
+WITH d0 AS (SELECT doc_id, {_raw_sql('text')} AS r FROM documents),
+d1 AS (SELECT doc_id, string_split(r, ' ') AS raw, string_split({_TEMPLATE_SQL}, ' ') AS t FROM d0 WHERE r <> ''),
+d AS (SELECT doc_id, p, raw[p + 1:p + 8] AS raw, array_to_string(t[p + 1:p + 8], ' ') AS win
+      FROM (SELECT *, unnest(range(0, len(t) - 7)) AS p FROM d1)),
+b0 AS (SELECT min(item_id) AS item_id, r FROM (SELECT item_id, {_raw_sql('text')} AS r FROM benchmark) GROUP BY r),
+b1 AS (SELECT item_id, string_split(r, ' ') AS raw, string_split({_TEMPLATE_SQL}, ' ') AS t FROM b0 WHERE r <> ''),
+b AS (SELECT item_id, p, raw[p + 1:p + 8] AS raw, array_to_string(t[p + 1:p + 8], ' ') AS win, count(*) OVER (PARTITION BY item_id) AS n_windows
+      FROM (SELECT *, unnest(range(0, len(t) - 7)) AS p FROM b1)
+      WHERE len(list_filter(t[p + 1:p + 8], lambda x: x[1] <> '#')) >= 5),
+h AS (SELECT doc_id, item_id, d.p - b.p AS shift, b.p AS place, n_windows, d.raw AS dr, b.raw AS br FROM d JOIN b ON d.win = b.win),
+z AS (SELECT DISTINCT doc_id, item_id, shift, br[k] AS x, dr[k] AS y
+      FROM (SELECT *, unnest(range(1, 9)) AS k FROM h)
+      WHERE br[k] <> dr[k] OR regexp_matches(br[k], '^[\x010-9]')),
+j AS (SELECT doc_id, item_id, shift, count(*) AS pairs, count(DISTINCT x) AS vals, count(*) FILTER (x <> y) AS changed FROM z GROUP BY ALL),
+f AS (SELECT h.doc_id, h.item_id, place, n_windows, coalesce(pairs, 0) AS pairs, coalesce(changed, 0) AS changed
+      FROM (SELECT DISTINCT doc_id, item_id, shift, place, n_windows FROM h) h LEFT JOIN j USING (doc_id, item_id, shift)
+      WHERE coalesce(pairs, 0) = coalesce(vals, 0))
+SELECT doc_id, item_id, CAST(max(n_windows) AS BIGINT) AS n_windows, CAST(count(DISTINCT place) AS BIGINT) AS matched,
+       CAST(max(pairs) AS BIGINT) AS n_slots, CAST(min(changed) AS BIGINT) AS n_changed
+FROM f GROUP BY doc_id, item_id HAVING count(DISTINCT place) >= 0.5 * max(n_windows)
+"""
