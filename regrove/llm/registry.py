@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, partenum, personal_data, quality_bands, shards, templates
+from . import language, packing, partenum, personal_data, quality_bands, shards, templates
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -125,3 +125,22 @@ SELECT doc_id, item_id, CAST(max(n_windows) AS BIGINT) AS n_windows, CAST(count(
        CAST(max(pairs) AS BIGINT) AS n_slots, CAST(min(changed) AS BIGINT) AS n_changed
 FROM f GROUP BY doc_id, item_id HAVING count(DISTINCT place) >= 0.5 * max(n_windows)
 """
+
+
+def fold(key: str = "doc_id", of: int = 1):
+    """crc32 of the key as text, modulo ``of``; a null key counts as empty text."""
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % of
+
+
+def vocabulary_path(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query
+def op9_marginal_unigrams(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learnt from two thirds of them."""
+    docs = read(spark, folder, "documents")
+    pieces = language.public_pieces(vocabulary_path("piece_bpe_32k.model"))
+    model = language.learn(docs.filter(fold(of=3) != 1), "text", "lang", pieces)
+    return language.identify(docs, model, pieces).withColumn("held_out", fold(of=3) == 1)
