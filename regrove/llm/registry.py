@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language, packing, partenum, personal_data, quality_bands, shards, templates
+from . import brown, language, packing, partenum, personal_data, quality_bands, shards, templates
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -144,3 +144,12 @@ def op9_marginal_unigrams(spark: SparkSession, folder: str) -> DataFrame:
     pieces = language.public_pieces(vocabulary_path("piece_bpe_32k.model"))
     model = language.learn(docs.filter(fold(of=3) != 1), "text", "lang", pieces)
     return language.identify(docs, model, pieces).withColumn("held_out", fold(of=3) == 1)
+
+
+@query
+def op8_class_bigrams(spark: SparkSession, folder: str) -> DataFrame:
+    """Class-bigram and smoothed unigram score of every document, learnt from nine tenths of them."""
+    docs = read(spark, folder, "documents")
+    held_out = fold(of=10) == 0
+    model, counts = brown.train(docs.filter(~held_out))
+    return brown.score(docs, model, counts).withColumn("held_out", held_out).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
