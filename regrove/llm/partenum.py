@@ -31,8 +31,10 @@ WORDS = 5
 NEED, OF = 75, 100
 FREQUENT = 1 << 20          # most features left out of the domain (8 MB sent to each task)
 COUNTED = 1 << 21           # shingles counted together before only the frequent ones are kept
-LOCALLY, OVERALL = 6, 32    # least texts of one count, and of all counts, for a frequent feature
+LOCALLY, OVERALL = 3, 8     # least texts of one count, and of all counts, for a frequent feature
 ROWS_PER_TASK = 2_000_000   # signatures met in one task
+SPREAD = 32                 # tasks over which a signature that may be met by very many sets is dealt
+BLOOM_WORDS = 1 << 20       # 64-bit words of the filter of candidate classes (8 MB, whatever the input)
 SALT = mix(np.arange(101, 109, dtype=U64))
 
 
@@ -117,18 +119,18 @@ def parts_signed(value: np.ndarray, doc: np.ndarray, instance: np.ndarray, parts
     return signature[keep], owner[keep], np.diff(first) <= most
 
 
-def signatures(sets: Sets, frequent: Frequent) -> tuple[np.ndarray, np.ndarray]:
-    """All signatures of the sets and the row of each."""
+def signatures(sets: Sets, frequent: Frequent) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All signatures of the sets, the row of each, and whether it may be met by very many sets."""
     rows = np.flatnonzero(sets.size > 0)
     if len(rows) == 0:
-        return np.zeros(0, U64), np.zeros(0, np.int64)
+        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, bool)
     n = sets.size
     ends = band_ends(int(n.max()))
     ends = np.append(ends, [(ends[-1] + 1) * OF // NEED])
     band = np.searchsorted(ends, n)
     largest = n * OF // NEED                       # of a linked partner
     rare = ~frequent(sets.value)
-    out, own = [], []
+    out, own, wide = [], [], []
     for step in (0, 1):                            # the instance of the own band, and of the next one
         instance = band + step
         most = (n + (np.minimum(largest, ends[band]) if step == 0 else largest)) // 7
@@ -139,19 +141,22 @@ def signatures(sets: Sets, frequent: Frequent) -> tuple[np.ndarray, np.ndarray]:
         sig, who, few = parts_signed(sets.value[use], sets.doc[use], instance, parts, most, SALT[6])
         out.append(sig)
         own.append(who)
+        wide.append(np.zeros(len(sig), bool))
         few &= wanted
         use = few[sets.doc]
         if use.any():
             sig, who, still = parts_signed(sets.value[use], sets.doc[use], instance, parts, most, SALT[7])
             out.append(sig)
             own.append(who)
+            wide.append(np.ones(len(sig), bool))
             still &= few
             for row in np.flatnonzero(still):
                 values = sets.value[sets.start[row]:sets.start[row + 1]]     # ascending
                 prefix = values[:len(values) - -(-len(values) * NEED // OF) + 1]
                 out.append(mix(prefix + SALT[0]))
                 own.append(np.full(len(prefix), row))
-    return np.concatenate(out), np.concatenate(own)
+                wide.append(np.ones(len(prefix), bool))
+    return np.concatenate(out), np.concatenate(own), np.concatenate(wide)
 
 
 def describe(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
@@ -209,7 +214,10 @@ def frequent_features(described: DataFrame) -> np.ndarray:
 
 
 def signed(docs: DataFrame, text: str, frequent: np.ndarray) -> DataFrame:
-    """(sig, cls) of every text; copies of a set within a task are signed once."""
+    """(sig, cls, part) of every text; copies of a set within a task are signed once.
+
+    ``part`` is 0, or deals a wide signature over ``SPREAD`` tasks.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)      # bounded by FREQUENT
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,62 +227,115 @@ def signed(docs: DataFrame, text: str, frequent: np.ndarray) -> DataFrame:
                 sets = Sets(piece.column(0))
                 cls = sets.identity()
                 fresh = first_seen(cls, seen)
-                sig, who = signatures(sets.only(fresh), often)
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(cls[fresh][who])], ["sig", "cls"])
+                sig, who, wide = signatures(sets.only(fresh), often)
+                own = cls[fresh][who]
+                part = np.where(wide, 1 + own.view(U64) % U64(SPREAD), 0).astype(np.int8)
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(own), pa.array(part)], ["sig", "cls", "part"])
 
-    return docs.select(F.col(text).alias("__text")).mapInArrow(scan, "sig long, cls long")
+    return docs.select(F.col(text).alias("__text")).mapInArrow(scan, "sig long, cls long, part byte")
 
 
 def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose signature belongs to several sets; a task holds all rows of its signatures."""
+    """Members of the buckets that hold several sets; a task has all rows of its (signature, part).
+
+    A bucket of part 0 is complete, so its ``centre``, the least member, is known here; buckets of equal
+    members are one.  Wide rows pass on without a centre.
+    """
     tables = [b for b in batches if b.num_rows]
     if not tables:
         return
-    sig = np.concatenate([b.column(0).to_numpy() for b in tables])
-    cls = np.concatenate([b.column(1).to_numpy() for b in tables])
+    sig, cls, part = (np.concatenate([b.column(i).to_numpy() for b in tables]) for i in range(3))
     del tables
     order = np.argsort(sig, kind="stable")
-    sig, cls = sig[order], cls[order]
+    sig, cls, part = sig[order], cls[order], part[order]
     same = np.zeros(len(sig), bool)
     same[1:] = sig[1:] == sig[:-1]
     group = same.copy()
     group[:-1] |= same[1:]
-    sig, cls = sig[group], cls[group]
+    group |= part > 0
+    sig, cls, part = sig[group], cls[group], part[group]
     order = np.lexsort((cls, sig))
-    sig, cls = sig[order], cls[order]
+    sig, cls, part = sig[order], cls[order], part[order]
     new = np.ones(len(sig), bool)
     new[1:] = (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])
-    sig, cls = sig[new], cls[new]
-    same = np.zeros(len(sig), bool)
-    same[1:] = sig[1:] == sig[:-1]
-    group = same.copy()
-    group[:-1] |= same[1:]
+    sig, cls, part = sig[new], cls[new], part[new]
+    first = np.ones(len(sig), bool)
+    first[1:] = sig[1:] != sig[:-1]
+    at = np.flatnonzero(first)
+    if len(at) == 0:
+        return
+    size = np.diff(np.append(at, len(sig)))
+    content = mix(np.add.reduceat(mix(cls.view(U64)), at) + size.astype(U64))
+    once = np.zeros(len(at), bool)
+    once[np.unique(content, return_index=True)[1]] = True
+    wide = part[at] > 0
+    keep = np.repeat(wide | (once & (size > 1)), size)
+    centre, size = np.repeat(cls[at], size), np.repeat(size, size)
+    sig, cls, part, centre, size = sig[keep], cls[keep], part[keep], centre[keep], size[keep]
     for i in range(0, len(sig), 1 << 16):
-        part = slice(i, i + (1 << 16))
-        yield pa.RecordBatch.from_arrays([pa.array(sig[part][group[part]]), pa.array(cls[part][group[part]])], ["sig", "cls"])
+        p = slice(i, i + (1 << 16))
+        yield pa.RecordBatch.from_arrays([pa.array(sig[p]), pa.array(cls[p]), pa.array(centre[p], mask=part[p] > 0),
+                                          pa.array((size[p] > 2) | (part[p] > 0))], ["sig", "cls", "centre", "many"])
+
 
+def bloom_filter(classes: DataFrame) -> np.ndarray:
+    """A filter of fixed size of the ``cls`` values, combined on the cluster; false hits only cost work."""
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(BLOOM_WORDS, U64)
+        for batch in batches:
+            word, bit = bloom_places(batch.column(0).to_numpy())
+            np.bitwise_or.at(table, word, bit)
+        at = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at].view(np.int64))], ["at", "bits"])
+
+    got = classes.select("cls").mapInArrow(bits, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(BLOOM_WORDS, U64)
+    table[got["at"].to_numpy()] = got["bits"].to_numpy().view(U64)
+    return table
+
+
+def bloom_places(cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A word and three bits in it."""
+    h = mix(cls.view(U64) ^ SALT[1])
+    bit = (U64(1) << (h & U64(63))) | (U64(1) << ((h >> U64(6)) & U64(63))) | (U64(1) << ((h >> U64(12)) & U64(63)))
+    return ((h >> U64(20)) % U64(BLOOM_WORDS)).astype(np.int64), bit
+
+
+def set_table(docs: DataFrame, text: str, wanted: np.ndarray) -> DataFrame:
+    """(cls, shingles) of the texts whose class passes the filter, each class once per task."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)        # BLOOM_WORDS numbers
 
-def set_table(docs: DataFrame, text: str) -> DataFrame:
-    """(cls, shingles) of texts."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, seen = shared.value, set()
         for batch in batches:
             for piece in slices(batch, "__text"):
                 sets = Sets(piece.column(0))
+                cls = sets.identity()
+                word, bit = bloom_places(cls)
+                keep = (table[word] & bit) == bit
+                keep[keep] = first_seen(cls[keep], seen)
+                sets = sets.only(keep)
                 lists = pa.ListArray.from_arrays(pa.array(sets.start.astype(np.int32)), pa.array(sets.value.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(sets.identity()), lists], ["cls", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(cls[keep]), lists], ["cls", "shingles"])
 
     return docs.select(F.col(text).alias("__text")).mapInArrow(scan, "cls long, shingles array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of classes that link: 100 * common >= 75 * all."""
-    a = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("__x"))
-    b = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("__y"))
-    common = F.size(F.array_intersect("__x", "__y"))
-    return (pairs.join(b, "b").join(a, "a")
-            .withColumn("__common", common)
-            .filter(OF * F.col("__common") >= NEED * (F.size("__x") + F.size("__y") - F.col("__common")))
-            .select("a", "b"))
+def verified(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """Pairs of classes that link: 100 * common >= 75 * all.
+
+    Sets are made again from the texts of the classes in question, sent once to their class and from
+    there to each centre ``a`` they are compared with.
+    """
+    pairs = staged(pairs, "pairs")
+    need = pairs.selectExpr("b as cls", "a").union(pairs.selectExpr("a as cls", "a").distinct())
+    sets = set_table(docs, text, bloom_filter(need)).dropDuplicates(["cls"])
+    sent = staged(sets.join(need, "cls"), "sets")
+    centres = sent.filter("cls = a").selectExpr("a", "shingles as x")
+    members = sent.filter("cls <> a").selectExpr("a", "cls as b", "shingles as y")
+    common = F.size(F.array_intersect("x", "y"))
+    return (members.join(centres, "a").withColumn("common", common)
+            .filter(OF * F.col("common") >= NEED * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b"))
 
 
 def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -298,32 +359,30 @@ def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", kee
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     often = frequent_features(every)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + int(total * 0.75) // ROWS_PER_TASK)
-    buckets = staged(signed(docs, text, often).repartition(tasks, "sig").mapInArrow(met, "sig long, cls long"), "buckets")
-
+    buckets = staged(signed(docs, text, often).repartition(tasks, "sig", "part")
+                     .mapInArrow(met, "sig long, cls long, centre long, many boolean"), "buckets")
     classes = rows.filter("cls is not null").groupBy("cls").agg(F.min(key).alias("class_id"), F.count(F.lit(1)).alias("__copies"))
-    met_classes = buckets.select("cls").distinct()
-    sample = rows.join(met_classes, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct(F.col(key).isNull(), key)).alias("k"))
-    # One text per class that met another; a null key only where a class has no other.
-    chosen = sample.select(F.col(f"k.{key}").alias("__key"))
-    texts = docs.select(F.col(key).alias("__id"), F.col(text).alias("__body"))
-    bodies = texts.join(chosen.distinct(), F.col("__id").eqNullSafe(F.col("__key")), "left_semi").select("__body")
-    sets = staged(set_table(bodies, "__body").join(met_classes, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
-
-    centre = buckets.groupBy("sig").agg(F.min("cls").alias("a"))
-    star = buckets.join(centre, "sig").filter("cls <> a").select("a", F.col("cls").alias("b")).distinct()
-    links = staged(verified(star, sets), "links")
+
+    wide = buckets.filter("centre is null").select("sig", "cls")
+    least = wide.groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo < hi")
+    star = (buckets.filter("centre < cls").select(F.col("centre").alias("a"), F.col("cls").alias("b"))
+            .union(wide.join(least, "sig").filter("cls <> lo").select(F.col("lo").alias("a"), F.col("cls").alias("b"))).distinct())
+    star = staged(star, "star")
+    links = staged(verified(star, docs, text), "links")
     labels = connected_components(links)
-    known = met_classes.join(labels, met_classes.cls == labels.node, "left").select(
-        "cls", F.coalesce("label", "cls").alias("label"))
-    placed = staged(buckets.join(known, "cls"), "placed")
-    open_sigs = placed.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("sig")
-    rest = placed.join(open_sigs, "sig", "left_semi")
+    # A bucket of two was compared in full; of the others those remain that hold several components.
+    several = buckets.filter("many").select("sig", "cls").join(labels, F.col("cls") == F.col("node"), "left").select(
+        "sig", "cls", F.coalesce("label", "cls").alias("label"))
+    several = staged(several, "several")
+    open_sigs = several.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("sig")
+    rest = several.join(open_sigs, "sig", "left_semi")
     left, right = rest.selectExpr("sig", "cls as a", "label as la"), rest.selectExpr("sig", "cls as b", "label as lb")
-    cross = left.join(right, "sig").filter("a < b and la <> lb").select("a", "b").distinct().join(
-        star.selectExpr("least(a, b) as a", "greatest(a, b) as b"), ["a", "b"], "left_anti")
-    more = staged(verified(cross, sets), "links")
-    if not more.isEmpty():
-        labels = connected_components(links.union(more))
+    cross = left.join(right, "sig").filter("a < b and la <> lb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
+    cross = staged(cross, "cross")
+    if not cross.isEmpty():
+        more = staged(verified(cross, docs, text), "links")
+        if not more.isEmpty():
+            labels = connected_components(links.union(more))
 
     found = classes.join(labels, classes.cls == labels.node, "left").withColumn("group", F.coalesce("label", "cls"))
     least = found.filter("label is not null").groupBy("group").agg(F.min("class_id").alias("__least"))

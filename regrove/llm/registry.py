@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import brown, language, packing, partenum, personal_data, quality_bands, shards, templates
+from ..session import staged
+from . import (brown, language, packing, partenum, personal_data, quality_bands, ranking, shards, templates,
+               token_files)
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -153,3 +155,22 @@ def op8_class_bigrams(spark: SparkSession, folder: str) -> DataFrame:
     held_out = fold(of=10) == 0
     model, counts = brown.train(docs.filter(~held_out))
     return brown.score(docs, model, counts).withColumn("held_out", held_out).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+
+
+@query
+def op10_elias_fano_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Boundaries and checksum of every document's token ids, read back from the written files."""
+    docs = read(spark, folder, "documents")
+    files = token_files.write_token_files(docs, vocabulary_path("byte_bpe_50k.json"))
+    return token_files.read_token_files(files, "doc_id", dict(docs.dtypes)["doc_id"])
+
+
+@query
+def op5_pairwise_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document, learnt from preference pairs of four fifths of the labels."""
+    rows = staged(ranking.featured(read(spark, folder, "documents"), "text", ("doc_id",)), "features")
+    marks = (read(spark, folder, "labels").filter("quality is not null").groupBy("doc_id")
+             .agg((F.avg("quality") >= 0.5).cast("int").alias("label")))
+    train = rows.filter(fold(of=5) != 0).join(marks, "doc_id")
+    model = ranking.fit(staged(train, "labelled"))
+    return ranking.score(rows, model).withColumn("held_out", fold(of=5) == 0)

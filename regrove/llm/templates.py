@@ -38,15 +38,20 @@ def template(raw: Column) -> Column:
 
 
 def listed(tokens: Column) -> Column:
-    return F.when(tokens == "", F.array().cast("array<string>")).otherwise(F.split(tokens, " "))
+    return F.array_remove(F.split(tokens, " "), "")
 
 
 def windows(tokens: Column, width: int) -> Column:
-    """Hash of every window of ``width`` tokens, in order."""
+    """Hash of every window of ``width`` tokens, in order.
+
+    The token hashes are handed to the inner function as its argument, so that they are computed once
+    per text and not once per window.
+    """
     hashes = F.transform(tokens, lambda t: F.xxhash64(t))
-    count = F.size(tokens) - width + 1
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))),
-                                         lambda i: F.xxhash64(F.slice(hashes, i, width)))).otherwise(F.array().cast("array<bigint>"))
+    none = F.array().cast("array<bigint>")
+    of = lambda h: F.when(F.size(h) >= width, F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(h) - width + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(h, i, width)))).otherwise(none)
+    return F.element_at(F.transform(F.array(hashes), of), 1)
 
 
 def item_windows(benchmark: DataFrame, item: str, text: str) -> DataFrame:
@@ -90,9 +95,8 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id",
     hits = None
     for width, _ in widths or [(WIDTH, 0)]:
         side = items.filter(F.col("width") == width).drop("width")
-        split = base.withColumn("__tokens", listed(template(F.col("__raw")))).filter(F.size("__tokens") >= width)
         columns = ["__key", "__hash"] + (["__raw"] if small else [])
-        spread = split.select(*columns, F.posexplode(windows(F.col("__tokens"), width)).alias("pos", "hash"))
+        spread = base.select(*columns, F.posexplode(windows(listed(template(F.col("__raw"))), width)).alias("pos", "hash"))
         found = spread.join(F.broadcast(side) if small else side, "hash")
         if not small:
             found = staged(found, "template-hits")
