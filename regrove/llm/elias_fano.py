@@ -11,7 +11,7 @@ import struct
 
 import numpy as np
 
-HEADER = struct.Struct("<4sB3xQQ")
+HEADER = "<4sB3xQQ"
 MAGIC = b"EFB1"
 EVERY = 256
 ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -27,18 +27,18 @@ def encode(numbers: np.ndarray, universe: int) -> bytes:
     high = np.zeros(n + (universe >> low) + 1, np.uint8)
     high[places] = 1
     samples = places[::EVERY].astype("<u4" if len(high) < 1 << 32 else "<u8")
-    return b"".join([HEADER.pack(MAGIC, low, n, universe), np.packbits(bits.ravel(), bitorder="little").tobytes(),
+    return b"".join([struct.pack(HEADER, MAGIC, low, n, universe), np.packbits(bits.ravel(), bitorder="little").tobytes(),
                      np.packbits(high, bitorder="little").tobytes(), samples.tobytes()])
 
 
 class EliasFano:
     def __init__(self, data: bytes):
-        magic, self.low, self.n, self.universe = HEADER.unpack_from(data)
+        magic, self.low, self.n, self.universe = struct.unpack_from(HEADER, data)
         if magic != MAGIC:
             raise ValueError("not an Elias-Fano file")
         low_bytes, high_bits = -(-self.n * self.low // 8), self.n + (self.universe >> self.low) + 1
         raw = np.frombuffer(data, np.uint8)
-        a = HEADER.size
+        a = struct.calcsize(HEADER)
         self.lows, self.high = raw[a:a + low_bytes], raw[a + low_bytes:a + low_bytes + -(-high_bits // 8)]
         self.samples = np.frombuffer(data, "<u4" if high_bits < 1 << 32 else "<u8", -(-self.n // EVERY),
                                      a + low_bytes + len(self.high))

@@ -149,7 +149,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, text: str = "text", key:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(key).asc_nulls_first(), F.xxhash64(F.coalesce(F.col(text), F.lit("")))]
     ordered = (docs.select(key, text).repartitionByRange(parts, *order).sortWithinPartitions(*order))
-    written = ordered.mapInArrow(write, "folder string, part long, n_docs long, n_ids long, width int").toArrow().to_pylist()
+    written = ordered.mapInArrow(write, "folder string, part long, n_docs long, n_ids long, width long").toArrow().to_pylist()
     return _parts(spark, sorted(written, key=lambda r: r["part"]))
 
 
@@ -159,7 +159,7 @@ def _parts(spark: SparkSession, files: list[dict]) -> DataFrame:
     for f in files:         # one row per file
         rows.append((f["folder"], f["part"], f["n_docs"], f["n_ids"], f["width"], start))
         start += f["n_ids"]
-    frame = spark.createDataFrame(rows, "folder string, part long, n_docs long, n_ids long, width int, start long")
+    frame = spark.createDataFrame(rows, "folder string, part long, n_docs long, n_ids long, width long, start long")
     return frame.repartition(max(len(rows), 1))
 
 
