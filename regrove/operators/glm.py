@@ -61,6 +61,13 @@ class _State:
     iterations: int = 0
     done: bool = False
     converged: bool = False
+    status: str = "iteration limit"
+    poisson_limit: bool = False     # theta has no finite maximum: fitted as its Poisson limit
+
+    @property
+    def fitted_model(self) -> Model:
+        m = self.model
+        return Model(m.id, m.response, m.terms, "poisson", None, m.group) if self.poisson_limit else m
 
 
 def _start_moments(y: np.ndarray) -> np.ndarray:
@@ -75,8 +82,9 @@ def _pass_moments(y, hist, x, m: Model, par: np.ndarray) -> np.ndarray:
     """
     k = x.shape[1]
     val, cnt = hist
-    eta = np.clip(x @ par[:k], -60, 60)
-    mu = np.exp(eta)
+    eta = x @ par[:k]
+    with np.errstate(over="ignore"):
+        mu = np.exp(eta)        # infinite only far outside the data; such a trial has no likelihood and is refused
     p = m.size
     info = np.zeros((p, p))
     score = np.zeros(p)
@@ -87,22 +95,25 @@ def _pass_moments(y, hist, x, m: Model, par: np.ndarray) -> np.ndarray:
     else:
         th = math.exp(par[k]) if m.free_theta else m.theta
         one = np.array([th])
-        tot = mu + th
-        grow = np.log1p(mu / th).sum()
-        ll += cnt @ (log_gamma(val + th) - log_gamma(one)[0]) - th * grow + y @ (eta - np.log(tot))
-        r, var = (y - mu) * th / tot, mu * tot / th
+        # Shares of mu + theta and its logarithm stay finite whatever the linear predictor is.
+        odds = eta - math.log(th)
+        log_tot = np.logaddexp(eta, math.log(th))
+        high, low = np.exp(eta - log_tot), np.exp(math.log(th) - log_tot)      # mu / tot, theta / tot
+        grow = np.logaddexp(0.0, odds).sum()
+        ll += cnt @ (log_gamma(val + th) - log_gamma(one)[0]) - th * grow + y @ (eta - log_tot)
+        r, var = y * low - th * high, mu / low
         if m.free_theta:
-            ratio = (y + th) / tot
-            w = mu * th * ratio / tot  # observed information
-            s = cnt @ (digamma(val + th) - digamma(one)[0]) - grow + ((mu - y) / tot).sum()
-            h = cnt @ (trigamma(val + th) - trigamma(one)[0]) + len(y) / th + ((ratio - 2) / tot).sum()
+            ratio = (y / th + 1.0) * low
+            w = th * high * ratio  # observed information
+            s = cnt @ (digamma(val + th) - digamma(one)[0]) - grow + (high - y * low / th).sum()
+            h = cnt @ (trigamma(val + th) - trigamma(one)[0]) + len(y) / th + ((ratio - 2) * low / th).sum()
             score[k] = th * s
             info[k, k] = -(th * th * h + th * s)
-            cross = -(x.T @ (th * (y - mu) * mu / (tot * tot)))
+            cross = -(x.T @ (r * high))
             info[k, :k] = cross
             info[:k, k] = cross
         else:
-            w = mu * th / tot  # expected information
+            w = th * high  # expected information
     score[:k] = x.T @ r
     info[:k, :k] = (x * w[:, None]).T @ x
     return np.concatenate([[len(y), ll, ((y - mu) ** 2 / var).sum()], score, info.ravel()])
@@ -168,7 +179,8 @@ def _newton(st: _State) -> np.ndarray:
 
 
 def _advance(st: _State, v: np.ndarray, tol: float) -> None:
-    p, k = st.model.size, len(st.model.terms) + 1
+    m = st.fitted_model
+    p, k = m.size, len(m.terms) + 1
     n, ll, pearson = v[0], v[1], v[2]
     st.iterations += 1
     if ll >= st.loglik - 1e-10 * abs(ll):
@@ -176,16 +188,23 @@ def _advance(st: _State, v: np.ndarray, tol: float) -> None:
         st.current, st.loglik, st.n, st.pearson = st.trial, float(ll), int(n), float(pearson)
         st.grad, st.info = v[3:3 + p], v[3 + p:].reshape(p, p)
         st.step = _newton(st)
-        at_edge = st.model.free_theta and not (PHI_RANGE[0] < st.current[k] < PHI_RANGE[1])
-        if np.abs(st.grad @ st.step) < tol * (1 + abs(ll)) * 1e-4 or (at_edge and gain < 1e-6):
-            st.done = True
-            st.converged = bool(not at_edge)
+        phi = st.current[k] if m.free_theta else 0.0
+        if m.free_theta and phi >= PHI_RANGE[1] and st.grad[k] > 0:
+            # The likelihood still rises: the counts are not overdispersed and the fit is its Poisson limit.
+            st.poisson_limit, st.loglik = True, -math.inf
+            st.trial = st.current[:k].copy()
+            return
+        if np.abs(st.grad @ st.step) < tol * (1 + abs(ll)) * 1e-4:
+            st.done, st.converged = True, True
+            st.status = "poisson limit" if st.poisson_limit else "converged"
+        elif m.free_theta and phi <= PHI_RANGE[0] and gain < 1e-6:
+            st.done, st.status = True, "theta at its lower edge"
     else:
         st.step = st.step / 2
         if np.abs(st.step).max() < 1e-10:
-            st.done, st.converged = True, True
+            st.done, st.status = True, "line search stalled"
     st.trial = st.current + st.step
-    if st.model.free_theta:
+    if m.free_theta:
         st.trial[k] = min(max(st.trial[k], PHI_RANGE[0]), PHI_RANGE[1])
 
 
@@ -201,11 +220,13 @@ class Fit:
     def coefficients(self, digits: int | None = None, quasi: bool = False) -> DataFrame:
         rows = []
         for st in self.states:
-            if st.current is None:
+            if st.current is None:      # no estimate: one row per term all the same
+                rows += [(st.model.id, st.model.response, st.model.group, term, None, None, None, None)
+                         for term in ("(Intercept)", *st.model.terms)]
                 continue
             se = np.sqrt(np.maximum(np.diag(self.covariance(st)), 0))
             df = st.n - len(st.model.terms) - 1
-            stretch = math.sqrt(st.pearson / df) if quasi else 1.0
+            stretch = (math.sqrt(st.pearson / df) if df > 0 else math.nan) if quasi else 1.0
             for i, term in enumerate(("(Intercept)", *st.model.terms)):
                 est, s = float(st.current[i]), float(se[i]) * stretch
                 z = est / s if s > 0 else None
@@ -221,17 +242,20 @@ class Fit:
         rows = []
         for st in self.states:
             if st.current is None:
+                rows.append((st.model.id, st.model.response, st.model.group, ",".join(st.model.terms), st.n, st.model.size,
+                             *[None] * 6, st.iterations, False, st.status))
                 continue
             k, n = st.model.size, st.n
-            theta = math.exp(st.current[-1]) if st.model.free_theta else st.model.theta
+            theta = self._theta(st)
             aic = -2 * st.loglik + 2 * k
             aicc = aic + 2 * k * (k + 1) / (n - k - 1) if n > k + 1 else None
             df = n - len(st.model.terms) - 1
             rows.append((st.model.id, st.model.response, st.model.group, ",".join(st.model.terms), n, k, st.loglik,
-                         theta, aic, aicc, st.pearson, st.pearson / df, st.iterations, st.converged))
+                         theta, aic, aicc, st.pearson, st.pearson / df if df > 0 else None, st.iterations, st.converged, st.status))
         return self.spark.createDataFrame(
             rows, "model_id string, response string, model_group string, terms string, n bigint, k int, loglik double, "
-                  "theta double, aic double, aicc double, pearson double, dispersion double, iterations int, converged boolean")
+                  "theta double, aic double, aicc double, pearson double, dispersion double, iterations int, converged boolean, "
+                  "status string")
 
     def fitted(self, df: DataFrame, model_id: str, group_col: str | None = None, name: str = "mu") -> DataFrame:
         """Rows of one model with their fitted mean."""
@@ -243,29 +267,39 @@ class Fit:
             df = df.filter(F.col(group_col) == F.lit(st.model.group))
         return df.withColumn(name, F.exp(eta))
 
-    def theta(self, model_id: str) -> float | None:
-        st = next(s for s in self.states if s.model.id == model_id)
+    @staticmethod
+    def _theta(st: _State) -> float | None:
+        if st.poisson_limit:
+            return math.inf
         return math.exp(st.current[-1]) if st.model.free_theta else st.model.theta
 
+    def theta(self, model_id: str) -> float | None:
+        """Dispersion of one model; infinite at the Poisson limit."""
+        return self._theta(next(s for s in self.states if s.model.id == model_id))
+
 
 def fit_models(df: DataFrame, models: Sequence[Model], group_col: str | None = None, max_iter: int = 60,
                tol: float = 1e-8, chunk: int = CHUNK, min_partitions: int | None = None) -> Fit:
-    """Fit every model; models that never settle are marked, not raised.
+    """Fit every model; each has a row in the results, with its ``status``.
 
-    ``min_partitions`` spreads the cached design once when its files hold too
-    few splits to keep the cluster busy through the passes.
+    Models without rows or with only zero responses have null estimates; a negative-binomial model
+    of counts that are not overdispersed is reported as its Poisson limit (theta infinite).
+    ``min_partitions`` spreads the cached design when its files hold fewer splits.
     """
     need = dict.fromkeys(c for m in models for c in (m.response, *m.terms))
     cols = [F.col(f"`{c}`").cast("double").alias(c) for c in need]
     data = df.select(*([group_col] if group_col else []), *cols)
-    data = (data.repartition(min_partitions) if min_partitions else data).persist()
+    if min_partitions and data.rdd.getNumPartitions() < min_partitions:
+        data = data.repartition(min_partitions)
+    data = data.persist()
     fit = Fit(df.sparkSession, [_State(m) for m in models])
     try:
         for at in range(0, len(models), chunk):
             states = fit.states[at:at + chunk]
             for st, v in zip(states, _gather(data, [s.model for s in states], [None] * len(states), group_col)):
                 if v is None or v[1] <= 0:
-                    st.done = True
+                    st.done, st.n = True, 0 if v is None else int(v[0])
+                    st.status = "no rows" if v is None else "all responses zero"
                     continue
                 n, mean = v[0], v[1] / v[0]
                 var = v[2] / n - mean * mean
@@ -279,7 +313,7 @@ def fit_models(df: DataFrame, models: Sequence[Model], group_col: str | None = N
                 live = [s for s in states if not s.done]
                 if not live:
                     break
-                for st, v in zip(live, _gather(data, [s.model for s in live], [s.trial for s in live], group_col)):
+                for st, v in zip(live, _gather(data, [s.fitted_model for s in live], [s.trial for s in live], group_col)):
                     _advance(st, v, tol)
     finally:
         data.unpersist()
@@ -334,7 +368,8 @@ def count_checks(fit: Fit, df: DataFrame, model_id: str, row_id: Sequence[str],
         pdf = pdf.sort_values(["id", "chunk", "y", "mu"])
         y, mu = np.repeat(pdf["y"].to_numpy(), pdf["c"]), np.repeat(pdf["mu"].to_numpy(), pdf["c"])
         rng = np.random.default_rng([seed, int(pdf["bucket"].iloc[0])])
-        sim = rng.poisson(rng.gamma(theta, mu[:, None] / theta, (len(y), sims)))
+        mean = np.broadcast_to(mu[:, None], (len(y), sims))
+        sim = rng.poisson(mean if math.isinf(theta) else rng.gamma(theta, mean / theta))
         var = np.concatenate([[((y - mu) ** 2).sum()], ((sim - mu[:, None]) ** 2).sum(axis=0)])
         zero = np.concatenate([[(y == 0).sum()], (sim == 0).sum(axis=0)])
         below, tied = (sim < y[:, None]).mean(axis=1), (sim == y[:, None]).mean(axis=1)

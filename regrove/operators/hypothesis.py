@@ -71,37 +71,57 @@ def tukey(df: DataFrame, keys: Sequence[str], group: str, value: str, conf: floa
         (F.col("estimate") + F.col("__h")).alias("conf_high"), "p_adj")
 
 
+def letter_code(i: int) -> str:
+    """0, 1, .. as a, .., z, aa, ab, ..: never runs out."""
+    code, i = "", i + 1
+    while i:
+        i, r = divmod(i - 1, 26)
+        code = chr(97 + r) + code
+    return code
+
+
+def compact_letters(means: list[float], different: list[tuple[int, int]]) -> list[list[int]]:
+    """Letters of each level by insert-and-absorb (levels are numbered by ascending mean).
+
+    Starting from one column with all levels, every differing pair splits the columns that hold both;
+    a column inside another one is absorbed.  Two levels share a letter exactly if they do not differ.
+    """
+    columns = [frozenset(range(len(means)))]
+    for a, b in different:
+        split = []
+        for c in columns:
+            split += [c - {a}, c - {b}] if a in c and b in c else [c]
+        columns = []
+        for c in sorted(set(split), key=len, reverse=True):
+            if not any(c <= d for d in columns):
+                columns.append(c)
+    columns.sort(key=sorted)
+    return [[n for n, c in enumerate(columns) if i in c] for i in range(len(means))]
+
+
 def letters(df: DataFrame, keys: Sequence[str], group: str, value: str, level: float = 0.05) -> DataFrame:
-    """Compact letters: levels sharing a letter do not differ.
+    """Compact letters: two levels of a key share a letter exactly if they do not differ.
 
-    Levels are ordered by mean; each maximal run of levels reaching from one
-    level to its furthest not-different level is a letter.  ``mixed`` flags a
-    letter whose run still holds a differing pair (possible with unequal counts).
+    A task holds the comparison table of one key: pairs of its factor levels, not rows.
     """
     df, ks = _keyed(df, keys)
-    m = group_moments(df, ks, group, value)
-    order = Window.partitionBy(*ks).orderBy("mean", group)
-    pos = m.select(*ks, group, F.row_number().over(order).alias("i"))
-    t = tukey(df, ks, group, value).select(*ks, "group_lo", "group_hi", (F.col("p_adj") >= level).alias("same"))
-    p0 = pos.select(*ks, F.col(group).alias("group_lo"), F.col("i").alias("a"))
-    p1 = pos.select(*ks, F.col(group).alias("group_hi"), F.col("i").alias("b"))
-    t = t.join(p0, [*ks, "group_lo"]).join(p1, [*ks, "group_hi"]).select(
-        *ks, F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "same")
-    far = t.filter("same").groupBy(*ks, "i").agg(F.max("j").alias("reach"))
-    runs = pos.join(far, [*ks, "i"], "left").withColumn("reach", F.coalesce("reach", "i"))
-    before = Window.partitionBy(*ks).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumn("__prev", F.coalesce(F.max("reach").over(before), F.lit(0))).filter("reach > __prev")
-    runs = runs.withColumn("code", F.row_number().over(Window.partitionBy(*ks).orderBy("i")))
-    inner = t.filter(~F.col("same")).select(*ks, F.col("i").alias("p"), F.col("j").alias("q"))
-    spans = runs.select(*ks, "code", F.col("i").alias("start"), "reach")
-    bad = spans.join(inner, ks).filter((F.col("p") >= F.col("start")) & (F.col("q") <= F.col("reach"))).select(
-        *ks, "code").distinct().withColumn("bad", F.lit(True))
-    spans = spans.join(bad, [*ks, "code"], "left").withColumn("member", F.explode(F.sequence("start", "reach")))
-    held = spans.join(pos.withColumnRenamed("i", "member"), [*ks, "member"])
-    letter = F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), F.col("code"), F.lit(1))
-    return held.groupBy(*ks, group).agg(
-        F.array_join(F.array_sort(F.collect_set(letter)), "").alias("letters"),
-        F.coalesce(F.max("bad"), F.lit(False)).alias("mixed")).select(*keys, group, "letters", "mixed")
+    m = group_moments(df, ks, group, value).select(*ks, F.col(group).alias("group_lo"), F.lit(None).cast(
+        dict(df.dtypes)[group]).alias("group_hi"), "mean", F.lit(None).cast("boolean").alias("differ"))
+    t = tukey(df, ks, group, value).select(*ks, "group_lo", "group_hi", F.lit(None).cast("double").alias("mean"),
+                                          (F.col("p_adj") < level).alias("differ"))
+    kinds = dict(df.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*ks, group)) + ", letters string"
+
+    def display(pdf: pd.DataFrame) -> pd.DataFrame:
+        levels = pdf[pdf["mean"].notna()].sort_values(["mean", "group_lo"])
+        place = {g: i for i, g in enumerate(levels["group_lo"])}
+        apart = pdf[pdf["mean"].isna() & pdf["differ"].eq(True)]
+        pairs = sorted(tuple(sorted((place[a], place[b]))) for a, b in zip(apart["group_lo"], apart["group_hi"]))
+        found = compact_letters(levels["mean"].tolist(), pairs)
+        out = {c: levels[c].tolist() for c in ks}
+        return pd.DataFrame(out | {group: levels["group_lo"].tolist(), "letters": ["".join(map(letter_code, x)) for x in found]})
+
+    return m.unionByName(t).groupBy(*ks).applyInPandas(display, schema).select(*keys, group, "letters")
 
 
 def median_test(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFrame:
@@ -119,15 +139,22 @@ def median_test(df: DataFrame, keys: Sequence[str], group: str, value: str) -> D
                     "z", tails.normal_tail("z").alias("p"))
 
 
-def ks_two_sample(df: DataFrame, keys: Sequence[str], group: str, value: str, first: str, second: str) -> DataFrame:
-    """Largest gap between two empirical distributions, with its two-sided p."""
+def ks_two_sample(df: DataFrame, keys: Sequence[str], group: str, value: str, first: str, second: str,
+                  exact: bool = False) -> DataFrame:
+    """Largest gap between two empirical distributions, with its two-sided p.
+
+    The p-value is the limiting one for every sample size; ``exact`` asks for the exact law (an upper
+    bound with ties), whose cost is the product of the sample sizes.  A key that lacks one of the samples
+    has a null gap and p.
+    """
     df, ks = _keyed(df.filter(F.col(group).isin(first, second)), keys)
     marks = df.withColumns({"a": (F.col(group) == first).cast("bigint"), "b": (F.col(group) == second).cast("bigint")})
     c = running_totals(marks, ks, value, ["a", "b"])
-    gap = F.abs((F.col("a_before") + F.col("a")) / F.col("a_total") - (F.col("b_before") + F.col("b")) / F.col("b_total"))
-    d = c.groupBy(*ks).agg(F.max(gap).alias("d"), F.first("a_total").alias("n1"), F.first("b_total").alias("n2"),
-                           F.max((F.col("a") + F.col("b") > 1).cast("int")).alias("ties"))
-    return d.select(*keys, "d", "n1", "n2", tails.ks_tail("d", "n1", "n2", "ties").alias("p"))
+    gap = F.abs(F.try_divide(F.col("a_before") + F.col("a"), F.col("a_total"))
+                - F.try_divide(F.col("b_before") + F.col("b"), F.col("b_total")))
+    d = c.groupBy(*ks).agg(F.max(gap).alias("d"), F.first("a_total").alias("n1"), F.first("b_total").alias("n2"))
+    tail = tails.ks_exact_tail if exact else tails.ks_tail
+    return d.select(*keys, "d", "n1", "n2", tail("d", "n1", "n2").alias("p"))
 
 
 def _corr_row(r, n):
@@ -149,7 +176,7 @@ def with_ranks(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataF
     Ranks are computed per distinct value and looked up by an equi-join whose rank
     side has unique keys, so adaptive execution can split a heavily tied value.
     """
-    base = df.withColumns({c: F.col(c).cast("double") for c in cols})
+    base = df
     splits = block_splits(base, cols)
     out = base
     for c in cols:
@@ -232,7 +259,8 @@ def bootstrap_mean(df: DataFrame, keys: Sequence[str], value: str, row_id: Seque
             yield pd.DataFrame({"gk": gk, "rep": rep, "w": acc[0], "wv": acc[1]})
 
     spread = rows.select("gk", "id", "v")
-    spread = spread.repartition(min_partitions) if min_partitions else spread
+    if min_partitions and spread.rdd.getNumPartitions() < min_partitions:
+        spread = spread.repartition(min_partitions)
     parts = spread.mapInPandas(partial, "gk string, rep int, w double, wv double")
     means = parts.groupBy("gk", "rep").agg(F.try_divide(F.sum("wv"), F.sum("w")).alias("m"))
     tail = (1.0 - conf) / 2.0

@@ -12,7 +12,18 @@ def shared_columns(a: DataFrame, b: DataFrame) -> list[str]:
 
 
 def _null_safe(a: DataFrame, b: DataFrame, on: Sequence[str], how: str) -> DataFrame:
-    """Equi-join on keys where null equals null; one copy of each key comes out."""
+    """Equi-join on keys where null equals null; one copy of each key comes out.
+
+    Without keys the right side must be one row, whose values become constants of the left rows.
+    """
+    if not on:
+        rows = b.take(2)
+        if len(rows) > 1:
+            raise ValueError("a join without keys takes a right side of one row")
+        if not rows and how == "inner":
+            return a.limit(0).select(*a.columns, *[F.lit(None).cast(t).alias(c) for c, t in b.dtypes])
+        value = rows[0] if rows else [None] * len(b.columns)
+        return a.select(*a.columns, *[F.lit(v).cast(t).alias(c) for v, (c, t) in zip(value, b.dtypes)])
     right = b.select(*[F.col(f"`{c}`").alias(f"__r_{c}") if c in on else F.col(f"`{c}`")
                        for c in b.columns])
     cond: Column | None = None
@@ -29,24 +40,20 @@ def _null_safe(a: DataFrame, b: DataFrame, on: Sequence[str], how: str) -> DataF
 
 def natural_left(a: DataFrame, b: DataFrame, on: Sequence[str] | None = None) -> DataFrame:
     """Left join on all shared columns (or ``on``)."""
-    return _null_safe(a, b, list(on or shared_columns(a, b)), "left")
+    return _null_safe(a, b, list(shared_columns(a, b) if on is None else on), "left")
 
 
 def natural_inner(a: DataFrame, b: DataFrame, on: Sequence[str] | None = None) -> DataFrame:
-    return _null_safe(a, b, list(on or shared_columns(a, b)), "inner")
+    return _null_safe(a, b, list(shared_columns(a, b) if on is None else on), "inner")
 
 
-def natural_full(a: DataFrame, b: DataFrame, on: Sequence[str] | None = None,
-                 hot_keys: bool = False) -> DataFrame:
+def natural_full(a: DataFrame, b: DataFrame, on: Sequence[str] | None = None) -> DataFrame:
     """Full outer join on all shared columns (or ``on``).
 
-    Adaptive execution can split a skewed side of a left or anti join but not of
-    a full outer join.  Set ``hot_keys`` when a key may hold a large share of the
-    rows: the result is then a left join plus the unmatched right rows.
+    Adaptive execution can split a skewed side of a left or anti join but not of a full outer join, so
+    the result is a left join plus the right rows without a partner, whatever the keys are like.
     """
-    on = list(on or shared_columns(a, b))
-    if not hot_keys:
-        return _null_safe(a, b, on, "full")
+    on = list(shared_columns(a, b) if on is None else on)
     left = _null_safe(a, b, on, "left")
     # Partner test needs one row per key, so the probed side is reduced first.
     seen = a.select(*[F.col(f"`{c}`").alias(f"__k_{c}") for c in on]).distinct()

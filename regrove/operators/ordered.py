@@ -2,7 +2,7 @@
 
 A group can hold a third of the table, so no per-group sort or per-group value
 map is used.  Values are cut into equal-depth blocks by sketched boundaries
-(``approxQuantile`` brings back a few hundred numbers, whatever the table size).
+(``approxQuantile`` brings back one number per block, and blocks hold about ``BLOCK_ROWS`` rows).
 Block totals give each block's starting position; only then are distinct values
 ordered, inside (group, block).  Copies of one value are one row by then, so the
 largest window is about one block deep.  Boundaries affect balance only, never
@@ -18,28 +18,33 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .joins import natural_inner
 
-BLOCKS = 256
+BLOCK_ROWS = 250_000        # rows of a block at most, about; the number of blocks follows the table
 
 
-def block_splits(df: DataFrame, values: Sequence[str], blocks: int = BLOCKS) -> dict[str, list[float]]:
-    """Equal-depth boundaries of several columns from one sketching pass."""
+def block_splits(df: DataFrame, values: Sequence[str], blocks: int | None = None) -> dict[str, list[float]]:
+    """Equal-depth boundaries of several columns from one sketching pass.
+
+    Without ``blocks`` the rows are counted first, so that a block stays bounded however large the table is.
+    """
+    blocks = blocks or 8 + df.count() // BLOCK_ROWS
     probs = [i / blocks for i in range(1, blocks)]
     cuts = df.select(*[F.col(v).cast("double").alias(v) for v in values]).approxQuantile(list(values), probs, 0.5 / blocks)
     return {v: [float("-inf"), *sorted(set(c)), float("inf")] for v, c in zip(values, cuts)}
 
 
 def _blocked(df: DataFrame, value: str, splits: list[float]) -> DataFrame:
-    cut = Bucketizer(splits=splits, inputCol=value, outputCol="__blk", handleInvalid="keep")
-    return cut.transform(df).withColumn("__blk", F.col("__blk").cast("int"))
+    cut = Bucketizer(splits=splits, inputCol="__place", outputCol="__blk", handleInvalid="keep")
+    placed = cut.transform(df.withColumn("__place", F.col(value).cast("double")))
+    return placed.withColumn("__blk", F.col("__blk").cast("int")).drop("__place")
 
 
 def _present(df: DataFrame, keys: Sequence[str], value: str, extra: Sequence[str] = ()) -> DataFrame:
-    v = F.col(value).cast("double")
-    return df.filter(F.col(value).isNotNull() & ~F.isnan(v)).select(*keys, v.alias(value), *extra)
+    """Rows with a value, in its own type: only the block index is a double, which never reorders values."""
+    return df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*keys, value, *extra)
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str],
-                   blocks: int = BLOCKS, splits: list[float] | None = None) -> DataFrame:
+                   blocks: int | None = None, splits: list[float] | None = None) -> DataFrame:
     """Running sums of measures by increasing value within each key.
 
     Returns one row per (key, value) with ``<m>``, ``<m>_before`` and ``<m>_total``.
@@ -60,7 +65,7 @@ def running_totals(df: DataFrame, keys: Sequence[str], value: str, measures: Seq
 
 
 def _block_offsets(totals: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
-    """Start of every block; a key has at most ``BLOCKS`` rows here."""
+    """Start of every block; a key has at most one row per block here."""
     w = Window.partitionBy(*keys).orderBy("__blk")
     prev = w.rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(*keys)
@@ -69,7 +74,7 @@ def _block_offsets(totals: DataFrame, keys: Sequence[str], measures: Sequence[st
                          *[F.sum(m).over(everything).alias(f"{m}_total") for m in measures])
 
 
-def tie_ranks(df: DataFrame, keys: Sequence[str], value: str, blocks: int = BLOCKS,
+def tie_ranks(df: DataFrame, keys: Sequence[str], value: str, blocks: int | None = None,
               splits: list[float] | None = None) -> DataFrame:
     """Tie-averaged rank of each distinct value within its key: ``keys, value, rank_<value>``."""
     counted = running_totals(df.withColumn("__n", F.lit(1).cast("bigint")), keys, value, ["__n"], blocks, splits)
@@ -77,7 +82,7 @@ def tie_ranks(df: DataFrame, keys: Sequence[str], value: str, blocks: int = BLOC
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                    blocks: int = BLOCKS) -> DataFrame:
+                    blocks: int | None = None) -> DataFrame:
     """Exact interpolated quantiles: ``keys, prob, quantile``.
 
     Scan 1 sketches boundaries, scan 2 counts blocks (a tiny shuffle), scan 3
@@ -116,7 +121,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
 
 
 def quantile_columns(df: DataFrame, keys: Sequence[str], value: str, named: dict[str, float],
-                     blocks: int = BLOCKS) -> DataFrame:
+                     blocks: int | None = None) -> DataFrame:
     """Exact quantiles as one column per name."""
     q = exact_quantiles(df, keys, value, list(named.values()), blocks)
     return q.groupBy(*keys).agg(*[F.max(F.when(F.col("prob") == F.lit(float(p)), F.col("quantile"))).alias(n)

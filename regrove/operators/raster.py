@@ -149,13 +149,15 @@ def crop_to_points(cells: DataFrame, grid: Grid, points: DataFrame, buffer: floa
     return crop(cells, grid, e[0] - buffer, e[1] + buffer, e[2] - buffer, e[3] + buffer)
 
 
-def mask(cells: DataFrame, edges: DataFrame, grid: Grid, layer: Sequence[str] = ()) -> DataFrame:
-    """Cells whose centres fall inside a polygon given as an edge table.
+def mask(cells: DataFrame, edges: DataFrame, grid: Grid, layer: Sequence[str] = (), polygon: str = "poly_id") -> DataFrame:
+    """Cells whose centres fall inside any polygon of an edge table (holes are further rings of a polygon).
 
-    Every edge yields its crossing x on each raster row it spans; a cell is
-    inside when an odd number of crossings lie east of it.  Cells meet crossings
-    by row, an equi-join, and only the crossings of one row are held together.
+    Every edge yields its crossing x on each raster row it spans.  The sorted crossings of one polygon on
+    one row bound intervals that lie inside; the columns of the intervals meet the cells by row and column.
+    Polygons are told apart by ``polygon``, so overlapping ones add up.  Without that column all
+    edges belong to one polygon.
     """
+    of = [polygon] if polygon in edges.columns else []
     top = F.greatest("y1", "y2")
     low = F.least("y1", "y2")
     first = F.greatest(F.ceil((F.lit(grid.ymax) - top) / F.lit(grid.res) - 0.5).cast("int"), F.lit(0))
@@ -165,11 +167,16 @@ def mask(cells: DataFrame, edges: DataFrame, grid: Grid, layer: Sequence[str] =
     cy = grid.y_of("row")
     spans = spans.filter((cy >= F.col("__lo")) & (cy < F.col("__hi")))
     cx = F.col("x1") + (cy - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
-    crossings = spans.select(*layer, "row", cx.alias("__cx")).groupBy(*layer, "row").agg(
-        F.collect_list("__cx").alias("__xs"))
-    joined = cells.join(crossings, [*layer, "row"], "inner").withColumn("__x", grid.x_of("col"))
-    east = F.size(F.filter("__xs", lambda c: c > F.col("__x")))
-    return joined.filter(east % 2 == 1).select(*cells.columns)
+    crossings = spans.select(*layer, *of, "row", cx.alias("__cx"))
+    along = Window.partitionBy(*layer, *of, "row").orderBy("__cx")      # crossings of one polygon on one raster row
+    runs = crossings.withColumns({"__n": F.row_number().over(along), "__end": F.lead("__cx").over(along)}).filter("__n % 2 = 1")
+    # One column to spare on both sides; the centre itself decides.
+    near = lambda c, by: (F.floor((F.col(c) - F.lit(grid.xmin)) / F.lit(grid.res)) + by).cast("int")
+    a, b = F.greatest(near("__cx", -1), F.lit(0)), F.least(near("__end", 1), F.lit(grid.ncol - 1))
+    inside = (runs.withColumns({"__a": a, "__b": b}).filter("__a <= __b").withColumn("col", F.explode(F.sequence("__a", "__b")))
+              .withColumn("__x", grid.x_of("col")).filter((F.col("__x") >= F.col("__cx")) & (F.col("__x") < F.col("__end")))
+              .select(*layer, "row", "col").distinct())
+    return cells.join(inside, [*layer, "row", "col"], "left_semi").select(*cells.columns)
 
 
 def mosaic(layers: Sequence[DataFrame], how=F.max, value: str = "value", keys: Sequence[str] = ("row", "col")) -> DataFrame:

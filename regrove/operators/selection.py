@@ -11,7 +11,7 @@ from ..functions.missing import clamp, label
 from .glm import Fit, Model, fit_models, with_null_models
 from .joins import natural_left
 
-MAX_TERMS = 20
+CODE_BITS = 62      # a subset is coded as one bit per term in a BIGINT
 
 
 def term_subsets(spark: SparkSession, terms: Sequence[str], min_terms: int = 1, max_terms: int = 5,
@@ -22,40 +22,52 @@ def term_subsets(spark: SparkSession, terms: Sequence[str], min_terms: int = 1,
     filtered by bit tests before any model is fitted.
     """
     terms = list(terms)
-    if len(terms) > MAX_TERMS:
-        raise ValueError(f"all-subsets search supports at most {MAX_TERMS} terms")
-    codes = spark.range(1, 1 << len(terms)).select(F.col("id").alias("subset"), F.bit_count("id").alias("size"))
-    codes = codes.filter(F.col("size").between(min_terms, max_terms))
+    if len(terms) > CODE_BITS:
+        raise ValueError(f"a subset code holds at most {CODE_BITS} terms")
+    bad: set[tuple[int, int]] = set()
     if mask is not None:
-        bad = mask.filter(~F.col("allowed")).select("var1", "var2").collect()  # at most p(p-1)/2 rows
-        for a, b in bad:
+        for a, b in mask.filter(~F.col("allowed")).select("var1", "var2").collect():  # at most p(p-1)/2 rows
             if a in terms and b in terms:
-                both = (1 << terms.index(a)) | (1 << terms.index(b))
-                codes = codes.filter(F.col("subset").bitwiseAND(F.lit(both)) != both)
-    named = F.array(*[F.when(F.col("subset").bitwiseAND(F.lit(1 << i)) != 0, F.lit(t)) for i, t in enumerate(terms)])
-    return codes.withColumn("terms", F.array_join(F.array_compact(named), ","))
+                bad.add(tuple(sorted((terms.index(a), terms.index(b)))))
+    # Sizes grow from the allowed subsets one term smaller, so forbidden pairs prune early.
+    rows, level = [], [()]
+    for size in range(1, min(max_terms, len(terms)) + 1):
+        level = [(*c, i) for c in level for i in range(c[-1] + 1 if c else 0, len(terms)) if not any((j, i) in bad for j in c)]
+        if size >= min_terms:
+            rows += [(sum(1 << i for i in c), size, ",".join(terms[i] for i in c)) for c in level]
+    return spark.createDataFrame(sorted(rows), "subset bigint, size int, terms string")
 
 
-def fit_subsets(df: DataFrame, response: str, subsets: DataFrame, family: str = "negbin",
+def fit_subsets(df: DataFrame, response: str | Sequence[str], subsets: DataFrame, family: str = "negbin",
                 theta: float | None = None, group: str | None = None, group_col: str | None = None, **options) -> Fit:
-    """Fit one model per subset; the model id is ``<group or response>#<bit code>``."""
-    rows = subsets.select("subset", "terms").orderBy("subset").collect()  # bounded by 2**MAX_TERMS
-    models = [Model(f"{group or response}#{r['subset']}", response, tuple(r["terms"].split(",")), family, theta, group)
-              for r in rows]
+    """Fit one model per response and subset in shared passes; the id is ``<group or response>#<bit code>``.
+
+    Rows of other groups are filtered in the scan, before any batch leaves the engine.
+    """
+    rows = subsets.select("subset", "terms").orderBy("subset").collect()  # the models to fit
+    responses = [response] if isinstance(response, str) else list(response)
+    models = [Model(f"{group or r}#{row['subset']}", r, tuple(row["terms"].split(",")), family, theta, group)
+              for r in responses for row in rows]
+    if group is not None:
+        df = df.filter(F.col(group_col) == F.lit(group))
     return fit_models(df, models, group_col, **options)
 
 
-def ranked_models(summary: DataFrame, chat: float | None = None) -> DataFrame:
+def ranked_models(summary: DataFrame, chat: float | dict[str, float] | None = None) -> DataFrame:
     """Models by information criterion with delta and weight within response and group.
 
-    With ``chat`` the criterion is the quasi form corrected for dispersion.
+    With ``chat`` (a number, or one per response) the criterion is the quasi form corrected for
+    dispersion.  Every model stays: one
+    without a likelihood has a null criterion and weight, others keep their ``status``.
     """
     keys = ["response", "model_group"]
-    s = summary.filter(F.col("converged") & ~F.col("model_id").endswith("|null"))
+    s = summary.filter(~F.col("model_id").endswith("|null"))
     if chat is None:
         s = s.withColumn("ic", F.col("aicc"))
     else:
-        s = s.withColumn("ic", -2 * F.col("loglik") / F.lit(float(chat)) + 2 * (F.col("k") + 1))
+        by = F.lit(float(chat)) if not isinstance(chat, dict) else F.element_at(
+            F.create_map(*[F.lit(v) for r, c in chat.items() for v in (r, float(c))]), F.col("response"))
+        s = s.withColumn("ic", -2 * F.col("loglik") / by + 2 * (F.col("k") + 1))
     s = natural_left(s, s.groupBy(*keys).agg(F.min("ic").alias("__best")), keys)
     s = s.withColumn("delta", F.col("ic") - F.col("__best")).drop("__best")
     s = s.withColumn("__e", F.exp(-F.col("delta") / 2))
@@ -91,7 +103,7 @@ def leave_one_out(df: DataFrame, model: Model, group_col: str | None = None, **o
     r2 = likelihood_r2(fit_models(df, with_null_models([model, *less]), group_col, **options).summary())
     whole = r2.filter(F.col("model_id") == model.id).select(F.col("r2").alias("r2_full"), F.lit(1).alias("__k"))
     part = r2.filter(F.col("model_id") != model.id).select(
-        F.substring(F.col("model_id"), len(model.id) + 2, 1000).alias("term"), F.col("r2").alias("r2_without"), F.lit(1).alias("__k"))
+        F.expr(f"substring(model_id, {len(model.id) + 2})").alias("term"), F.col("r2").alias("r2_without"), F.lit(1).alias("__k"))
     return part.join(whole, "__k").select("term", "r2_full", "r2_without",
                                           (F.col("r2_full") - F.col("r2_without")).alias("partial_r2"))
 

@@ -9,6 +9,7 @@ copies never becomes one task's work.
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -200,17 +201,26 @@ def variogram_defaults(points: DataFrame, y: str = "y", lags: int = 50) -> tuple
     return (hi - lo) / 2.0, (hi - lo) / 2.0 / lags
 
 
-def _bracket(hist: DataFrame, low_rank: float, high_rank: float, step: float) -> tuple[float, float]:
-    """Bin edges around two ranks, from near-side and far-side histograms."""
+def _pairs_within(n: str) -> Column:
+    """n * (n - 1) / 2 as an exact whole number."""
+    return F.expr(f"cast(cast({n} as decimal(19, 0)) * cast({n} - 1 as decimal(19, 0)) / 2 as decimal(38, 0))")
+
+
+def _pairs_between(a: str, b: str) -> Column:
+    return F.expr(f"cast(cast({a} as decimal(19, 0)) * cast({b} as decimal(19, 0)) as decimal(38, 0))")
+
+
+def _bracket(hist: DataFrame, low_rank: int, high_rank: int, start: float, step: float) -> tuple[float, float]:
+    """Bin edges around two ranks, from near-side and far-side histograms of bins from ``start``."""
     rows = sorted(hist.collect())  # at most 2 x BINS rows
     edges = []
     for side, rank in ((0, low_rank), (1, high_rank)):
-        seen = 0.0
+        seen = 0
         for s, b, w in rows:
             if s == side:
-                seen += w
+                seen += int(w)
                 if seen > rank:
-                    edges.append((b + side) * step)
+                    edges.append(start + (b + side) * step)
                     break
     return edges[0], edges[1]
 
@@ -228,15 +238,14 @@ def pair_distance_median(points: DataFrame, x: str = "x", y: str = "y", stop_at:
     locs = _locations(points, x, y).persist()
     box = locs.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.sum("n")).first()
     schema = "n_pairs bigint, median_distance double"
-    m = int((box[4] or 0) * ((box[4] or 0) - 1) / 2)
+    m = int(box[4] or 0) * (int(box[4] or 0) - 1) // 2
     if m == 0:
         locs.unpersist()
         return spark.createDataFrame([(0, None)], schema)
     size = max(box[1] - box[0], box[3] - box[2], 1e-9) * (1 + 1e-9)
     quad = Quad(box[0], box[2], size, MAX_LEVELS)
     ranks = ((m - 1) // 2, m // 2)
-    step = math.hypot(size, size) * (1 + 1e-6) / BINS
-    low, high, below = 0.0, step * BINS, 0.0
+    low, high, below = 0.0, math.hypot(size, size) * (1 + 1e-6), 0
     i, j = quad.cell("x", "y", MAX_LEVELS)
     cell = locs.withColumns({"i": i, "j": j})
     pairs = spark.createDataFrame([(0, 0, 0, 0)], "ai int, aj int, bi int, bj int")
@@ -255,18 +264,20 @@ def pair_distance_median(points: DataFrame, x: str = "x", y: str = "y", stop_at:
         same = (F.col("ai") == F.col("bi")) & (F.col("aj") == F.col("bj"))
         near, far = _cell_bounds("ai", "aj", quad.side(level), "bi", "bj", quad.side(level))
         kids = kids.withColumns({"near": near, "far": far, "met": F.col("ka") * F.col("kb"), "w": F.when(
-            same, F.col("na") * (F.col("na") - 1) / 2).otherwise(F.col("na") * F.col("nb"))})
+            same, _pairs_within("na")).otherwise(_pairs_between("na", "nb"))})
         kids = cut_lineage(kids.select("ai", "aj", "bi", "bj", "near", "far", "met", "w"))
         ends = F.explode(F.array(F.struct(F.lit(0).alias("s"), F.col("near").alias("d")),
                                  F.struct(F.lit(1).alias("s"), F.col("far").alias("d"))))
-        hist = kids.select("w", ends.alias("e")).groupBy(
-            F.col("e.s").alias("s"), F.floor(F.col("e.d") / F.lit(step)).cast("int").alias("b")).agg(F.sum("w").alias("w"))
-        lo, hi = _bracket(hist, ranks[0] - below, ranks[1] - below, step)
+        # Bins divide the bracket left by the level above, so they get finer as it narrows.
+        step = max((high - low) / BINS, 1e-12)
+        bin_of = F.greatest(F.lit(-1), F.least(F.lit(BINS), F.floor((F.col("e.d") - F.lit(low)) / F.lit(step)))).cast("int")
+        hist = kids.select("w", ends.alias("e")).groupBy(F.col("e.s").alias("s"), bin_of.alias("b")).agg(F.sum("w").alias("w"))
+        lo, hi = _bracket(hist, ranks[0] - below, ranks[1] - below, low, step)
         low, high = max(low, lo), min(high, hi)
         kept = (F.col("far") >= low) & (F.col("near") <= high)
-        done, undecided = kids.agg(F.coalesce(F.sum(F.when(F.col("far") < low, F.col("w"))), F.lit(0.0)),
+        done, undecided = kids.agg(F.coalesce(F.sum(F.when(F.col("far") < low, F.col("w"))), F.lit(0)),
                                    F.coalesce(F.sum(F.when(kept, F.col("met"))), F.lit(0.0))).first()
-        below += done
+        below += int(done)
         pairs = kids.filter(kept).select("ai", "aj", "bi", "bj")
         if undecided <= stop_at:
             break
@@ -278,26 +289,26 @@ def pair_distance_median(points: DataFrame, x: str = "x", y: str = "y", stop_at:
                         F.col("y").alias("yb"), F.col("n").alias("cb"))
     met = pairs.join(left, ["ai", "aj"]).join(right, ["bi", "bj"])
     once = (F.col("xa") < F.col("xb")) | ((F.col("xa") == F.col("xb")) & (F.col("ya") < F.col("yb")))
-    met = met.filter(~same | once).select(distance("xa", "ya", "xb", "yb").alias("d"), (F.col("ca") * F.col("cb")).alias("w"))
+    met = met.filter(~same | once).select(distance("xa", "ya", "xb", "yb").alias("d"), _pairs_between("ca", "cb").alias("w"))
     twins = cell.filter("n > 1").join(pairs.filter(same).select(F.col("ai").alias("i"), F.col("aj").alias("j")), ["i", "j"],
-                                      "left_semi").select(F.lit(0.0).alias("d"), (F.col("n") * (F.col("n") - 1) / 2).alias("w"))
+                                      "left_semi").select(F.lit(0.0).alias("d"), _pairs_within("n").alias("w"))
     open_pairs = met.unionByName(twins)
     fine = max((high - low) / BINS, 1e-12)
     bins = open_pairs.groupBy(F.greatest(F.lit(-1), F.least(F.lit(BINS), F.floor(
         (F.col("d") - F.lit(low)) / F.lit(fine)))).cast("int").alias("b")).agg(F.sum("w").alias("w"))
     seen, first, last, start = below, None, None, below
     for b, w in sorted(bins.collect()):  # at most BINS + 2 rows
-        if first is None and seen + w > ranks[0]:
+        if first is None and seen + int(w) > ranks[0]:
             first, start = b, seen
-        seen += w
+        seen += int(w)
         if seen > ranks[1]:
             last = b
             break
     b_of = F.greatest(F.lit(-1), F.least(F.lit(BINS), F.floor((F.col("d") - F.lit(low)) / F.lit(fine)))).cast("int")
     chosen = open_pairs.filter(b_of.between(first, last)).groupBy("d").agg(F.sum("w").alias("w"))
     pos = running_totals(cut_lineage(chosen), [], "d", ["w"])  # one bin's distances, met once
-    got = pos.select("d", (F.col("w_before") + F.lit(start)).alias("lo"), (F.col("w_before") + F.col("w") + F.lit(start)).alias("hi"))
-    pick = lambda r: F.min(F.when((F.col("lo") <= r) & (F.col("hi") > r), F.col("d")))
+    got = pos.select("d", (F.col("w_before") + F.lit(Decimal(start))).alias("lo"), (F.col("w_before") + F.col("w") + F.lit(Decimal(start))).alias("hi"))
+    pick = lambda r: F.min(F.when((F.col("lo") <= F.lit(Decimal(r))) & (F.col("hi") > F.lit(Decimal(r))), F.col("d")))
     middle = got.agg(((pick(ranks[0]) + pick(ranks[1])) / 2.0).alias("v")).first()[0]
     locs.unpersist()
     return spark.createDataFrame([(m, middle)], schema)

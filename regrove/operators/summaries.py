@@ -66,6 +66,15 @@ def box_stats(df: DataFrame, keys: Sequence[str], value: str, reach: float = 1.5
         F.count_if(~inside).alias("n_out"))
 
 
+def box_outliers(df: DataFrame, keys: Sequence[str], value: str, reach: float = 1.5) -> DataFrame:
+    """Rows beyond the whiskers of their group."""
+    q = quantile_columns(df, keys, value, {"__q1": 0.25, "__q3": 0.75})
+    rows = natural_inner(df.filter(F.col(value).isNotNull()), q, keys)
+    span = F.lit(reach) * (F.col("__q3") - F.col("__q1"))
+    beyond = (F.col(value) < F.col("__q1") - span) | (F.col(value) > F.col("__q3") + span)
+    return rows.filter(beyond).drop("__q1", "__q3")
+
+
 def z_scores(df: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFrame:
     """Centre and scale columns by their sample sd (one aggregate, one row)."""
     stats = df.agg(*[F.avg(c).alias(f"__m_{c}") for c in cols],

@@ -70,7 +70,8 @@ def density_comparison(plots: DataFrame) -> dict[str, DataFrame]:
             "histogram": summaries.log_histogram(long, ["season", "time"], "dens"),
             "line": regression.simple_lm(logs, ["season"], "log_pre", "log_post"),
             "band": regression.lm_band(logs, ["season"], "log_pre", "log_post"),
-            "correlation": hypothesis.pearson(safe, ["season"], "pre", "post")}
+            "correlation": hypothesis.pearson(safe, ["season"], "pre", "post"),
+            "correlation_raw": hypothesis.pearson(plots, ["season"], "pre_dens", "post_dens")}
 
 
 def cover_comparison(features: DataFrame, kinds: Sequence[str] = ("forb", "gram", "shrub", "total"),
@@ -114,15 +115,12 @@ def averaged_effects(design: DataFrame, species: Sequence[str] = MODELLED, terms
     """All-subsets selection per species and the conditional average of the best models."""
     mask = hypothesis.independence_mask(hypothesis.spearman_matrix(design, terms), limit)
     subsets = selection.term_subsets(design.sparkSession, terms, 1, max_terms, mask)
-    out = None
-    for sp in species:
-        response = f"post_dens_ha_{sp}"
-        fit = selection.fit_subsets(design, response, subsets)
-        chat = None
-        if quasi:
-            whole = fit_models(design, [Model(f"{sp}-global", response, tuple(terms))])
-            chat = overdispersion(whole.summary()).first()["chat"]
-        avg = selection.average_models(selection.ranked_models(fit.summary(), chat), fit.coefficients())
-        avg = avg.withColumn("species", F.lit(sp))
-        out = avg if out is None else out.unionByName(avg)
-    return out
+    responses = {f"post_dens_ha_{sp}": sp for sp in species}
+    fit = selection.fit_subsets(design, list(responses), subsets)       # all species share every pass
+    chat = None
+    if quasi:
+        whole = fit_models(design, [Model(f"{sp}-global", r, tuple(terms)) for r, sp in responses.items()])
+        named = overdispersion(whole.summary()).collect()               # one row per species
+        chat = {r: next(x["chat"] for x in named if x["model_id"] == f"{sp}-global") for r, sp in responses.items()}
+    avg = selection.average_models(selection.ranked_models(fit.summary(), chat), fit.coefficients())
+    return avg.withColumn("species", F.regexp_replace("response", "^post_dens_ha_", ""))

@@ -126,7 +126,7 @@ def hot_key_full_join(spark, d):
         F.when(F.col("o_orderpriority") == "5-LOW", None).otherwise(F.col("o_custkey")).alias("k"), "o_orderkey")
     b = read(spark, d, "customer").select(
         F.when(F.col("c_custkey") == 0, None).otherwise(F.col("c_custkey")).alias("k"), "c_mktsegment")
-    return jn.natural_full(a, b, ["k"], hot_keys=True)
+    return jn.natural_full(a, b, ["k"])
 
 
 @query("""

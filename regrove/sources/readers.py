@@ -13,17 +13,24 @@ from ..operators.raster import Grid
 
 def csv_table(spark: SparkSession, path: str, schema: StructType | str | None = None,
               missing: str = "NA") -> DataFrame:
-    """CSV with a header; ``missing`` marks nulls.  Types are guessed only without a schema."""
+    """CSV with a header; ``missing`` marks nulls.  Types are guessed only without a schema.
+
+    A schema binds columns by the names of the header, in any order; a column the file lacks and a value
+    that does not parse are null.  All files under one path share a header.
+    """
     r = spark.read.option("header", True).option("nullValue", missing)
-    r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
-    return r.csv(path)
+    if schema is None:
+        return r.option("inferSchema", True).csv(path)
+    text = r.csv(path)      # the header line only: every column is a string
+    fields = schema.fields if isinstance(schema, StructType) else StructType.fromDDL(schema).fields
+    return text.select(*[(F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in text.columns
+                          else F.lit(None).cast(f.dataType)).alias(f.name) for f in fields])
 
 
-def csv_tables(spark: SparkSession, paths: Sequence[str], schema: StructType | str | None = None) -> DataFrame:
+def csv_tables(spark: SparkSession, paths: Sequence[str], schema: StructType | str | None = None,
+               missing: str = "NA") -> DataFrame:
     """Several CSVs bound by column name; columns a file lacks are null."""
-    if schema is not None:
-        return spark.read.option("header", True).option("nullValue", "NA").schema(schema).csv(list(paths))
-    return bind_rows([csv_table(spark, p) for p in paths])
+    return bind_rows([csv_table(spark, p, schema, missing) for p in paths])
 
 
 def parquet_table(spark: SparkSession, folder: str, name: str) -> DataFrame:

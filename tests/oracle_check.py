@@ -59,7 +59,7 @@ def main():
     from regrove.session import local_session
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     folder = f"/root/testdata/sf{sf}"
-    spark = local_session()
+    spark = local_session(int(os.environ.get("C", "8")))
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(folder)
     q, o = queries(), oracles()
