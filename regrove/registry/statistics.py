@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import ecology as eco
 from ..operators import community as cm, hypothesis as hy, regression as rg, summaries as sm
 from .base import R, out, query, read
+from .range_sql import NORMAL_GRID, range_cut, range_tail
 
 # --- tails in SQL, by Simpson's rule over the density ------------------------
 
@@ -104,14 +105,36 @@ def tukey_pairs(spark, d):
     return out(t, digits=4, q=6, p_adj=5, conf_low=2, conf_high=2)
 
 
-@query()
-def tukey_three_levels(spark, d):
-    return out(hy.tukey(read(spark, d, "lineitem"), ["l_linestatus"], "l_returnflag", "l_extendedprice"), digits=4)
+def _pairs_sql(table: str, key: str, group: str, value: str) -> str:
+    """Level moments ``m``, error ``e`` and pairs ``t`` of levels."""
+    return f"""m AS (SELECT {key} AS key, {group} AS g, count(*) AS n, avg({value}) AS m, var_pop({value}) * count(*) AS ss FROM {table} GROUP BY 1, 2),
+e AS (SELECT key, count(*) AS k, sum(ss) / (sum(n) - count(*)) AS mse, CAST(sum(n) - count(*) AS DOUBLE) AS v FROM m GROUP BY 1),
+t0 AS (SELECT a.key, a.g AS lo, b.g AS hi, b.m - a.m AS estimate, sqrt(mse / 2 * (1.0 / a.n + 1.0 / b.n)) AS se, k, v
+ FROM m a JOIN m b ON a.key = b.key AND a.g < b.g JOIN e ON e.key = a.key),
+t AS (SELECT *, abs(estimate) / se AS q FROM t0), {NORMAL_GRID}, {range_tail('t', 'q', 'tail', 'key, lo, hi')}"""
 
 
-@query()
+@query(f"""WITH {_pairs_sql('lineitem', 'l_linestatus', 'l_returnflag', 'l_extendedprice')}, {range_cut('e', 0.05, 3.31449, 'cut', 'key')}
+SELECT t.key AS l_linestatus, t.lo AS group_lo, t.hi AS group_hi, {R('estimate', 4)} AS estimate, {R('se', 4)} AS se, {R('t.q', 4)} AS q,
+ {R('estimate - cut.q * se', 2)} AS conf_low, {R('estimate + cut.q * se', 2)} AS conf_high, {R('p', 4)} AS p_adj
+FROM t JOIN tail USING (key, lo, hi) JOIN cut ON cut.key = t.key""")
+def tukey_three_levels(spark, d):
+    return out(hy.tukey(read(spark, d, "lineitem"), ["l_linestatus"], "l_returnflag", "l_extendedprice"), digits=4, conf_low=2, conf_high=2)
+
+
+# Columns of the display are the largest sets of levels without a differing pair.
+@query(f"""WITH {_pairs_sql('lineitem', 'l_returnflag', 'l_linenumber', 'l_extendedprice + 800 * l_linenumber')},
+pos AS (SELECT key, g, row_number() OVER (PARTITION BY key ORDER BY m, g) - 1 AS i FROM m),
+bad AS (SELECT tail.key, (1 << a.i) | (1 << b.i) AS pair FROM tail JOIN pos a ON a.key = tail.key AND a.g = lo JOIN pos b ON b.key = tail.key AND b.g = hi WHERE p < 0.05),
+sets AS (SELECT e.key, c FROM e, (SELECT unnest(range(1, 128)) AS c) WHERE c < (1 << e.k)
+ AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.key = e.key AND c & pair = pair)),
+top AS (SELECT * FROM sets s WHERE NOT EXISTS (SELECT 1 FROM sets o WHERE o.key = s.key AND o.c <> s.c AND o.c & s.c = s.c)),
+named AS (SELECT *, chr(CAST(96 + row_number() OVER (PARTITION BY key ORDER BY list_transform(list_filter(range(0, 7), lambda i: (c >> i) & 1 = 1), lambda i: chr(CAST(97 + i AS INTEGER)))) AS INTEGER)) AS letter FROM top)
+SELECT pos.key AS l_returnflag, pos.g AS l_linenumber, string_agg(letter, '' ORDER BY letter) AS letters
+FROM pos JOIN named ON named.key = pos.key AND (c >> i) & 1 = 1 GROUP BY 1, 2""")
 def letters(spark, d):
-    return hy.letters(read(spark, d, "orders"), ["o_orderstatus"], "o_orderpriority", "o_totalprice")
+    li = read(spark, d, "lineitem").withColumn("price", F.col("l_extendedprice") + 800 * F.col("l_linenumber"))
+    return hy.letters(li, ["l_returnflag"], "l_linenumber", "price")
 
 
 @query(f"""WITH x AS (SELECT o_orderpriority AS k, o_orderstatus AS g, o_totalprice AS v FROM orders WHERE o_orderstatus <> 'F'),
