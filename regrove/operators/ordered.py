@@ -82,14 +82,14 @@ def tie_ranks(df: DataFrame, keys: Sequence[str], value: str, blocks: int | None
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                    blocks: int | None = None) -> DataFrame:
+                    blocks: int | None = None, splits: list[float] | None = None) -> DataFrame:
     """Exact interpolated quantiles: ``keys, prob, quantile``.
 
     Scan 1 sketches boundaries, scan 2 counts blocks (a tiny shuffle), scan 3
     orders only the one or two blocks that hold each requested rank.
     """
     rows = _present(df, keys, value)
-    splits = block_splits(rows, [value], blocks)[value]
+    splits = splits or block_splits(rows, [value], blocks)[value]
     if not keys:
         rows, keys_in = rows.withColumn("__g", F.lit(1)), ["__g"]
     else:
@@ -121,8 +121,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
 
 
 def quantile_columns(df: DataFrame, keys: Sequence[str], value: str, named: dict[str, float],
-                     blocks: int | None = None) -> DataFrame:
+                     blocks: int | None = None, splits: list[float] | None = None) -> DataFrame:
     """Exact quantiles as one column per name."""
-    q = exact_quantiles(df, keys, value, list(named.values()), blocks)
+    q = exact_quantiles(df, keys, value, list(named.values()), blocks, splits)
     return q.groupBy(*keys).agg(*[F.max(F.when(F.col("prob") == F.lit(float(p)), F.col("quantile"))).alias(n)
                                   for n, p in named.items()])

@@ -8,24 +8,24 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.missing import std_error
 from .joins import natural_inner, natural_left
-from .ordered import quantile_columns
-from .reshape import melt
+from .ordered import block_splits, quantile_columns
 
 
 def predictor_summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Mean, standard error, range and count of each column's recorded values."""
-    long = melt(df, [], cols, "variable", "value", "double").filter("value is not null")
-    v = F.col("value")
-    return long.groupBy("variable").agg(F.avg(v).alias("value_mean"), std_error(v).alias("value_se"),
-                                        F.min(v).alias("value_min"), F.max(v).alias("value_max"),
-                                        F.count(v).alias("value_n"))
+    of = lambda c: F.col(f"`{c}`").cast("double")
+    row = df.agg(*[F.struct(F.lit(c).alias("variable"), F.avg(of(c)).alias("value_mean"), std_error(of(c)).alias("value_se"),
+                            F.min(of(c)).alias("value_min"), F.max(of(c)).alias("value_max"), F.count(of(c)).alias("value_n"))
+                   .alias(f"s{i}") for i, c in enumerate(cols)])
+    return row.select(F.explode(F.array(*[f"s{i}" for i in range(len(cols))])).alias("s")).select("s.*").filter("value_n > 0")
 
 
 def median_and_se(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Exact median and standard error of columns by group."""
+    """Exact median and standard error of columns by group; one sketch serves all columns."""
     out = df.groupBy(*keys).agg(*[std_error(c).alias(f"{c}_se") for c in cols])
+    splits = block_splits(df, cols)
     for c in cols:
-        out = natural_left(out, quantile_columns(df, keys, c, {f"{c}_med": 0.5}), keys)
+        out = natural_left(out, quantile_columns(df, keys, c, {f"{c}_med": 0.5}, splits=splits[c]), keys)
     return out
 
 
