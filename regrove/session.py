@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,4 +55,21 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+#: Folder of each staged table that is still referred to.
+_PATHS: dict[int, tuple] = {}
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of staged tables that no later step reads; other frames are left alone."""
+    for df in frames:
+        ref, path = _PATHS.pop(id(df), (None, None))
+        if ref is None or ref() is not df:
+            continue
+        spark = df.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
