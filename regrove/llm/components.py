@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import staged
+from ..session import discard, staged
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -19,6 +19,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     both = staged(one.union(one.select("b", "a")).distinct(), "edges")
     labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
                     .select("node", F.least("node", "m").alias("label")), "labels")
+    table = labels
     while True:
         near = (both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near")))
         least = labels.join(near, labels.node == near.a, "left").select(
@@ -26,6 +27,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
         jumped = staged(least.join(up, "label", "left").select(
             "node", "old", F.least("label", "up").alias("label")), "labels")
-        if jumped.filter("label < old").isEmpty():
-            return jumped.select("node", "label")
-        labels = jumped.select("node", "label")
+        settled = jumped.filter("label < old").isEmpty()
+        discard(table)
+        labels, table = jumped.select("node", "label"), jumped
+        if settled:
+            discard(both)
+            return labels

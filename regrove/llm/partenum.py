@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import staged
+from ..session import discard, staged
 from .components import connected_components
 from .words import U64, mix, slices, window_hashes, words_of
 
@@ -322,20 +322,21 @@ def set_table(docs: DataFrame, text: str, wanted: np.ndarray) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """Pairs of classes that link: 100 * common >= 75 * all.
+    """Those of the (staged) pairs of classes that link: 100 * common >= 75 * all.
 
     Sets are made again from the texts of the classes in question, sent once to their class and from
     there to each centre ``a`` they are compared with.
     """
-    pairs = staged(pairs, "pairs")
     need = pairs.selectExpr("b as cls", "a").union(pairs.selectExpr("a as cls", "a").distinct())
     sets = set_table(docs, text, bloom_filter(need)).dropDuplicates(["cls"])
     sent = staged(sets.join(need, "cls"), "sets")
     centres = sent.filter("cls = a").selectExpr("a", "shingles as x")
     members = sent.filter("cls <> a").selectExpr("a", "cls as b", "shingles as y")
     common = F.size(F.array_intersect("x", "y"))
-    return (members.join(centres, "a").withColumn("common", common)
-            .filter(OF * F.col("common") >= NEED * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b"))
+    links = staged(members.join(centres, "a").withColumn("common", common)
+                   .filter(OF * F.col("common") >= NEED * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b"), "links")
+    discard(sent)
+    return links
 
 
 def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -368,7 +369,7 @@ def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", kee
     star = (buckets.filter("centre < cls").select(F.col("centre").alias("a"), F.col("cls").alias("b"))
             .union(wide.join(least, "sig").filter("cls <> lo").select(F.col("lo").alias("a"), F.col("cls").alias("b"))).distinct())
     star = staged(star, "star")
-    links = staged(verified(star, docs, text), "links")
+    links = verified(star, docs, text)
     labels = connected_components(links)
     # A bucket of two was compared in full; of the others those remain that hold several components.
     several = buckets.filter("many").select("sig", "cls").join(labels, F.col("cls") == F.col("node"), "left").select(
@@ -379,8 +380,9 @@ def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", kee
     left, right = rest.selectExpr("sig", "cls as a", "label as la"), rest.selectExpr("sig", "cls as b", "label as lb")
     cross = left.join(right, "sig").filter("a < b and la <> lb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
     cross = staged(cross, "cross")
+    discard(buckets, several, star)
     if not cross.isEmpty():
-        more = staged(verified(cross, docs, text), "links")
+        more = verified(cross, docs, text)
         if not more.isEmpty():
             labels = connected_components(links.union(more))
 
