@@ -8,7 +8,9 @@ sums, so no segmentation is ever chosen.
 
 from __future__ import annotations
 
+import itertools
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .words import U64, mix
+from .words import U64, mix, worker_memo
 
 LETTERS = re.compile(r"[^\W\d_]+")
 START = 0x2581                  # the vocabulary's mark of a word's first piece
@@ -24,7 +26,7 @@ LONGEST = 48                    # letters; longer runs are cut into words of thi
 SAMPLE = 6000                   # training documents, those with the least hash
 FLOOR = 1e-9                    # probability of a letter that is in no piece, and of a piece never expected
 ROUNDS = 3
-REMEMBERED = 200_000            # words a worker remembers
+REMEMBERED = 800_000            # words a worker remembers
 
 
 def public_pieces(path: str) -> list[str]:
@@ -42,13 +44,10 @@ class Vocabulary:
         kept = sorted({p for p in pieces if p.lower() == p and (p == mark or LETTERS.fullmatch(p.removeprefix(mark)))})
         self.pieces = kept
         self.longest = max(map(len, kept), default=1)
-        by_length: dict[int, list[tuple[int, int]]] = {}
+        by_length: dict[int, list[int]] = {}
         for i, p in enumerate(kept):
-            by_length.setdefault(len(p), []).append((int(piece_hash(p)), i))
-        self.tables = {}
-        for n, rows in by_length.items():
-            rows.sort()
-            self.tables[n] = (np.array([r[0] for r in rows], U64), np.array([r[1] for r in rows], np.int64))
+            by_length.setdefault(len(p), []).append(i)
+        self.tables = {n: PieceTable([kept[i] for i in at], np.array(at)) for n, at in by_length.items()}
 
     def __len__(self) -> int:
         return len(self.pieces)
@@ -60,11 +59,39 @@ class Vocabulary:
         for n in range(1, min(self.longest, width) + 1):
             tail = codes[:, n - 1:].astype(U64)
             h = mix(tail + U64(n)) if h is None else mix(h[:, :width - n + 1] * U64(0x100000001B3) + tail + U64(n))
-            if n not in self.tables:
-                continue
-            keys, ids = self.tables[n]
-            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            out.append((n, np.where(keys[at] == h, ids[at], -1)))
+            if n in self.tables:
+                out.append((n, self.tables[n].find(h)))
+        return out
+
+
+class PieceTable:
+    """Pieces of one length by hash: two arrays addressed by different bits, the rest sorted."""
+    BITS = 16
+
+    def __init__(self, pieces: list[str], ids: np.ndarray):
+        keys = np.array([piece_hash(p) for p in pieces], U64)
+        self.levels = []
+        for shift in (64 - self.BITS, 64 - 2 * self.BITS):
+            place = self._place(keys, shift)
+            table, found = np.zeros(1 << self.BITS, U64), np.full(1 << self.BITS, -1, np.int32)
+            table[place], found[place] = keys, ids
+            self.levels.append((shift, table, found))
+            left = table[place] != keys
+            keys, ids = keys[left], ids[left]
+        order = np.argsort(keys)
+        self.rest, self.rest_ids = keys[order], ids[order].astype(np.int32)
+
+    def _place(self, h: np.ndarray, shift: int) -> np.ndarray:
+        return ((h >> U64(shift)) & U64((1 << self.BITS) - 1)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        out = np.full(h.shape, -1, np.int32)
+        for shift, table, found in self.levels:
+            place = self._place(h, shift)
+            out = np.where(table[place] == h, found[place], out)
+        if len(self.rest):
+            at = np.minimum(np.searchsorted(self.rest, h), len(self.rest) - 1)
+            out = np.where(self.rest[at] == h, self.rest_ids[at], out)
         return out
 
 
@@ -108,26 +135,27 @@ def forward(codes: np.ndarray, vocabulary: Vocabulary, p: np.ndarray):
     rows, width = codes.shape
     found = vocabulary.lookup(codes)
     padded = np.vstack([p, np.zeros((1, p.shape[1]))])       # index -1: no such piece
-    single = next((ids for n, ids in found if n == 1), np.full((rows, width), -1))
-    sums = np.zeros((rows, width + 1, p.shape[1]))
-    sums[:, 0] = 1.0
+    missing = unknown_letters(found, rows, width)
+    sums = np.zeros((width + 1, rows, p.shape[1]))
+    sums[0] = 1.0
     for end in range(1, width + 1):
         for n, ids in found:
             if n <= end:
-                start = end - n
-                hit = np.flatnonzero(ids[:, start] >= 0)
-                if len(hit):
-                    sums[hit, end] += sums[hit, start] * padded[ids[hit, start]]
-        unknown = np.flatnonzero(single[:, end - 1] < 0)
-        sums[unknown, end] += sums[unknown, end - 1] * FLOOR
+                sums[end] += sums[end - n] * padded[ids[:, end - n]]
+        if missing[:, end - 1].any():
+            sums[end] += sums[end - 1] * np.where(missing[:, end - 1], FLOOR, 0.0)[:, None]
     return sums, found, padded
 
 
+def unknown_letters(found, rows: int, width: int) -> np.ndarray:
+    return next((ids < 0 for n, ids in found if n == 1), np.ones((rows, width), bool))
+
+
 def word_scores(words: list[str], vocabulary: Vocabulary, p: np.ndarray) -> np.ndarray:
     """log probability of each word in each language."""
     out = np.zeros((len(words), p.shape[1]))
     for at, codes in by_length(words):
-        out[at] = np.log(np.maximum(forward(codes, vocabulary, p)[0][:, -1], 1e-300))
+        out[at] = np.log(np.maximum(forward(codes, vocabulary, p)[0][-1], 1e-300))
     return out
 
 
@@ -138,19 +166,26 @@ def expected(words: list[str], counts: np.ndarray, vocabulary: Vocabulary, p: np
         sums, found, padded = forward(codes, vocabulary, p)
         rows, width = codes.shape
         back = np.zeros_like(sums)
-        back[:, width] = 1.0
-        single = next((ids for n, ids in found if n == 1), np.full((rows, width), -1))
+        back[width] = 1.0
+        missing = unknown_letters(found, rows, width)
         for start in range(width - 1, -1, -1):
             for n, ids in found:
                 if start + n <= width:
-                    back[:, start] += back[:, start + n] * padded[ids[:, start]]
-            back[:, start] += np.where(single[:, start] < 0, FLOOR, 0)[:, None] * back[:, start + 1]
-        weight = counts[at] / np.maximum(sums[:, -1], 1e-300)
+                    back[start] += back[start + n] * padded[ids[:, start]]
+            if missing[:, start].any():
+                back[start] += back[start + 1] * np.where(missing[:, start], FLOOR, 0.0)[:, None]
+        weight = counts[at] / np.maximum(sums[-1], 1e-300)
+        pieces, uses = [], []
         for n, ids in found:
             for start in range(width - n + 1):
-                hit = ids[:, start] >= 0
-                use = sums[hit, start] * back[hit, start + n] * padded[ids[hit, start]] * weight[hit]
-                np.add.at(total, ids[hit, start], use)
+                hit = np.flatnonzero(ids[:, start] >= 0)
+                piece = ids[hit, start]
+                pieces.append(piece)
+                uses.append(sums[start][hit] * back[start + n][hit] * padded[piece] * weight[hit])
+        if pieces:
+            piece, use = np.concatenate(pieces), np.concatenate(uses)
+            for lang in range(total.shape[1]):
+                total[:, lang] += np.bincount(piece, weights=use[:, lang], minlength=len(total))
     return total
 
 
@@ -217,30 +252,36 @@ def identify(docs: DataFrame, model: Pieces, pieces: list[str], text: str = "tex
     """
     kinds = dict(docs.select(*keep).dtypes)
     schema = "".join(f"`{c}` {kinds[c]}, " for c in keep) + "lang_pred string, score double"
-    shared = docs.sparkSession.sparkContext.broadcast((pieces, model.probability, model.languages))
+    shared = docs.sparkSession.sparkContext.broadcast((pieces, model.probability, model.languages, uuid.uuid4().hex))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, p, names = shared.value
-        vocabulary = Vocabulary(known)
-        index: dict[str, int] = {}
-        table = np.zeros((0, len(names)))
+        known, p, names, version = shared.value
+        memo = worker_memo("language")
+        if memo.get("version") != version:      # words stay known from task to task of the same model
+            memo.clear()
+            memo.update(version=version, vocabulary=Vocabulary(known), index={}, table=np.zeros((1 << 16, len(names))))
+        vocabulary, index = memo["vocabulary"], memo["index"]
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 found = [cut_words(t) if t else [] for t in part.column(len(keep)).to_pylist()]
                 if len(index) > REMEMBERED:
-                    index, table = {}, np.zeros((0, len(names)))
-                fresh = [w for w in dict.fromkeys(w for ws in found for w in ws) if w not in index]
+                    index.clear()
+                fresh = [w for w in dict.fromkeys(itertools.chain.from_iterable(found)) if w not in index]
                 if fresh and names:
-                    index.update(zip(fresh, range(len(table), len(table) + len(fresh))))
-                    table = np.vstack([table, word_scores(fresh, vocabulary, p)])
+                    first, last = len(index), len(index) + len(fresh)
+                    if last > len(memo["table"]):
+                        memo["table"] = np.vstack([memo["table"][:first], np.zeros((last, len(names)))])
+                    memo["table"][first:last] = word_scores(fresh, vocabulary, p)
+                    index.update(zip(fresh, range(first, last)))
+                table = memo["table"]
                 pred, score = [], []
                 for ws in found:
                     if not ws or not names:
                         pred.append("und")
                         score.append(0.0)
                         continue
-                    total = table[[index[w] for w in ws]].sum(axis=0) * temper
+                    total = table[list(map(index.__getitem__, ws))].sum(axis=0) * temper
                     best = int(total.argmax())
                     pred.append(names[best])
                     score.append(float(1 / np.exp(np.minimum(total - total[best], 0)).sum()))
