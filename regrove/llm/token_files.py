@@ -26,7 +26,7 @@ from .words import worker_memo
 
 END_ID = 2
 REMEMBERED = 1_000_000      # pieces of text whose ids a worker remembers
-TOGETHER = 128              # texts whose unknown pieces are encoded at once
+TOGETHER = 512              # texts whose unknown pieces are encoded at once
 #: Characters that no tokenizer takes for white space.
 INK = "!-~¡-ᙿ"
 STARTS_INKED = re.compile(f"[{INK}]")
@@ -57,38 +57,41 @@ class Encoder:
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def pieces(self, text: str) -> tuple[list[str], list[str]] | None:
-        """(odd pieces, spaced pieces): the text is their concatenation; none if it must stay whole."""
-        if not self.by_pieces or self.special is not None and self.special.search(text):
-            return None
-        parts = text.split(" ")
-        return parts[:1], parts[1:]
-
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) + len(self.odd) > REMEMBERED:
             self.known.clear()
             self.odd.clear()
-        plans, fresh, fresh_odd = [], set(), set()
-        known, odd = self.known, self.odd
+        plans, fresh, odd = [], set(), set()
         for text in texts:
-            cut = self.pieces(text)
-            if cut is None:
+            if not self.by_pieces or self.special is not None and self.special.search(text):
                 plans.append(None)
                 continue
-            first, rest = cut
-            missing = [p for p in set(rest) if p not in known]
+            first, *rest = text.split(" ")
+            got = list(map(self.known.get, rest))
+            missing = {p for p, ids in zip(rest, got) if ids is None} if None in got else ()
             if all(map(STARTS_INKED.match, missing)):
                 fresh.update(missing)
+                odd.add(first)
+                plans.append((first, rest, got, bool(missing)))
             else:       # white space on both sides of a space somewhere
-                parts = APART.split(text)
-                first, rest = [parts[0], *(" " + p for p in parts[1:])], []
-            fresh_odd.update(p for p in first if p not in odd)
-            plans.append((first, rest))
-        for table, new, prefix in ((known, list(fresh), " "), (odd, list(fresh_odd), "")):
+                first, *rest = APART.split(text)
+                parts = [first, *(" " + p for p in rest)]
+                odd.update(parts)
+                plans.append(parts)
+        for table, new, prefix in ((self.known, list(fresh), " "), (self.odd, list(odd - self.odd.keys()), "")):
             if new:
                 table.update(zip(new, self.raw([prefix + p for p in new])))
         whole = iter(self.raw([t for t, p in zip(texts, plans) if p is None]))
-        return [next(whole) if p is None else b"".join([*map(odd.__getitem__, p[0]), *map(known.__getitem__, p[1])]) for p in plans]
+        known, out = self.known, []
+        for p in plans:
+            if p is None:
+                out.append(next(whole))
+            elif isinstance(p, list):
+                out.append(b"".join(map(self.odd.__getitem__, p)))
+            else:
+                first, rest, got, lacks = p
+                out.append(b"".join([self.odd[first], *(map(known.__getitem__, rest) if lacks else got)]))
+        return out
 
 
 def encoder(path: str) -> Encoder:
