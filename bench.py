@@ -23,7 +23,8 @@ HEADLINE = [
     "sample_raster", "mask_polygon", "mosaic_max", "resample_grid", "nearest_cell", "semivariogram", "predictor_summary",
     "median_se", "boxplot_stats", "histogram", "anova_oneway", "tukey_pairs", "median_test", "ks_two_sample", "spearman_test",
     "spearman_matrix", "lm_by_group", "nested_f", "bray_prepost", "anosim_permutations", "nmds", "poisson_glm", "nb_glm",
-    "model_average", "bootstrap_ci",
+    "model_average", "bootstrap_ci", "pair_median", "all_subsets", "subset_ranking", "averaged_effects", "species_models",
+    "nb_checks", "quasipoisson_glm", "partial_r2", "tukey_three_levels", "letters",
 ]
 
 
