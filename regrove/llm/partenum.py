@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import discard, staged
 from .components import connected_components
+from .frequent import most_frequent
 from .words import U64, mix, slices, window_hashes, words_of
 
 WORDS = 5
@@ -31,8 +32,8 @@ WORDS = 5
 NEED, OF = 75, 100
 FREQUENT = 1 << 20          # most features left out of the domain (8 MB sent to each task)
 COUNTED = 1 << 21           # shingles counted together before only the frequent ones are kept
-LOCALLY, OVERALL = 3, 8     # least texts of one count, and of all counts, for a frequent feature
-ROWS_PER_TASK = 2_000_000   # signatures met in one task
+LOCALLY, OVERALL = 2, 6     # least texts of one count, and of all counts, for a frequent feature
+ROWS_PER_TASK = 1_000_000   # signatures met in one task
 SPREAD = 32                 # tasks over which a signature that may be met by very many sets is dealt
 BLOOM_WORDS = 1 << 20       # 64-bit words of the filter of candidate classes (8 MB, whatever the input)
 SALT = mix(np.arange(101, 109, dtype=U64))
@@ -208,8 +209,9 @@ def first_seen(cls: np.ndarray, seen: set) -> np.ndarray:
 
 def frequent_features(described: DataFrame) -> np.ndarray:
     """The most frequent features, at most ``FREQUENT``; any choice leaves the join exact."""
-    top = (described.filter("feature is not null").groupBy("feature").agg(F.sum("texts").alias("texts"))
-           .filter(F.col("texts") >= OVERALL).orderBy(F.desc("texts"), "feature").limit(FREQUENT).select("feature"))
+    counts = staged(described.filter("feature is not null").groupBy("feature").agg(F.sum("texts").alias("texts"))
+                    .filter(F.col("texts") >= OVERALL), "frequent")
+    top = most_frequent(counts, "feature", "texts", FREQUENT).select("feature")
     return np.sort(np.array(top.toArrow().column(0).to_numpy(), np.int64).view(U64))
 
 

@@ -118,7 +118,7 @@ def words_of(texts: pa.Array, lower: bool = True) -> Words:
     return Words(len(offsets) - 1, doc, start, end, data, span_hashes(data, start, end))
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", size: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: str = "text", size: int = 1 << 20):
     """Cut a batch into row ranges of about ``size`` text bytes (one row at least)."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     total = np.cumsum(lengths)
