@@ -20,13 +20,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from .words import U64, mix, worker_memo
 
-LETTERS = re.compile(r"[^\W\d_]+")
-START = 0x2581                  # the vocabulary's mark of a word's first piece
 LONGEST = 48                    # letters; longer runs are cut into words of this many
-SAMPLE = 6000                   # training documents, those with the least hash
+LETTERS = re.compile(r"[^\W\d_]{1,%d}" % LONGEST)
+#: Numerals that the pattern takes for letters, such as superscripts.
+NUMERALS = re.compile("[" + "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]")
+START = 0x2581                  # the vocabulary's mark of a word's first piece
+SAMPLE = 6000                   # training documents, about; chosen by hash
 FLOOR = 1e-9                    # probability of a letter that is in no piece, and of a piece never expected
 ROUNDS = 3
-REMEMBERED = 800_000            # words a worker remembers
+REMEMBERED = 400_000            # words a worker remembers
 
 
 def public_pieces(path: str) -> list[str]:
@@ -105,10 +107,8 @@ def piece_hash(piece: str) -> np.uint64:
 
 def cut_words(text: str) -> list[str]:
     words = LETTERS.findall(text.lower())
-    if not text.isascii():      # the pattern also takes numerals such as superscripts
+    if not text.isascii() and NUMERALS.search(text):
         words = [x for w in words if (x := w if w.isalpha() else "".join(filter(str.isalpha, w)))]
-    if words and max(map(len, words)) > LONGEST:
-        words = [w[i:i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
     return words
 
 
@@ -190,15 +190,17 @@ def expected(words: list[str], counts: np.ndarray, vocabulary: Vocabulary, p: np
 
 
 def learn(rows: DataFrame, text: str, language: str, pieces: list[str], order: str = "doc_id") -> Pieces:
-    """Piece probabilities from a bounded sample of labelled rows (``SAMPLE`` rows of least hash).
+    """Piece probabilities from a bounded sample of labelled rows (about ``SAMPLE`` rows, chosen by hash).
 
     Word counts per language are gathered once; each round spreads the words over tasks, which return
     only sums of the size of the vocabulary.  Without labelled rows there is no language.
     """
     spark = rows.sparkSession
-    sample = (rows.filter(F.col(language).isNotNull() & F.col(text).isNotNull())
-              .select(F.col(text).alias("t"), F.col(language).alias("l"), F.xxhash64(order, text).alias("h"))
-              .orderBy("h").limit(SAMPLE))
+    labelled = rows.filter(F.col(language).isNotNull() & F.col(text).isNotNull())
+    share = min(1.0, SAMPLE / max(labelled.count(), 1))
+    # A threshold on the hash takes that share without sorting or moving any text.
+    sample = labelled.filter(F.pmod(F.xxhash64(order, text), F.lit(1_000_000_007)) < F.lit(int(share * 1_000_000_007))).select(
+        F.col(text).alias("t"), F.col(language).alias("l"))
 
     def count(batches):
         from collections import Counter
@@ -267,21 +269,25 @@ def identify(docs: DataFrame, model: Pieces, pieces: list[str], text: str = "tex
                 found = [cut_words(t) if t else [] for t in part.column(len(keep)).to_pylist()]
                 if len(index) > REMEMBERED:
                     index.clear()
-                fresh = [w for w in dict.fromkeys(itertools.chain.from_iterable(found)) if w not in index]
-                if fresh and names:
+                flat = list(itertools.chain.from_iterable(found)) if names else []
+                at = list(map(index.get, flat))
+                if None in at:
+                    fresh = list(dict.fromkeys(w for w, i in zip(flat, at) if i is None))
                     first, last = len(index), len(index) + len(fresh)
                     if last > len(memo["table"]):
                         memo["table"] = np.vstack([memo["table"][:first], np.zeros((last, len(names)))])
                     memo["table"][first:last] = word_scores(fresh, vocabulary, p)
                     index.update(zip(fresh, range(first, last)))
-                table = memo["table"]
+                    at = list(map(index.__getitem__, flat))
+                values = memo["table"][np.array(at, np.int64)]
+                ends = np.cumsum([len(ws) for ws in found]) if names else np.zeros(len(found), np.int64)
                 pred, score = [], []
-                for ws in found:
+                for ws, end in zip(found, ends):
                     if not ws or not names:
                         pred.append("und")
                         score.append(0.0)
                         continue
-                    total = table[list(map(index.__getitem__, ws))].sum(axis=0) * temper
+                    total = values[end - len(ws):end].sum(axis=0) * temper
                     best = int(total.argmax())
                     pred.append(names[best])
                     score.append(float(1 / np.exp(np.minimum(total - total[best], 0)).sum()))
