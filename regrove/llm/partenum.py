@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import discard, staged
 from .components import connected_components
 from .frequent import most_frequent
-from .words import U64, mix, slices, window_hashes, words_of
+from .words import U64, mix, slices, small_batches, window_hashes, words_of
 
 WORDS = 5
 #: Similarity 75 / 100.
 NEED, OF = 75, 100
 FREQUENT = 1 << 20          # most features left out of the domain (8 MB sent to each task)
-COUNTED = 1 << 21           # shingles counted together before only the frequent ones are kept
+COUNTED = 1 << 20           # shingles counted together before only the frequent ones are kept
 LOCALLY, OVERALL = 2, 6     # least texts of one count, and of all counts, for a frequent feature
 ROWS_PER_TASK = 1_000_000   # signatures met in one task
 SPREAD = 32                 # tasks over which a signature that may be met by very many sets is dealt
@@ -355,6 +355,11 @@ def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", kee
     its members with one of them; then only members of different components are compared.  No link
     between different components is lost, and a bucket of near copies costs one comparison each.
     """
+    with small_batches(docs.sparkSession):
+        return _similar_groups(docs, text, key, keep)
+
+
+def _similar_groups(docs: DataFrame, text: str, key: str, keep: tuple[str, ...]) -> DataFrame:
     spark = docs.sparkSession
     cols = (key, *[c for c in keep if c != key])
     every = staged(describe(docs, text, cols), "described")

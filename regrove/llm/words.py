@@ -7,6 +7,7 @@ text length: hashing walks the buffer in blocks cut between words.
 
 from __future__ import annotations
 
+import contextlib
 import sys
 import types
 from dataclasses import dataclass
@@ -31,6 +32,18 @@ def worker_memo(name: str) -> dict:
     return home.__dict__.setdefault(name, {})
 
 
+@contextlib.contextmanager
+def small_batches(spark, rows: int = 1000):
+    """Arrow batches of fewer rows while tables are written: long texts come in pieces that fit beside the rest."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64): every input bit reaches every output bit."""
     x = x ^ (x >> U64(30))
