@@ -39,17 +39,19 @@ def term_subsets(spark: SparkSession, terms: Sequence[str], min_terms: int = 1,
 
 
 def fit_subsets(df: DataFrame, response: str | Sequence[str], subsets: DataFrame, family: str = "negbin",
-                theta: float | None = None, group: str | None = None, group_col: str | None = None, **options) -> Fit:
-    """Fit one model per response and subset in shared passes; the id is ``<group or response>#<bit code>``.
+                theta: float | None = None, group: str | Sequence[str] | None = None, group_col: str | None = None,
+                **options) -> Fit:
+    """Fit one model per response, group and subset in shared passes; the id is ``<group or response>#<bit code>``.
 
     Rows of other groups are filtered in the scan, before any batch leaves the engine.
     """
     rows = subsets.select("subset", "terms").orderBy("subset").collect()  # the models to fit
     responses = [response] if isinstance(response, str) else list(response)
-    models = [Model(f"{group or r}#{row['subset']}", r, tuple(row["terms"].split(",")), family, theta, group)
-              for r in responses for row in rows]
+    groups = [group] if group is None or isinstance(group, str) else list(group)
+    models = [Model(f"{g or r}#{row['subset']}", r, tuple(row["terms"].split(",")), family, theta, g)
+              for r in responses for g in groups for row in rows]
     if group is not None:
-        df = df.filter(F.col(group_col) == F.lit(group))
+        df = df.filter(F.col(group_col).isin(groups))
     return fit_models(df, models, group_col, **options)
 
 

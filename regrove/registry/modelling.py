@@ -7,7 +7,9 @@ the tests against brute force.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators import hypothesis as hy, selection as sel, summaries as sm
 from ..operators.glm import Model, count_checks, fit_models, likelihood_r2, overdispersion, with_null_models
@@ -170,28 +172,28 @@ def all_subsets(spark, d):
 _PREDICTORS = ["disc", "line", "price", "tax", "total"]
 
 
-def _subset_fit(spark, d, group="A"):
+def _subset_fit(spark, d):
     df = _design(spark, d)
     mask = hy.independence_mask(hy.spearman_matrix(df, _PREDICTORS))
-    return sel.fit_subsets(df, "y", sel.term_subsets(spark, _PREDICTORS, 1, 4, mask), group=group, group_col="l_returnflag", **_wide(spark))
+    return sel.fit_subsets(df, "y", sel.term_subsets(spark, _PREDICTORS, 1, 5, mask), group=_FLAGS, group_col="l_returnflag", **_wide(spark))
 
 
 @query()
 def subset_ranking(spark, d):
     r = sel.ranked_models(_subset_fit(spark, d).summary())
-    return out(r, "model_id", "terms", "k", "loglik", "aicc", "delta", "weight", digits=3)
+    return out(r, "model_group", "model_id", "terms", "k", "loglik", "aicc", "delta", "weight", digits=3)
 
 
 @query()
 def model_average(spark, d):
     fit = _subset_fit(spark, d)
-    return out(sel.average_models(sel.ranked_models(fit.summary()), fit.coefficients()), "term", "estimate", "se", "lower", "upper",
-               "signif", "n_models", digits=4)
+    return out(sel.average_models(sel.ranked_models(fit.summary()), fit.coefficients()), "model_group", "term", "estimate", "se",
+               "lower", "upper", "signif", "n_models", digits=4)
 
 
 @query()
 def averaged_effects(spark, d):
-    fit = _subset_fit(spark, d, "R")
+    fit = _subset_fit(spark, d)
     avg = sel.average_models(sel.ranked_models(fit.summary(), chat=1.2), fit.coefficients())
     kinds = {"price": "Cost", "total": "Cost", "disc": "Terms", "tax": "Terms"}
     return out(sel.averaged_table(avg, kinds, {"price": "Unit price", "total": "Line total"}), digits=4)
@@ -213,5 +215,7 @@ def species_models(spark, d):
 @query()
 def nb_checks(spark, d):
     df = _design(spark, d)
-    fit = fit_models(df, [Model("N", "y", ("price",), group="N")], "l_returnflag", **_wide(spark))
-    return out(count_checks(fit, df, "N", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"], "l_returnflag", sims=100), digits=4)
+    fit = fit_models(df, [Model(f, "y", ("price",), group=f) for f in _FLAGS], "l_returnflag", **_wide(spark))
+    checks = [count_checks(fit, df, f, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"], "l_returnflag", sims=100)
+              for f in _FLAGS]
+    return out(reduce(DataFrame.unionByName, checks), digits=4)

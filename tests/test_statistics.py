@@ -243,3 +243,21 @@ def test_effect_table_clamps_then_builds_intervals(spark):
 def test_z_scores(spark):
     r = sm.z_scores(frame(spark, x=[1.0, 2.0, 3.0, 6.0]), ["x"]).agg(F.avg("x"), F.stddev_samp("x")).first()
     assert r[0] == pytest.approx(0.0) and r[1] == pytest.approx(1.0)
+
+
+def test_model_queries_cover_every_flag_and_subset(spark):
+    import itertools
+    from regrove.registry import modelling
+    folder = "/root/testdata/sf0.001"
+    mask = hy.independence_mask(hy.spearman_matrix(modelling._design(spark, folder), modelling._PREDICTORS))
+    bad = [{r["var1"], r["var2"]} for r in mask.filter("not allowed").collect()]
+    want = {(f, ",".join(c)) for f in "ANR" for n in range(1, 6) for c in itertools.combinations(modelling._PREDICTORS, n)
+            if not any(b <= set(c) for b in bad)}
+    ranked = modelling.subset_ranking(spark, folder).collect()
+    assert {(r["model_group"], r["terms"]) for r in ranked} == want and len(ranked) == len(want)
+    for f in "ANR":
+        mine = [r for r in ranked if r["model_group"] == f]
+        assert sum(r["weight"] for r in mine) == pytest.approx(1.0, abs=0.01) and min(r["delta"] for r in mine) == 0
+    assert {r["model_group"] for r in modelling.model_average(spark, folder).collect()} == set("ANR")
+    assert {r["model_group"] for r in modelling.averaged_effects(spark, folder).collect()} == set("ANR")
+    assert sorted(r["model_id"] for r in modelling.nb_checks(spark, folder).collect()) == sorted("ANR" * 3)
