@@ -25,7 +25,7 @@ LETTERS = re.compile(r"[^\W\d_]{1,%d}" % LONGEST)
 #: Numerals that the pattern takes for letters, such as superscripts.
 NUMERALS = re.compile("[" + "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]")
 START = 0x2581                  # the vocabulary's mark of a word's first piece
-SAMPLE = 6000                   # training documents, about; chosen by hash
+SAMPLE = 1500                   # training documents of each language, about; chosen by hash
 FLOOR = 1e-9                    # probability of a letter that is in no piece, and of a piece never expected
 ROUNDS = 3
 REMEMBERED = 400_000            # words a worker remembers
@@ -190,17 +190,20 @@ def expected(words: list[str], counts: np.ndarray, vocabulary: Vocabulary, p: np
 
 
 def learn(rows: DataFrame, text: str, language: str, pieces: list[str], order: str = "doc_id") -> Pieces:
-    """Piece probabilities from a bounded sample of labelled rows (about ``SAMPLE`` rows, chosen by hash).
+    """Piece probabilities from a bounded sample of labelled rows: about ``SAMPLE`` of each language, chosen by hash.
 
-    Word counts per language are gathered once; each round spreads the words over tasks, which return
-    only sums of the size of the vocabulary.  Without labelled rows there is no language.
+    Labelled rows are counted per language first; a language of at most ``SAMPLE`` rows is learnt from all
+    of them, however many rows the others have.  Word counts per language are gathered once; each round
+    spreads the words over tasks, which return only sums of the size of the vocabulary.  Without labelled
+    rows there is no language.
     """
     spark = rows.sparkSession
-    labelled = rows.filter(F.col(language).isNotNull() & F.col(text).isNotNull())
-    share = min(1.0, SAMPLE / max(labelled.count(), 1))
-    # A threshold on the hash takes that share without sorting or moving any text.
-    sample = labelled.filter(F.pmod(F.xxhash64(order, text), F.lit(1_000_000_007)) < F.lit(int(share * 1_000_000_007))).select(
-        F.col(text).alias("t"), F.col(language).alias("l"))
+    labelled = rows.filter(F.col(language).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(text).alias("t"), F.col(language).alias("l"), F.pmod(F.xxhash64(order, text), F.lit(1_000_000_007)).alias("h"))
+    sizes = {r["l"]: r["n"] for r in labelled.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}      # one row per language
+    # A threshold on the hash takes that share of a language without sorting or moving any text.
+    limits = spark.createDataFrame([(l, int(min(1.0, SAMPLE / n) * 1_000_000_007)) for l, n in sizes.items()], "l string, below long")
+    sample = labelled.join(F.broadcast(limits), "l").filter("h < below")
 
     def count(batches):
         from collections import Counter
@@ -212,7 +215,7 @@ def learn(rows: DataFrame, text: str, language: str, pieces: list[str], order: s
                 yield pa.RecordBatch.from_arrays([pa.array([l] * len(c), pa.string()), pa.array(list(c), pa.string()),
                                                   pa.array(list(c.values()), pa.int64())], ["l", "w", "n"])
 
-    counted = (sample.select("t", "l").repartition(8).mapInArrow(count, "l string, w string, n long")
+    counted = (sample.select("t", "l").repartition(max(8, 2 * len(sizes))).mapInArrow(count, "l string, w string, n long")
                .groupBy("w", "l").agg(F.sum("n").alias("n")).groupBy("w").agg(F.map_from_entries(F.collect_list(F.struct("l", "n"))).alias("m")))
     counted = counted.persist()      # bounded by the sample; a lost part is counted again
     languages = [r[0] for r in counted.select(F.explode(F.map_keys("m")).alias("l")).distinct().orderBy("l").collect()]

@@ -202,6 +202,18 @@ def test_languages_of_held_out_documents(spark):
     assert sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.95 * len(held)
 
 
+def test_rare_languages_are_learnt(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE", 40)
+    common = [(i, f"the house number {i} stands near the old stone bridge and the river", "en") for i in range(4000)]
+    rare = [(10_000 + i, "sa bahay na malaki ay may pusa at aso kasama ang bata", "tl") for i in range(4)]
+    docs = spark.createDataFrame(common + rare, "doc_id long, text string, lang string")
+    pieces = language.public_pieces(registry.vocabulary_path(PIECES))[:3000]
+    model = language.learn(docs, "text", "lang", pieces)
+    assert model.languages == ["en", "tl"]
+    got = language.identify(docs.filter("doc_id >= 9990 or doc_id < 5"), model, pieces).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {i: "tl" if i >= 10_000 else "en" for i in [*range(5), *range(10_000, 10_004)]}
+
+
 def test_languages_on_odd_rows(odd_docs, no_docs):
     pieces = language.public_pieces(registry.vocabulary_path(PIECES))[:3000]
     model = language.learn(odd_docs, "text", "lang", pieces)
