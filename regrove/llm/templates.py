@@ -3,7 +3,9 @@
 Numbers, names and units of a text become typed placeholders, so a question that was only given
 new values keeps its template.  Windows of template tokens are joined by hash with those of the
 benchmark; windows of one alignment must fill the item's slots consistently: the same value of
-the item always stands for the same value in the document.
+the item always stands for the same value in the document.  Beside these, windows of the raw lower-cased
+tokens are joined, whatever they hold, so that verbatim copies of short items, of items dense in
+placeholders, and in other letter case are found as well.
 """
 
 from __future__ import annotations
@@ -21,16 +23,20 @@ LITERAL = 5             # of them at least must not be placeholders
 BROADCAST_WINDOWS = 1_000_000
 
 
-def raw_tokens(text: Column) -> Column:
+def raw_tokens(text: Column, names: bool = True) -> Column:
     """Tokens of a text in one string, apart by single spaces; names carry the mark 0x01."""
     t = F.coalesce(text, F.lit(""))
-    for _ in range(2):      # neighbours share a character, so every other one is left for the second turn
+    for _ in range(2 if names else 0):      # neighbours share a character, so every other one is left for the second turn
         t = F.regexp_replace(t, r"([\p{L}\p{N},;:] )(\p{Lu}\p{Ll}+)", "$1\u0001$2")
     for _ in range(2):
         t = F.regexp_replace(t, r"([0-9])[.,:/]([0-9])", "$1_$2")
     return F.trim(F.lower(F.regexp_replace(t, "[^\\p{L}\\p{N}_\u0001]+", " ")))
 
 
+def unmarked(raw: Column) -> Column:
+    return F.translate(raw, "\u0001", "")
+
+
 def template(raw: Column) -> Column:
     t = F.regexp_replace(raw, "\u0001[\\p{L}\\p{N}_]+", "#name")
     t = F.regexp_replace(t, r"(^| )[0-9][\p{L}\p{N}_]*", "$1#num")
@@ -54,13 +60,18 @@ def windows(tokens: Column, width: int) -> Column:
     return F.element_at(F.transform(F.array(hashes), of), 1)
 
 
+def distinct_items(benchmark: DataFrame, item: str, text: str) -> DataFrame:
+    """(r, item): items of equal tokens are one, under the least id."""
+    return (benchmark.select(F.col(item).alias("item"), raw_tokens(F.col(text)).alias("r")).groupBy("r")
+            .agg(F.min("item").alias("item")))
+
+
 def item_windows(benchmark: DataFrame, item: str, text: str) -> DataFrame:
     """(item, width, n_windows, place, hash, raw) of every window with enough literal tokens.
 
-    Items of equal tokens are one, under the least id.  A shorter item is one window of its own width.
+    A shorter item is one window of its own width.
     """
-    one = (benchmark.select(F.col(item).alias("item"), raw_tokens(F.col(text)).alias("r")).groupBy("r")
-           .agg(F.min("item").alias("item")).withColumn("raw", listed(F.col("r")))
+    one = (distinct_items(benchmark, item, text).withColumn("raw", listed(F.col("r")))
            .withColumn("tokens", listed(template(F.col("r"))))
            .withColumn("width", F.least(F.size("tokens"), F.lit(WIDTH))).filter("width > 0"))
     places = one.withColumn("place", F.explode(F.sequence(F.lit(0), F.size("tokens") - F.col("width"))))
@@ -74,15 +85,42 @@ def item_windows(benchmark: DataFrame, item: str, text: str) -> DataFrame:
     return kept.join(counts, "item").drop("t")
 
 
+def raw_item_windows(benchmark: DataFrame, item: str, text: str) -> DataFrame:
+    """(item, width, n_raw, place, hash) of every window of raw tokens; a shorter item is one window."""
+    one = (distinct_items(benchmark, item, text).select("item", listed(unmarked(F.col("r"))).alias("raw"))
+           .withColumn("width", F.least(F.size("raw"), F.lit(WIDTH))).filter("width > 0")
+           .withColumn("n_raw", (F.size("raw") - F.col("width") + 1).cast("long")))
+    places = one.withColumn("place", F.explode(F.sequence(F.lit(0), F.size("raw") - F.col("width"))))
+    cut = F.slice("raw", F.col("place") + 1, F.col("width"))
+    return places.select("item", "width", "n_raw", "place", F.xxhash64(F.transform(cut, lambda x: F.xxhash64(x))).alias("hash"))
+
+
+def raw_places(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str) -> DataFrame:
+    """(__key, __hash, item, place, n_raw) of the items' raw windows that a document holds anywhere, in one pass."""
+    items = staged(raw_item_windows(benchmark, item, item_text), "raw-item-windows")
+    widths = {r["width"]: r["n"] for r in items.groupBy("width").agg(F.count(F.lit(1)).alias("n")).collect()}    # 8 rows at most
+    tokens = listed(unmarked(raw_tokens(F.col(text), names=False)))
+    held = F.array_distinct(F.concat(*[windows(tokens, w) for w in sorted(widths) or [WIDTH]]))
+    # The text is hashed below the explosion, once per document and not once per window.
+    base = docs.select(F.col(key).alias("__key"), F.xxhash64(text).alias("__hash"), held.alias("__held"))
+    spread = base.select("__key", "__hash", F.explode("__held").alias("hash"))
+    side = items.drop("width")
+    found = spread.join(F.broadcast(side) if sum(widths.values()) <= BROADCAST_WINDOWS else side, "hash")
+    return found.select("__key", "__hash", "item", "place", "n_raw")
+
+
 def template_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
                      item_text: str = "text", share: float = 0.5) -> DataFrame:
     """Documents that hold a benchmark item, perhaps with other numbers, names or units.
 
     One row per document (its ``key`` and ``__text_hash``) and item: ``n_windows`` of the item, distinct
     ``matched`` ones in consistent alignments, ``n_slots`` filled and ``n_changed`` slots whose value differs.
-    A pair is a match when ``share`` of the windows are matched.  Items of fewer than five literal
-    tokens have no window and match nothing; a null or empty text matches nothing; null keys take part.
-    Repeated rows give one row; rows of equal key and different text give one row each.  Other columns
+    A pair is a match when ``share`` of the windows are matched.  Windows of fewer than five literal
+    tokens have no template.  A pair that is no match by templates is one when ``share`` of all windows,
+    low in literals or not, are matched by template or by equal raw tokens in any letter case; then
+    ``n_windows`` and ``matched`` count all of them.  An item of fewer than eight tokens is one raw window,
+    so even an item of a single word matches every text that holds the word.
+    An item without tokens and a null or empty text match nothing; null keys take part.  Repeated rows give one row; rows of equal key and different text give one row each.  Other columns
     are not read.
 
     The windows of the benchmark are counted first and broadcast only below ``BROADCAST_WINDOWS``;
@@ -125,12 +163,20 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id",
         F.coalesce("values", F.lit(0)).alias("values"), F.coalesce("changed", F.lit(0)).alias("changed"))
     fitting = joined.filter("pairs = values")
     # A document may hold an item at several shifts; its slots are those of the richest one.
-    by_item = fitting.groupBy("__key", "__hash", "item").agg(
-        F.max("n_windows").alias("n_windows"), F.countDistinct("place").alias("matched"),
-        F.max("pairs").alias("n_slots"), F.min("changed").alias("n_changed"))
-    return by_item.filter(F.col("matched") >= share * F.col("n_windows")).select(
-        F.col("__key").alias(key), F.col("__hash").alias("__text_hash"), F.col("item").alias(item), "n_windows", "matched",
-        "n_slots", "n_changed")
+    by_template = fitting.select("__key", "__hash", "item", "place", "n_windows", "pairs", "changed", F.lit(None).cast("long").alias("n_raw"))
+    by_raw = raw_places(docs, benchmark, key, text, item, item_text).select(
+        "__key", "__hash", "item", "place", *[F.lit(None).cast("long").alias(c) for c in ("n_windows", "pairs", "changed")], "n_raw")
+    by_place = by_template.union(by_raw).groupBy("__key", "__hash", "item", "place").agg(
+        F.max("n_windows").alias("n_windows"), F.max("pairs").alias("pairs"), F.min("changed").alias("changed"), F.max("n_raw").alias("n_raw"))
+    by_item = by_place.groupBy("__key", "__hash", "item").agg(
+        F.max("n_windows").alias("n_windows"), F.count("n_windows").alias("matched"), F.max("n_raw").alias("n_raw"),
+        F.count(F.lit(1)).alias("held"), F.max("pairs").alias("n_slots"), F.min("changed").alias("n_changed"))
+    templated = F.coalesce(F.col("matched") >= share * F.col("n_windows"), F.lit(False))
+    return by_item.filter(templated | (F.col("held") >= share * F.col("n_raw"))).select(
+        F.col("__key").alias(key), F.col("__hash").alias("__text_hash"), F.col("item").alias(item),
+        F.when(templated, F.col("n_windows")).otherwise(F.col("n_raw")).alias("n_windows"),
+        F.when(templated, F.col("matched")).otherwise(F.col("held")).alias("matched"),
+        F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("n_changed", F.lit(0)).alias("n_changed"))
 
 
 def without_matches(docs: DataFrame, matches: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -148,6 +148,21 @@ def test_templates_find_changed_questions(spark):
     assert {r.doc_id for r in kept} >= {4, 5, 6, 7} and not {r.doc_id for r in kept} & {1, 3, None}
 
 
+@pytest.mark.parametrize("limit", [templates.BROADCAST_WINDOWS, 0])
+def test_verbatim_copies_of_short_and_dense_items(spark, monkeypatch, limit):
+    monkeypatch.setattr(templates, "BROADCAST_WINDOWS", limit)
+    dense = "On 3 May 1912 Anna Berg paid 12 km 40 kg 7 dollars 99 cents to Karl Holm in Oslo 1913 1914 1915"
+    named = "He told Anna Berg that Karl Holm met Lena Falk and Olaf Lund near Oslo before the Winter"
+    bench = spark.createDataFrame([(1, "What is 17 times 23?"), (2, dense), (3, named), (4, "..."), (5, "yes")], "item_id long, text string")
+    docs = spark.createDataFrame([
+        (1, "Tell me: what is 17 times 23? Thanks."), (2, "Table 4. " + dense + " End of it."), (3, "and " + named.upper()),
+        (4, "What is 18 times 23?"), (5, "... nothing"), (None, "what is 17 times 23"), (6, None), (7, "Oh YES indeed"), (8, "yesterday")],
+        "doc_id long, text string")
+    found = templates.template_matches(docs, bench)
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 1), (2, 2), (3, 3), (None, 1), (7, 5)}
+    assert {r.doc_id for r in templates.without_matches(docs, found).collect()} == {4, 5, 6, 8}
+
+
 def test_templates_without_a_broadcast(spark, monkeypatch):
     docs, bench = spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/benchmark.parquet")
     want = sorted((r.doc_id, r.item_id, r.matched) for r in templates.template_matches(docs, bench).collect())
