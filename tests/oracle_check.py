@@ -55,7 +55,7 @@ def compare(name, df, sql, con):
 
 
 def main():
-    from regrove.registry import oracles, queries
+    from __spark_entry__ import oracle_sql as oracles, queries
     from regrove.session import local_session
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     folder = f"/root/testdata/sf{sf}"
