@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import staged
-from . import (brown, language, packing, partenum, personal_data, quality_bands, ranking, shards, templates,
+from . import (brown, fill_middle, language, packing, partenum, personal_data, prefix_trie, quality_bands, ranking, shards, templates,
                token_files)
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +174,64 @@ def op5_pairwise_ranking(spark: SparkSession, folder: str) -> DataFrame:
     train = rows.filter(fold(of=5) != 0).join(marks, "doc_id")
     model = ranking.fit(staged(train, "labelled"))
     return ranking.score(rows, model).withColumn("held_out", fold(of=5) == 0)
+
+
+@query
+def op11_skip_list_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """Form, cuts and digests of every document's fill-in-the-middle output."""
+    made = fill_middle.fill_in_middle(read(spark, folder, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+                       F.sha2(fill_middle.restore().cast("binary"), 256).alias("restored_sha256"))
+
+
+_ORACLES["op11_skip_list_middle"] = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x,
+             regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+             sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+h AS (SELECT *, len(u) AS n, list_transform(range(0, 4), lambda k: CAST('0x' || s[8 * k + 1:8 * k + 8] AS BIGINT)) AS h FROM t),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+        CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR h[3] % 100 >= 50 THEN 'plain'
+             WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE x END) AS output_sha256,
+       sha256(x) AS restored_sha256
+FROM p
+"""
+
+
+@query
+def op12_centroid_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """All nodes of the prefix trie of the rebuilt conversations."""
+    return prefix_trie.conversation_trie(read(spark, folder, "conversations"), openings=True)
+
+
+_ORACLES["op12_centroid_trie"] = r"""
+WITH o AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+           FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT DISTINCT c FROM o),
+digits AS (SELECT c, CAST(c AS VARCHAR) AS s FROM k),
+crc AS (WITH RECURSIVE r AS (SELECT c, s, 0 AS i, CAST(4294967295 AS BIGINT) AS v FROM digits
+          UNION ALL
+          SELECT c, s, i + 1, list_reduce(list_prepend(xor(v, CAST(ascii(s[i + 1:i + 1]) AS BIGINT)), range(0, 8)),
+            lambda x, z: xor(x >> 1, (x & 1) * CAST(3988292384 AS BIGINT))) FROM r WHERE i < length(s))
+        SELECT c, xor(v, CAST(4294967295 AS BIGINT)) % 4 AS h FROM r WHERE i = length(s)),
+n AS (SELECT c, c - c % 20 AS base, h FROM crc),
+t AS (SELECT n.c, 0 AS own, p, role, text FROM n JOIN o ON o.c = n.base AND p <= h
+      UNION ALL SELECT n.c, 1, p, role, text FROM n JOIN o ON o.c = n.c AND p > h),
+d AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, p) AS d, role, text FROM t),
+w AS (SELECT c, d, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words, list({'r': role, 't': text}) OVER (PARTITION BY c ORDER BY d) AS path FROM d),
+l AS (SELECT k.c, count(d) AS turns FROM k LEFT JOIN d USING (c) GROUP BY k.c),
+m AS (SELECT path, d AS depth, min(c) AS conv_id, count(*) AS n_convs, max(words) AS words,
+        string_agg(CASE WHEN turns = d THEN CAST(c AS VARCHAR) END, ',' ORDER BY c) AS ends FROM w JOIN l USING (c) GROUP BY path, d
+      UNION ALL SELECT [], 0, min(c), count(*), 0, string_agg(CASE WHEN turns = 0 THEN CAST(c AS VARCHAR) END, ',' ORDER BY c) FROM l HAVING count(*) > 0),
+f AS (SELECT m.*, (SELECT count(*) FROM m x WHERE x.depth = m.depth + 1 AND x.path[1:m.depth] = m.path) AS n_children FROM m),
+s AS (SELECT a.path, a.depth, sum(CASE WHEN b.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((b.n_convs - 1) * b.words) AS saved
+      FROM f a JOIN f b ON b.depth >= a.depth AND b.path[1:a.depth] = a.path GROUP BY a.path, a.depth)
+SELECT f.conv_id, CAST(f.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves,
+       CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(f.ends, '')) AS ends_sha256
+FROM f JOIN s ON s.path = f.path AND s.depth = f.depth LEFT JOIN f u ON f.depth > 0 AND u.depth = f.depth - 1 AND u.path = f.path[1:f.depth - 1]
+"""
