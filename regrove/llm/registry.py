@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import staged
-from . import (brown, fill_middle, language, packing, partenum, personal_data, prefix_trie, quality_bands, ranking, shards, templates,
+from . import (brown, fill_middle, language, mixing, packing, partenum, personal_data, prefix_trie, quality_bands, ranking, shards, templates,
                token_files)
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -235,3 +235,11 @@ SELECT f.conv_id, CAST(f.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id,
        CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(f.ends, '')) AS ends_sha256
 FROM f JOIN s ON s.path = f.path AND s.depth = f.depth LEFT JOIN f u ON f.depth > 0 AND u.depth = f.depth - 1 AND u.path = f.path[1:f.depth - 1]
 """
+
+
+@query
+def op13_pareto_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that the mix takes of every document; longer documents are preferred by the square root of their length."""
+    docs = read(spark, folder, "documents")
+    mixed = mixing.mix_sources(docs, importance=F.sqrt(prefix_trie.word_count()))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "chance")
