@@ -20,15 +20,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from .words import U64, mix, worker_memo
 
-LONGEST = 48                    # letters; longer runs are cut into words of this many
-LETTERS = re.compile(r"[^\W\d_]{1,%d}" % LONGEST)
-#: Numerals that the pattern takes for letters, such as superscripts.
-NUMERALS = re.compile("[" + "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]")
+LONGEST = 48                    # letters of words that are scored as whole matrices; longer ones are scored one by one
+LETTERS = re.compile(r"[^\W\d_]+")
 START = 0x2581                  # the vocabulary's mark of a word's first piece
 SAMPLE = 1500                   # training documents of each language, about; chosen by hash
 FLOOR = 1e-9                    # probability of a letter that is in no piece, and of a piece never expected
 ROUNDS = 3
-REMEMBERED = 400_000            # words a worker remembers
+REMEMBERED = 100_000            # words a worker remembers
 
 
 def public_pieces(path: str) -> list[str]:
@@ -105,11 +103,14 @@ def piece_hash(piece: str) -> np.uint64:
     return h[0]
 
 
+def letters_only(word: str) -> str:
+    """The word without numerals that the pattern takes for letters, such as superscripts."""
+    return word if word.isalpha() else "".join(filter(str.isalpha, word))
+
+
 def cut_words(text: str) -> list[str]:
-    words = LETTERS.findall(text.lower())
-    if not text.isascii() and NUMERALS.search(text):
-        words = [x for w in words if (x := w if w.isalpha() else "".join(filter(str.isalpha, w)))]
-    return words
+    """Runs of letters in lower case; ``letters_only`` of each distinct one is the word that is scored."""
+    return LETTERS.findall(text.lower())
 
 
 def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -152,13 +153,43 @@ def unknown_letters(found, rows: int, width: int) -> np.ndarray:
 
 
 def word_scores(words: list[str], vocabulary: Vocabulary, p: np.ndarray) -> np.ndarray:
-    """log probability of each word in each language."""
+    """log probability of each word in each language; of the empty word 0."""
     out = np.zeros((len(words), p.shape[1]))
-    for at, codes in by_length(words):
-        out[at] = np.log(np.maximum(forward(codes, vocabulary, p)[0][-1], 1e-300))
+    short = [i for i, w in enumerate(words) if 0 < len(w) <= LONGEST]
+    for at, codes in by_length([words[i] for i in short]):
+        out[np.array(short)[at]] = np.log(np.maximum(forward(codes, vocabulary, p)[0][-1], 1e-300))
+    for i, w in enumerate(words):
+        if len(w) > LONGEST:
+            out[i] = long_word_score(w, vocabulary, p)
     return out
 
 
+def long_word_score(word: str, vocabulary: Vocabulary, p: np.ndarray, block: int = 4096) -> np.ndarray:
+    """The same sum for a word of any length: only the last prefix sums are kept, scaled before they get too small."""
+    codes = np.concatenate([[START], np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)])
+    padded = np.vstack([p, np.full((1, p.shape[1]), FLOOR), np.zeros((1, p.shape[1]))])     # last rows: an unknown letter, no piece
+    reach, unknown, none = vocabulary.longest, len(p), len(p) + 1
+    last = np.zeros((reach, p.shape[1]))        # sums of the prefixes before, the nearest first
+    last[0] = 1.0
+    scale = np.zeros(p.shape[1])
+    for a in range(0, len(codes), block):
+        part = codes[max(0, a - reach + 1):a + block]
+        ends = np.full((len(part), reach), none, np.int64)
+        known = np.zeros(len(part), bool)
+        for n, ids in vocabulary.lookup(part[None, :]):
+            ends[n - 1:, n - 1] = np.where(ids[0] >= 0, ids[0], none)
+            if n == 1:
+                known = ids[0] >= 0
+        ends[~known, 0] = unknown
+        for row in ends[len(part) - min(block, len(codes) - a):]:
+            now = (last * padded[row]).sum(axis=0)
+            last = np.concatenate([now[None], last[:-1]])
+            if now.min() < 1e-150:
+                top = np.maximum(last.max(axis=0), 1e-300)
+                last, scale = last / top, scale + np.log(top)
+    return scale + np.log(np.maximum(last[0], 1e-300))
+
+
 def expected(words: list[str], counts: np.ndarray, vocabulary: Vocabulary, p: np.ndarray) -> np.ndarray:
     """Expected uses of each piece over all segmentations, words weighted by ``counts`` (words x languages)."""
     total = np.zeros((len(vocabulary), p.shape[1]))
@@ -189,6 +220,14 @@ def expected(words: list[str], counts: np.ndarray, vocabulary: Vocabulary, p: np
     return total
 
 
+def remembered_vocabulary(pieces: list[str]) -> Vocabulary:
+    """One vocabulary for each Python worker, kept from task to task."""
+    memo = worker_memo("vocabulary")
+    if memo.get("pieces") != pieces:
+        memo.update(pieces=pieces, vocabulary=Vocabulary(pieces))
+    return memo["vocabulary"]
+
+
 def learn(rows: DataFrame, text: str, language: str, pieces: list[str], order: str = "doc_id") -> Pieces:
     """Piece probabilities from a bounded sample of labelled rows: about ``SAMPLE`` of each language, chosen by hash.
 
@@ -211,7 +250,12 @@ def learn(rows: DataFrame, text: str, language: str, pieces: list[str], order: s
             table: dict = {}
             for t, l in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 table.setdefault(l, Counter()).update(cut_words(t))
-            for l, c in table.items():
+            for l, runs in table.items():
+                c: Counter = Counter()
+                for w, n in runs.items():
+                    w = letters_only(w)
+                    for i in range(0, len(w), LONGEST):     # learning cuts longer words
+                        c[w[i:i + LONGEST]] += n
                 yield pa.RecordBatch.from_arrays([pa.array([l] * len(c), pa.string()), pa.array(list(c), pa.string()),
                                                   pa.array(list(c.values()), pa.int64())], ["l", "w", "n"])
 
@@ -227,7 +271,7 @@ def learn(rows: DataFrame, text: str, language: str, pieces: list[str], order: s
 
         def step(batches):
             known, prob, names = shared.value
-            vocab = Vocabulary(known)
+            vocab = remembered_vocabulary(known)
             total = np.zeros((len(vocab), len(names)))
             for batch in batches:
                 words = batch.column(0).to_pylist()
@@ -252,24 +296,28 @@ def identify(docs: DataFrame, model: Pieces, pieces: list[str], text: str = "tex
 
     Words depend on each other, so log likelihoods are multiplied by ``temper`` before they become a
     posterior.  A text that is null or has no letter, and every text when nothing was learnt, is ``und``
-    with score 0.  Ties go to the first language by name.  Whole texts are scored; a run of more than
-    48 letters counts as several words.  One pass without a shuffle.
+    with score 0.  Ties go to the first language by name.  Whole texts are scored, words of any length
+    too.  Repeated rows give repeated rows; an empty table gives none.  Columns that are not kept are not read; a
+    kept column may not be named ``lang_pred`` or ``score``.  One pass without a shuffle.
     """
+    if {"lang_pred", "score"} & set(keep):
+        raise ValueError("kept columns may not be named lang_pred or score")
     kinds = dict(docs.select(*keep).dtypes)
     schema = "".join(f"`{c}` {kinds[c]}, " for c in keep) + "lang_pred string, score double"
     shared = docs.sparkSession.sparkContext.broadcast((pieces, model.probability, model.languages, uuid.uuid4().hex))
+    place = keep.index(text) if text in keep else len(keep)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, p, names, version = shared.value
         memo = worker_memo("language")
         if memo.get("version") != version:      # words stay known from task to task of the same model
             memo.clear()
-            memo.update(version=version, vocabulary=Vocabulary(known), index={}, table=np.zeros((1 << 16, len(names))))
-        vocabulary, index = memo["vocabulary"], memo["index"]
+            memo.update(version=version, index={}, table=np.zeros((1 << 16, len(names))), lettered=np.zeros(1 << 16, bool))
+        vocabulary, index = remembered_vocabulary(known), memo["index"]
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                found = [cut_words(t) if t else [] for t in part.column(len(keep)).to_pylist()]
+                found = [cut_words(t) if t else [] for t in part.column(place).to_pylist()]
                 if len(index) > REMEMBERED:
                     index.clear()
                 flat = list(itertools.chain.from_iterable(found)) if names else []
@@ -279,14 +327,18 @@ def identify(docs: DataFrame, model: Pieces, pieces: list[str], text: str = "tex
                     first, last = len(index), len(index) + len(fresh)
                     if last > len(memo["table"]):
                         memo["table"] = np.vstack([memo["table"][:first], np.zeros((last, len(names)))])
-                    memo["table"][first:last] = word_scores(fresh, vocabulary, p)
+                        memo["lettered"] = np.append(memo["lettered"][:first], np.zeros(last, bool))
+                    clean = [letters_only(w) for w in fresh]
+                    memo["table"][first:last] = word_scores(clean, vocabulary, p)
+                    memo["lettered"][first:last] = [bool(w) for w in clean]
                     index.update(zip(fresh, range(first, last)))
                     at = list(map(index.__getitem__, flat))
-                values = memo["table"][np.array(at, np.int64)]
+                at = np.array(at, np.int64)
+                values, lettered = memo["table"][at], memo["lettered"][at]
                 ends = np.cumsum([len(ws) for ws in found]) if names else np.zeros(len(found), np.int64)
                 pred, score = [], []
                 for ws, end in zip(found, ends):
-                    if not ws or not names:
+                    if not names or not lettered[end - len(ws):end].any():
                         pred.append("und")
                         score.append(0.0)
                         continue
@@ -297,4 +349,5 @@ def identify(docs: DataFrame, model: Pieces, pieces: list[str], text: str = "tex
                 yield pa.RecordBatch.from_arrays([*part.columns[:len(keep)], pa.array(pred, pa.string()), pa.array(score, pa.float64())],
                                                  [*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(scan, schema)
+    # A kept text is sent to Python once.
+    return docs.select(*keep, *([] if text in keep else [F.col(text).alias("__text")])).mapInArrow(scan, schema)

@@ -110,8 +110,10 @@ WITH d0 AS (SELECT doc_id, {_raw_sql('text')} AS r FROM documents),
 d1 AS (SELECT doc_id, string_split(r, ' ') AS raw, string_split({_TEMPLATE_SQL}, ' ') AS t FROM d0 WHERE r <> ''),
 d AS (SELECT doc_id, p, raw[p + 1:p + 8] AS raw, array_to_string(t[p + 1:p + 8], ' ') AS win
       FROM (SELECT *, unnest(range(0, len(t) - 7)) AS p FROM d1)),
-b0 AS (SELECT min(item_id) AS item_id, r FROM (SELECT item_id, {_raw_sql('text')} AS r FROM benchmark) GROUP BY r),
-b1 AS (SELECT item_id, string_split(r, ' ') AS raw, string_split({_TEMPLATE_SQL}, ' ') AS t FROM b0 WHERE r <> ''),
+b0 AS (SELECT item_id, string_split(r, ' ') AS raw, string_split({_TEMPLATE_SQL}, ' ') AS t
+       FROM (SELECT item_id, {_raw_sql('text')} AS r FROM benchmark) WHERE r <> ''),
+b1 AS (SELECT item_id, raw, t FROM b0
+       QUALIFY row_number() OVER (PARTITION BY t, list_transform(raw, lambda x: list_position(raw, x)) ORDER BY item_id NULLS LAST, raw) = 1),
 b AS (SELECT item_id, p, raw[p + 1:p + 8] AS raw, array_to_string(t[p + 1:p + 8], ' ') AS win, count(*) OVER (PARTITION BY item_id) AS n_windows
       FROM (SELECT *, unnest(range(0, len(t) - 7)) AS p FROM b1)
       WHERE len(list_filter(t[p + 1:p + 8], lambda x: x[1] <> '#')) >= 5),

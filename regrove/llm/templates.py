@@ -5,7 +5,11 @@ new values keeps its template.  Windows of template tokens are joined by hash wi
 benchmark; windows of one alignment must fill the item's slots consistently: the same value of
 the item always stands for the same value in the document.  Beside these, windows of the raw lower-cased
 tokens are joined, whatever they hold, so that verbatim copies of short items, of items dense in
-placeholders, and in other letter case are found as well.
+placeholders, and in other letter case are found as well.  Each text is canonicalised once and read in one pass.
+
+Items of one template whose slots repeat values at the same places are one class, under the least id: documents are
+matched with classes, and ``item_classes`` tells the members.  So a template with many items and many
+documents gives one row per document, not one per pair.
 """
 
 from __future__ import annotations
@@ -60,20 +64,34 @@ def windows(tokens: Column, width: int) -> Column:
     return F.element_at(F.transform(F.array(hashes), of), 1)
 
 
-def distinct_items(benchmark: DataFrame, item: str, text: str) -> DataFrame:
-    """(r, item): items of equal tokens are one, under the least id."""
-    return (benchmark.select(F.col(item).alias("item"), raw_tokens(F.col(text)).alias("r")).groupBy("r")
-            .agg(F.min("item").alias("item")))
+def classed(benchmark: DataFrame, item: str, text: str) -> DataFrame:
+    """(item, r, key) of every item with a token; ``key`` is its template and, for each token, the place where it comes first."""
+    one = benchmark.select(F.col(item).alias("item"), raw_tokens(F.col(text)).alias("r")).filter("r <> ''")
+    raw = listed(F.col("r"))
+    first = F.transform(raw, lambda x: F.array_position(raw, x))
+    return one.withColumn("key", F.sha2(F.concat_ws("|", template(F.col("r")), F.array_join(first, " ")), 256))
+
+
+def _representatives(items: DataFrame) -> DataFrame:
+    """(key, item, r) of the item with the least id of each class."""
+    best = items.groupBy("key").agg(F.min(F.struct(F.col("item").isNull().alias("none"), "item", "r")).alias("m"))
+    return best.select("key", "m.item", "m.r")
+
+
+def item_classes(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
+    """``item`` and the ``representative`` of its class; items without tokens have none."""
+    items = classed(benchmark, item, text)
+    return items.join(_representatives(items).select("key", F.col("item").alias("representative")), "key").select(
+        F.col("item").alias(item), "representative")
 
 
-def item_windows(benchmark: DataFrame, item: str, text: str) -> DataFrame:
-    """(item, width, n_windows, place, hash, raw) of every window with enough literal tokens.
+def item_windows(items: DataFrame) -> DataFrame:
+    """(item, width, n_windows, place, hash, item_raw) of every window of a representative with enough literal tokens.
 
     A shorter item is one window of its own width.
     """
-    one = (distinct_items(benchmark, item, text).withColumn("raw", listed(F.col("r")))
-           .withColumn("tokens", listed(template(F.col("r"))))
-           .withColumn("width", F.least(F.size("tokens"), F.lit(WIDTH))).filter("width > 0"))
+    one = (_representatives(items).withColumn("raw", listed(F.col("r"))).withColumn("tokens", listed(template(F.col("r"))))
+           .withColumn("width", F.least(F.size("tokens"), F.lit(WIDTH))))
     places = one.withColumn("place", F.explode(F.sequence(F.lit(0), F.size("tokens") - F.col("width"))))
     cut = places.select("item", "width", "place", F.slice("tokens", F.col("place") + 1, F.col("width")).alias("t"),
                         F.slice("raw", F.col("place") + 1, F.col("width")).alias("item_raw"))
@@ -85,69 +103,80 @@ def item_windows(benchmark: DataFrame, item: str, text: str) -> DataFrame:
     return kept.join(counts, "item").drop("t")
 
 
-def raw_item_windows(benchmark: DataFrame, item: str, text: str) -> DataFrame:
-    """(item, width, n_raw, place, hash) of every window of raw tokens; a shorter item is one window."""
-    one = (distinct_items(benchmark, item, text).select("item", listed(unmarked(F.col("r"))).alias("raw"))
+def raw_item_windows(items: DataFrame) -> DataFrame:
+    """(item, width, n_raw, place, hash) of every window of raw tokens of any member of a class; a shorter item is one window."""
+    best = _representatives(items).select("key", F.col("item").alias("best"))
+    one = (items.join(best, "key").select(F.col("best").alias("item"), listed(unmarked(F.col("r"))).alias("raw"))
            .withColumn("width", F.least(F.size("raw"), F.lit(WIDTH))).filter("width > 0")
            .withColumn("n_raw", (F.size("raw") - F.col("width") + 1).cast("long")))
     places = one.withColumn("place", F.explode(F.sequence(F.lit(0), F.size("raw") - F.col("width"))))
     cut = F.slice("raw", F.col("place") + 1, F.col("width"))
-    return places.select("item", "width", "n_raw", "place", F.xxhash64(F.transform(cut, lambda x: F.xxhash64(x))).alias("hash"))
+    return places.select("item", "width", "n_raw", "place", F.xxhash64(F.transform(cut, lambda x: F.xxhash64(x))).alias("hash")).distinct()
+
+
+def short_lines(text: Column, width: int) -> Column:
+    """Hashes of the lines of just ``width`` tokens."""
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: listed(unmarked(raw_tokens(x))))
+    few = F.filter(lines, lambda x: F.size(x) == width)
+    return F.transform(few, lambda x: F.xxhash64(F.transform(x, lambda t: F.xxhash64(t))))
+
+
+def _placed(hashes: Column, width: int) -> Column:
+    return F.transform(hashes, lambda h, i: F.struct(F.lit("t").alias("kind"), F.lit(width).alias("width"), i.alias("pos"), h.alias("hash")))
 
 
-def raw_places(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str) -> DataFrame:
-    """(__key, __hash, item, place, n_raw) of the items' raw windows that a document holds anywhere, in one pass."""
-    items = staged(raw_item_windows(benchmark, item, item_text), "raw-item-windows")
-    widths = {r["width"]: r["n"] for r in items.groupBy("width").agg(F.count(F.lit(1)).alias("n")).collect()}    # 8 rows at most
-    tokens = listed(unmarked(raw_tokens(F.col(text), names=False)))
-    held = F.array_distinct(F.concat(*[windows(tokens, w) for w in sorted(widths) or [WIDTH]]))
-    # The text is hashed below the explosion, once per document and not once per window.
-    base = docs.select(F.col(key).alias("__key"), F.xxhash64(text).alias("__hash"), held.alias("__held"))
-    spread = base.select("__key", "__hash", F.explode("__held").alias("hash"))
-    side = items.drop("width")
-    found = spread.join(F.broadcast(side) if sum(widths.values()) <= BROADCAST_WINDOWS else side, "hash")
-    return found.select("__key", "__hash", "item", "place", "n_raw")
+def _unplaced(hashes: Column, kind: str, width: int) -> Column:
+    return F.transform(hashes, lambda h: F.struct(F.lit(kind).alias("kind"), F.lit(width).alias("width"), F.lit(None).cast("int").alias("pos"), h.alias("hash")))
 
 
 def template_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
                      item_text: str = "text", share: float = 0.5) -> DataFrame:
     """Documents that hold a benchmark item, perhaps with other numbers, names or units.
 
-    One row per document (its ``key`` and ``__text_hash``) and item: ``n_windows`` of the item, distinct
-    ``matched`` ones in consistent alignments, ``n_slots`` filled and ``n_changed`` slots whose value differs.
-    A pair is a match when ``share`` of the windows are matched.  Windows of fewer than five literal
+    One row per document (its ``key`` and ``__text_hash``) and item class (``item``: its least member; see ``item_classes``):
+    ``n_windows`` of the item, distinct ``matched`` ones in consistent alignments, ``n_slots`` filled and ``n_changed`` slots whose
+    value differs from the least member's.  A pair is a match when ``share`` of the windows are matched.  Windows of fewer than five literal
     tokens have no template.  A pair that is no match by templates is one when ``share`` of all windows,
-    low in literals or not, are matched by template or by equal raw tokens in any letter case; then
-    ``n_windows`` and ``matched`` count all of them.  An item of fewer than eight tokens is one raw window,
-    so even an item of a single word matches every text that holds the word.
+    low in literals or not, are matched by template or by equal raw tokens of a member in any letter case; then
+    ``n_windows`` and ``matched`` count all of them.  An item of five to seven tokens is one raw window; one of fewer is too little evidence inside
+    a text and matches only a whole line with the same tokens.
     An item without tokens and a null or empty text match nothing; null keys take part.  Repeated rows give one row; rows of equal key and different text give one row each.  Other columns
     are not read.
 
     The windows of the benchmark are counted first and broadcast only below ``BROADCAST_WINDOWS``;
     beyond it both sides are shuffled by hash and the few documents with a hit are read again.
     """
-    items = staged(item_windows(benchmark, item, item_text), "item-windows")
-    widths = [(r["width"], r["n"]) for r in items.groupBy("width").agg(F.count(F.lit(1)).alias("n")).collect()]  # 8 rows at most
-    small = sum(n for _, n in widths) <= BROADCAST_WINDOWS
-    base = docs.select(F.col(key).alias("__key"), F.xxhash64(text).alias("__hash"), raw_tokens(F.col(text)).alias("__raw"))
-    hits = None
-    for width, _ in widths or [(WIDTH, 0)]:
-        side = items.filter(F.col("width") == width).drop("width")
-        columns = ["__key", "__hash"] + (["__raw"] if small else [])
-        spread = base.select(*columns, F.posexplode(windows(listed(template(F.col("__raw"))), width)).alias("pos", "hash"))
-        found = spread.join(F.broadcast(side) if small else side, "hash")
-        if not small:
-            found = staged(found, "template-hits")
-            wanted = found.select("__key", "__hash").distinct()
-            again = base.alias("d").join(wanted.alias("w"), F.col("d.__key").eqNullSafe(F.col("w.__key")) & (
-                F.col("d.__hash") == F.col("w.__hash")), "left_semi").distinct()
-            again = again.select(F.col("__key").alias("k2"), F.col("__hash").alias("h2"), "__raw")
-            found = found.join(again, F.col("__key").eqNullSafe(F.col("k2")) & (F.col("__hash") == F.col("h2"))).drop("k2", "h2")
-        doc_raw = F.slice(F.split("__raw", " "), F.col("pos") + 1, width)
-        one = found.select("__key", "__hash", "item", "n_windows", "place", (F.col("pos") - F.col("place")).alias("shift"),
-                           doc_raw.alias("doc_raw"), "item_raw")
-        hits = one if hits is None else hits.union(one)
-    hits = staged(hits, "template-windows")
+    items = staged(classed(benchmark, item, item_text), "items")       # every branch reads the few canonical items, not the benchmark
+    by_template, by_raw = item_windows(items), raw_item_windows(items)
+    none = F.lit(None)
+    side = staged(by_template.select("item", F.lit("t").alias("kind"), F.col("width"), "place", "hash", "n_windows", none.cast("long").alias("n_raw"), "item_raw").union(
+        by_raw.select("item", F.when(F.col("width") < LITERAL, "l").otherwise("r"), "width", "place", "hash", none.cast("long"), "n_raw",
+                      none.cast("array<string>"))), "item-windows")
+    shapes = {(r["kind"], r["width"]): r["n"] for r in side.groupBy("kind", "width").agg(F.count(F.lit(1)).alias("n")).collect()}   # 16 rows at most
+    small = sum(shapes.values()) <= BROADCAST_WINDOWS
+    base = docs.select(F.col(key).alias("__key"), F.xxhash64(text).alias("__hash"), raw_tokens(F.col(text)).alias("__raw"),
+                       *([F.col(text).alias("__lines")] if any(kind == "l" for kind, _ in shapes) else []))
+    held = []
+    for kind, width in sorted(shapes) or [("t", WIDTH)]:
+        if kind == "t":
+            held.append(_placed(windows(listed(template(F.col("__raw"))), width), width))
+        else:
+            found = short_lines(F.col("__lines"), width) if kind == "l" else windows(listed(unmarked(F.col("__raw"))), width)
+            held.append(_unplaced(F.array_distinct(found), kind, width))
+    spread = base.select("__key", "__hash", *(["__raw"] if small else []), F.explode(F.concat(*held)).alias("w")).select(
+        "__key", "__hash", *(["__raw"] if small else []), "w.*")
+    found = spread.join(F.broadcast(side) if small else side, ["kind", "width", "hash"])
+    if not small:
+        found = staged(found, "template-hits")
+        wanted = found.select("__key", "__hash").distinct()
+        again = base.alias("d").join(wanted.alias("w"), F.col("d.__key").eqNullSafe(F.col("w.__key")) & (
+            F.col("d.__hash") == F.col("w.__hash")), "left_semi").select("__key", "__hash", "__raw").distinct()
+        again = again.select(F.col("__key").alias("k2"), F.col("__hash").alias("h2"), "__raw")
+        found = found.join(again, F.col("__key").eqNullSafe(F.col("k2")) & (F.col("__hash") == F.col("h2"))).drop("k2", "h2")
+    doc_raw = F.when(F.col("kind") == "t", F.slice(F.split("__raw", " "), F.col("pos") + 1, F.col("width")))
+    met = staged(found.select("__key", "__hash", "kind", "item", "n_windows", "n_raw", "place", (F.col("pos") - F.col("place")).alias("shift"),
+                              doc_raw.alias("doc_raw"), "item_raw"), "template-windows")
+    hits = met.filter("kind = 't'")
     where = ["__key", "__hash", "item", "shift"]
     # Literal tokens are equal on both sides, so every token may count as a slot.
     slots = (hits.select(*where, F.explode(F.arrays_zip("item_raw", "doc_raw")).alias("z"))
@@ -164,7 +193,7 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id",
     fitting = joined.filter("pairs = values")
     # A document may hold an item at several shifts; its slots are those of the richest one.
     by_template = fitting.select("__key", "__hash", "item", "place", "n_windows", "pairs", "changed", F.lit(None).cast("long").alias("n_raw"))
-    by_raw = raw_places(docs, benchmark, key, text, item, item_text).select(
+    by_raw = met.filter("kind <> 't'").select(
         "__key", "__hash", "item", "place", *[F.lit(None).cast("long").alias(c) for c in ("n_windows", "pairs", "changed")], "n_raw")
     by_place = by_template.union(by_raw).groupBy("__key", "__hash", "item", "place").agg(
         F.max("n_windows").alias("n_windows"), F.max("pairs").alias("pairs"), F.min("changed").alias("changed"), F.max("n_raw").alias("n_raw"))

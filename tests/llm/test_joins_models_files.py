@@ -142,10 +142,20 @@ def test_templates_find_changed_questions(spark):
     bench = spark.createDataFrame([(10, item), (11, item), (12, "too short"), (13, None)], "item_id long, text string")
     got = templates.template_matches(docs, bench).collect()
     found = {r.doc_id: r for r in got}
-    assert set(found) == {1, 3, None} | ({2} if 2 in found else set()) and {r.item_id for r in got} == {10}
-    assert found[3].n_changed > 0 and found[1].n_changed == 0
+    assert set(found) == {1, 2, 3, None} and {r.item_id for r in got} == {10}
+    assert found[3].n_changed > 0 and found[2].n_changed > 0 and found[1].n_changed == 0
     kept = templates.without_matches(docs, templates.template_matches(docs, bench)).collect()
-    assert {r.doc_id for r in kept} >= {4, 5, 6, 7} and not {r.doc_id for r in kept} & {1, 3, None}
+    assert {r.doc_id for r in kept} == {4, 5, 6, 7}
+
+
+def test_template_classes_stand_for_their_items(spark):
+    ask = "A train leaves the station with {} wagons and travels {} km before it stops near the old stone bridge for tea"
+    bench = spark.createDataFrame([(i, ask.format(i + 3, 2 * i + 500)) for i in range(300)] + [(900, ask.format(7, 7))], "item_id long, text string")
+    docs = spark.createDataFrame([(i, "so " + ask.format(i + 3, 2 * i + 500)) for i in range(300)] + [(900, ask.format(1001, 1001))], "doc_id long, text string")
+    got = templates.template_matches(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} >= {(i, 0) for i in range(300)} | {(900, 900)} and len(got) <= 602
+    members = templates.item_classes(bench).collect()
+    assert {(r.item_id, r.representative) for r in members} == {(i, 0) for i in range(300)} | {(900, 900)}
 
 
 @pytest.mark.parametrize("limit", [templates.BROADCAST_WINDOWS, 0])
@@ -156,11 +166,12 @@ def test_verbatim_copies_of_short_and_dense_items(spark, monkeypatch, limit):
     bench = spark.createDataFrame([(1, "What is 17 times 23?"), (2, dense), (3, named), (4, "..."), (5, "yes")], "item_id long, text string")
     docs = spark.createDataFrame([
         (1, "Tell me: what is 17 times 23? Thanks."), (2, "Table 4. " + dense + " End of it."), (3, "and " + named.upper()),
-        (4, "What is 18 times 23?"), (5, "... nothing"), (None, "what is 17 times 23"), (6, None), (7, "Oh YES indeed"), (8, "yesterday")],
+        (4, "What is 18 times 23?"), (5, "... nothing"), (None, "what is 17 times 23"), (6, None), (7, "Oh YES indeed"), (8, "yesterday"),
+        (9, "Some answer:\n YES!\nand more")],
         "doc_id long, text string")
     found = templates.template_matches(docs, bench)
-    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 1), (2, 2), (3, 3), (None, 1), (7, 5)}
-    assert {r.doc_id for r in templates.without_matches(docs, found).collect()} == {4, 5, 6, 8}
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 1), (2, 2), (3, 3), (None, 1), (9, 5)}
+    assert {r.doc_id for r in templates.without_matches(docs, found).collect()} == {4, 5, 6, 7, 8}
 
 
 def test_templates_without_a_broadcast(spark, monkeypatch):
@@ -196,6 +207,21 @@ def test_forward_sums_all_segmentations():
             assert got[lang] == pytest.approx(math.log(segmentations("▁" + w, table)))
 
 
+def test_long_words_and_numerals(spark):
+    vocab = language.Vocabulary(["▁", "a", "b", "ab", "▁a", "ba", "abab"])
+    p = np.random.default_rng(8).random((len(vocab), 2)) / 3
+    for w in ["ab" * 20 + "xba", "b", "a" * 48]:
+        assert language.long_word_score(w, vocab, p, block=7) == pytest.approx(language.word_scores([w], vocab, p)[0])
+    w = "abba" * 3000
+    assert language.word_scores([w], vocab, p)[0] == pytest.approx(language.long_word_score(w, vocab, p, block=100_000))
+    assert language.letters_only("x²") == "x" and language.letters_only("²") == ""
+    docs = spark.createDataFrame([(1, "²²² ½"), (2, "word² here"), (3, "y" * 200_000)], "doc_id long, text string")
+    model = language.Pieces(["en"], np.full((len(vocab), 1), 0.1))
+    assert [r.lang_pred for r in language.identify(docs, model, vocab.pieces).orderBy("doc_id").collect()] == ["und", "en", "en"]
+    kept = language.identify(docs, model, vocab.pieces, keep=("text", "doc_id"))
+    assert kept.columns == ["text", "doc_id", "lang_pred", "score"] and kept.filter("length(text) > 4").count() == 3
+
+
 def test_expected_counts_are_the_gradient():
     vocab = language.Vocabulary(["▁", "a", "b", "ab", "▁a", "ba"])
     p = np.random.default_rng(4).random((len(vocab), 1))
