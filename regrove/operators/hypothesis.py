@@ -15,8 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import tails
+from ..session import cut_lineage
 from .joins import natural_inner
-from .ordered import block_splits, quantile_columns, running_totals, tie_ranks
+from .ordered import quantile_columns, running_totals
+from .ranks import ROW, numbered_rows, rank_columns
 from .reshape import melt
 
 
@@ -171,17 +173,9 @@ def pearson(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
 
 
 def with_ranks(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Tie-averaged ranks beside each row as ``rank_<col>``.
-
-    Ranks are computed per distinct value and looked up by an equi-join whose rank
-    side has unique keys, so adaptive execution can split a heavily tied value.
-    """
-    base = df
-    splits = block_splits(base, cols)
-    out = base
-    for c in cols:
-        out = out.join(tie_ranks(base, keys, c, splits=splits[c]), [*keys, c], "left")
-    return out
+    """Tie-averaged ranks beside each row as ``rank_<col>``; a missing value has none."""
+    base = numbered_rows(df)
+    return base.join(rank_columns(base, keys, cols), ROW, "left").drop(ROW)
 
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
@@ -195,9 +189,9 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
 def spearman_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """All pairwise rank correlations as ``var1 < var2, rho`` from one aggregation."""
     complete = df.select(*cols).dropna()
-    ranked = with_ranks(complete, [], cols)
+    ranked = rank_columns(numbered_rows(complete), [], cols)
     pairs = [tuple(sorted(p)) for p in combinations(cols, 2)]
-    rhos = ranked.agg(*[F.corr(f"rank_{a}", f"rank_{b}").alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    rhos = cut_lineage(ranked.agg(*[F.corr(f"rank_{a}", f"rank_{b}").alias(f"c{i}") for i, (a, b) in enumerate(pairs)]))     # one row
     spec = F.array(*[F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.col(f"c{i}").alias("rho"))
                      for i, (a, b) in enumerate(pairs)])
     return rhos.select(F.explode(spec).alias("p")).select("p.*")
