@@ -84,15 +84,22 @@ def _cell_bounds(ai, aj, side_a: float, bi, bj, side_b: float) -> tuple[Column,
     return F.hypot(nx, ny) * (1 - 1e-9), F.hypot(fx, fy) * (1 + 1e-9)
 
 
+def _boxes(df: DataFrame, i: Column, j: Column, x: tuple[str, str], y: tuple[str, str], e: str) -> DataFrame:
+    """Box of what is in each cell: ``i<e>, j<e>`` and the limits of x and y."""
+    return df.groupBy(i.alias(f"i{e}"), j.alias(f"j{e}")).agg(F.min(x[0]).alias(f"xlo_{e}"), F.max(x[1]).alias(f"xhi_{e}"),
+                                                              F.min(y[0]).alias(f"ylo_{e}"), F.max(y[1]).alias(f"yhi_{e}"))
+
+
 def nearest_feature(points: DataFrame, features: DataFrame, x: str = "x", y: str = "y",
                     fx: str = "fx", fy: str = "fy", name: str = "distance",
-                    leaf_points: int = LEAF_POINTS) -> DataFrame:
+                    leaf_points: int = LEAF_POINTS, work: list | None = None) -> DataFrame:
     """Distance from every point to its nearest feature; null without features.
 
-    Occupied cells are descended level by level from one root.  At each level a
-    point cell keeps only feature cells that could still hold the nearest one:
-    their near side must not lie beyond the far side of the best cell.  Distances
-    are computed only against the features of the surviving leaves.
+    A joint descent: cells of points and cells of features are split together, from one pair that holds everything.  A
+    cell of points keeps the feature cells that could still hold the nearest feature of one of its points: their near side must
+    not lie beyond the far side of the best one.  So far cells are given up once for a whole coarse cell of points, and the
+    pairs of a level grow with the occupied cells of that level.  Distances are computed only against the features of
+    the surviving leaves.  ``work`` is a list to which the numbers of pairs kept at each level are added.
     """
     where = points.select(x, y).filter(F.col(x).isNotNull() & F.col(y).isNotNull()).distinct()
     feats = features.select(fx, fy).filter(F.col(fx).isNotNull() & F.col(fy).isNotNull()).distinct()
@@ -102,27 +109,28 @@ def nearest_feature(points: DataFrame, features: DataFrame, x: str = "x", y: str
     leaf = quad.levels
     pi, pj = quad.cell(x, y, leaf)
     qi, qj = quad.cell(fx, fy, leaf)
-    where = where.withColumns({"pi": pi, "pj": pj})
-    feats = feats.withColumns({"qi": qi, "qj": qj})
-    occupied = feats.select("qi", "qj").distinct()
-    cand = where.select("pi", "pj").distinct().withColumns({"qi": F.lit(0), "qj": F.lit(0)})
-    best = Window.partitionBy("pi", "pj")
-    level, rounds = 0, 0
+    where = where.withColumns({"ip": pi, "jp": pj})
+    feats = feats.withColumns({"iq": qi, "jq": qj})
+    leaves_p = cut_lineage(_boxes(where, F.col("ip"), F.col("jp"), (x, x), (y, y), "p"))
+    leaves_q = cut_lineage(_boxes(feats, F.col("iq"), F.col("jq"), (fx, fx), (fy, fy), "q"))
+    cand = points.sparkSession.createDataFrame([(0, 0, 0, 0)], "ip int, jp int, iq int, jq int")
+    best, level = Window.partitionBy("ip", "jp"), 0
     while level < leaf:
         stride = min(2, leaf - level)
-        level, rounds, side = level + stride, rounds + 1, 1 << stride
-        shift = leaf - level
-        here = occupied.select(F.shiftright("qi", shift).alias("qi"), F.shiftright("qj", shift).alias("qj")).distinct()
-        kids = cand.withColumn("__k", F.explode(F.array(*[F.lit(k) for k in range(side * side)])))
-        kids = kids.select("pi", "pj", (F.col("qi") * side + F.col("__k") % side).alias("qi"),
-                           (F.col("qj") * side + F.shiftright("__k", stride)).alias("qj"))
-        kids = kids.join(here, ["qi", "qj"], "left_semi")
-        near, far = _cell_bounds("pi", "pj", quad.side(leaf), "qi", "qj", quad.side(level))
-        kids = kids.withColumns({"__near": near, "__far": far}).withColumn("__cut", F.min("__far").over(best))
-        cand = kids.filter(F.col("__near") <= F.col("__cut")).select("pi", "pj", "qi", "qj")
-        if rounds % 3 == 0:
-            cand = cut_lineage(cand)  # keeps deep descents from replanning every earlier level
-    reach = where.join(cand, ["pi", "pj"]).join(feats, ["qi", "qj"])
+        level, side = level + stride, 1 << stride
+        quarter = F.explode(F.sequence(F.lit(0), F.lit(side * side - 1)))
+        kids = cand
+        for e, leaves in (("p", leaves_p), ("q", leaves_q)):
+            here = _boxes(leaves, F.shiftright(f"i{e}", leaf - level), F.shiftright(f"j{e}", leaf - level), (f"xlo_{e}", f"xhi_{e}"), (f"ylo_{e}", f"yhi_{e}"), e)
+            kids = kids.withColumn("k", quarter).withColumns({f"i{e}": F.col(f"i{e}") * side + F.col("k") % side,
+                                                              f"j{e}": F.col(f"j{e}") * side + F.shiftright("k", stride)}).drop("k")
+            kids = kids.join(here, [f"i{e}", f"j{e}"])
+        (nx, far_x), (ny, far_y) = (_gap(*[F.col(f"{c}{end}_{e}") for e in "pq" for end in ("lo", "hi")]) for c in "xy")
+        kids = kids.select("ip", "jp", "iq", "jq", (F.hypot(nx, ny) * (1 - 1e-9)).alias("near"), (F.hypot(far_x, far_y) * (1 + 1e-9)).alias("far"))
+        cand = cut_lineage(kids.withColumn("cut", F.min("far").over(best)).filter("near <= cut").select("ip", "jp", "iq", "jq"))
+        if work is not None:
+            work.append(cand.count())
+    reach = where.join(cand, ["ip", "jp"]).join(feats, ["iq", "jq"])
     found = reach.groupBy(x, y).agg(F.min(distance(x, y, fx, fy)).alias(name))
     return points.join(found, [x, y], "left").select(*points.columns, name)
 
@@ -174,25 +182,124 @@ def close_locations(locs: DataFrame, cutoff: float, payload: Sequence[str], bloc
         *[f"{c}_{s}" for s in "ab" for c in keep], "d")
 
 
-def semivariogram(points: DataFrame, value: str, cutoff: float, width: float, x: str = "x", y: str = "y",
-                  block: int = 2048) -> DataFrame:
+_MOMENTS = {"mx": (1, 0), "my": (0, 1), "mxx": (2, 0), "mxy": (1, 1), "myy": (0, 2), "mxxx": (3, 0), "mxxy": (2, 1), "mxyy": (1, 2), "myyy": (0, 3)}
+TAYLOR = 0.1            # a pair of cells may spread over this share of its distance for its sum of distances to come from moments
+
+
+def _cells_with_moments(cell: DataFrame, quad: Quad, level: int) -> DataFrame:
+    """One row per occupied cell of a level: counts, value sums, the box of its locations, and location moments about its centre of mass."""
+    shift, side = MAX_LEVELS - level, quad.side(level)
+    i, j = F.shiftright("i", shift), F.shiftright("j", shift)
+    rows = cell.withColumns({"ci": i, "cj": j}).withColumns({
+        "p": F.col("x") - (F.lit(quad.x0) + (F.col("ci") + 0.5) * F.lit(side)), "q": F.col("y") - (F.lit(quad.y0) + (F.col("cj") + 0.5) * F.lit(side))})
+    power = lambda c, k: F.lit(1.0) if k == 0 else F.col(c) if k == 1 else F.pow(c, F.lit(float(k)))
+    sums = [F.sum(F.col("n") * power("p", a) * power("q", b)).alias(m) for m, (a, b) in _MOMENTS.items()]
+    g = rows.groupBy("ci", "cj").agg(*[F.sum(c).alias(c) for c in ("n", "s", "ss")], F.count(F.lit(1)).cast("double").alias("k"), *sums, *[
+        f(c).alias(f"{c}{e}") for c in "xy" for f, e in ((F.min, "lo"), (F.max, "hi"))])
+    c = F.col
+    ex, ey = c("mx") / c("n"), c("my") / c("n")
+    g = g.withColumns({"ex": ex, "ey": ey})
+    central = {
+        "mxx": c("mxx") - c("n") * c("ex") * c("ex"), "mxy": c("mxy") - c("n") * c("ex") * c("ey"), "myy": c("myy") - c("n") * c("ey") * c("ey"),
+        "mxxx": c("mxxx") - 3 * c("ex") * c("mxx") + 2 * c("n") * c("ex") * c("ex") * c("ex"),
+        "mxxy": c("mxxy") - c("ey") * c("mxx") - 2 * c("ex") * c("mxy") + 2 * c("n") * c("ex") * c("ex") * c("ey"),
+        "mxyy": c("mxyy") - c("ex") * c("myy") - 2 * c("ey") * c("mxy") + 2 * c("n") * c("ex") * c("ey") * c("ey"),
+        "myyy": c("myyy") - 3 * c("ey") * c("myy") + 2 * c("n") * c("ey") * c("ey") * c("ey")}
+    gx, gy = F.lit(quad.x0) + (c("ci") + 0.5) * F.lit(side) + c("ex"), F.lit(quad.y0) + (c("cj") + 0.5) * F.lit(side) + c("ey")
+    return g.select("ci", "cj", "n", "s", "ss", "k", "xlo", "xhi", "ylo", "yhi", gx.alias("gx"), gy.alias("gy"), *[v.alias(m) for m, v in central.items()])
+
+
+def _distance_sum() -> Column:
+    """Sum of the distances between all locations of cell a and of cell b, from moments up to the third.
+
+    With r the distance of the centres, u the part of a pair's deviation along it and v the part across, a distance is
+    r + u + v^2 / 2r - u v^2 / 2r^2, and a term of the fourth order is left out.
+    """
+    c = F.col
+    dx, dy = c("gx_b") - c("gx_a"), c("gy_b") - c("gy_a")
+    r = F.hypot(dx, dy)
+    ux, uy = dx / r, dy / r
+    two = {m: c("n_a") * c(f"{m}_b") + c("n_b") * c(f"{m}_a") for m in ("mxx", "mxy", "myy")}
+    three = {m: c("n_a") * c(f"{m}_b") - c("n_b") * c(f"{m}_a") for m in ("mxxx", "mxxy", "mxyy", "myyy")}
+    across = two["mxx"] * uy * uy - 2 * two["mxy"] * ux * uy + two["myy"] * ux * ux
+    along = (ux * (three["mxxx"] + three["mxyy"]) + uy * (three["mxxy"] + three["myyy"])
+             - (ux * ux * ux * three["mxxx"] + 3 * ux * ux * uy * three["mxxy"] + 3 * ux * uy * uy * three["mxyy"] + uy * uy * uy * three["myyy"]))
+    return c("n_a") * c("n_b") * r + across / (2 * r) - along / (2 * r * r)
+
+
+def semivariogram(points: DataFrame, value: str, cutoff: float, width: float, x: str = "x", y: str = "y", block: int = 64,
+                  work: list | None = None) -> DataFrame:
     """Empirical semivariogram: ``lag, np, dist, gamma`` for pairs within the cutoff.
 
-    Pairs are folded into lag sums as they are met and never shuffled.
+    A dual descent over pairs of cells.  Pairs of cells beyond the cutoff are dropped.  A pair whose whole range of distances lies in one lag
+    gives its numbers from the cells' moments: ``np`` and ``gamma`` exactly, the sum of distances by a series whose error is some
+    1e-8 of it.  Other pairs are split, until they have at most ``block * block`` pairs of locations, which are then met one by one and folded
+    into lag sums inside the join.  Only pairs near a lag's border or closer than a few cells are ever met: their number grows like the power
+    1.5 of the locations.  ``work`` is a list to which the numbers of pairs met one by one are added.
     """
-    locs = _locations(points, x, y, value)
+    locs = cut_lineage(_locations(points, x, y, value))
+    spark = points.sparkSession
     last = math.ceil(cutoff / width - 1e-9) - 1
-    pairs = close_locations(locs, cutoff, ["n", "s", "ss"], block)
-    w = F.col("n_a") * F.col("n_b")
+    lag = lambda d: F.least(F.floor(d / F.lit(float(width))), F.lit(last)).cast("int")
+    moment_sums = lambda: [F.sum(c).alias(c) for c in ("w", "wd", "sq")]
     sq = F.col("n_b") * F.col("ss_a") + F.col("n_a") * F.col("ss_b") - 2 * F.col("s_a") * F.col("s_b")
-    across = pairs.groupBy(F.least(F.floor(F.col("d") / F.lit(float(width))), F.lit(last)).cast("int").alias("lag")).agg(
-        F.sum(w).alias("w"), F.sum(w * F.col("d")).alias("wd"), F.sum(sq).alias("sq"))
+    both_n = F.col("n_a") * F.col("n_b")
     copies = locs.filter("n > 1").groupBy(F.lit(0).alias("lag")).agg(
-        F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("w"), F.lit(0.0).alias("wd"),
-        F.sum(F.col("n") * F.col("ss") - F.col("s") * F.col("s")).alias("sq"))
-    both = across.unionByName(copies).groupBy("lag").agg(*[F.sum(c).alias(c) for c in ("w", "wd", "sq")])
-    return both.select("lag", F.col("w").cast("bigint").alias("np"), (F.col("wd") / F.col("w")).alias("dist"),
-                       (F.col("sq") / (2 * F.col("w"))).alias("gamma"))
+        F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("w"), F.lit(0.0).alias("wd"), F.sum(F.col("n") * F.col("ss") - F.col("s") * F.col("s")).alias("sq"))
+    parts = [copies]
+    box = locs.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if box[0] is not None:
+        quad = Quad(box[0], box[2], max(box[1] - box[0], box[3] - box[2], 1e-9) * (1 + 1e-9), MAX_LEVELS)
+        i, j = quad.cell("x", "y", MAX_LEVELS)
+        cell = cut_lineage(locs.withColumns({"i": i, "j": j}))
+        open_pairs, level = spark.createDataFrame([(0, 0, 0, 0)], "ia int, ja int, ib int, jb int"), 0
+        while level < MAX_LEVELS:
+            stride = min(2, MAX_LEVELS - level)
+            level, side = level + stride, 1 << stride
+            here = cut_lineage(_cells_with_moments(cell, quad, level))
+            kid = lambda k, c, down: F.col(c) * side + F.pmod(F.shiftright(k, down), F.lit(side)).cast("int")
+            split = open_pairs.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(side**4 - 1)))).select(
+                ((F.col("ia") == F.col("ib")) & (F.col("ja") == F.col("jb"))).alias("one"), kid("q", "ia", 0).alias("ia"), kid("q", "ja", stride).alias("ja"),
+                kid("q", "ib", 2 * stride).alias("ib"), kid("q", "jb", 3 * stride).alias("jb"))
+            split = split.filter(~F.col("one") | (F.col("ia") < F.col("ib")) | ((F.col("ia") == F.col("ib")) & (F.col("ja") <= F.col("jb"))))
+            side_of = lambda e: here.select(F.col("ci").alias(f"i{e}"), F.col("cj").alias(f"j{e}"), *[F.col(c).alias(f"{c}_{e}") for c in here.columns[2:]])
+            met = split.drop("one").join(side_of("a"), ["ia", "ja"]).join(side_of("b"), ["ib", "jb"])
+            (nx, fx), (ny, fy) = (_gap(F.col(f"{c}lo_a"), F.col(f"{c}hi_a"), F.col(f"{c}lo_b"), F.col(f"{c}hi_b")) for c in "xy")
+            met = met.withColumns({"near": F.hypot(nx, ny) * (1 - 1e-12), "far": F.hypot(fx, fy) * (1 + 1e-12)}).filter(F.col("near") <= F.lit(float(cutoff)))
+            same = (F.col("ia") == F.col("ib")) & (F.col("ja") == F.col("jb"))
+            whole = ~same & (F.col("far") <= F.lit(float(cutoff))) & (lag(F.col("near")) == lag(F.col("far"))) & (
+                F.col("far") - F.col("near") <= TAYLOR * F.col("near"))
+            few = (F.col("k_a") * F.col("k_b") <= block * block) | F.lit(level == MAX_LEVELS)
+            state = F.when(whole & (F.col("k_a") * F.col("k_b") > 1), 0).when(few, 1).otherwise(2)
+            kept = cut_lineage(met.select("ia", "ja", "ib", "jb", (F.col("k_a") * F.col("k_b")).alias("kk"), state.alias("state"), F.when(state == 0, F.struct(
+                lag(F.col("near")).alias("lag"), both_n.alias("w"), _distance_sum().alias("wd"), sq.alias("sq"))).alias("m")))
+            parts.append(kept.filter("state = 0").select("m.*").groupBy("lag").agg(*moment_sums()))
+            counts = {r["state"]: r for r in kept.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.sum("kk").alias("kk")).collect()}     # 3 rows
+            if 1 in counts:
+                if work is not None:
+                    work.append(counts[1]["kk"])
+                parts.append(_met_one_by_one(kept.filter("state = 1"), cell, level, cutoff, lag, both_n, sq))
+            if 2 not in counts:
+                break
+            open_pairs = kept.filter("state = 2").select("ia", "ja", "ib", "jb")
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    both = found.groupBy("lag").agg(*moment_sums())
+    return both.select("lag", F.col("w").cast("bigint").alias("np"), (F.col("wd") / F.col("w")).alias("dist"), (F.col("sq") / (2 * F.col("w"))).alias("gamma"))
+
+
+def _met_one_by_one(pairs: DataFrame, cell: DataFrame, level: int, cutoff: float, lag, both_n: Column, sq: Column) -> DataFrame:
+    """Lag sums of all pairs of locations of some pairs of cells; every pair of cells has a bounded number of them."""
+    shift = MAX_LEVELS - level
+    at = cell.select(F.shiftright("i", shift).alias("i"), F.shiftright("j", shift).alias("j"), "x", "y", "n", "s", "ss")
+    side_of = lambda e: at.select(*[F.col(c).alias(f"{c}{e}") for c in "ij"], *[F.col(c).alias(f"{c}_{e}") for c in ("x", "y", "n", "s", "ss")])
+    met = pairs.select("ia", "ja", "ib", "jb").join(side_of("a"), ["ia", "ja"]).join(side_of("b"), ["ib", "jb"])
+    same = (F.col("ia") == F.col("ib")) & (F.col("ja") == F.col("jb"))
+    first = (F.col("x_a") < F.col("x_b")) | ((F.col("x_a") == F.col("x_b")) & (F.col("y_a") < F.col("y_b")))
+    d = distance("x_a", "y_a", "x_b", "y_b")
+    close = met.filter(~same | first).withColumn("d", d).filter(F.col("d") <= F.lit(float(cutoff)))
+    return close.groupBy(lag(F.col("d")).alias("lag")).agg(F.sum(both_n).alias("w"), F.sum(both_n * F.col("d")).alias("wd"), F.sum(sq).alias("sq"))
 
 
 def variogram_defaults(points: DataFrame, y: str = "y", lags: int = 50) -> tuple[float, float]:
