@@ -3,24 +3,30 @@
 Two sets of sizes a and b with Jaccard similarity 3/4 or more differ in at most (a + b) / 7
 elements.  Sizes fall into bands whose ends differ by a factor of 4/3, so a linked pair lies in
 one band or in two neighbouring ones; each band has an instance of the scheme that signs its own
-sets and those of the band below.  An instance divides the feature domain by hash into P parts.
-A pair that differs in at most k features differs in at most k parts, so of any k + 1 parts that
-one set fills, one is equal in both.  The signature of a part is the hash of its content, and a
-set is signed by its first k + 1 filled parts.
+sets and those of the band below.
 
 Very frequent features carry no evidence but fill buckets, and leaving out any fixed set of
-features only lowers differences, so signatures are taken over the domain without them.  A set
-that then fills too few parts is signed over the whole domain as well and, if even that fills too
-few, by the smallest elements of its prefix, which also is exact.  Every candidate is verified.
+features only lowers differences.  So an instance first divides the domain of the other features by hash into many parts.
+A pair that differs in at most k features differs in at most k parts, so of any k + 1 parts that
+one set fills, one is equal in both: a set is signed by the contents of its first k + 1 filled parts (subsets of one part each).
+Features of that domain are rare, so one or two of them are evidence enough.
+
+Sets that fill too few of those parts consist of frequent features (members of large groups of copies, mostly).  They are signed over the
+whole domain by the two-level scheme, which gathers more evidence: n1 parts, one of which differs in at most K2 features,
+each cut into N2 sub-parts, of which N2 - K2 are then equal; every subset of N2 - K2 sub-parts gives a signature.  In the instances of the smallest
+sizes they are signed by the smallest elements of their prefix instead, which also is exact.
+
+Candidates must agree in size and, by a bitmap of parities, in their least possible difference; all that do are verified.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import discard, staged
 from .components import connected_components
@@ -36,7 +42,12 @@ LOCALLY, OVERALL = 2, 6     # least texts of one count, and of all counts, for a
 ROWS_PER_TASK = 1_000_000   # signatures met in one task
 SPREAD = 32                 # tasks over which a signature that may be met by very many sets is dealt
 BLOOM_WORDS = 1 << 20       # 64-bit words of the filter of candidate classes (8 MB, whatever the input)
-SALT = mix(np.arange(101, 109, dtype=U64))
+FINE = 130                  # parts of a domain for 100 elements of the largest set
+K2, N2 = 2, 5               # differences that a first-level part may hold, sub-parts of a part
+SUBSETS = [c for c in itertools.combinations(range(N2), N2 - K2)]
+SMALLEST = 24               # largest size of an instance whose sets are signed by prefixes instead of two levels
+PARITY = 512                # bits of the parity bitmap
+SALT = mix(np.arange(101, 113, dtype=U64))
 
 
 class Sets:
@@ -61,6 +72,13 @@ class Sets:
             total[filled] = np.add.reduceat(mix(self.value ^ SALT[0]), self.start[:-1][filled])
         return mix(total + self.size.astype(U64) * SALT[1]).view(np.int64)
 
+    def parities(self) -> np.ndarray:
+        """For each set, ``PARITY`` bits: is the number of elements that hash to the bit odd?  Two sets differ in at least as many elements as bits."""
+        rows = len(self.size)
+        place = self.doc * PARITY + (mix(self.value ^ SALT[8]) % U64(PARITY)).astype(np.int64)
+        odd = (np.bincount(place, minlength=rows * PARITY) & 1).astype(np.uint8).reshape(rows, PARITY)
+        return np.packbits(odd, axis=1).view(np.int64)
+
     def only(self, rows: np.ndarray) -> "Sets":
         """The sets of some rows (a mask)."""
         out = object.__new__(Sets)
@@ -120,6 +138,28 @@ def parts_signed(value: np.ndarray, doc: np.ndarray, instance: np.ndarray, parts
     return signature[keep], owner[keep], np.diff(first) <= most
 
 
+def two_level_signed(value: np.ndarray, doc: np.ndarray, rows: np.ndarray, instance: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures over all subsets of sub-parts, of the sets in ``rows``, and the set of each.
+
+    ``value`` and ``doc`` are the elements of those sets; ``instance`` is the instance of every set.  All parts are signed, an empty one too: it may be
+    the one in which a pair agrees.
+    """
+    k = 2 * ends[instance[rows]] // 7
+    n1 = k // (K2 + 1) + 1
+    start = np.cumsum(n1) - n1                          # first part of each set
+    local = np.searchsorted(rows, doc)
+    h = mix(value ^ SALT[9])
+    part = start[local] + ((h >> U64(32)) % n1[local].astype(U64)).astype(np.int64)
+    content = np.zeros(int(n1.sum()) * N2, U64)
+    np.add.at(content, part * N2 + ((h & U64(0xFFFFFFFF)) % U64(N2)).astype(np.int64), mix(value ^ SALT[3]))
+    content = content.reshape(-1, N2)
+    owner = np.repeat(np.arange(len(rows)), n1)
+    name = mix(instance[rows][owner].astype(U64) * SALT[4] + (np.arange(len(owner)) - start[owner]).astype(U64) * SALT[5] + SALT[7])
+    placed = mix(content + np.arange(1, N2 + 1, dtype=U64) * SALT[10])
+    out = [mix(placed[:, list(c)].sum(axis=1, dtype=U64) + name + U64(n) * SALT[11]) for n, c in enumerate(SUBSETS)]
+    return np.concatenate(out), np.tile(rows[owner], len(SUBSETS))
+
+
 def signatures(sets: Sets, frequent: Frequent) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All signatures of the sets, the row of each, and whether it may be met by very many sets."""
     rows = np.flatnonzero(sets.size > 0)
@@ -135,7 +175,7 @@ def signatures(sets: Sets, frequent: Frequent) -> tuple[np.ndarray, np.ndarray,
     for step in (0, 1):                            # the instance of the own band, and of the next one
         instance = band + step
         most = (n + (np.minimum(largest, ends[band]) if step == 0 else largest)) // 7
-        parts = np.maximum(ends[instance] * 33 // 100 + 2, 1)
+        parts = ends[instance] * FINE // 100 + 2
         wanted = n > 0 if step == 0 else (n > 0) & (largest > ends[band])
         rows_in = wanted[sets.doc]
         use = rows_in & rare
@@ -144,29 +184,29 @@ def signatures(sets: Sets, frequent: Frequent) -> tuple[np.ndarray, np.ndarray,
         own.append(who)
         wide.append(np.zeros(len(sig), bool))
         few &= wanted
-        use = few[sets.doc]
-        if use.any():
-            sig, who, still = parts_signed(sets.value[use], sets.doc[use], instance, parts, most, SALT[7])
+        deep = np.flatnonzero(few & (ends[instance] > SMALLEST))
+        if len(deep):
+            use = (few & (ends[instance] > SMALLEST))[sets.doc]
+            sig, who = two_level_signed(sets.value[use], sets.doc[use], deep, instance, ends)
             out.append(sig)
             own.append(who)
             wide.append(np.ones(len(sig), bool))
-            still &= few
-            for row in np.flatnonzero(still):
-                values = sets.value[sets.start[row]:sets.start[row + 1]]     # ascending
-                prefix = values[:len(values) - -(-len(values) * NEED // OF) + 1]
-                out.append(mix(prefix + SALT[0]))
-                own.append(np.full(len(prefix), row))
-                wide.append(np.ones(len(prefix), bool))
+        for row in np.flatnonzero(few & (ends[instance] <= SMALLEST)):
+            values = sets.value[sets.start[row]:sets.start[row + 1]]     # ascending
+            prefix = values[:len(values) - -(-len(values) * NEED // OF) + 1]
+            out.append(mix(prefix + SALT[0]))
+            own.append(np.full(len(prefix), row))
+            wide.append(np.ones(len(prefix), bool))
     return np.concatenate(out), np.concatenate(own), np.concatenate(wide)
 
 
 def describe(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
     """A row per text with its set's size and identity; further rows count features frequent in a task."""
     kinds = dict(docs.select(*keep).dtypes)
-    schema = "".join(f"`{c}` {kinds[c]}, " for c in keep) + "n_shingles long, cls long, feature long, texts long"
+    schema = "".join(f"`{c}` {kinds[c]}, " for c in keep) + "n_shingles long, cls long, parity array<long>, feature long, texts long"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, empty = [*keep, "n_shingles", "cls", "feature", "texts"], None
+        names, empty = [*keep, "n_shingles", "cls", "parity", "feature", "texts"], None
         held, amount, seen = [], 0, set()
 
         def counted():
@@ -174,7 +214,7 @@ def describe(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
             often = n >= LOCALLY
             value, n = value[often].view(np.int64), n[often]
             none = [pa.nulls(len(value), c.type) for c in empty]
-            return pa.RecordBatch.from_arrays([*none, pa.nulls(len(value), pa.int64()), pa.nulls(len(value), pa.int64()),
+            return pa.RecordBatch.from_arrays([*none, pa.nulls(len(value), pa.int64()), pa.nulls(len(value), pa.int64()), pa.nulls(len(value), pa.list_(pa.int64())),
                                                pa.array(value), pa.array(n)], names)
 
         for batch in batches:
@@ -183,7 +223,7 @@ def describe(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
                 sets = Sets(piece.column("__text"))
                 cls = sets.identity()
                 yield pa.RecordBatch.from_arrays(
-                    [*piece.columns[:len(keep)], pa.array(sets.size), pa.array(cls, mask=sets.size == 0),
+                    [*piece.columns[:len(keep)], pa.array(sets.size), pa.array(cls, mask=sets.size == 0), parity_lists(sets),
                      pa.nulls(len(cls), pa.int64()), pa.nulls(len(cls), pa.int64())], names)
                 fresh = first_seen(cls, seen)
                 held.append(sets.value[fresh[sets.doc]])
@@ -197,6 +237,11 @@ def describe(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
     return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(scan, schema)
 
 
+def parity_lists(sets: Sets) -> pa.Array:
+    bits = sets.parities()
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * bits.shape[1]), pa.array(bits.ravel()))
+
+
 def first_seen(cls: np.ndarray, seen: set) -> np.ndarray:
     """Rows whose set was not met before in this task."""
     fresh = np.zeros(len(cls), bool)
@@ -341,6 +386,22 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     return links
 
 
+def possible(n: str = "n", parity: str = "parity") -> Column:
+    """Whether two sets can link at all, by their sizes and parities (columns ``<n>_a``, ``<n>_b`` and so on)."""
+    na, nb = F.col(f"{n}_a"), F.col(f"{n}_b")
+    words = [F.bit_count(F.element_at(f"{parity}_a", i + 1).bitwiseXOR(F.element_at(f"{parity}_b", i + 1))) for i in range(PARITY // 64)]
+    bits = words[0]
+    for w in words[1:]:
+        bits = bits + w
+    return (OF * F.least(na, nb) >= NEED * F.greatest(na, nb)) & (7 * bits <= na + nb)
+
+
+def pruned(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """The pairs of classes (``a, b``) that can link; ``facts`` has size and parities of every class."""
+    side = lambda e: facts.select(F.col("cls").alias(e), F.col("n").alias(f"n_{e}"), F.col("parity").alias(f"parity_{e}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(possible()).select("a", "b")
+
+
 def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """Each row's ``key`` and ``keep`` columns with ``n_shingles``, ``class_id`` and ``component_id``.
 
@@ -364,6 +425,7 @@ def _similar_groups(docs: DataFrame, text: str, key: str, keep: tuple[str, ...])
     cols = (key, *[c for c in keep if c != key])
     every = staged(describe(docs, text, cols), "described")
     rows = every.filter("feature is null").select(*cols, "n_shingles", "cls")
+    facts = every.filter("cls is not null").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.first("parity").alias("parity"))
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     often = frequent_features(every)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + int(total * 0.75) // ROWS_PER_TASK)
@@ -375,19 +437,21 @@ def _similar_groups(docs: DataFrame, text: str, key: str, keep: tuple[str, ...])
     least = wide.groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo < hi")
     star = (buckets.filter("centre < cls").select(F.col("centre").alias("a"), F.col("cls").alias("b"))
             .union(wide.join(least, "sig").filter("cls <> lo").select(F.col("lo").alias("a"), F.col("cls").alias("b"))).distinct())
-    star = staged(star, "star")
+    met_pairs = staged(star, "met-pairs")
+    star = staged(pruned(met_pairs, facts), "star")
     links = verified(star, docs, text)
     labels = connected_components(links)
     # A bucket of two was compared in full; of the others those remain that hold several components.
     several = buckets.filter("many").select("sig", "cls").join(labels, F.col("cls") == F.col("node"), "left").select(
-        "sig", "cls", F.coalesce("label", "cls").alias("label"))
+        "sig", "cls", F.coalesce("label", "cls").alias("label")).distinct()
     several = staged(several, "several")
     open_sigs = several.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("sig")
-    rest = several.join(open_sigs, "sig", "left_semi")
-    left, right = rest.selectExpr("sig", "cls as a", "label as la"), rest.selectExpr("sig", "cls as b", "label as lb")
-    cross = left.join(right, "sig").filter("a < b and la <> lb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
+    rest = several.join(open_sigs, "sig", "left_semi").join(facts, "cls")
+    side = lambda e: rest.select("sig", F.col("cls").alias(e), F.col("label").alias(f"l{e}"), F.col("n").alias(f"n_{e}"), F.col("parity").alias(f"parity_{e}"))
+    cross = side("a").join(side("b"), "sig").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & possible()).select("a", "b").distinct()
+    cross = cross.join(met_pairs, ["a", "b"], "left_anti")
     cross = staged(cross, "cross")
-    discard(buckets, several, star)
+    discard(buckets, several, star, met_pairs)
     if not cross.isEmpty():
         more = verified(cross, docs, text)
         if not more.isEmpty():

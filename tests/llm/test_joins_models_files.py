@@ -108,6 +108,30 @@ def test_linked_sets_share_a_signature():
             assert set(sig[row == 0].tolist()) & set(sig[row == 1].tolist()), (size, gone, new)
 
 
+def test_two_levels_and_parities_keep_every_link():
+    """Sets of frequent elements only, so that all are signed over subsets of sub-parts or by prefixes."""
+    rng = np.random.default_rng(12)
+    for _ in range(250):
+        n = int(rng.choice([1, 2, 4, 7, 12, 18, 24, 25, 40, 90, 300]))
+        a = rng.choice(2**62, n, replace=False).astype(np.uint64)
+        drop = rng.integers(0, n // 4 + 1)
+        room = int((n - drop) * 4 / 3 - n)          # additions that keep the similarity at 3 / 4
+        b = np.concatenate([rng.permutation(a)[drop:], rng.choice(2**62, max(0, room), replace=False).astype(np.uint64)])
+        common, union = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+        if 100 * common < 75 * union:
+            continue
+        every = partenum.Frequent(np.sort(np.concatenate([a, b])))
+        sets = object.__new__(partenum.Sets)
+        values = [np.unique(a), np.unique(b)]
+        sets.size = np.array([len(v) for v in values])
+        sets.start = np.concatenate([[0], np.cumsum(sets.size)])
+        sets.value, sets.doc = np.concatenate(values), np.repeat([0, 1], sets.size)
+        sig, row, _ = partenum.signatures(sets, every)
+        assert np.intersect1d(sig[row == 0], sig[row == 1]).size, (n, drop, room)
+        bits = sets.parities()
+        assert int(np.bitwise_count((bits[0] ^ bits[1]).view(np.uint64)).sum()) <= union - common
+
+
 def test_partenum_odd_rows(odd_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     assert as_rows(partenum.similar_groups(odd_docs)) == sorted(brute_components(rows), key=str)
