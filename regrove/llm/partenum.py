@@ -6,7 +6,7 @@ one band or in two neighbouring ones; each band has an instance of the scheme th
 sets and those of the band below.
 
 Very frequent features carry no evidence but fill buckets, and leaving out any fixed set of
-features only lowers differences.  So an instance first divides the domain of the other features by hash into many parts.
+features only lowers differences.  So the domain of the other features is first divided by hash into many parts, alike for five neighbouring bands.
 A pair that differs in at most k features differs in at most k parts, so of any k + 1 parts that
 one set fills, one is equal in both: a set is signed by the contents of its first k + 1 filled parts (subsets of one part each).
 Features of that domain are rare, so one or two of them are evidence enough.
@@ -43,7 +43,8 @@ ROWS_PER_TASK = 1_000_000   # signatures met in one task
 SPREAD = 32                 # tasks over which a signature that may be met by very many sets is dealt
 BLOOM_WORDS = 1 << 20       # 64-bit words of the filter of candidate classes (8 MB, whatever the input)
 FINE = 130                  # parts of a domain for 100 elements of the largest set
-K2, N2 = 2, 5               # differences that a first-level part may hold, sub-parts of a part
+GROUPED = 5                 # neighbouring bands that share these parts, so that few sets need two lots of signatures
+K2, N2 = 1, 3               # differences that a first-level part may hold, sub-parts of a part
 SUBSETS = [c for c in itertools.combinations(range(N2), N2 - K2)]
 SMALLEST = 24               # largest size of an instance whose sets are signed by prefixes instead of two levels
 PARITY = 512                # bits of the parity bitmap
@@ -166,32 +167,35 @@ def signatures(sets: Sets, frequent: Frequent) -> tuple[np.ndarray, np.ndarray,
     if len(rows) == 0:
         return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, bool)
     n = sets.size
-    ends = band_ends(int(n.max()))
-    ends = np.append(ends, [(ends[-1] + 1) * OF // NEED])
+    ends = band_ends(int(n.max()) * OF // NEED + 1)
+    ends = np.append(ends, band_ends(int(ends[-1]) * 4)[len(ends):])      # whole groups of bands
     band = np.searchsorted(ends, n)
     largest = n * OF // NEED                       # of a linked partner
     rare = ~frequent(sets.value)
     out, own, wide = [], [], []
-    for step in (0, 1):                            # the instance of the own band, and of the next one
-        instance = band + step
-        most = (n + (np.minimum(largest, ends[band]) if step == 0 else largest)) // 7
-        parts = ends[instance] * FINE // 100 + 2
-        wanted = n > 0 if step == 0 else (n > 0) & (largest > ends[band])
-        rows_in = wanted[sets.doc]
-        use = rows_in & rare
-        sig, who, few = parts_signed(sets.value[use], sets.doc[use], instance, parts, most, SALT[6])
+    too_few = np.zeros(len(n), bool)
+    for step in (0, 1):                            # the parts of the own group of bands, and those of the next group if a partner may lie there
+        group = (band + step) // GROUPED
+        last = ends[group * GROUPED + GROUPED - 1]
+        reach = np.minimum(largest, ends[band // GROUPED * GROUPED + GROUPED - 1]) if step == 0 else largest
+        wanted = n > 0 if step == 0 else (n > 0) & (group > band // GROUPED) & (largest > ends[band])
+        use = wanted[sets.doc] & rare
+        sig, who, few = parts_signed(sets.value[use], sets.doc[use], group, last * FINE // 100 + 2, (n + reach) // 7, SALT[6])
         out.append(sig)
         own.append(who)
         wide.append(np.zeros(len(sig), bool))
-        few &= wanted
-        deep = np.flatnonzero(few & (ends[instance] > SMALLEST))
-        if len(deep):
-            use = (few & (ends[instance] > SMALLEST))[sets.doc]
-            sig, who = two_level_signed(sets.value[use], sets.doc[use], deep, instance, ends)
+        too_few |= few & wanted
+    for step in (0, 1):                            # the instance of the own band, and of the next one
+        instance = band + step
+        wanted = too_few if step == 0 else too_few & (largest > ends[band])
+        deep = wanted & (ends[instance] > SMALLEST)
+        if deep.any():
+            use = deep[sets.doc]
+            sig, who = two_level_signed(sets.value[use], sets.doc[use], np.flatnonzero(deep), instance, ends)
             out.append(sig)
             own.append(who)
             wide.append(np.ones(len(sig), bool))
-        for row in np.flatnonzero(few & (ends[instance] <= SMALLEST)):
+        for row in np.flatnonzero(wanted & (ends[instance] <= SMALLEST)):
             values = sets.value[sets.start[row]:sets.start[row + 1]]     # ascending
             prefix = values[:len(values) - -(-len(values) * NEED // OF) + 1]
             out.append(mix(prefix + SALT[0]))
