@@ -352,40 +352,62 @@ def bloom_places(cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ((h >> U64(20)) % U64(BLOOM_WORDS)).astype(np.int64), bit
 
 
-def set_table(docs: DataFrame, text: str, wanted: np.ndarray) -> DataFrame:
-    """(cls, shingles) of the texts whose class passes the filter, each class once per task."""
+def text_table(docs: DataFrame, text: str, wanted: np.ndarray) -> DataFrame:
+    """(cls, blob) of the texts whose class passes the filter, each class once per task; ``blob`` is the text, compressed.
+
+    Text takes less room than its shingles, and they are made again where two sets meet.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(wanted)        # BLOOM_WORDS numbers
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen = shared.value, set()
+        import zstandard
+        table, seen, packer = shared.value, set(), zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for piece in slices(batch, "__text"):
-                sets = Sets(piece.column(0))
-                cls = sets.identity()
+                texts = piece.column(0)
+                cls = Sets(texts).identity()
                 word, bit = bloom_places(cls)
                 keep = (table[word] & bit) == bit
                 keep[keep] = first_seen(cls[keep], seen)
-                sets = sets.only(keep)
-                lists = pa.ListArray.from_arrays(pa.array(sets.start.astype(np.int32)), pa.array(sets.value.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(cls[keep]), lists], ["cls", "shingles"])
-
-    return docs.select(F.col(text).alias("__text")).mapInArrow(scan, "cls long, shingles array<long>")
+                kept = texts.filter(pa.array(keep)).to_pylist()
+                blobs = [packer.compress((t or "").encode()) for t in kept]
+                yield pa.RecordBatch.from_arrays([pa.array(cls[keep]), pa.array(blobs, pa.binary())], ["cls", "blob"])
+
+    return docs.select(F.col(text).alias("__text")).mapInArrow(scan, "cls long, blob binary")
+
+
+def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of the rows (a, b, x, y) whose texts x and y have sets that link: 100 * common >= 75 * all."""
+    import zstandard
+    unpacker = zstandard.ZstdDecompressor()
+    last, centre = None, None
+    for batch in batches:
+        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+        keep = []
+        for i in range(0, len(a), 64):
+            texts = [unpacker.decompress(y.as_py()).decode() for y in batch.column("y")[i:i + 64]]
+            sets = Sets(pa.array(texts, pa.large_string()))
+            for j in range(len(texts)):
+                if a[i + j] != last:        # rows of one centre mostly follow each other
+                    last, centre = a[i + j], Sets(pa.array([unpacker.decompress(batch.column("x")[i + j].as_py()).decode()])).value
+                other = sets.value[sets.start[j]:sets.start[j + 1]]
+                common = len(np.intersect1d(centre, other, assume_unique=True))
+                keep.append(OF * common >= NEED * (len(centre) + len(other) - common))
+        keep = pa.array(keep, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
 
 def verified(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """Those of the (staged) pairs of classes that link: 100 * common >= 75 * all.
+    """Those of the (staged) pairs of classes that link.
 
-    Sets are made again from the texts of the classes in question, sent once to their class and from
-    there to each centre ``a`` they are compared with.
+    One text of every class in question is sent to its class and from there to each centre ``a`` it is compared with.
     """
     need = pairs.selectExpr("b as cls", "a").union(pairs.selectExpr("a as cls", "a").distinct())
-    sets = set_table(docs, text, bloom_filter(need)).dropDuplicates(["cls"])
-    sent = staged(sets.join(need, "cls"), "sets")
-    centres = sent.filter("cls = a").selectExpr("a", "shingles as x")
-    members = sent.filter("cls <> a").selectExpr("a", "cls as b", "shingles as y")
-    common = F.size(F.array_intersect("x", "y"))
-    links = staged(members.join(centres, "a").withColumn("common", common)
-                   .filter(OF * F.col("common") >= NEED * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b"), "links")
+    texts = text_table(docs, text, bloom_filter(need)).dropDuplicates(["cls"])
+    sent = staged(texts.join(need, "cls"), "sets")
+    centres = sent.filter("cls = a").selectExpr("a", "blob as x")
+    members = sent.filter("cls <> a").selectExpr("a", "cls as b", "blob as y")
+    links = staged(members.join(centres, "a").select("a", "b", "x", "y").mapInArrow(linked, "a long, b long"), "links")
     discard(sent)
     return links
 
