@@ -47,7 +47,7 @@ GROUPED = 5                 # neighbouring bands that share these parts, so that
 K2, N2 = 1, 3               # differences that a first-level part may hold, sub-parts of a part
 SUBSETS = [c for c in itertools.combinations(range(N2), N2 - K2)]
 SMALLEST = 24               # largest size of an instance whose sets are signed by prefixes instead of two levels
-PARITY = 512                # bits of the parity bitmap
+PARITY = 2048               # bits of the parity bitmap
 SALT = mix(np.arange(101, 113, dtype=U64))
 
 
