@@ -243,7 +243,7 @@ class Fit:
         for st in self.states:
             if st.current is None:
                 rows.append((st.model.id, st.model.response, st.model.group, ",".join(st.model.terms), st.n, st.model.size,
-                             *[None] * 6, st.iterations, False, st.status))
+                             *[None] * 6, st.iterations, False, st.status, len(st.model.terms)))
                 continue
             k, n = st.model.size, st.n
             theta = self._theta(st)
@@ -251,11 +251,12 @@ class Fit:
             aicc = aic + 2 * k * (k + 1) / (n - k - 1) if n > k + 1 else None
             df = n - len(st.model.terms) - 1
             rows.append((st.model.id, st.model.response, st.model.group, ",".join(st.model.terms), n, k, st.loglik,
-                         theta, aic, aicc, st.pearson, st.pearson / df if df > 0 else None, st.iterations, st.converged, st.status))
+                         theta, aic, aicc, st.pearson, st.pearson / df if df > 0 else None, st.iterations, st.converged, st.status,
+                         len(st.model.terms)))
         return self.spark.createDataFrame(
             rows, "model_id string, response string, model_group string, terms string, n bigint, k int, loglik double, "
                   "theta double, aic double, aicc double, pearson double, dispersion double, iterations int, converged boolean, "
-                  "status string")
+                  "status string, n_terms int")
 
     def fitted(self, df: DataFrame, model_id: str, group_col: str | None = None, name: str = "mu") -> DataFrame:
         """Rows of one model with their fitted mean."""
@@ -340,7 +341,7 @@ def likelihood_r2(summary: DataFrame) -> DataFrame:
 def overdispersion(summary: DataFrame) -> DataFrame:
     """Pearson chi-square over residual degrees of freedom, per model."""
     return summary.filter(~F.col("model_id").endswith("|null")).select(
-        "model_id", "pearson", (F.col("n") - F.size(F.split("terms", ",")) - 1).alias("df_residual"),
+        "model_id", "pearson", (F.col("n") - F.col("n_terms") - 1).alias("df_residual"),
         F.col("dispersion").alias("chat"))
 
 

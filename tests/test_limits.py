@@ -101,3 +101,10 @@ def test_joins_without_keys_take_one_row(spark):
     assert jn.natural_inner(a, b.limit(0), []).count() == 0 and jn.natural_left(a, b.limit(0), []).count() == 3
     with pytest.raises(ValueError):
         jn.natural_inner(a, a.withColumnRenamed("x", "y"), [])
+
+
+def test_residual_degrees_of_an_intercept_only_model(spark):
+    rows = [(float(v),) for v in (0, 1, 1, 2, 3, 0, 5, 2, 1, 4)]
+    fit = glm.fit_models(spark.createDataFrame(rows, "y double"), [glm.Model("m", "y", (), "poisson")])
+    r = glm.overdispersion(fit.summary()).first()
+    assert r.df_residual == 9 and r.chat == pytest.approx(r.pearson / 9)
