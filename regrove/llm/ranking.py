@@ -22,7 +22,7 @@ from .words import slices, text_buffer, window_hashes, words_of
 FEATURES = ("log_words", "word_length", "distinct_words", "distinct_triples", "repeats_before", "distinct_lines", "line_length",
             "upper", "digits", "blanks", "stops", "marks", "symbols", "quotes", "brackets", "beyond_ascii", "log_ratio",
             "ratio_for_length", "short", "capital_starts")
-BLOCK_ROWS = 20_000         # labelled rows that are paired among each other
+BLOCK_ROWS = 20_000         # labelled rows that one task numbers at a time; without effect on results
 ROUNDS = 12
 PENALTY = 1e-3
 CUT = 0.3                   # score at the threshold
@@ -115,19 +115,24 @@ def cluster_sums(frame: DataFrame, column: str, terms) -> np.ndarray:
 def preference_pairs(labelled: DataFrame, label: str, key: str) -> DataFrame:
     """Differences of features, good minus bad.
 
-    Rows are dealt by hash into blocks of about ``BLOCK_ROWS``.  In a block the larger side is dealt in
-    turn to the rows of the smaller one, so every row of the larger side is in one pair and the pairs
-    number as many: no product is formed.  A block with one kind of label has no pairs.
+    Rows of each label are numbered without gaps, in hashed order.  The larger side is dealt in turn to
+    the rows of the smaller one, so every row of both sides is in a pair however rare a label is, and the
+    pairs number as many as the larger side: no product is formed.  Repeated rows count as often as they
+    come.  With one kind of label there are no pairs; labels other than 0 and 1 are not read.
     """
-    n = labelled.count()
-    rows = labelled.withColumn("__h", F.xxhash64(key, "features")).withColumn("__b", F.pmod("__h", F.lit(1 + n // BLOCK_ROWS)))
-    ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy("__b", label).orderBy("__h")) - 1)
-    least = (rows.groupBy("__b").agg(F.least(F.sum((F.col(label) == 1).cast("long")), F.sum((F.col(label) == 0).cast("long")))
-                                     .alias("__m")).filter("__m > 0"))
-    dealt = ranked.join(least, "__b").withColumn("__s", F.col("__r") % F.col("__m"))
-    good = dealt.filter(F.col(label) == 1).select("__b", "__s", F.col("features").alias("g"))
-    bad = dealt.filter(F.col(label) == 0).select("__b", "__s", F.col("features").alias("f"))
-    return good.join(bad, ["__b", "__s"]).select(F.zip_with("g", "f", lambda x, y: x - y).alias("difference"))
+    rows = labelled.filter(F.col(label).isin(0, 1))
+    blocks = 1 + rows.count() // BLOCK_ROWS
+    rows = rows.withColumn("__h", F.xxhash64(key, "features")).withColumn("__b", F.pmod("__h", F.lit(blocks)))
+    sizes = rows.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    totals = {r[0]: r[1] for r in sizes.groupBy(label).agg(F.sum("__n")).collect()}         # two rows at most
+    fewer = max(min(totals.get(0, 0), totals.get(1, 0)), 1)
+    # One row per label and BLOCK_ROWS rows.
+    before = sizes.withColumn("__before", F.sum("__n").over(Window.partitionBy(label).orderBy("__b")) - F.col("__n")).drop("__n")
+    ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy(label, "__b").orderBy("__h")) - 1)
+    dealt = ranked.join(before, [label, "__b"]).withColumn("__s", (F.col("__before") + F.col("__r")) % fewer)
+    good = dealt.filter(F.col(label) == 1).select("__s", F.col("features").alias("g"))
+    bad = dealt.filter(F.col(label) == 0).select("__s", F.col("features").alias("f"))
+    return good.join(bad, "__s").select(F.zip_with("g", "f", lambda x, y: x - y).alias("difference"))
 
 
 @dataclass
