@@ -46,7 +46,11 @@ def op2_anchor_expansion(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op3_virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document in one of 16 shards of near equal bytes, by the stored map of 4096 slots."""
+    """Every document in one of 16 shards of near equal bytes, by the stored map of 4096 slots.
+
+    The id takes part in the hash, so equal texts may lie in several shards: a group of copies that holds a
+    third of all bytes would otherwise fill one slot, and shards of equal bytes could not be had.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = read(spark, folder, "documents").select(
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))

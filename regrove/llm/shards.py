@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..session import staged
 
 SLOTS = 4096
+MAP_SCHEMA = "version int, slot int, shard int"
+ADDED = ("shard", "slot", "virtual_slot")       # columns that sharding gives
 
 
 def slot_of(*keys: str, slots: int = SLOTS) -> Column:
@@ -25,7 +27,7 @@ def slot_bytes(records: DataFrame, slot: str, size: str, slots: int = SLOTS) ->
     """Bytes per slot: a pre-aggregated table of at most ``slots`` rows, so it fits the driver."""
     out = np.zeros(slots, np.int64)
     for r in records.groupBy(slot).agg(F.sum(size).alias("b")).collect():
-        out[r[0]] = r["b"]
+        out[r[0]] = r["b"] or 0
     return out
 
 
@@ -74,7 +76,7 @@ def map_table(spark: SparkSession, versions: list[np.ndarray]) -> DataFrame:
         changed = range(len(owner)) if old is None else np.flatnonzero(owner != old)
         rows += [(n, int(s), int(owner[s])) for s in changed]
         old = owner
-    return staged(spark.createDataFrame(rows, "version int, slot int, shard int").coalesce(1), "slot-map")
+    return staged(spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1), "slot-map")
 
 
 def owners(table: DataFrame, version: int) -> DataFrame:
@@ -83,15 +85,62 @@ def owners(table: DataFrame, version: int) -> DataFrame:
             .agg(F.max_by("shard", "version").alias("shard")))
 
 
+def load_map(spark: SparkSession, path: str) -> DataFrame:
+    """All versions of a map that ``save_version`` wrote."""
+    return spark.read.schema(MAP_SCHEMA).parquet(path)
+
+
+def latest(table: DataFrame, slots: int = SLOTS) -> tuple[int, np.ndarray]:
+    """Number and owners of the newest version: at most ``slots`` rows reach the driver."""
+    version = table.agg(F.max("version")).first()[0]
+    if version is None:
+        raise ValueError("the map has no version")
+    owner = np.full(slots, -1)
+    for r in owners(table, version).collect():
+        owner[r["__slot"]] = r["shard"]
+    if (owner < 0).any():
+        raise ValueError(f"the map does not cover {slots} slots")
+    return version, owner
+
+
+def save_version(spark: SparkSession, path: str, owner: np.ndarray, version: int = 1, old: np.ndarray | None = None) -> None:
+    """Append one version to the map at ``path``: all slots, or those that differ from ``old``.
+
+    A version without edits writes nothing, so the newest one stays what it was.
+    """
+    changed = np.arange(len(owner)) if old is None else np.flatnonzero(owner != old)
+    rows = [(version, int(s), int(owner[s])) for s in changed]
+    if rows:
+        spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+
+
+def rebalance_stored(spark: SparkSession, path: str, weight: np.ndarray, shards: int) -> tuple[int, np.ndarray]:
+    """Load the newest version, edit it for the present bytes of its slots, and append the edits."""
+    version, old = latest(load_map(spark, path), len(weight))
+    if old.max() >= shards:
+        raise ValueError("the map has more shards; slots of a shard that goes must be moved first")
+    owner = rebalance(old, weight, shards)
+    if (owner == old).all():
+        return version, old
+    save_version(spark, path, owner, version + 1, old)
+    return version + 1, owner
+
+
 def shard_records(records: DataFrame, key: tuple[str, ...], size: str, shards: int, slots: int = SLOTS) -> DataFrame:
     """Records with ``shard`` and ``slot``, their gapless place in the shard (from 0).
 
     Shards hold near equal sums of ``size``.  Rows are numbered inside their virtual slot, which holds
     about one in ``slots`` rows, and shifted by the rows of the shard's earlier slots, so no task sees a
     whole shard.  Equal rows hash alike and share a slot; their order among each other is arbitrary.
-    Null keys hash like any value.  No row gives an empty result.
+    Null keys hash like any value, and a null size weighs nothing.  Columns of the records that are named like
+    one of ``ADDED`` are left out, unless they are keys or the size, for which such names are refused.
+    No row gives an empty result.
     """
     spark = records.sparkSession
+    taken = {c.lower() for c in ADDED} & {c.lower() for c in (*key, size)}
+    if taken:
+        raise ValueError(f"rename {sorted(taken)}: sharding gives columns of these names")
+    records = records.drop(*[c for c in records.columns if c.lower() in ADDED])
     keyed = staged(records.withColumn("__slot", slot_of(*key, slots=slots)), "slotted")
     weight = slot_bytes(keyed, "__slot", size, slots)
     start = first_map(slots, shards)
