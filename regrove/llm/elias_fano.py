@@ -71,11 +71,25 @@ class EliasFano:
                     break
         return (place - i << self.low) | self._low(i)
 
-    def all(self) -> np.ndarray:
-        """All numbers at once."""
-        places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[:self.n]
-        high = places.astype(np.int64) - np.arange(self.n)
+    def block(self, first: int, count: int) -> np.ndarray:
+        """Numbers ``first`` to ``first + count - 1``: only the bits between two samples are looked at."""
+        count = max(min(count, self.n - first), 0)
+        if not count:
+            return np.zeros(0, np.int64)
+        sample = first // EVERY
+        byte = int(self.samples[sample]) // 8
+        last = -(-(first + count) // EVERY)              # sample behind the block
+        stop = int(self.samples[last]) // 8 + 1 if last < len(self.samples) else len(self.high)
+        places = np.flatnonzero(np.unpackbits(self.high[byte:stop], bitorder="little")) + byte * 8
+        skip = int(np.searchsorted(places, int(self.samples[sample]))) + first - sample * EVERY
+        number = np.arange(first, first + count)
+        high = places[skip:skip + count] - number
         if not self.low:
             return high
-        bits = np.unpackbits(self.lows, count=self.n * self.low, bitorder="little").reshape(self.n, self.low)
-        return (high << self.low) | (bits.astype(np.int64) << np.arange(self.low)).sum(axis=1)
+        start, end = first * self.low, (first + count) * self.low
+        bits = np.unpackbits(self.lows[start // 8:-(-end // 8)], bitorder="little")[start % 8:start % 8 + end - start]
+        return (high << self.low) | (bits.reshape(count, self.low).astype(np.int64) << np.arange(self.low)).sum(axis=1)
+
+    def all(self) -> np.ndarray:
+        """All numbers at once."""
+        return self.block(0, self.n)

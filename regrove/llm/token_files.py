@@ -10,6 +10,7 @@ theirs, so a task that runs twice leaves whole files.
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
 import zlib
@@ -17,16 +18,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import shared_folder
+from ..session import discard, shared_folder, staged
 from .elias_fano import EliasFano, encode
 from .words import worker_memo
 
 END_ID = 2
 REMEMBERED = 1_000_000      # pieces of text whose ids a worker remembers
 TOGETHER = 512              # texts whose unknown pieces are encoded at once
+FILE_BYTES = 128 << 20      # ids of one file, about
 #: Characters that no tokenizer takes for white space.
 INK = "!-~¡-ᙿ"
 STARTS_INKED = re.compile(f"[{INK}]")
@@ -42,6 +45,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"      # a task has one core
         from tokenizers import Tokenizer
         self.tool = Tokenizer.from_file(path)
         plan = json.loads(self.tool.to_str())
@@ -104,55 +108,78 @@ def encoder(path: str) -> Encoder:
 
 def _open(folder: str):
     from pyarrow import fs
-    return fs.FileSystem.from_uri(folder)
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", folder))
+
+
+def encoded(docs: DataFrame, tokenizer: str, text: str, key: str, end_id: int) -> DataFrame:
+    """``key``, ``ids`` (bytes, with the end) and ``width``, the bytes of one id."""
+    kind = dict(docs.select(key).dtypes)[key]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = encoder(tokenizer)
+        end = np.array([end_id], tool.kind).tobytes()
+        for batch in batches:
+            for i in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(i, TOGETHER)
+                ids = [x + end for x in tool.encode([t or "" for t in part.column(1).to_pylist()])]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([tool.kind.itemsize] * len(ids), pa.int32())],
+                                                 ["key", "ids", "width"])
+
+    return docs.select(F.col(key).alias("key"), text).mapInArrow(scan, f"key {kind}, ids binary, width int")
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", folder: str | None = None,
-                      end_id: int = END_ID) -> DataFrame:
+                      end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Encode and write all texts; one row per file with its number of documents and ids, in key order.
 
     A null text is empty; every document ends with ``end_id``.  Null keys come first; equal keys are
-    in the order of their texts' hashes, so a key with very many rows spreads over files.  An empty
-    table gives no file.  ``folder`` defaults to a new one in the shared folder.
+    in the order of their ids' hashes, so a key with very many rows spreads over files; equal rows keep
+    one file.  The number of files follows the bytes of ids.  Long texts are written as they are encoded, whole.
+    Other columns are not read, whatever their names.  An empty table gives no file.  ``folder`` defaults to a
+    new one in the shared folder.
     """
     spark = docs.sparkSession
     folder = folder or f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
     store, base = _open(folder)
     store.create_dir(base, recursive=True)
+    # Ids take half the bytes of their texts, and the range boundaries are then drawn without encoding again.
+    ids = staged(encoded(docs, tokenizer, text, key, end_id), "encoded")
+    total, = ids.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, context = encoder(tokenizer), TaskContext.get()
+        context = TaskContext.get()
         store, base = _open(folder)
         part, attempt = context.partitionId(), context.taskAttemptId()
-        end = np.array([end_id], tool.kind).tobytes()
         name, trial = f"{base}/part-{part:05d}", f"{base}/_try-{attempt}-{part:05d}"
-        counts, keys = [], []
-        with store.open_output_stream(f"{trial}.ids") as out:
-            for batch in batches:
-                keys.append(batch.column(0))
-                for i in range(0, batch.num_rows, TOGETHER):
-                    for ids in tool.encode([t or "" for t in batch.column(1).slice(i, TOGETHER).to_pylist()]):
-                        out.write(ids)
-                        out.write(end)
-                        counts.append(len(ids) // tool.kind.itemsize + 1)
-        if not counts:
-            store.delete_file(f"{trial}.ids")
+        counts, out, keys, width = [], None, None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if out is None:
+                width = batch.column(2)[0].as_py()
+                out, key_file = store.open_output_stream(f"{trial}.ids"), store.open_output_stream(f"{trial}.keys")
+                keys = pa.ipc.new_file(key_file, pa.schema([("key", batch.column(0).type)]))
+            keys.write_batch(pa.RecordBatch.from_arrays([batch.column(0)], ["key"]))
+            for x in batch.column(1):
+                out.write(x.as_buffer())
+            counts.append(pc.binary_length(batch.column(1)).to_numpy() // width)
+        if out is None:
             return
-        ends = np.cumsum(np.array(counts, np.int64))
+        for file in (out, keys, key_file):
+            file.close()
+        ends = np.cumsum(np.concatenate(counts).astype(np.int64))
         with store.open_output_stream(f"{trial}.ef") as out:
             out.write(encode(ends, int(ends[-1])))
-        table = pa.Table.from_arrays([pa.chunked_array(keys)], ["key"])
-        with store.open_output_stream(f"{trial}.keys") as out, pa.ipc.new_file(out, table.schema) as sink:
-            sink.write_table(table)
         for kind in ("ids", "ef", "keys"):
             store.move(f"{trial}.{kind}", f"{name}.{kind}")
-        yield pa.RecordBatch.from_arrays([pa.array([folder]), pa.array([part]), pa.array([len(counts)]), pa.array([int(ends[-1])]),
-                                          pa.array([tool.kind.itemsize])], ["folder", "part", "n_docs", "n_ids", "width"])
+        yield pa.RecordBatch.from_arrays([pa.array([folder]), pa.array([part]), pa.array([len(ends)]), pa.array([int(ends[-1])]),
+                                          pa.array([width])], ["folder", "part", "n_docs", "n_ids", "width"])
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col(key).asc_nulls_first(), F.xxhash64(F.coalesce(F.col(text), F.lit("")))]
-    ordered = (docs.select(key, text).repartitionByRange(parts, *order).sortWithinPartitions(*order))
+    parts = max(-(-total // file_bytes), 2 * spark.sparkContext.defaultParallelism)
+    order = [F.col("key").asc_nulls_first(), F.xxhash64("ids")]
+    ordered = ids.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     written = ordered.mapInArrow(write, "folder string, part long, n_docs long, n_ids long, width long").toArrow().to_pylist()
+    discard(ids)
     return _parts(spark, sorted(written, key=lambda r: r["part"]))
 
 
@@ -174,16 +201,20 @@ def read_token_files(files: DataFrame, key: str = "doc_id", key_type: str = "lon
                 store, base = _open(f["folder"])
                 name = f"{base}/part-{f['part']:05d}"
                 with store.open_input_file(f"{name}.ef") as src:
-                    ends = EliasFano(src.read()).all()
-                with store.open_input_file(f"{name}.keys") as src:
-                    keys = pa.ipc.open_file(src).read_all().column(0).combine_chunks()
-                begins = np.concatenate([[0], ends[:-1]])
-                crc = np.empty(len(ends), np.int64)
-                with store.open_input_file(f"{name}.ids") as src:
-                    for i, (a, b) in enumerate(zip(begins.tolist(), ends.tolist())):
-                        ids = np.frombuffer(src.read((b - a) * f["width"]), f"<u{f['width']}")
-                        crc[i] = zlib.crc32(ids.astype("<u4").tobytes())
-                yield pa.RecordBatch.from_arrays([keys, pa.array(begins + f["start"]), pa.array(ends - begins), pa.array(crc)],
-                                                 [key, "start", "n_tokens", "ids_crc32"])
+                    bounds = EliasFano(src.read())
+                first, begin = 0, 0
+                with store.open_input_file(f"{name}.ids") as src, store.open_input_file(f"{name}.keys") as key_src:
+                    keys = pa.ipc.open_file(key_src)
+                    for k in range(keys.num_record_batches):
+                        key_part = keys.get_batch(k).column(0)
+                        ends = bounds.block(first, len(key_part))
+                        begins = np.concatenate([[begin], ends[:-1]])
+                        crc = np.empty(len(ends), np.int64)
+                        for i, n in enumerate((ends - begins).tolist()):
+                            ids = np.frombuffer(src.read(n * f["width"]), f"<u{f['width']}")
+                            crc[i] = zlib.crc32(ids.astype("<u4").tobytes())
+                        yield pa.RecordBatch.from_arrays([key_part, pa.array(begins + f["start"]), pa.array(ends - begins), pa.array(crc)],
+                                                         [key, "start", "n_tokens", "ids_crc32"])
+                        first, begin = first + len(ends), int(ends[-1])
 
     return files.mapInArrow(read, f"`{key}` {key_type}, start long, n_tokens long, ids_crc32 long")
