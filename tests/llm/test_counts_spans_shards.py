@@ -157,6 +157,33 @@ def test_shards_on_odd_rows(odd_docs, no_docs):
     assert shards.shard_records(docs.limit(0), ("doc_id", "text"), "size", 4).count() == 0
 
 
+def test_shards_replace_clashing_columns(odd_docs):
+    docs = odd_docs.withColumn("size", F.when(F.col("doc_id") > 4, 5).cast("long")).withColumn("Virtual_Slot", F.lit("x"))
+    got = shards.shard_records(docs, ("doc_id", "text"), "size", 4)
+    assert [c.lower() for c in got.columns].count("shard") == 1 and dict(got.dtypes)["virtual_slot"] == "int"
+    assert got.select("shard", "slot", "virtual_slot").distinct().count() > 1 and got.count() == odd_docs.count()
+    with pytest.raises(ValueError):
+        shards.shard_records(odd_docs, ("shard",), "n_chars", 4)
+
+
+def test_stored_map_is_loaded_and_edited(spark, tmp_path):
+    path, rng = str(tmp_path / "map"), np.random.default_rng(5)
+    weight = rng.integers(1, 1000, 64)
+    first = shards.first_map(64, 4)
+    shards.save_version(spark, path, first)
+    version, owner = shards.rebalance_stored(spark, path, weight, 4)
+    assert version == 2 and (owner == shards.rebalance(first, weight, 4)).all()
+    again = shards.rebalance_stored(spark, path, weight, 4)
+    assert again[0] == 2 and (again[1] == owner).all()             # nothing to edit: no new version
+    grown, wider = shards.rebalance_stored(spark, path, weight, 5)
+    assert grown == 3 and (shards.latest(shards.load_map(spark, path), 64)[1] == wider).all() and wider.max() == 4
+    assert shards.load_map(spark, path).filter("version = 3").count() == (wider != owner).sum() < 64
+    with pytest.raises(ValueError):
+        shards.rebalance_stored(spark, path, weight, 4)
+    with pytest.raises(ValueError):
+        shards.latest(shards.load_map(spark, path), 65)
+
+
 def cost(lengths, counts, bounds):
     return sum(c * (min(b for b in bounds if b >= x) - x) for x, c in zip(lengths, counts))
 

@@ -358,6 +358,33 @@ def test_pairs_use_every_row_of_the_larger_side(spark):
     assert pairs.count() == 160 and all(r[0][0] == 1.0 for r in pairs.collect())
 
 
+def test_pairs_use_rare_labels_of_large_tables(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "BLOCK_ROWS", 50)
+    d = len(ranking.FEATURES)
+    rows = [(i, 0 if i in (7, 700, 901) else 1, [float(i)] + [0.0] * (d - 1)) for i in range(1000)] + [(2000, 3, [0.0] * d), (2001, None, [0.0] * d)]
+    df = spark.createDataFrame(rows, "doc_id long, label int, features array<double>")
+    got = [r[0][0] for r in ranking.preference_pairs(df, "label", "doc_id").collect()]
+    assert len(got) == 997
+    # Every good row is in one pair, every bad one in a third of them.
+    assert sum(got) == pytest.approx(sum(i for i in range(1000) if i not in (7, 700, 901)) - 332 * (7 + 700 + 901), abs=1000)
+
+
+def test_fit_minimises_the_pairwise_loss(spark):
+    rng = np.random.default_rng(3)
+    d = len(ranking.FEATURES)
+    x = np.zeros((300, d))
+    x[:, :3] = rng.normal(size=(300, 3))
+    y = (x[:, 0] - 0.5 * x[:, 1] + rng.normal(size=300) > 0).astype(int)
+    df = spark.createDataFrame([(i, int(y[i]), x[i].tolist()) for i in range(300)], "doc_id long, label int, features array<double>")
+    z = np.array([r[0] for r in ranking.preference_pairs(df, "label", "doc_id").collect()])
+    scale = np.sqrt((z * z).mean(axis=0))
+    z = np.where(scale > 0, z / np.where(scale > 0, scale, 1), 0)
+    w = np.zeros(d)
+    for _ in range(4000):       # plain gradient descent on the same loss
+        w += 0.3 * (z.T @ (1 / (1 + np.exp(z @ w))) / len(z) - ranking.PENALTY * w)
+    assert ranking.fit(df).weights[:3] == pytest.approx((w / np.where(scale > 0, scale, 1))[:3], abs=2e-3)
+
+
 def test_ranking_on_odd_rows(spark, odd_docs, no_docs):
     rows = ranking.featured(odd_docs, "text", ("doc_id",))
     labelled = rows.withColumn("label", (F.coalesce("doc_id", F.lit(0)) % 2).cast("int"))
@@ -373,6 +400,9 @@ def test_elias_fano_round_trip(n, universe):
     x = np.sort(np.random.default_rng(n).integers(0, universe + 1, n))
     code = elias_fano.EliasFano(elias_fano.encode(x, universe))
     assert (code.all() == x).all() and [code.select(i) for i in range(n)] == x.tolist()
+    for first in range(0, n, 97):
+        for count in (1, 255, 256, 300):
+            assert (code.block(first, count) == x[first:first + count]).all()
     if n >= 1000:
         assert 8 * len(elias_fano.encode(x, universe)) < n * (3 + math.log2(max(universe / n, 1)) + 1)
 
@@ -399,6 +429,17 @@ def test_id_files(spark):
         start += len(ids)
 
 
+def test_number_of_id_files_follows_the_ids(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    path = registry.vocabulary_path("byte_bpe_50k.json")
+    files = token_files.write_token_files(docs, path, file_bytes=4_000)
+    total = files.agg(F.sum(F.col("n_ids") * F.col("width"))).first()[0]
+    assert files.count() > 2 * spark.sparkContext.defaultParallelism and files.count() <= -(-total // 4_000)
+    few = token_files.write_token_files(docs, path)
+    assert few.count() <= 2 * spark.sparkContext.defaultParallelism
+    assert token_files.read_token_files(few).exceptAll(token_files.read_token_files(files)).count() == 0
+
+
 def test_id_files_of_odd_rows(odd_docs, no_docs):
     path = registry.vocabulary_path("byte_bpe_50k.json")
     got = sorted(token_files.read_token_files(token_files.write_token_files(odd_docs, path)).collect(), key=lambda r: r.start)
