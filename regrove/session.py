@@ -46,15 +46,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write the rows once as Parquet in the shared folder and read them back.
+def staged(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
+    """Write the rows once as Parquet in the shared folder and read them back; ``codec`` overrides the session's.
 
     Unlike a cache the files outlive lost executors; unlike ``checkpoint`` the plan runs once.
     The folder belongs to the job: whoever owns ``spark.checkpoint.dir`` clears it after the job.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[id(out)] = (weakref.ref(out), path)
     return out
