@@ -29,6 +29,8 @@ from .words import worker_memo
 END_ID = 2
 REMEMBERED = 1_000_000      # pieces of text whose ids a worker remembers
 TOGETHER = 512              # texts whose unknown pieces are encoded at once
+JOINED = 512                # unknown pieces that are encoded as one text
+SPACE = "\u0120"            # how byte-level vocabularies spell a space
 FILE_BYTES = 128 << 20      # ids of one file, about
 #: Characters that no tokenizer takes for white space.
 INK = "!-~¡-ᙿ"
@@ -55,12 +57,31 @@ class Encoder:
         special = [t["content"] for t in plan.get("added_tokens", [])]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.kind = np.dtype("<u2" if self.tool.get_vocab_size() <= 1 << 16 else "<u4")
+        names = self.tool.get_vocab()
+        self.spaced = np.zeros(max(names.values(), default=0) + 1, bool)         # ids whose token starts with a space
+        self.spaced[[i for name, i in names.items() if name.startswith(SPACE)]] = True
+        self.joins = not any(" " in t for t in special)
         self.known: dict[str, bytes] = {}       # pieces behind a space
         self.odd: dict[str, bytes] = {}         # pieces as they are
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def behind_space(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that each follow a space and hold none: many make one text, cut where a token starts with a space."""
+        out = []
+        for i in range(0, len(pieces), JOINED):
+            part = pieces[i:i + JOINED]
+            ids = np.array(self.tool.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, np.int64)
+            start = np.flatnonzero(self.spaced[ids])
+            if len(start) != len(part) or not self.joins:
+                out += self.raw([" " + p for p in part])
+                continue
+            data, size = ids.astype(self.kind).tobytes(), self.kind.itemsize
+            cut = [*(start * size).tolist(), len(data)]
+            out += [data[a:b] for a, b in zip(cut[:-1], cut[1:])]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) + len(self.odd) > REMEMBERED:
             self.known.clear()
@@ -82,9 +103,9 @@ class Encoder:
                 parts = [first, *(" " + p for p in rest)]
                 odd.update(parts)
                 plans.append(parts)
-        for table, new, prefix in ((self.known, list(fresh), " "), (self.odd, list(odd - self.odd.keys()), "")):
+        for table, new, ids_of in ((self.known, list(fresh), self.behind_space), (self.odd, list(odd - self.odd.keys()), self.raw)):
             if new:
-                table.update(zip(new, self.raw([prefix + p for p in new])))
+                table.update(zip(new, ids_of(new)))
         whole = iter(self.raw([t for t, p in zip(texts, plans) if p is None]))
         known, out = self.known, []
         for p in plans:
