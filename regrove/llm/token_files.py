@@ -164,7 +164,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, text: str = "text", key:
     store, base = _open(folder)
     store.create_dir(base, recursive=True)
     # Ids take half the bytes of their texts, and the range boundaries are then drawn without encoding again.
-    ids = staged(encoded(docs, tokenizer, text, key, end_id), "encoded")
+    ids = staged(encoded(docs, tokenizer, text, key, end_id), "encoded", "zstd")
     total, = ids.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
