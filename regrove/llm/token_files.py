@@ -115,7 +115,9 @@ class Encoder:
                 out.append(b"".join(map(self.odd.__getitem__, p)))
             else:
                 first, rest, got, lacks = p
-                out.append(b"".join([self.odd[first], *(map(known.__getitem__, rest) if lacks else got)]))
+                if lacks:       # few pieces are looked up again
+                    got = [known[piece] if ids is None else ids for piece, ids in zip(rest, got)]
+                out.append(self.odd[first] + b"".join(got))
         return out
 
 
