@@ -30,10 +30,9 @@ BROADCAST_WINDOWS = 1_000_000
 def raw_tokens(text: Column, names: bool = True) -> Column:
     """Tokens of a text in one string, apart by single spaces; names carry the mark 0x01."""
     t = F.coalesce(text, F.lit(""))
-    for _ in range(2 if names else 0):      # neighbours share a character, so every other one is left for the second turn
-        t = F.regexp_replace(t, r"([\p{L}\p{N},;:] )(\p{Lu}\p{Ll}+)", "$1\u0001$2")
-    for _ in range(2):
-        t = F.regexp_replace(t, r"([0-9])[.,:/]([0-9])", "$1_$2")
+    if names:       # what stands before is looked at only where a capital was met, and is not consumed, so neighbours are found in one turn
+        t = F.regexp_replace(t, r"(\p{Lu}(?<=[\p{L}\p{N},;:] \p{Lu})\p{Ll}+)", "\u0001$1")
+    t = F.regexp_replace(t, r"[.,:/](?<=[0-9][.,:/])(?=[0-9])", "_")
     return F.trim(F.lower(F.regexp_replace(t, "[^\\p{L}\\p{N}_\u0001]+", " ")))
 
 
@@ -51,17 +50,24 @@ def listed(tokens: Column) -> Column:
     return F.array_remove(F.split(tokens, " "), "")
 
 
-def windows(tokens: Column, width: int) -> Column:
-    """Hash of every window of ``width`` tokens, in order.
+def token_hashes(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.xxhash64(t))
 
-    The token hashes are handed to the inner function as its argument, so that they are computed once
-    per text and not once per window.
-    """
-    hashes = F.transform(tokens, lambda t: F.xxhash64(t))
-    none = F.array().cast("array<bigint>")
-    of = lambda h: F.when(F.size(h) >= width, F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(h) - width + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(h, i, width)))).otherwise(none)
-    return F.element_at(F.transform(F.array(hashes), of), 1)
+
+def shape_code(kind: str, width: int) -> int:
+    """Number of a kind of window (``t``: template, ``r``: raw tokens, ``l``: whole line) and its width; part of its hash."""
+    return 16 * "trl".index(kind) + width
+
+
+def window_at(hashes: Column, pos: Column, kind: str, width: int) -> Column:
+    """Hash of the window that starts at ``pos``; null where it would pass the end.  A window is met by this number alone."""
+    each = [F.get(hashes, pos + k) for k in range(width)]
+    return F.when(pos + width <= F.size(hashes), F.xxhash64(F.lit(shape_code(kind, width)), *each))
+
+
+def window_of(tokens: Column, code: Column) -> Column:
+    """The same hash of an array that is one window."""
+    return F.xxhash64(code, token_hashes(tokens))
 
 
 def classed(benchmark: DataFrame, item: str, text: str) -> DataFrame:
@@ -98,7 +104,7 @@ def item_windows(items: DataFrame) -> DataFrame:
     literal = F.size(F.filter("t", lambda x: ~x.startswith("#")))
     kept = (cut.filter(literal >= F.least(F.lit(LITERAL), F.col("width")))
             .filter(F.col("width") >= LITERAL)
-            .withColumn("hash", F.xxhash64(F.transform("t", lambda x: F.xxhash64(x)))))
+            .withColumn("hash", window_of(F.col("t"), F.lit(shape_code("t", 0)) + F.col("width"))))
     counts = kept.groupBy("item").agg(F.count(F.lit(1)).alias("n_windows"))
     return kept.join(counts, "item").drop("t")
 
@@ -111,22 +117,31 @@ def raw_item_windows(items: DataFrame) -> DataFrame:
            .withColumn("n_raw", (F.size("raw") - F.col("width") + 1).cast("long")))
     places = one.withColumn("place", F.explode(F.sequence(F.lit(0), F.size("raw") - F.col("width"))))
     cut = F.slice("raw", F.col("place") + 1, F.col("width"))
-    return places.select("item", "width", "n_raw", "place", F.xxhash64(F.transform(cut, lambda x: F.xxhash64(x))).alias("hash")).distinct()
+    code = F.when(F.col("width") < LITERAL, shape_code("l", 0)).otherwise(shape_code("r", 0)) + F.col("width")
+    return places.select("item", "width", "n_raw", "place", window_of(cut, code).alias("hash")).distinct()
 
 
 def short_lines(text: Column, width: int) -> Column:
     """Hashes of the lines of just ``width`` tokens."""
     lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: listed(unmarked(raw_tokens(x))))
     few = F.filter(lines, lambda x: F.size(x) == width)
-    return F.transform(few, lambda x: F.xxhash64(F.transform(x, lambda t: F.xxhash64(t))))
+    return F.transform(few, lambda x: window_of(x, F.lit(shape_code("l", width))))
 
 
-def _placed(hashes: Column, width: int) -> Column:
-    return F.transform(hashes, lambda h, i: F.struct(F.lit("t").alias("kind"), F.lit(width).alias("width"), i.alias("pos"), h.alias("hash")))
+def document_windows(base: DataFrame, shapes: list[tuple[str, int]], carried: list[str]) -> DataFrame:
+    """(``carried``, pos, hash) of the windows of the given shapes in ``__raw``, by position.
 
-
-def _unplaced(hashes: Column, kind: str, width: int) -> Column:
-    return F.transform(hashes, lambda h: F.struct(F.lit(kind).alias("kind"), F.lit(width).alias("width"), F.lit(None).cast("int").alias("pos"), h.alias("hash")))
+    Tokens are hashed once per text; positions are rows, so windows are hashed in generated code and no array of them is held.
+    """
+    lines = [short_lines(F.col("__lines"), width) for kind, width in shapes if kind == "l"]
+    hashed = base.select(*carried, token_hashes(listed(template(F.col("__raw")))).alias("__t"), token_hashes(listed(unmarked(F.col("__raw")))).alias("__r"),
+                         *([F.concat(*lines).alias("__l")] if lines else []))
+    longest = F.greatest(F.size("__t"), F.size("__r"), *([F.size("__l")] if lines else []))
+    placed = hashed.filter(longest > 0).select("*", F.explode(F.sequence(F.lit(0), longest - 1)).alias("pos"))
+    found = [window_at(F.col(f"__{kind}"), F.col("pos"), kind, width) for kind, width in shapes if kind != "l"]
+    found += [F.get(F.col("__l"), F.col("pos"))] if lines else []
+    one = placed.select(*carried, "pos", *[h.alias(f"h{i}") for i, h in enumerate(found)])
+    return one.select(*carried, "pos", F.stack(F.lit(len(found)), *[F.col(f"h{i}") for i in range(len(found))]).alias("hash"))
 
 
 def template_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
@@ -156,16 +171,8 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id",
     small = sum(shapes.values()) <= BROADCAST_WINDOWS
     base = docs.select(F.col(key).alias("__key"), F.xxhash64(text).alias("__hash"), raw_tokens(F.col(text)).alias("__raw"),
                        *([F.col(text).alias("__lines")] if any(kind == "l" for kind, _ in shapes) else []))
-    held = []
-    for kind, width in sorted(shapes) or [("t", WIDTH)]:
-        if kind == "t":
-            held.append(_placed(windows(listed(template(F.col("__raw"))), width), width))
-        else:
-            found = short_lines(F.col("__lines"), width) if kind == "l" else windows(listed(unmarked(F.col("__raw"))), width)
-            held.append(_unplaced(F.array_distinct(found), kind, width))
-    spread = base.select("__key", "__hash", *(["__raw"] if small else []), F.explode(F.concat(*held)).alias("w")).select(
-        "__key", "__hash", *(["__raw"] if small else []), "w.*")
-    found = spread.join(F.broadcast(side) if small else side, ["kind", "width", "hash"])
+    spread = document_windows(base, sorted(shapes) or [("t", WIDTH)], ["__key", "__hash", *(["__raw"] if small else [])])
+    found = spread.join(F.broadcast(side) if small else side, "hash")
     if not small:
         found = staged(found, "template-hits")
         wanted = found.select("__key", "__hash").distinct()
