@@ -26,11 +26,11 @@ def csv_by_name(spark, d):
     return readers.csv_tables(spark, [f"{at}/even", f"{at}/odd"], "p_partkey bigint, p_brand string, p_size int, p_retailprice double")
 
 
-@query("SELECT n_regionkey, n_nationkey, CASE WHEN n_name <> 'NA' THEN n_name END AS n_name FROM nation")
+@query("SELECT p_partkey, p_size, p_retailprice, CASE WHEN p_brand <> 'NA' THEN p_brand END AS p_brand FROM part")
 def csv_guessed_types(spark, d):
     """A CSV export read back with guessed types."""
     at = _folder(spark)
-    writers.save_csv(read(spark, d, "nation").select("n_regionkey", "n_nationkey", "n_name"), at)
+    writers.save_csv(read(spark, d, "part").select("p_partkey", "p_size", "p_retailprice", "p_brand"), at)
     return readers.csv_table(spark, at)
 
 
@@ -42,6 +42,26 @@ def stage_round_trip(spark, d):
     return readers.stage(spark, at, "orders").filter("o_orderpriority LIKE '1%'").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
 
 
+@query("SELECT 'status_' || o_orderstatus AS layer, o_orderkey, o_totalprice FROM orders")
+def layer_stack_by_glob(spark, d):
+    """One layer written per order status; all layers of a pattern read in one scan, each row tagged with its layer."""
+    at, orders = _folder(spark), read(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    for status in "FOP":
+        writers.save_stage(orders.filter(F.col("o_orderstatus") == status).drop("o_orderstatus"), at, f"status_{status}")
+    writers.save_stage(orders.limit(0), at, "other")        # outside the pattern
+    return readers.layer_stack(spark, f"{at}/status_*").select("layer", "o_orderkey", "o_totalprice")
+
+
+@query("SELECT CAST(l_orderkey AS BIGINT) AS site, CAST(l_linenumber AS BIGINT) AS line, l_quantity AS tmax, l_discount FROM lineitem")
+def nested_bundle(spark, d):
+    """The items of each order written as one nested array a row, read back and flattened beside the order."""
+    at = _folder(spark)
+    items = read(spark, d, "lineitem").select("l_orderkey", F.struct(F.col("l_linenumber").alias("line"), "l_quantity", "l_discount").alias("item"))
+    writers.save_stage(items.groupBy(F.col("l_orderkey").alias("site")).agg(F.collect_list("item").alias("data")), at, "bundle")
+    flat = readers.climate_bundle(readers.stage(spark, at, "bundle"), names={"l_quantity": "tmax"})
+    return flat.select(F.col("site").cast("bigint"), F.col("line").cast("bigint"), "tmax", "l_discount")
+
+
 @query(f"""WITH {_CELLS} SELECT "row", col, value, {_GRID.res} AS res FROM c""")
 def raster_round_trip(spark, d):
     """A raster and its grid written and read back."""

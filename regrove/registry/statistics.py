@@ -185,6 +185,12 @@ def spearman_test(spark, d):
     return out(hy.spearman(read(spark, d, "orders"), ["o_orderstatus"], "o_totalprice", "o_custkey"))
 
 
+@query()
+def spearman_small_sample(spark, d):
+    """Balances against keys of the suppliers of each nation, with the small-sample law of the rank distance."""
+    return out(hy.spearman(read(spark, d, "supplier"), ["s_nationkey"], "s_suppkey", "s_acctbal", small_sample=True))
+
+
 _VARS = ["l_discount", "l_extendedprice", "l_quantity", "l_tax", "unit"]
 _RANKS = "x AS (SELECT *, l_extendedprice / l_quantity AS unit FROM lineitem), r AS (SELECT " + ", ".join(
     f"rank() OVER (ORDER BY {v}) + (count(*) OVER (PARTITION BY {v}) - 1) / 2.0 AS {v}" for v in _VARS) + " FROM x), m AS (" + " UNION ALL ".join(

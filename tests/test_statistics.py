@@ -1,6 +1,8 @@
 """Tests, community statistics and models against tables, identities and brute force."""
 
 import math
+from collections import Counter
+from itertools import permutations
 
 import numpy as np
 import pandas as pd
@@ -261,3 +263,32 @@ def test_model_queries_cover_every_flag_and_subset(spark):
     assert {r["model_group"] for r in modelling.model_average(spark, folder).collect()} == set("ANR")
     assert {r["model_group"] for r in modelling.averaged_effects(spark, folder).collect()} == set("ANR")
     assert sorted(r["model_id"] for r in modelling.nb_checks(spark, folder).collect()) == sorted("ANR" * 3)
+
+
+def test_small_rank_law_against_all_orderings():
+    for n in range(2, 9):
+        middle = (n ** 3 - n) / 6
+        found = Counter(sum((i - p) ** 2 for i, p in enumerate(order)) for order in permutations(range(n)))
+        for s in found:
+            side = sum(v for k, v in found.items() if (k >= s if s > middle else k <= s)) / math.factorial(n)
+            assert tails.spearman_small_p(1 - s / middle, n) == pytest.approx(min(1.0, 2 * side), abs=1e-12)
+
+
+def test_rank_series_is_near_the_counted_law():
+    counted = tails._rank_distance_tail(11)
+    assert max(abs(counted[s] - tails._rank_distance_upper(s, 11)) for s in range(0, 440, 2)) < 5e-4
+
+
+def test_small_sample_spearman_by_group(spark):
+    groups = {"few": ([1, 2, 3, 4, 5], [1, 3, 2, 5, 4]), "tied": ([1, 2, 2, 4, 5], [1, 3, 2, 5, 4]), "one": ([1], [1]),
+              "more": (list(range(20)), [(7 * i) % 20 for i in range(20)])}
+    rows = [(g, float(a), float(b)) for g, (x, y) in groups.items() for a, b in zip(x, y)] + [("few", 9.0, None), (None, 1.0, 2.0), (None, 2.0, 1.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    small = {r["g"]: r for r in hy.spearman(df, ["g"], "x", "y", small_sample=True).collect()}
+    usual = {r["g"]: r for r in hy.spearman(df, ["g"], "x", "y").collect()}
+    assert (small["few"]["n"], small["few"]["rho"]) == (5, pytest.approx(0.8))
+    assert small["few"]["p"] == pytest.approx(16 / 120)         # 8 of 120 orderings lie within a distance of 4
+    assert small["tied"]["p"] == usual["tied"]["p"]
+    assert small["more"]["p"] == pytest.approx(usual["more"]["p"], abs=0.01) and small["more"]["p"] != usual["more"]["p"]
+    assert small["one"]["p"] is None and small[None]["p"] == pytest.approx(1.0)
+    assert hy.spearman(df.limit(0), ["g"], "x", "y", small_sample=True).count() == 0
