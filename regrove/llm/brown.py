@@ -2,9 +2,13 @@
 
 Words of training texts are counted over the whole corpus.  The most frequent ``VOCABULARY`` words
 are put into ``CLASSES`` classes by exchange clustering, which moves a word to the class that most
-raises the likelihood of the class bigrams; all other words belong to one of a few classes by
-their length, and the end of a text has its own.  A word's probability is that of its class after
-the previous class times that of the word in its class; rare and unseen words share a smoothed part.
+raises the likelihood of the class bigrams.  From there the whole vocabulary is exchanged: each round counts
+the classes beside every word, however rare, and moves words in the tasks that hold their counts.  Before its first
+move a word belongs to a class of words of its length; the end of a text has its own class.  A word's
+probability is that of its class after the previous class times that of the word in its class, smoothed.  An unseen word counts as
+one more word of the class that holds most words of its length that were seen once.
+
+Only the classes of the ``HEAD`` most frequent words travel to every task; those of all other words stay in a table that is joined.
 """
 
 from __future__ import annotations
@@ -14,21 +18,27 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import staged
+from ..session import discard, staged
 from .frequent import most_frequent
 from .words import U64, mix, slices, words_of
 
-VOCABULARY = 2048           # words that are clustered
+VOCABULARY = 2048           # words that form the classes to begin with
 CLASSES = 64
-LENGTHS = 8                 # classes of other words, four bytes of length each, the last one open
-HEAD = 1 << 18              # most frequent words whose counts every task has (6 MB); others are joined
+LENGTHS = 8                 # classes of words that have not moved yet, four bytes of length each, the last one open
+KINDS = CLASSES + LENGTHS + 1
+HEAD = 1 << 18              # most frequent words whose counts and classes every task has (8 MB); others are joined
 ROUNDS = 6
+WHOLE_ROUNDS = 3            # rounds over the whole vocabulary
 PRIOR = 20.0                # weight of the class unigram in a transition
+SHARE = 0.8                 # share of the class bigrams in a transition; the rest is the smoothed class unigram
 ADD = 0.1
 END = np.int64(mix(np.array([77], U64)).view(np.int64)[0])      # stands for the end of a text
 GATHER = 1 << 21            # tokens counted together before they leave a task
+ROWS_PER_TASK = 2_000_000   # counts gathered in one task
+TOGETHER = 256              # words whose gains are computed at once
+TAIL = np.int64(-1 << 63)   # added to the hashes of words outside the head: they are negative, head words are numbered
 
 
 def length_class(words) -> np.ndarray:
@@ -46,8 +56,8 @@ class Tally:
     def __init__(self):
         self.keys, self.counts, self.held = [], [], 0
 
-    def add(self, keys: np.ndarray) -> None:
-        key, n = np.unique(keys, return_counts=True)
+    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
+        key, n = np.unique(keys, return_counts=True) if counts is None else summed([keys], [counts])
         self.keys.append(key)
         self.counts.append(n)
         self.held += len(key)
@@ -238,16 +248,259 @@ def exchange(bigrams: DataFrame, clustered: int, classes: int = CLASSES, rounds:
     return (best[0] if best[0] is not None else cls), history
 
 
+def head_symbols(head: np.ndarray, words) -> np.ndarray:
+    """The place in ``head`` (ascending hashes) of each word, or its negative hash."""
+    h = words.hash.view(np.int64)
+    out = h | TAIL
+    if len(head):
+        at = np.minimum(np.searchsorted(head, h), len(head) - 1)
+        hit = head[at] == h
+        out[hit] = at[hit]
+    return out
+
+
+def word_bigrams(texts: DataFrame, head: np.ndarray, text: str = "text") -> DataFrame:
+    """(a, b, n): how often word b follows word a, over the whole vocabulary; the end is ``len(head)``."""
+    shared = texts.sparkSession.sparkContext.broadcast(head)        # HEAD numbers
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, tally = shared.value, Tally()
+        end, size = len(head), len(head) + 1
+        made = lambda a, b, n: pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], ["a", "b", "n"])
+
+        def rows():
+            key, n = tally.take()
+            return made(key // size, key % size, n)
+
+        for batch in batches:
+            for piece in slices(batch, "__text"):
+                words = words_of(piece.column(0))
+                b = np.full(len(words.doc) + words.rows, end)
+                b[np.arange(len(words.doc)) + words.doc] = head_symbols(head, words)
+                a = np.concatenate([[end], b[:-1]])         # texts follow each other over their ends
+                common = (a >= 0) & (b >= 0)
+                tally.add(a[common] * size + b[common])
+                if not common.all():
+                    yield made(a[~common], b[~common], np.ones(int((~common).sum()), np.int64))
+                if tally.full():
+                    yield rows()
+        yield rows()
+
+    found = texts.select(F.col(text).alias("__text")).mapInArrow(scan, "a long, b long, n long")
+    return found.groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def tail_words(counts: DataFrame, head: np.ndarray) -> DataFrame:
+    """(word, cls, band) of all counted words outside the head, each in the class of its length."""
+    shared = counts.sparkSession.sparkContext.broadcast(head)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = shared.value
+        for batch in batches:
+            word, band = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            out = np.ones(len(word), bool)
+            if len(head):
+                out = head[np.minimum(np.searchsorted(head, word), len(head) - 1)] != word
+            yield pa.RecordBatch.from_arrays([pa.array(word[out] | TAIL), pa.array(band[out] + np.int32(CLASSES)), pa.array(band[out])],
+                                             ["word", "cls", "band"])
+
+    return counts.filter(F.col("band") < LENGTHS).select("word", "band").mapInArrow(scan, "word long, cls int, band int")
+
+
+def neighbours(bigrams: DataFrame, head_class: np.ndarray, head_band: np.ndarray, tail: DataFrame, rows: int) -> DataFrame:
+    """A row per word with its class, length class, ``total`` and the counts ``n`` of the classes ``at`` beside it.
+
+    ``at`` is the class behind the word, or ``KINDS`` and the class ahead of it, or ``2 * KINDS`` for the word behind itself.
+    Rows without a word hold the class bigrams of a task.  ``head_class`` and ``head_band`` include the end; ``rows`` is the size of ``bigrams``.
+    """
+    spark = bigrams.sparkSession
+    shared = spark.sparkContext.broadcast((head_class, head_band))
+    own, mark = 2 * KINDS, 2 * KINDS + 1
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cls, tally = shared.value[0], Tally()
+        made = lambda word, at, n: pa.RecordBatch.from_arrays([pa.array(word), pa.array(at.astype(np.int32)), pa.array(n)], ["word", "at", "n"])
+
+        def sums():
+            key, n = tally.take()
+            return made(key // mark, key % mark, n)
+
+        for batch in batches:
+            a, b, n = (batch.column(i).to_numpy() for i in range(3))
+            behind, ahead, same = b >= 0, a >= 0, a == b
+            word = np.concatenate([a[behind], b[ahead], a[same]])
+            at = np.concatenate([cls[b[behind]], KINDS + cls[a[ahead]], np.full(int(same.sum()), own)])
+            n = np.concatenate([n[behind], n[ahead], n[same]])
+            common = word >= 0
+            tally.add(word[common] * mark + at[common], n[common])
+            if not common.all():
+                yield made(word[~common], at[~common], n[~common])
+            if tally.full():
+                yield sums()
+        yield sums()
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head_class, head_band = shared.value
+        tables = [b for b in batches if b.num_rows]
+        if not tables:
+            return
+        word, at, n = (np.concatenate([b.column(i).to_numpy() for b in tables]) for i in range(3))
+        order = np.lexsort((at, word))
+        word, at, n = word[order], at[order], n[order]
+        new = np.ones(len(word), bool)
+        new[1:] = (word[1:] != word[:-1]) | (at[1:] != at[:-1])
+        first = np.flatnonzero(new)
+        word, at, n = word[first], at[first], np.add.reduceat(n, first)
+        first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        name, last = word[first], np.append(first[1:], len(word)) - 1
+        common = name >= 0
+        place = np.where(common, name, 0)
+        cls = np.where(common, head_class[place], n[last] // LENGTHS)       # the mark of a tail word comes last
+        band = np.where(common, head_band[place], n[last] % LENGTHS)
+        owner = np.cumsum(np.append(True, word[1:] != word[:-1])) - 1
+        total = np.bincount(owner, weights=np.where(at < KINDS, n, 0), minlength=len(name)).astype(np.int64)
+        after = at < KINDS
+        grid = np.bincount(cls[owner[after]] * KINDS + at[after], weights=n[after], minlength=KINDS * KINDS).astype(np.int64)
+        kept = at < mark
+        owner, at, n = owner[kept], at[kept], n[kept]
+        cut = np.searchsorted(owner, np.arange(len(name) + 1)).astype(np.int32)
+        names = ["word", "cls", "band", "total", "at", "n"]
+        lists = lambda x, c: pa.ListArray.from_arrays(pa.array(c), pa.array(x))
+        whole = pa.RecordBatch.from_arrays([pa.array(name), pa.array(cls.astype(np.int32)), pa.array(band.astype(np.int32)), pa.array(total),
+                                            lists(at.astype(np.int32), cut), lists(n, cut)], names)
+        for i in range(0, whole.num_rows, 8192):
+            yield whole.slice(i, 8192)
+        some = np.flatnonzero(grid)
+        ends = np.array([0, len(some)], np.int32)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()),
+                                          lists(some.astype(np.int32), ends), lists(grid[some], ends)], names)
+
+    known = tail.select(F.col("word").alias("w"), "cls")
+    beside = (bigrams.mapInArrow(scan, "word long, at int, n long")
+              .union(bigrams.filter("b < 0").join(known, F.col("b") == F.col("w")).select("a", "cls", "n"))
+              .union(bigrams.filter("a < 0").join(known, F.col("a") == F.col("w")).select("b", F.col("cls") + KINDS, "n"))
+              .union(tail.select("word", F.lit(mark), (F.col("cls") * LENGTHS + F.col("band")).cast("long"))))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + 2 * rows // ROWS_PER_TASK)
+    return beside.repartition(tasks, "word").mapInArrow(
+        gather, "word long, cls int, band int, total long, at array<int>, n array<long>")
+
+
+def class_grid(beside: DataFrame) -> np.ndarray:
+    """Class bigrams, as ``neighbours`` has them."""
+    got = (beside.filter("word is null").select(F.explode(F.arrays_zip("at", "n")).alias("z"))
+           .groupBy("z.at").agg(F.sum("z.n").alias("n")).toArrow())
+    grid = np.zeros(KINDS * KINDS)
+    grid[got["at"].to_numpy()] = got["n"].to_numpy()
+    return grid.reshape(KINDS, KINDS)
+
+
+def likelihood_of(grid: np.ndarray) -> float:
+    return float(xlogx(grid).sum() - xlogx(grid.sum(axis=1)).sum() - xlogx(grid.sum(axis=0)).sum())
+
+
+def best_classes(after: np.ndarray, before: np.ndarray, own: np.ndarray, classes: np.ndarray, grid: np.ndarray,
+                 open_classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """What ``best_moves`` finds, for some words only, at the cost of the classes that are beside them."""
+    rows, word = len(classes), np.arange(len(classes))
+    left, right = grid.sum(axis=1), grid.sum(axis=0)
+    nr, nl = after.sum(axis=1), before.sum(axis=1)
+    r, l = after.copy(), before.copy()
+    r[word, classes] -= own
+    l[word, classes] -= own
+    pick = np.arange(open_classes)
+    corner = grid[pick, pick]
+    change = xlogx(corner + r[:, :open_classes] + l[:, :open_classes] + own[:, None]) - xlogx(corner)
+    change -= xlogx(left[pick] + nr[:, None]) - xlogx(left[pick]) + xlogx(right[pick] + nl[:, None]) - xlogx(right[pick])
+    middle = grid[classes, classes]
+    stay = xlogx(middle) - xlogx(middle - r[word, classes] - l[word, classes] - own)
+    stay -= xlogx(left[classes]) - xlogx(left[classes] - nr) + xlogx(right[classes]) - xlogx(right[classes] - nl)
+    for table, other, g in ((r, l, grid), (l, r, grid.T)):
+        i, j = np.nonzero(table)
+        if len(i) == 0:
+            continue
+        n, home = table[i, j], j == classes[i]
+        cells = g[:open_classes, j].T.copy()
+        cells[home] -= other[i[home], :open_classes]        # the word itself has left its class
+        part = xlogx(cells + n[:, None]) - xlogx(cells)
+        inside = np.flatnonzero(j < open_classes)
+        part[inside, j[inside]] = 0                         # in ``corner``
+        at = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+        change[i[at]] += np.add.reduceat(part, at)
+        now = g[classes[i], j]
+        stay += np.bincount(i, weights=np.where(home, 0, xlogx(now) - xlogx(now - n)), minlength=rows)
+    inside = np.flatnonzero(classes < open_classes)
+    change[inside, classes[inside]] = stay[inside]
+    target = change.argmax(axis=1)
+    return target, change[word, target] - stay
+
+
+def moved(beside: DataFrame, grid: np.ndarray, end: int, turn: int) -> DataFrame:
+    """(word, cls, band) after a round in which every word that has its turn takes its best class, the others staying.
+
+    First all words of length classes have their turn and leave these, then halves of the vocabulary, so that words that attract
+    each other do not swap for ever.
+    """
+    shared = beside.sparkSession.sparkContext.broadcast(grid)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grid = shared.value
+        for batch in batches:
+            word, cls, band = (batch.column(i).to_numpy() for i in range(3))
+            cls = cls.copy()
+            cut = batch.column(3).offsets.to_numpy()
+            at, n = batch.column(3).values.to_numpy(), batch.column(4).values.to_numpy()
+            movable = (cls >= CLASSES) if turn == 0 else (mix(word.view(U64)) & U64(1) == U64(turn & 1))
+            todo = np.flatnonzero(movable & (word != end))
+            for k in range(0, len(todo), TOGETHER):
+                some = todo[k:k + TOGETHER]
+                size = cut[some + 1] - cut[some]
+                owner = np.repeat(np.arange(len(some)), size)
+                from_ = np.repeat(cut[some] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+                table = np.zeros((len(some), 2 * KINDS + 1))
+                table[owner, at[from_]] = n[from_]
+                target, gain = best_classes(table[:, :KINDS], table[:, KINDS:2 * KINDS], table[:, -1], cls[some].astype(np.int64), grid, CLASSES)
+                cls[some] = np.where((gain > 0) | (cls[some] >= CLASSES), target, cls[some])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls), batch.column(2)], ["word", "cls", "band"])
+
+    return beside.filter("word is not null").select("word", "cls", "band", "at", "n").mapInArrow(scan, "word long, cls int, band int")
+
+
+def exchange_all(bigrams: DataFrame, head_class: np.ndarray, head_band: np.ndarray, tail: DataFrame,
+                 rounds: int = WHOLE_ROUNDS) -> tuple[DataFrame, np.ndarray, np.ndarray, list[float]]:
+    """``neighbours``, classes of the head and class bigrams of the best round, and the likelihood after each.
+
+    The classes of the head (at most ``HEAD``) and the class bigrams reach the driver, nothing of other words does.
+    """
+    rows, best, history = bigrams.count(), None, []
+    for turn in range(rounds + 1):
+        beside = staged(neighbours(bigrams, head_class, head_band, tail, rows), "neighbours")
+        grid = class_grid(beside)
+        history.append(likelihood_of(grid))
+        if turn <= 1 or history[-1] > best[3]:       # the classes to begin with are not the same kind of classes
+            discard(*(best[:1] if best else ()))
+            best = (beside, head_class, grid, history[-1])
+        else:
+            discard(beside)
+            break
+        if turn < rounds:
+            after = staged(moved(beside, grid, len(head_class) - 1, turn), "moved")
+            got = after.filter("word >= 0").select("word", "cls").toArrow()        # bounded by HEAD
+            head_class = head_class.copy()
+            head_class[got["word"].to_numpy()] = got["cls"].to_numpy()
+            discard(tail)
+            tail = after.filter("word < 0")
+    return best[0], best[1], best[2], history
+
+
 @dataclass
 class Model:
-    """All that scoring needs but the counts of words outside the head."""
+    """All that scoring needs but the counts and classes of words outside the head."""
     head: np.ndarray            # word hashes, ascending
     head_count: np.ndarray
-    clustered: np.ndarray       # hash of each clustered word
-    classes: np.ndarray         # class of each symbol
+    head_class: np.ndarray      # class of each head word, then of the end
     transition: np.ndarray      # log10, class after class
-    clustered_emission: np.ndarray
-    band_total: np.ndarray      # log10 of the smoothed size of each length class
+    class_total: np.ndarray     # log10 of the smoothed size of each class
+    unseen: np.ndarray          # class of an unseen word of each length class
     tokens: int
     kinds: int                  # distinct training tokens
     ends: int                   # training texts
@@ -255,98 +508,110 @@ class Model:
 
 
 def train(texts: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
-    """The model and the table of all word counts."""
+    """The model, and the table (word, c, cls) of all training words outside the head."""
     counts = staged(word_counts(texts, text), "word-counts")
     bands = {r["band"]: (r["n"], r["v"]) for r in counts.groupBy("band").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     tokens, kinds = sum(n for n, _ in bands.values()), sum(v for _, v in bands.values())
     top = most_frequent(counts.filter(F.col("band") < LENGTHS), "word", "n", HEAD).toArrow()     # bounded by HEAD
     head, n, band = (top[c].to_numpy() for c in ("word", "n", "band"))
     order = np.lexsort((head, -n))
-    head, n, band = head[order], n[order], band[order]
-    clustered = head[:VOCABULARY]
-    bigrams = staged(symbol_bigrams(texts, clustered, text), "bigrams")
-    classes, history = exchange(bigrams, len(clustered))
-    kinds_of = CLASSES + LENGTHS + 1
-    after, _, _ = class_context(bigrams, classes, kinds_of)
-    grid = np.zeros((kinds_of, kinds_of))
-    np.add.at(grid, classes, after)
-    prior = (grid.sum(axis=0) + 1) / (grid.sum() + kinds_of)
-    transition = (grid + PRIOR * prior) / (grid.sum(axis=1, keepdims=True) + PRIOR)
-    in_class = np.bincount(classes[:len(clustered)], weights=n[:len(clustered)], minlength=kinds_of)
-    emission = np.log10(n[:len(clustered)] / in_class[classes[:len(clustered)]]) if len(clustered) else np.zeros(0)
-    rest = [(bands.get(b, (0, 0))[0] - int(n[:VOCABULARY][band[:VOCABULARY] == b].sum()),
-             bands.get(b, (0, 0))[1] - int((band[:VOCABULARY] == b).sum())) for b in range(LENGTHS)]
-    band_total = np.log10(np.array([m + ADD * (v + 1) for m, v in rest]))
+    clustered = head[order][:VOCABULARY]
+    seeds = staged(symbol_bigrams(texts, clustered, text), "seeds")
+    classes, history = exchange(seeds, len(clustered))
     by_hash = np.argsort(head)
-    return Model(head[by_hash], n[by_hash], clustered, classes, np.log10(transition), emission, band_total,
-                 tokens, kinds, bands.get(LENGTHS, (0, 0))[0], history), counts
-
-
-def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    head, n, band = head[by_hash], n[by_hash], band[by_hash]
+    head_class = np.append(band.astype(np.int64) + CLASSES, KINDS - 1)
+    head_class[np.searchsorted(head, clustered)] = classes[:len(clustered)]
+    tail = staged(tail_words(counts, head), "tail")
+    bigrams = staged(word_bigrams(texts, head, text), "bigrams")
+    beside, head_class, grid, later = exchange_all(bigrams, head_class, np.append(band, LENGTHS), tail)
+    discard(counts, seeds, bigrams)
+    prior = (grid.sum(axis=0) + 1) / (grid.sum() + KINDS)
+    transition = (grid + PRIOR * prior) / (grid.sum(axis=1, keepdims=True) + PRIOR)
+    size, once, words = np.zeros(KINDS), np.zeros((LENGTHS, KINDS)), np.zeros((LENGTHS, KINDS))
+    for r in (beside.filter(F.col("word") != len(head)).groupBy("cls", "band")
+              .agg(F.sum("total").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("total") == 1).alias("once")).collect()):
+        size[r["cls"]] += r["n"]
+        words[r["band"], r["cls"]], once[r["band"], r["cls"]] = r["v"], r["once"]
+    words[np.arange(LENGTHS), CLASSES + np.arange(LENGTHS)] += 1e-9         # a length that no training word has
+    unseen = np.where(once.any(axis=1), once.argmax(axis=1), words.argmax(axis=1))
+    held = words.round().sum(axis=0) + np.bincount(unseen, minlength=KINDS)
+    rest = beside.filter("word < 0").select("word", F.col("total").alias("c"), "cls")
+    held[-1], size[-1] = 1, bands.get(LENGTHS, (0, 0))[0]
+    total = size + ADD * held
+    transition = SHARE * transition + (1 - SHARE) * total / total.sum()     # words that occur once fit their classes too well
+    return Model(head, n, head_class, np.log10(transition), np.log10(np.maximum(total, ADD)), unseen,
+                 tokens, kinds, bands.get(LENGTHS, (0, 0))[0], history + later), rest
+
+
+def score(docs: DataFrame, model: Model, rest: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``n_tokens``, ``n_known``, ``base_score`` (smoothed unigram) and ``score`` beside ``keep``; log10.
 
     Tokens are the lower-cased words and one end.  A null or empty text is its end alone.  With no
     training text every word has the smoothed probability of an unseen one.  Repeated rows and null
-    keys are scored like others; other columns are not read.  Words outside the head are counted per
-    text and joined with the table of counts, so no task needs the whole vocabulary.
+    keys are scored like others; other columns are not read.  Words outside the head leave the tasks with the classes beside them
+    and are joined with their counts and classes, so no task needs the whole vocabulary.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(model)
     kinds = dict(docs.select(*keep).dtypes)
     schema = "".join(f"`{c}` {kinds[c]}, " for c in keep) + (
-        "n_tokens long, n_known long, base_part double, score_part double, tail array<long>, tail_n array<int>")
+        "n_tokens long, n_known long, base_part double, score_part double, tail array<long>, tail_band array<int>, ahead array<int>, behind array<int>")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        symbols = Symbols(m.clustered)
+        end = len(m.head)
         whole = np.log10(m.tokens + ADD * (m.kinds + 1))
         ends = m.ends
+        log_count = np.append(np.log10(m.head_count + ADD), np.log10(ends + ADD))
+        emission = np.append(log_count[:-1] - m.class_total[m.head_class[:-1]], 0.0)
         for batch in batches:
             for piece in slices(batch, "__text"):
                 words = words_of(piece.column("__text"))
-                s, row = symbols.chained(words)
-                cls = m.classes[s]
-                before = np.concatenate([[m.classes[symbols.end]], cls[:-1]])
-                value = m.transition[before, cls].copy()
-                base = np.full(len(s), -whole)
-                base[s == symbols.end] += np.log10(ends + ADD)
-                place = np.arange(len(words.doc)) + words.doc       # of each word in the chain
-                h = words.hash.view(np.int64)
-                at = np.minimum(np.searchsorted(m.head, h), max(len(m.head) - 1, 0))
-                hit = m.head[at] == h if len(m.head) else np.zeros(len(h), bool)
-                log_count = np.zeros(len(h))
-                log_count[hit] = np.log10(m.head_count[at[hit]] + ADD)
-                base[place] += log_count
-                ws = s[place]
-                clustered = ws < len(m.clustered)
-                emission = np.empty(len(h))
-                emission[clustered] = m.clustered_emission[ws[clustered]]
-                emission[~clustered] = log_count[~clustered] - m.band_total[ws[~clustered] - len(m.clustered)]
-                value[place] += emission
                 rows = words.rows
-                known = np.bincount(words.doc[hit], minlength=rows) + (1 if ends else 0)
-                tail_doc, tail = words.doc[~hit], h[~hit]
-                order = np.lexsort((tail, tail_doc))
-                tail_doc, tail = tail_doc[order], tail[order]
-                new = np.ones(len(tail), bool)
-                new[1:] = (tail[1:] != tail[:-1]) | (tail_doc[1:] != tail_doc[:-1])
-                first = np.flatnonzero(new)
-                amount = np.diff(np.append(first, len(tail))).astype(np.int32)
-                cut = pa.array(np.searchsorted(tail_doc[first], np.arange(rows + 1)).astype(np.int32))
+                s = np.full(len(words.doc) + rows, end)
+                place = np.arange(len(words.doc)) + words.doc       # of each word in the chain
+                s[place] = head_symbols(m.head, words)
+                row = np.repeat(np.arange(rows), np.diff(words.bounds()) + 1)
+                common = s >= 0
+                at = np.where(common, s, 0)
+                cls = np.where(common, m.head_class[at], -1)
+                before = np.concatenate([[m.head_class[end]], cls[:-1]])
+                base = np.where(common, log_count[at], 0.0) - whole
+                value = np.where(common, emission[at], 0.0) + np.where((cls >= 0) & (before >= 0), m.transition[before, cls], 0.0)
+                known = np.bincount(row[common & (s != end)], minlength=rows) + (1 if ends else 0)
+                rare = np.flatnonzero(~common)
+                cut = np.searchsorted(row[rare], np.arange(rows + 1)).astype(np.int32)
+                lists = lambda x: pa.ListArray.from_arrays(pa.array(cut), pa.array(x))
+                bands = np.zeros(len(s), np.int32)
+                bands[place] = length_class(words)
+                after = np.append(cls[1:], -1)                      # every text ends with its end
                 yield pa.RecordBatch.from_arrays(
                     [*piece.columns[:len(keep)], pa.array(np.diff(words.bounds()) + 1), pa.array(known),
                      pa.array(np.bincount(row, weights=base, minlength=rows)), pa.array(np.bincount(row, weights=value, minlength=rows)),
-                     pa.ListArray.from_arrays(cut, pa.array(tail[first])), pa.ListArray.from_arrays(cut, pa.array(amount))],
-                    [*keep, "n_tokens", "n_known", "base_part", "score_part", "tail", "tail_n"])
+                     lists(s[rare]), lists(bands[rare]), lists(before[rare].astype(np.int32)), lists(after[rare].astype(np.int32))],
+                    [*keep, "n_tokens", "n_known", "base_part", "score_part", "tail", "tail_band", "ahead", "behind"])
 
     parts = docs.select(*keep, F.col(text).alias("__text")).mapInArrow(scan, schema)
     parts = staged(parts.withColumn("__row", F.monotonically_increasing_id()), "scored")
-    tail = parts.select("__row", F.explode(F.arrays_zip("tail", "tail_n")).alias("z")).select(
-        "__row", F.col("z.tail").alias("word"), F.col("z.tail_n").alias("n"))
-    rare = counts.filter(F.col("band") < LENGTHS).groupBy("word").agg(F.sum("n").alias("c"))
-    met = (tail.join(rare, "word", "left").groupBy("__row")
-           .agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(ADD))).alias("__log"),
-                F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("__known")))
-    log: Column = F.coalesce("__log", F.lit(0.0))
+    tail = parts.select("__row", F.posexplode(F.arrays_zip("tail", "tail_band", "ahead", "behind")).alias("pos", "z")).select(
+        "__row", "pos", F.col("z.tail").alias("word"), F.col("z.tail_band").alias("band"), F.col("z.ahead").alias("ahead"), F.col("z.behind").alias("behind"))
+    table = lambda x, names: spark.createDataFrame(list(x), names)          # at most KINDS squared rows
+    unseen = table([(b, int(c)) for b, c in enumerate(model.unseen)], "band int, new int")
+    totals = table([(c, float(x)) for c, x in enumerate(model.class_total)], "cls int, size double")
+    steps = [(a, b, float(model.transition[a, b])) for a in range(KINDS) for b in range(KINDS)]
+    classed = (tail.join(rest, "word", "left").join(F.broadcast(unseen), "band")
+               .select("__row", "pos", "ahead", "behind", "c", F.coalesce("cls", "new").alias("cls")))
+    follows = F.lag("cls").over(Window.partitionBy("__row").orderBy("pos"))
+    linked = classed.withColumn("ahead", F.when(F.col("ahead") < 0, follows).otherwise(F.col("ahead")))
+    met = (linked.join(F.broadcast(totals), "cls")
+           .join(F.broadcast(table(steps, "ahead int, cls int, enter double")), ["ahead", "cls"])
+           .join(F.broadcast(table(steps, "cls int, behind int, leave double")), ["cls", "behind"], "left")
+           .withColumn("log", F.log10(F.coalesce("c", F.lit(0)) + F.lit(ADD)))
+           .groupBy("__row")
+           .agg(F.sum("log").alias("__log"), F.sum(F.col("log") - F.col("size") + F.col("enter") + F.coalesce("leave", F.lit(0.0))).alias("__step"),
+                F.count("c").alias("__known")))
+    part = lambda c: F.coalesce(c, F.lit(0.0))
     return parts.join(met, "__row", "left").select(
         *keep, "n_tokens", (F.col("n_known") + F.coalesce("__known", F.lit(0))).alias("n_known"),
-        (F.col("base_part") + log).alias("base_score"), (F.col("score_part") + log).alias("score"))
+        (F.col("base_part") + part("__log")).alias("base_score"), (F.col("score_part") + part("__step")).alias("score"))

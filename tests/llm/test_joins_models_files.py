@@ -478,3 +478,60 @@ def test_pipeline_stages_take_odd_rows(spark, odd_docs, no_docs):
         corpus_pipeline.pack_buckets(spark, docs, FOLDER).count()
     kept = corpus_pipeline.drop_near_duplicates(spark, odd_docs, FOLDER).collect()
     assert sum(r.doc_id == 1 for r in kept) == 1 and not any(r.doc_id in (2, 8) for r in kept)
+
+
+def test_best_classes_agree_with_best_moves():
+    rng = np.random.default_rng(5)
+    n, kinds = 30, 7
+    pair = rng.integers(0, 9, (n, n)) * (rng.random((n, n)) < 0.2)
+    cls = np.concatenate([rng.integers(0, 4, 20), rng.integers(4, 6, n - 21), [6]])
+    hot = np.eye(kinds)[cls]
+    after, before, own = pair @ hot, pair.T @ hot, np.diag(pair).astype(float)
+    _, gain, likelihood = brown.best_moves(after, before, own, cls, 20, 4)      # these are in open classes
+    target, found = brown.best_classes(after, before, own, cls, hot.T @ pair @ hot, 4)
+    assert found[:20] == pytest.approx(gain[:20], abs=1e-8)
+    for w in range(n - 1):
+        moved = cls.copy()
+        moved[w] = target[w]
+        hot = np.eye(kinds)[moved]
+        assert brown.likelihood_of(hot.T @ pair @ hot) - likelihood == pytest.approx(found[w], abs=1e-8)
+
+
+def test_rare_words_join_the_classes_of_their_contexts(spark, monkeypatch):
+    monkeypatch.setattr(brown, "VOCABULARY", 30)
+    monkeypatch.setattr(brown, "HEAD", 40)
+    rng = random.Random(3)
+    nouns, verbs = [f"noun{i:02}" for i in range(15)], [f"verb{i:02}" for i in range(15)]
+    rare = [f"thing{i:03}" for i in range(60)], [f"doing{i:03}" for i in range(60)]
+    texts = [" ".join(w for _ in range(20) for w in (rng.choice(nouns), rng.choice(verbs))) for _ in range(300)]
+    texts += [f"{rng.choice(nouns)} {v} {n} {rng.choice(verbs)}" for n, v in zip(*rare) for _ in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(brown, "CLASSES", 2)
+    monkeypatch.setattr(brown, "KINDS", 2 + brown.LENGTHS + 1)
+    monkeypatch.setattr(brown.exchange, "__defaults__", (2, brown.ROUNDS))
+    model, rest = brown.train(docs)
+    table = {r.word: (r.c, r.cls) for r in rest.collect()}
+    hashes = lambda ws: words.words_of(pa.array([" ".join(ws)])).hash.view(np.int64)
+    of = lambda ws: [model.head_class[np.searchsorted(model.head, h)] if h in model.head else table[int(h | brown.TAIL)][1] for h in hashes(ws)]
+    assert len(model.head) + len(table) == 150 and len(table) >= 110
+    assert len(set(of(nouns + rare[0]))) == len(set(of(verbs + rare[1]))) == 1 and of(nouns)[0] != of(verbs)[0]
+    assert max(table[w][1] for w in table) < 2
+
+    # The score is that of plain class bigrams, also across words outside the head and unseen ones.
+    held = ["noun01 doing001 thing002 verb03", "unseenword thing001 doing002 doing003 noun01 nowhere", "", "thing005", None]
+    got = {r.doc_id: r for r in brown.score(spark.createDataFrame(list(enumerate(held)), "doc_id long, text string"), model, rest).collect()}
+    n_of = collections.Counter(w for t in texts for w in t.split())
+    for i, t in enumerate(held):
+        at, value = brown.KINDS - 1, 0.0
+        for w in (t or "").split():
+            c = of([w])[0] if w in n_of else model.unseen[min((len(w) - 1) // 4, brown.LENGTHS - 1)]
+            value += model.transition[at, c] + math.log10(n_of[w] + brown.ADD) - model.class_total[c]
+            at = c
+        assert got[i].score == pytest.approx(value + model.transition[at, -1])
+        assert got[i].n_known == 1 + sum(w in n_of for w in (t or "").split())
+    share = {c: 0.0 for c in set(of(list(n_of))) | set(model.unseen.tolist())}
+    for w, c in zip(n_of, of(list(n_of))):
+        share[c] += 10 ** (math.log10(n_of[w] + brown.ADD) - model.class_total[c])
+    for c in model.unseen.tolist():
+        share[c] += brown.ADD / 10 ** model.class_total[c]
+    assert all(s == pytest.approx(1) for s in share.values())
