@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,7 @@ K2, N2 = 1, 3               # differences that a first-level part may hold, sub-
 SUBSETS = [c for c in itertools.combinations(range(N2), N2 - K2)]
 SMALLEST = 24               # largest size of an instance whose sets are signed by prefixes instead of two levels
 PARITY = 2048               # bits of the parity bitmap
+FIRST_WORDS = 8             # words of it that settle most pairs
 SALT = mix(np.arange(101, 113, dtype=U64))
 
 
@@ -413,13 +415,16 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
 
 
 def possible(n: str = "n", parity: str = "parity") -> Column:
-    """Whether two sets can link at all, by their sizes and parities (columns ``<n>_a``, ``<n>_b`` and so on)."""
+    """Whether two sets can link at all, by their sizes and parities (columns ``<n>_a``, ``<n>_b`` and so on).
+
+    Most pairs differ in too many of the first words.  Only these are written out: an expression of all words makes a method
+    of more than 8,000 bytes, which the Java compiler leaves to its interpreter.
+    """
     na, nb = F.col(f"{n}_a"), F.col(f"{n}_b")
-    words = [F.bit_count(F.element_at(f"{parity}_a", i + 1).bitwiseXOR(F.element_at(f"{parity}_b", i + 1))) for i in range(PARITY // 64)]
-    bits = words[0]
-    for w in words[1:]:
-        bits = bits + w
-    return (OF * F.least(na, nb) >= NEED * F.greatest(na, nb)) & (7 * bits <= na + nb)
+    few = reduce(Column.__add__, [F.bit_count(F.element_at(f"{parity}_a", i + 1).bitwiseXOR(F.element_at(f"{parity}_b", i + 1)))
+                                  for i in range(FIRST_WORDS)])
+    bits = F.aggregate(F.zip_with(f"{parity}_a", f"{parity}_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), Column.__add__)
+    return (OF * F.least(na, nb) >= NEED * F.greatest(na, nb)) & (7 * few <= na + nb) & (7 * bits <= na + nb)
 
 
 def pruned(pairs: DataFrame, facts: DataFrame) -> DataFrame:

@@ -535,3 +535,32 @@ def test_rare_words_join_the_classes_of_their_contexts(spark, monkeypatch):
     for c in model.unseen.tolist():
         share[c] += brown.ADD / 10 ** model.class_total[c]
     assert all(s == pytest.approx(1) for s in share.values())
+
+
+def test_pairs_are_pruned_by_size_and_parity_in_compiled_code(spark):
+    rng = np.random.default_rng(4)
+    words_ = partenum.PARITY // 64
+    base = rng.integers(-1 << 62, 1 << 62, words_)
+    rows = []
+    for i in range(60):
+        flips = np.zeros(words_, np.int64)
+        for bit in rng.integers(0, partenum.PARITY if i % 2 else 700, i):
+            flips[bit // 64] ^= np.int64(1) << np.int64(bit % 64)
+        rows.append((i, 100 + 3 * i, (base ^ flips).tolist()))
+    facts = spark.createDataFrame([(1, *r) for r in rows], "sig int, cls long, n long, parity array<long>")
+    side = lambda e: facts.select("sig", F.col("cls").alias(e), F.col("n").alias(f"n_{e}"), F.col("parity").alias(f"parity_{e}"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(before, ("false", "-1")):
+            spark.conf.set(k, v)
+        met = side("a").join(side("b"), "sig").filter((F.col("a") < F.col("b")) & partenum.possible()).select("a", "b")
+        debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+        stages = debug.codegenStringSeq(met._jdf.queryExecution().executedPlan())
+        assert all(stages.apply(i)._3().maxMethodCodeSize() <= 8000 for i in range(stages.size()))
+        got = {tuple(r) for r in met.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    differ = lambda x, y: sum(((u ^ v) & 0xFFFFFFFFFFFFFFFF).bit_count() for u, v in zip(x, y))
+    want = {(i, j) for i, n, x in rows for j, m, y in rows if i < j and 100 * min(n, m) >= 75 * max(n, m) and 7 * differ(x, y) <= n + m}
+    assert got == want and 0 < len(want) < 1770
