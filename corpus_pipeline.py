@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from regrove.llm import language, packing, partenum, personal_data, templates
+from regrove.llm.words import small_batches
 from regrove.session import staged
 
 LEAST_CONFIDENCE = 0.5
@@ -22,6 +23,11 @@ def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return docs.toDF(*names.values()), names
 
 
+def _few_rows_a_batch(spark: SparkSession) -> None:
+    """Small Arrow batches for the rest of the session: stages that pass whole texts through Python are written after they return."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep texts whose language is recognised.
 
@@ -31,7 +37,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     import public_tokenizers
     pieces = language.public_pieces(public_tokenizers.path(VOCABULARY))
     rows, at = _plain(docs)
-    model = language.learn(rows, at["text"], at["lang"], pieces, at["doc_id"])
+    with small_batches(spark, 10_000):      # learning passes single words
+        model = language.learn(rows, at["text"], at["lang"], pieces, at["doc_id"])
+    _few_rows_a_batch(spark)
     found = language.identify(rows, model, pieces, at["text"], tuple(at.values()))
     return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_CONFIDENCE)).select(
         *[F.col(v).alias(k) for k, v in at.items()])
@@ -77,6 +85,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rest = tuple(v for k, v in at.items() if k != "text")
     clean = personal_data.personal_spans(rows, at["text"], rest, redacted=True)
     columns = {"text": F.col("redacted"), "n_chars": F.length(F.coalesce("redacted", F.lit(""))).cast(kinds.get("n_chars", "long"))}
+    _few_rows_a_batch(spark)
     return clean.select(*[columns.get(k, F.col(v)).alias(k) for k, v in at.items()])
 
 
