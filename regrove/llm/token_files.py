@@ -18,7 +18,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -129,13 +128,19 @@ def encoder(path: str) -> Encoder:
     return memo[path]
 
 
+def packed(ids: list[bytes]) -> list[bytes]:
+    """Ids of documents, compressed one by one: neither the staged table nor the shuffle holds them plain."""
+    import zstandard
+    return list(map(zstandard.ZstdCompressor(level=3).compress, ids))
+
+
 def _open(folder: str):
     from pyarrow import fs
     return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", folder))
 
 
 def encoded(docs: DataFrame, tokenizer: str, text: str, key: str, end_id: int) -> DataFrame:
-    """``key``, ``ids`` (bytes, with the end) and ``width``, the bytes of one id."""
+    """``key``, ``ids`` (packed, with the end), ``width``, the bytes of one id, and ``size``, those of all."""
     kind = dict(docs.select(key).dtypes)[key]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,10 +150,10 @@ def encoded(docs: DataFrame, tokenizer: str, text: str, key: str, end_id: int) -
             for i in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(i, TOGETHER)
                 ids = [x + end for x in tool.encode([t or "" for t in part.column(1).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([tool.kind.itemsize] * len(ids), pa.int32())],
-                                                 ["key", "ids", "width"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed(ids), pa.binary()), pa.array([tool.kind.itemsize] * len(ids), pa.int32()),
+                                                  pa.array(list(map(len, ids)), pa.int64())], ["key", "ids", "width", "size"])
 
-    return docs.select(F.col(key).alias("key"), text).mapInArrow(scan, f"key {kind}, ids binary, width int")
+    return docs.select(F.col(key).alias("key"), text).mapInArrow(scan, f"key {kind}, ids binary, width int, size long")
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", folder: str | None = None,
@@ -166,10 +171,12 @@ def write_token_files(docs: DataFrame, tokenizer: str, text: str = "text", key:
     store, base = _open(folder)
     store.create_dir(base, recursive=True)
     # Ids take half the bytes of their texts, and the range boundaries are then drawn without encoding again.
-    ids = staged(encoded(docs, tokenizer, text, key, end_id), "encoded", "zstd")
-    total, = ids.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()
+    ids = staged(encoded(docs, tokenizer, text, key, end_id), "encoded")
+    total, = ids.agg(F.coalesce(F.sum("size"), F.lit(0))).first()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+        unpacker = zstandard.ZstdDecompressor()
         context = TaskContext.get()
         store, base = _open(folder)
         part, attempt = context.partitionId(), context.taskAttemptId()
@@ -184,8 +191,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, text: str = "text", key:
                 keys = pa.ipc.new_file(key_file, pa.schema([("key", batch.column(0).type)]))
             keys.write_batch(pa.RecordBatch.from_arrays([batch.column(0)], ["key"]))
             for x in batch.column(1):
-                out.write(x.as_buffer())
-            counts.append(pc.binary_length(batch.column(1)).to_numpy() // width)
+                out.write(unpacker.decompress(x.as_py()))
+            counts.append(batch.column(3).to_numpy() // width)
         if out is None:
             return
         for file in (out, keys, key_file):

@@ -564,3 +564,24 @@ def test_pairs_are_pruned_by_size_and_parity_in_compiled_code(spark):
     differ = lambda x, y: sum(((u ^ v) & 0xFFFFFFFFFFFFFFFF).bit_count() for u, v in zip(x, y))
     want = {(i, j) for i, n, x in rows for j, m, y in rows if i < j and 100 * min(n, m) >= 75 * max(n, m) and 7 * differ(x, y) <= n + m}
     assert got == want and 0 < len(want) < 1770
+
+
+def test_ids_are_staged_and_shuffled_packed(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    got = token_files.encoded(docs, registry.vocabulary_path("byte_bpe_50k.json"), "text", "doc_id", 2).agg(
+        F.sum(F.octet_length("ids")).alias("held"), F.sum("size").alias("size")).first()
+    assert 0 < got.held < 0.8 * got["size"]
+
+
+def test_pipeline_stages_pass_texts_in_small_batches(spark):
+    import corpus_pipeline
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for stage in (corpus_pipeline.identify_language, corpus_pipeline.redact_personal_data):
+            spark.conf.set(key, "10000")
+            out = stage(spark, docs, FOLDER)
+            assert int(spark.conf.get(key)) <= 1000 and out.count() > 0
+    finally:
+        spark.conf.set(key, before)
