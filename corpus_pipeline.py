@@ -61,11 +61,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     verdict = best.groupBy(F.col("g.k").alias("k"), F.col("g.h").alias("h")).agg(
         F.max("stays").alias("stays"), F.count(F.lit(1)).alias("copies")).filter("not stays or copies > 1")
     verdict = staged(verdict, "verdict")
-    same = lambda v: rows[key].eqNullSafe(v["k"]) & (F.xxhash64(rows[text]) == v["h"])
-    kept = rows.join(verdict, same(verdict), "left_anti")
+    # Only texts that may have a verdict are shuffled to meet it; most rows stay where they are.
+    named = partenum.may_be_among(verdict.select(F.col("h").alias("cls")))
+    met = rows.filter(named(F.xxhash64(text)))
+    same = lambda v: met[key].eqNullSafe(v["k"]) & (F.xxhash64(met[text]) == v["h"])
+    kept = rows.filter(~named(F.xxhash64(text))).union(met.join(verdict, same(verdict), "left_anti"))
     repeated = verdict.filter("stays")
     if not repeated.isEmpty():
-        one = rows.join(repeated, same(repeated), "left_semi").withColumn("h", F.xxhash64(text)).dropDuplicates([key, "h"])
+        one = met.join(repeated, same(repeated), "left_semi").withColumn("h", F.xxhash64(text)).dropDuplicates([key, "h"])
         kept = kept.union(one.drop("h"))
     return kept.toDF(*at.keys())
 

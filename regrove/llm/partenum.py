@@ -354,6 +354,17 @@ def bloom_places(cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ((h >> U64(20)) % U64(BLOOM_WORDS)).astype(np.int64), bit
 
 
+def may_be_among(classes: DataFrame):
+    """A function of a column of hashes: may each be one of the ``cls`` values?  Only hashes pass Python, beside rows of any width."""
+    shared = classes.sparkSession.sparkContext.broadcast(bloom_filter(classes))        # BLOOM_WORDS numbers
+
+    def scan(cls: pa.Array) -> pa.Array:
+        word, bit = bloom_places(cls.to_numpy(zero_copy_only=False))
+        return pa.array((shared.value[word] & bit) == bit)
+
+    return F.arrow_udf(scan, "boolean")
+
+
 def text_table(docs: DataFrame, text: str, wanted: np.ndarray) -> DataFrame:
     """(cls, blob) of the texts whose class passes the filter, each class once per task; ``blob`` is the text, compressed.
 

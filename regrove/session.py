@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 LOCAL_FOLDER = "/tmp/checkpoints"
+#: Deletes the shuffle files of a query when it ends.
+SHUFFLE_CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str = "regrove") -> SparkSession:
@@ -51,10 +53,16 @@ def staged(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
 
     Unlike a cache the files outlive lost executors; unlike ``checkpoint`` the plan runs once.
     The folder belongs to the job: whoever owns ``spark.checkpoint.dir`` clears it after the job.
+    Shuffle files go once the rows are written; else those of all steps would lie about until the driver collects garbage.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=codec)
+    before = spark.conf.get(SHUFFLE_CLEANUP_KEY)
+    spark.conf.set(SHUFFLE_CLEANUP_KEY, "true")
+    try:
+        df.write.parquet(path, compression=codec)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP_KEY, before)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[id(out)] = (weakref.ref(out), path)
     return out

@@ -2,8 +2,10 @@
 
 import collections
 import math
+import pathlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -573,6 +575,40 @@ def test_ids_are_staged_and_shuffled_packed(spark):
     assert 0 < got.held < 0.8 * got["size"]
 
 
+def test_shuffle_files_go_when_a_table_is_staged(spark):
+    from regrove.session import staged
+    manager = spark._jsc.sc().env().blockManager().diskBlockManager()
+    files = lambda: {p for d in manager.localDirsString() for p in pathlib.Path(d).rglob("shuffle_*")}
+    before = files()
+    dealt = spark.range(10_000).repartition(5, "id")
+    assert staged(dealt, "dealt").count() == 10_000
+    for _ in range(50):
+        left = {p for p in files() - before if p.name.endswith(".data") and p.stat().st_size > 10_000}
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left
+    assert dealt.filter("id < 10").count() == 10        # and may be run again
+
+
+def test_only_texts_that_may_have_a_verdict_are_shuffled(spark):
+    import corpus_pipeline
+    docs = spark.createDataFrame([(i, f"some words {i % 300} of text {i % 300} with five and more") for i in range(400)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        kept = corpus_pipeline.drop_near_duplicates(spark, docs, FOLDER)
+        plan = kept._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftAnti" in plan and "ArrowEvalPython" in plan[plan.index("LeftAnti"):]
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(300))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    some = docs.limit(40).select(F.xxhash64("text").alias("cls"))
+    named = partenum.may_be_among(some)
+    hits = docs.filter(named(F.xxhash64("text")))
+    assert some.join(hits, some.cls == F.xxhash64(hits.text), "left_anti").count() == 0 and hits.count() < 150
+
+
 def test_pipeline_stages_pass_texts_in_small_batches(spark):
     import corpus_pipeline
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
