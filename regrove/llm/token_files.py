@@ -19,9 +19,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import discard, shared_folder, staged
+from ..session import shared_folder
 from .elias_fano import EliasFano, encode
 from .words import worker_memo
 
@@ -31,6 +31,10 @@ TOGETHER = 512              # texts whose unknown pieces are encoded at once
 JOINED = 512                # unknown pieces that are encoded as one text
 SPACE = "\u0120"            # how byte-level vocabularies spell a space
 FILE_BYTES = 128 << 20      # ids of one file, about
+SAMPLED = 100               # sampled rows per file from which the key ranges are drawn
+SAMPLED_ALL = 1_000_000     # and of all files, at most
+TOKEN_BYTES = 4             # bytes of text that make a token, about
+GROUPED = 32                # ends of key ranges that are compared together
 #: Characters that no tokenizer takes for white space.
 INK = "!-~¡-ᙿ"
 STARTS_INKED = re.compile(f"[{INK}]")
@@ -131,7 +135,7 @@ def encoder(path: str) -> Encoder:
 def packed(ids: list[bytes]) -> list[bytes]:
     """Ids of documents, compressed one by one: neither the staged table nor the shuffle holds them plain."""
     import zstandard
-    return list(map(zstandard.ZstdCompressor(level=3).compress, ids))
+    return list(map(zstandard.ZstdCompressor(level=1).compress, ids))
 
 
 def _open(folder: str):
@@ -139,9 +143,39 @@ def _open(folder: str):
     return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", folder))
 
 
-def encoded(docs: DataFrame, tokenizer: str, text: str, key: str, end_id: int) -> DataFrame:
-    """``key``, ``ids`` (packed, with the end), ``width``, the bytes of one id, and ``size``, those of all."""
-    kind = dict(docs.select(key).dtypes)[key]
+def key_ranges(docs: DataFrame, text: str, key: str, tie: Column, file_bytes: int, width: int, least: int) -> tuple[DataFrame, int]:
+    """Ranges of (``key``, ``tie``) that hold about as many bytes of text each: a row with their ends, ``GROUPED`` at a time, and their number.
+
+    There is one for every ``file_bytes`` of ids, as far as the bytes of text tell, and ``least`` at least.
+    """
+    spark = docs.sparkSession
+    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
+    rows, total = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    parts = max(-(-total * width // (TOKEN_BYTES * file_bytes)), least)
+    share = min(1.0, min(SAMPLED * parts, SAMPLED_ALL) / max(rows, 1))
+    light = docs.select(F.col(key).alias("key"), tie.alias("tie"), size.alias("size"))
+    drawn = (light.filter(F.pmod(F.xxhash64("key", "tie"), F.lit(1 << 30)) < int(share * (1 << 30)))
+             .groupBy("key", "tie").agg(F.sum("size").alias("size"))
+             .orderBy(F.col("key").asc_nulls_first(), "tie").collect())         # at most SAMPLED_ALL rows, about
+    filled = np.cumsum([r["size"] for r in drawn])
+    at = np.unique(np.searchsorted(filled, filled[-1] * np.arange(1, parts) / parts)) if drawn else []
+    ends = [(drawn[i]["key"], drawn[i]["tie"]) for i in at]
+    kind = dict(light.dtypes)["key"]
+    return spark.createDataFrame([([ends[i:i + GROUPED] for i in range(0, len(ends), GROUPED)],)],
+                                 f"__groups array<array<struct<key: {kind}, tie: bigint>>>"), parts
+
+
+def range_of(key: Column, tie: Column) -> Column:
+    """Number of the range of a row: how many ends lie before it."""
+    own = F.struct(key.alias("key"), tie.alias("tie"))
+    group = F.size(F.filter("__groups", lambda g: g[0] < own))
+    inside = F.size(F.filter(F.get("__groups", group - 1), lambda e: e < own))
+    return F.when(group > 0, (group - 1) * GROUPED + inside).otherwise(0)
+
+
+def encoded(docs: DataFrame, tokenizer: str, text: str, key: str, end_id: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, ``ids`` (packed, with the end), ``width``, the bytes of one id, ``size``, those of all, and the columns ``keep``."""
+    kinds = dict(docs.select(key, *keep).dtypes)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(tokenizer)
@@ -151,9 +185,10 @@ def encoded(docs: DataFrame, tokenizer: str, text: str, key: str, end_id: int) -
                 part = batch.slice(i, TOGETHER)
                 ids = [x + end for x in tool.encode([t or "" for t in part.column(1).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed(ids), pa.binary()), pa.array([tool.kind.itemsize] * len(ids), pa.int32()),
-                                                  pa.array(list(map(len, ids)), pa.int64())], ["key", "ids", "width", "size"])
+                                                  pa.array(list(map(len, ids)), pa.int64()), *part.columns[2:]], ["key", "ids", "width", "size", *keep])
 
-    return docs.select(F.col(key).alias("key"), text).mapInArrow(scan, f"key {kind}, ids binary, width int, size long")
+    return docs.select(F.col(key).alias("key"), text, *keep).mapInArrow(
+        scan, f"key {kinds[key]}, ids binary, width int, size long" + "".join(f", `{c}` {kinds[c]}" for c in keep))
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", folder: str | None = None,
@@ -161,8 +196,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, text: str = "text", key:
     """Encode and write all texts; one row per file with its number of documents and ids, in key order.
 
     A null text is empty; every document ends with ``end_id``.  Null keys come first; equal keys are
-    in the order of their ids' hashes, so a key with very many rows spreads over files; equal rows keep
-    one file.  The number of files follows the bytes of ids.  Long texts are written as they are encoded, whole.
+    in the order of their texts' hashes, so a key with very many rows spreads over files; equal rows keep
+    one file.  The number of files follows the bytes of ids, as estimated from those of the texts.  Long texts are written as they are encoded, whole.
     Other columns are not read, whatever their names.  An empty table gives no file.  ``folder`` defaults to a
     new one in the shared folder.
     """
@@ -170,9 +205,12 @@ def write_token_files(docs: DataFrame, tokenizer: str, text: str = "text", key:
     folder = folder or f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
     store, base = _open(folder)
     store.create_dir(base, recursive=True)
-    # Ids take half the bytes of their texts, and the range boundaries are then drawn without encoding again.
-    ids = staged(encoded(docs, tokenizer, text, key, end_id), "encoded")
-    total, = ids.agg(F.coalesce(F.sum("size"), F.lit(0))).first()
+    # Ranges are drawn from keys and hashes, so texts are encoded once, on their way into the shuffle, and only packed ids are in it.
+    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    tie = F.xxhash64(F.coalesce("text", F.lit("")))
+    ranges, parts = key_ranges(docs, "text", "key", tie, file_bytes, encoder(tokenizer).kind.itemsize, 2 * spark.sparkContext.defaultParallelism)
+    placed = docs.crossJoin(F.broadcast(ranges)).select("key", "text", tie.alias("tie"), range_of(F.col("key"), tie).alias("range"))
+    ids = encoded(placed, tokenizer, "text", "key", end_id, ("tie", "range"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -205,11 +243,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, text: str = "text", key:
         yield pa.RecordBatch.from_arrays([pa.array([folder]), pa.array([part]), pa.array([len(ends)]), pa.array([int(ends[-1])]),
                                           pa.array([width])], ["folder", "part", "n_docs", "n_ids", "width"])
 
-    parts = max(-(-total // file_bytes), 2 * spark.sparkContext.defaultParallelism)
-    order = [F.col("key").asc_nulls_first(), F.xxhash64("ids")]
-    ordered = ids.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ordered = ids.repartitionById(parts, F.col("range")).sortWithinPartitions(F.col("key").asc_nulls_first(), "tie")
     written = ordered.mapInArrow(write, "folder string, part long, n_docs long, n_ids long, width long").toArrow().to_pylist()
-    discard(ids)
     return _parts(spark, sorted(written, key=lambda r: r["part"]))
 
 

@@ -575,6 +575,25 @@ def test_ids_are_staged_and_shuffled_packed(spark):
     assert 0 < got.held < 0.8 * got["size"]
 
 
+def test_texts_are_encoded_on_their_way_into_the_shuffle(spark, monkeypatch):
+    def refuse(self, path, *rest, **more):
+        raise AssertionError(f"{path} is staged")
+
+    rows = [(None if i % 7 == 0 else f"k{i % 50:02}", None if i % 11 == 0 else f"text {i % 90} " * (i % 40)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(7)
+    path = registry.vocabulary_path("byte_bpe_50k.json")
+    monkeypatch.setattr(type(docs.write), "parquet", refuse)
+    files = token_files.write_token_files(docs, path, file_bytes=1_000)
+    assert files.count() > 2 * spark.sparkContext.defaultParallelism
+    got = sorted(token_files.read_token_files(files, "doc_id", "string").collect(), key=lambda r: r.start)
+    keys = [r.doc_id or "" for r in got]
+    assert keys == sorted(keys) and [a.start + a.n_tokens for a in got[:-1]] == [b.start for b in got[1:]]
+    tool = token_files.Encoder(path)
+    ids = lambda t: np.append(np.frombuffer(tool.encode([t or ""])[0], tool.kind), [2]).astype("<u4")
+    want = collections.Counter((k, len(ids(t)), zlib.crc32(ids(t).tobytes())) for k, t in rows)
+    assert collections.Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
+
+
 def test_shuffle_files_go_when_a_table_is_staged(spark):
     from regrove.session import staged
     manager = spark._jsc.sc().env().blockManager().diskBlockManager()
