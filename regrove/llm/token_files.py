@@ -31,8 +31,9 @@ TOGETHER = 512              # texts whose unknown pieces are encoded at once
 JOINED = 512                # unknown pieces that are encoded as one text
 SPACE = "\u0120"            # how byte-level vocabularies spell a space
 FILE_BYTES = 128 << 20      # ids of one file, about
-SAMPLED = 100               # sampled rows per file from which the key ranges are drawn
-SAMPLED_ALL = 1_000_000     # and of all files, at most
+EVERY = 128                 # one row of so many is sampled, from which the key ranges are drawn
+SAMPLED = 100               # but so many for each of the least number of files
+SAMPLED_ALL = 1_000_000     # and so many of all rows at most
 TOKEN_BYTES = 4             # bytes of text that make a token, about
 GROUPED = 32                # ends of key ranges that are compared together
 #: Characters that no tokenizer takes for white space.
@@ -146,17 +147,19 @@ def _open(folder: str):
 def key_ranges(docs: DataFrame, text: str, key: str, tie: Column, file_bytes: int, width: int, least: int) -> tuple[DataFrame, int]:
     """Ranges of (``key``, ``tie``) that hold about as many bytes of text each: a row with their ends, ``GROUPED`` at a time, and their number.
 
-    There is one for every ``file_bytes`` of ids, as far as the bytes of text tell, and ``least`` at least.
+    There is one for every ``file_bytes`` of ids, as far as the bytes of sampled texts tell, and ``least`` at least.
+    The sample only decides how even files are; it is read in one scan, and every row gets its range.
     """
     spark = docs.sparkSession
+    rows = docs.count()
+    share = min(1.0, min(max(SAMPLED * least, rows // EVERY), SAMPLED_ALL) / max(rows, 1))
+    some = docs.sample(share, seed=7) if share < 1 else docs
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
-    rows, total = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
-    parts = max(-(-total * width // (TOKEN_BYTES * file_bytes)), least)
-    share = min(1.0, min(SAMPLED * parts, SAMPLED_ALL) / max(rows, 1))
-    light = docs.select(F.col(key).alias("key"), tie.alias("tie"), size.alias("size"))
-    drawn = (light.filter(F.pmod(F.xxhash64("key", "tie"), F.lit(1 << 30)) < int(share * (1 << 30)))
-             .groupBy("key", "tie").agg(F.sum("size").alias("size"))
+    light = some.select(F.col(key).alias("key"), tie.alias("tie"), size.alias("size"))
+    drawn = (light.groupBy("key", "tie").agg(F.sum("size").alias("size"))
              .orderBy(F.col("key").asc_nulls_first(), "tie").collect())         # at most SAMPLED_ALL rows, about
+    total = int(sum(r["size"] for r in drawn) / share)
+    parts = max(-(-total * width // (TOKEN_BYTES * file_bytes)), least)
     filled = np.cumsum([r["size"] for r in drawn])
     at = np.unique(np.searchsorted(filled, filled[-1] * np.arange(1, parts) / parts)) if drawn else []
     ends = [(drawn[i]["key"], drawn[i]["tie"]) for i in at]
