@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .words import U64, mix, worker_memo
+from .words import U64, lean, mix, worker_memo
 
 LONGEST = 48                    # letters of words that are scored as whole matrices; longer ones are scored one by one
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -27,6 +27,7 @@ SAMPLE = 1500                   # training documents of each language, about; ch
 FLOOR = 1e-9                    # probability of a letter that is in no piece, and of a piece never expected
 ROUNDS = 3
 REMEMBERED = 100_000            # words a worker remembers
+MEMOS = ("vocabulary", "language")
 
 
 def public_pieces(path: str) -> list[str]:
@@ -259,7 +260,7 @@ def learn(rows: DataFrame, text: str, language: str, pieces: list[str], order: s
                 yield pa.RecordBatch.from_arrays([pa.array([l] * len(c), pa.string()), pa.array(list(c), pa.string()),
                                                   pa.array(list(c.values()), pa.int64())], ["l", "w", "n"])
 
-    counted = (sample.select("t", "l").repartition(max(8, 2 * len(sizes))).mapInArrow(count, "l string, w string, n long")
+    counted = (sample.select("t", "l").repartition(max(8, 2 * len(sizes))).mapInArrow(lean(count, MEMOS), "l string, w string, n long")
                .groupBy("w", "l").agg(F.sum("n").alias("n")).groupBy("w").agg(F.map_from_entries(F.collect_list(F.struct("l", "n"))).alias("m")))
     counted = counted.persist()      # bounded by the sample; a lost part is counted again
     languages = [r[0] for r in counted.select(F.explode(F.map_keys("m")).alias("l")).distinct().orderBy("l").collect()]
@@ -281,7 +282,7 @@ def learn(rows: DataFrame, text: str, language: str, pieces: list[str], order: s
             at, lang = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(lang), pa.array(total[at, lang])], ["piece", "lang", "n"])
 
-        table = counted.mapInArrow(step, "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toArrow()
+        table = counted.mapInArrow(lean(step, MEMOS), "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toArrow()
         new = np.zeros_like(p)       # at most vocabulary x languages numbers
         new[table["piece"].to_numpy(), table["lang"].to_numpy()] = table["n"].to_numpy()
         p = (new + 0.01) / (new + 0.01).sum(axis=0)
@@ -350,4 +351,4 @@ def identify(docs: DataFrame, model: Pieces, pieces: list[str], text: str = "tex
                                                  [*keep, "lang_pred", "score"])
 
     # A kept text is sent to Python once.
-    return docs.select(*keep, *([] if text in keep else [F.col(text).alias("__text")])).mapInArrow(scan, schema)
+    return docs.select(*keep, *([] if text in keep else [F.col(text).alias("__text")])).mapInArrow(lean(scan, MEMOS), schema)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import discard, staged
 from .components import connected_components
 from .frequent import most_frequent
-from .words import U64, mix, slices, small_batches, window_hashes, words_of
+from .words import U64, lean, mix, slices, small_batches, window_hashes, words_of
 
 WORDS = 5
 #: Similarity 75 / 100.
@@ -240,7 +240,7 @@ def describe(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
         if held:
             yield counted()
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(scan, schema)
+    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(lean(scan), schema)
 
 
 def parity_lists(sets: Sets) -> pa.Array:
@@ -285,7 +285,7 @@ def signed(docs: DataFrame, text: str, frequent: np.ndarray) -> DataFrame:
                 part = np.where(wide, 1 + own.view(U64) % U64(SPREAD), 0).astype(np.int8)
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(own), pa.array(part)], ["sig", "cls", "part"])
 
-    return docs.select(F.col(text).alias("__text")).mapInArrow(scan, "sig long, cls long, part byte")
+    return docs.select(F.col(text).alias("__text")).mapInArrow(lean(scan), "sig long, cls long, part byte")
 
 
 def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,7 +341,7 @@ def bloom_filter(classes: DataFrame) -> np.ndarray:
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at].view(np.int64))], ["at", "bits"])
 
-    got = classes.select("cls").mapInArrow(bits, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    got = classes.select("cls").mapInArrow(lean(bits), "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     table = np.zeros(BLOOM_WORDS, U64)
     table[got["at"].to_numpy()] = got["bits"].to_numpy().view(U64)
     return table
@@ -386,7 +386,7 @@ def text_table(docs: DataFrame, text: str, wanted: np.ndarray) -> DataFrame:
                 blobs = [packer.compress((t or "").encode()) for t in kept]
                 yield pa.RecordBatch.from_arrays([pa.array(cls[keep]), pa.array(blobs, pa.binary())], ["cls", "blob"])
 
-    return docs.select(F.col(text).alias("__text")).mapInArrow(scan, "cls long, blob binary")
+    return docs.select(F.col(text).alias("__text")).mapInArrow(lean(scan), "cls long, blob binary")
 
 
 def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,7 +420,7 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     sent = staged(texts.join(need, "cls"), "sets")
     centres = sent.filter("cls = a").selectExpr("a", "blob as x")
     members = sent.filter("cls <> a").selectExpr("a", "cls as b", "blob as y")
-    links = staged(members.join(centres, "a").select("a", "b", "x", "y").mapInArrow(linked, "a long, b long"), "links")
+    links = staged(members.join(centres, "a").select("a", "b", "x", "y").mapInArrow(lean(linked), "a long, b long"), "links")
     discard(sent)
     return links
 
@@ -472,7 +472,7 @@ def _similar_groups(docs: DataFrame, text: str, key: str, keep: tuple[str, ...])
     often = frequent_features(every)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + int(total * 0.75) // ROWS_PER_TASK)
     buckets = staged(signed(docs, text, often).repartition(tasks, "sig", "part")
-                     .mapInArrow(met, "sig long, cls long, centre long, many boolean"), "buckets")
+                     .mapInArrow(lean(met), "sig long, cls long, centre long, many boolean"), "buckets")
     classes = rows.filter("cls is not null").groupBy("cls").agg(F.min(key).alias("class_id"), F.count(F.lit(1)).alias("__copies"))
 
     wide = buckets.filter("centre is null").select("sig", "cls")

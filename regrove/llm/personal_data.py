@@ -16,6 +16,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .words import lean
+
 # The kinds, base ones first, in the order that breaks ties of position.
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url", "account", "secret")
@@ -182,7 +184,7 @@ def personal_spans(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
                  *(pa.array(c, pa.int64()) for c in counts), pa.array(clean, pa.string())],
                 [*keep, "spans", "base_spans", *(f"n_{k}" for k in KINDS), "redacted"])
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(find, schema)
+    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(lean(find), schema)
 
 
 def base_digest(spans: str = "base_spans"):

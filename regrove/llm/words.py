@@ -8,6 +8,8 @@ text length: hashing walks the buffer in blocks cut between words.
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
 import sys
 import types
 from dataclasses import dataclass
@@ -32,6 +34,34 @@ def worker_memo(name: str) -> dict:
     return home.__dict__.setdefault(name, {})
 
 
+def memos() -> dict[str, dict]:
+    return {k: v for k, v in vars(sys.modules.get("_text_worker_memo", types.ModuleType("none"))).items() if isinstance(v, dict)}
+
+
+def lean(scan, keep: tuple[str, ...] = ("powers",)):
+    """The same Arrow function for workers that are used again: a task drops what other stages remembered, and gives free memory back at its end.
+
+    ``keep`` names the memos it uses itself.  Workers outlive their stage, and what they hold on to lies beside all later ones.
+    """
+    @functools.wraps(scan)
+    def run(batches):
+        for name, memo in memos().items():
+            if name not in keep:
+                memo.clear()
+        try:
+            yield from scan(batches)
+        finally:
+            give_back()
+    return run
+
+
+def give_back() -> None:
+    """Memory that Arrow and the C library keep for later returns to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):      # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 @contextlib.contextmanager
 def small_batches(spark, rows: int = 1000):
     """Arrow batches of fewer rows while tables are written: long texts come in pieces that fit beside the rest."""

@@ -290,6 +290,25 @@ def test_languages_on_odd_rows(odd_docs, no_docs):
     assert {r.lang_pred for r in language.identify(odd_docs, empty, pieces).collect()} == {"und"}
 
 
+def test_workers_hold_nothing_of_earlier_stages(spark):
+    """Workers are used again: a later stage must not carry the words that language identification remembered."""
+    docs = spark.createDataFrame([(i, f"some words of text {i} and more of it") for i in range(40)], "doc_id long, text string").repartition(4)
+    vocab = language.Vocabulary([chr(0x2581), *"abcdefghijklmnopqrstuvwxyz"])
+    model = language.Pieces(["en"], np.full((len(vocab), 1), 1 / len(vocab)))
+
+    def held(batches):
+        memos = {k: len(v) for k, v in words.memos().items()}
+        yield from ()
+        yield pa.RecordBatch.from_arrays([pa.array([memos.get("language", 0) + memos.get("vocabulary", 0)])], ["n"])
+
+    count = lambda: sum(r.n for r in docs.mapInArrow(held, "n long").collect())
+    assert language.identify(docs, model, vocab.pieces).count() == 40 and count() > 0
+    for _ in range(3):      # the tasks of a stage need not use every worker
+        assert partenum.describe(docs, "text", ("doc_id",)).filter("feature is null").count() == 40
+    before = docs.mapInArrow(words.lean(held), "n long").collect()
+    assert sum(r.n for r in before) == 0
+
+
 def test_class_bigrams(spark):
     rows = registry.queries()["op8_class_bigrams"](spark, FOLDER).collect()
     texts = {r.doc_id: WORD.findall(lower(r.text or "")) + [None] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
