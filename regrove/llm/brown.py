@@ -9,6 +9,8 @@ probability is that of its class after the previous class times that of the word
 one more word of the class that holds most words of its length that were seen once.
 
 Only the classes of the ``HEAD`` most frequent words travel to every task; those of all other words stay in a table that is joined.
+Pairs of head words are dealt once to the task of each of their words, so that a round counts the classes beside them where they lie.
+Counts pass from task to task as compressed arrays, not one by one.
 """
 
 from __future__ import annotations
@@ -259,35 +261,128 @@ def head_symbols(head: np.ndarray, words) -> np.ndarray:
     return out
 
 
-def word_bigrams(texts: DataFrame, head: np.ndarray, text: str = "text") -> DataFrame:
-    """(a, b, n): how often word b follows word a, over the whole vocabulary; the end is ``len(head)``."""
-    shared = texts.sparkSession.sparkContext.broadcast(head)        # HEAD numbers
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers of one length, their bytes sorted by significance and compressed."""
+    import zstandard
+    planes = [np.ascontiguousarray(x.astype(np.int64)).view(np.uint8).reshape(-1, 8).T.tobytes() for x in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def unpacked(blob: bytes, arrays: int) -> list[np.ndarray]:
+    import zstandard
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(arrays, 8, -1)
+    return [np.ascontiguousarray(x.T).view(np.int64).ravel() for x in planes]
+
+
+def steps(sorted_keys: np.ndarray) -> np.ndarray:
+    """Ascending numbers as differences, which compress better; ``np.cumsum`` brings them back."""
+    return np.diff(sorted_keys, prepend=0)
+
+
+PACKED = "bucket int, kind int, blob binary"
+COMMON, RARE = 0, 1         # kinds of ``PACKED`` rows: sorted keys and counts, or three arrays
+
+
+def packed_rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    bucket, kind, blob = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], ["bucket", "kind", "blob"])
+
+
+def edges(size: int, buckets: int) -> np.ndarray:
+    """First head word of each bucket; head words are in the order of their hashes, so buckets are alike."""
+    return np.arange(buckets + 1) * size // buckets
+
+
+def dealt_keys(key: np.ndarray, n: np.ndarray, first: np.ndarray, width: int, kind: int) -> Iterator[tuple[int, int, bytes]]:
+    """Packed rows of sorted keys (word * ``width`` + something) by the bucket of the word."""
+    cut = np.searchsorted(key, first * width)
+    for b in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+        p = slice(cut[b], cut[b + 1])
+        yield b, kind, packed(steps(key[p]), n[p])
+
+
+def dealt_arrays(bucket: np.ndarray, kind: int, *arrays: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    order = np.argsort(bucket, kind="stable")
+    bucket, arrays = bucket[order], [x[order] for x in arrays]
+    at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
+    for i, j in zip(at, np.append(at[1:], len(bucket)) if len(bucket) else []):
+        yield int(bucket[i]), kind, packed(*(x[i:j] for x in arrays))
+
+
+def bucket_of(word: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(word.view(U64)) % U64(buckets)).astype(np.int64)
+
+
+def word_bigrams(texts: DataFrame, head: np.ndarray, tasks: int, text: str = "text") -> DataFrame:
+    """How often one word follows another, over the whole vocabulary; the end is ``len(head)``.
+
+    Rows with a ``blob`` hold pairs of head words: sorted keys word * (len(head) + 1) + other and counts of all words of a ``bucket``;
+    other is the word behind (``kind`` 0) or ahead (1), so each pair is in two of them.  All other pairs are rows (a, b, n).
+    """
+    shared, buckets = texts.sparkSession.sparkContext.broadcast(head), 2 * tasks        # HEAD numbers
+    size = len(head) + 1
+    schema = f"{PACKED}, a long, b long, n long"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, tally = shared.value, Tally()
-        end, size = len(head), len(head) + 1
-        made = lambda a, b, n: pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], ["a", "b", "n"])
+        head, tally, first = shared.value, Tally(), edges(size, buckets)
+        held, rare = [], 0
 
-        def rows():
+        def common_rows():
             key, n = tally.take()
-            return made(key // size, key % size, n)
+            rows = list(dealt_keys(key, n, first, size, 0))
+            other = key % size * size + key // size
+            order = np.argsort(other)
+            return packed_rows(rows + list(dealt_keys(other[order], n[order], first, size, 1)))
+
+        def rare_rows():
+            a, b = (np.concatenate(x) for x in zip(*held))
+            return packed_rows(list(dealt_arrays(bucket_of(a ^ mix(b.view(U64)).view(np.int64), buckets), 2, a, b)))
 
         for batch in batches:
             for piece in slices(batch, "__text"):
                 words = words_of(piece.column(0))
-                b = np.full(len(words.doc) + words.rows, end)
+                b = np.full(len(words.doc) + words.rows, size - 1)
                 b[np.arange(len(words.doc)) + words.doc] = head_symbols(head, words)
-                a = np.concatenate([[end], b[:-1]])         # texts follow each other over their ends
+                a = np.concatenate([[size - 1], b[:-1]])         # texts follow each other over their ends
                 common = (a >= 0) & (b >= 0)
                 tally.add(a[common] * size + b[common])
-                if not common.all():
-                    yield made(a[~common], b[~common], np.ones(int((~common).sum()), np.int64))
+                held.append((a[~common], b[~common]))
+                rare += len(held[-1][0])
+                if rare >= GATHER:
+                    yield rare_rows()
+                    held, rare = [], 0
                 if tally.full():
-                    yield rows()
-        yield rows()
+                    yield common_rows()
+        if rare:
+            yield rare_rows()
+        yield common_rows()
 
-    found = texts.select(F.col(text).alias("__text")).mapInArrow(scan, "a long, b long, n long")
-    return found.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: dict = {}
+        pairs = []
+        for batch in batches:
+            for bucket, kind, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if kind == 2:
+                    pairs.append(unpacked(blob, 2))
+                else:
+                    key, n = unpacked(blob, 2)
+                    keys.setdefault((bucket, kind), []).append((np.cumsum(key), n))
+        none = lambda rows, *kinds: [pa.nulls(rows, k) for k in kinds]
+        names = ["bucket", "kind", "blob", "a", "b", "n"]
+        for bucket, kind in list(keys):
+            key, n = summed(*zip(*keys.pop((bucket, kind))))
+            yield pa.RecordBatch.from_arrays([*packed_rows([(bucket, kind, packed(steps(key), n))]).columns, *none(1, *[pa.int64()] * 3)], names)
+        if pairs:
+            a, b = (np.concatenate(x) for x in zip(*pairs))
+            del pairs
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            at = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+            n = np.diff(np.append(at, len(a)))
+            yield pa.RecordBatch.from_arrays([*none(len(at), pa.int32(), pa.int32(), pa.binary()), pa.array(a[at]), pa.array(b[at]), pa.array(n)], names)
+
+    found = texts.select(F.col(text).alias("__text")).mapInArrow(scan, PACKED)
+    return found.repartition(tasks, "bucket").mapInArrow(gather, schema)
 
 
 def tail_words(counts: DataFrame, head: np.ndarray) -> DataFrame:
@@ -307,50 +402,92 @@ def tail_words(counts: DataFrame, head: np.ndarray) -> DataFrame:
     return counts.filter(F.col("band") < LENGTHS).select("word", "band").mapInArrow(scan, "word long, cls int, band int")
 
 
-def neighbours(bigrams: DataFrame, head_class: np.ndarray, head_band: np.ndarray, tail: DataFrame, rows: int) -> DataFrame:
-    """A row per word with its class, length class, ``total`` and the counts ``n`` of the classes ``at`` beside it.
+def neighbours(bigrams: DataFrame, head_class: np.ndarray, head_band: np.ndarray, tail: DataFrame, tasks: int) -> DataFrame:
+    """A row per word with its class, length class, ``total`` and the counts ``n`` of the classes ``at`` beside it (arrays of bytes and of longs).
 
     ``at`` is the class behind the word, or ``KINDS`` and the class ahead of it, or ``2 * KINDS`` for the word behind itself.
-    Rows without a word hold the class bigrams of a task.  ``head_class`` and ``head_band`` include the end; ``rows`` is the size of ``bigrams``.
+    Rows without a word hold the class bigrams of a task.  ``head_class`` and ``head_band`` include the end; ``bigrams`` are those of ``word_bigrams``.
     """
-    spark = bigrams.sparkSession
+    spark, buckets = bigrams.sparkSession, 2 * tasks
     shared = spark.sparkContext.broadcast((head_class, head_band))
     own, mark = 2 * KINDS, 2 * KINDS + 1
+    width, size = mark + 1, len(head_class)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cls, tally = shared.value[0], Tally()
-        made = lambda word, at, n: pa.RecordBatch.from_arrays([pa.array(word), pa.array(at.astype(np.int32)), pa.array(n)], ["word", "at", "n"])
-
-        def sums():
-            key, n = tally.take()
-            return made(key // mark, key % mark, n)
-
+    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cls, first = shared.value[0], edges(size, buckets)
         for batch in batches:
-            a, b, n = (batch.column(i).to_numpy() for i in range(3))
-            behind, ahead, same = b >= 0, a >= 0, a == b
-            word = np.concatenate([a[behind], b[ahead], a[same]])
-            at = np.concatenate([cls[b[behind]], KINDS + cls[a[ahead]], np.full(int(same.sum()), own)])
-            n = np.concatenate([n[behind], n[ahead], n[same]])
-            common = word >= 0
-            tally.add(word[common] * mark + at[common], n[common])
-            if not common.all():
-                yield made(word[~common], at[~common], n[~common])
+            for bucket, side, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                key, n = unpacked(blob, 2)
+                key = np.cumsum(key)
+                word, other = key // size - first[bucket], key % size
+                rows = int(first[bucket + 1] - first[bucket])
+                table = np.bincount(word * width + cls[other] + side * KINDS, weights=n, minlength=rows * width)
+                if side == 0:
+                    same = word + first[bucket] == other
+                    table[word[same] * width + own] = n[same]
+                at = np.flatnonzero(table)
+                yield packed_rows([(bucket, COMMON, packed(steps(at + first[bucket] * width), table[at]))])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cls = shared.value[0]
+
+        def triples():
+            for batch in batches:
+                a, b, n = (batch.column(i).to_numpy() for i in range(3))
+                behind, ahead, same = (a < 0) & (b >= 0), (b < 0) & (a >= 0), a == b
+                yield (np.concatenate([a[behind], b[ahead], a[same]]),
+                       np.concatenate([cls[b[behind]], KINDS + cls[a[ahead]], np.full(int(same.sum()), own)]),
+                       np.concatenate([n[behind], n[ahead], n[same]]))
+        yield from dealt(triples())
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from dealt(tuple(b.column(i).to_numpy() for i in range(3)) for b in batches)
+
+    def dealt(triples) -> Iterator[pa.RecordBatch]:
+        first, tally, held, rare = edges(size, buckets), Tally(), [], 0
+
+        def rare_rows():
+            word, at, n = (np.concatenate(x) for x in zip(*held))
+            return packed_rows(list(dealt_arrays(bucket_of(word, buckets), RARE, word, at, n)))
+
+        for word, at, n in triples:
+            head = word >= 0
+            if head.any():
+                tally.add(word[head] * width + at[head], n[head])
+            held.append((word[~head], at[~head].astype(np.int64), n[~head]))
+            rare += len(held[-1][0])
+            if rare >= GATHER // 2:
+                yield rare_rows()
+                held, rare = [], 0
             if tally.full():
-                yield sums()
-        yield sums()
+                yield packed_rows(list(dealt_keys(*tally.take(), first, width, COMMON)))
+        if rare:
+            yield rare_rows()
+        yield packed_rows(list(dealt_keys(*tally.take(), first, width, COMMON)))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head_class, head_band = shared.value
-        tables = [b for b in batches if b.num_rows]
-        if not tables:
+        keys, rare = [], []
+        for batch in batches:
+            for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if kind == COMMON:
+                    key, n = unpacked(blob, 2)
+                    keys.append((np.cumsum(key), n))
+                else:
+                    rare.append(unpacked(blob, 3))
+        if not keys and not rare:
             return
-        word, at, n = (np.concatenate([b.column(i).to_numpy() for b in tables]) for i in range(3))
-        order = np.lexsort((at, word))
-        word, at, n = word[order], at[order], n[order]
-        new = np.ones(len(word), bool)
-        new[1:] = (word[1:] != word[:-1]) | (at[1:] != at[:-1])
-        first = np.flatnonzero(new)
-        word, at, n = word[first], at[first], np.add.reduceat(n, first)
+        word, at, n = (np.zeros(0, np.int64) for _ in range(3))
+        if rare:
+            word, at, n = (np.concatenate(x) for x in zip(*rare))
+            del rare
+            names, place = np.unique(word, return_inverse=True)
+            key, n = summed([place * width + at], [n])
+            word, at = names[key // width], key % width
+        if keys:
+            key, more = summed(*zip(*keys))
+            del keys
+            word, at, n = np.append(word, key // width), np.append(at, key % width), np.append(n, more)
         first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
         name, last = word[first], np.append(first[1:], len(word)) - 1
         common = name >= 0
@@ -363,32 +500,58 @@ def neighbours(bigrams: DataFrame, head_class: np.ndarray, head_band: np.ndarray
         grid = np.bincount(cls[owner[after]] * KINDS + at[after], weights=n[after], minlength=KINDS * KINDS).astype(np.int64)
         kept = at < mark
         owner, at, n = owner[kept], at[kept], n[kept]
-        cut = np.searchsorted(owner, np.arange(len(name) + 1)).astype(np.int32)
+        bounds = np.searchsorted(owner, np.arange(len(name) + 1))
         names = ["word", "cls", "band", "total", "at", "n"]
-        lists = lambda x, c: pa.ListArray.from_arrays(pa.array(c), pa.array(x))
-        whole = pa.RecordBatch.from_arrays([pa.array(name), pa.array(cls.astype(np.int32)), pa.array(band.astype(np.int32)), pa.array(total),
-                                            lists(at.astype(np.int32), cut), lists(n, cut)], names)
-        for i in range(0, whole.num_rows, 8192):
-            yield whole.slice(i, 8192)
+        for i in range(0, len(name), 8192):
+            p, cut = slice(i, i + 8192), bounds[i:i + 8193]
+            yield pa.RecordBatch.from_arrays([pa.array(name[p]), pa.array(cls[p].astype(np.int32)), pa.array(band[p].astype(np.int32)), pa.array(total[p]),
+                                              byte_runs(at[cut[0]:cut[-1]].astype(np.int16), cut - cut[0]), byte_runs(n[cut[0]:cut[-1]], cut - cut[0])], names)
         some = np.flatnonzero(grid)
-        ends = np.array([0, len(some)], np.int32)
+        ends = np.array([0, len(some)])
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()),
-                                          lists(some.astype(np.int32), ends), lists(grid[some], ends)], names)
+                                          byte_runs(some.astype(np.int16), ends), byte_runs(grid[some], ends)], names)
 
     known = tail.select(F.col("word").alias("w"), "cls")
-    beside = (bigrams.mapInArrow(scan, "word long, at int, n long")
-              .union(bigrams.filter("b < 0").join(known, F.col("b") == F.col("w")).select("a", "cls", "n"))
-              .union(bigrams.filter("a < 0").join(known, F.col("a") == F.col("w")).select("b", F.col("cls") + KINDS, "n"))
-              .union(tail.select("word", F.lit(mark), (F.col("cls") * LENGTHS + F.col("band")).cast("long"))))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + 2 * rows // ROWS_PER_TASK)
-    return beside.repartition(tasks, "word").mapInArrow(
-        gather, "word long, cls int, band int, total long, at array<int>, n array<long>")
+    rare = bigrams.filter("blob is null").select("a", "b", "n")
+    beside = (rare.filter("b < 0").join(known, F.col("b") == F.col("w")).select("a", F.col("cls").cast("long"), "n")
+              .union(rare.filter("a < 0").join(known, F.col("a") == F.col("w")).select("b", (F.col("cls") + KINDS).cast("long"), "n"))
+              .union(tail.select("word", F.lit(mark).cast("long"), (F.col("cls") * LENGTHS + F.col("band")).cast("long")))
+              .mapInArrow(met, PACKED)
+              .union(rare.mapInArrow(scan, PACKED))
+              .union(bigrams.filter("blob is not null").select("bucket", "kind", "blob").mapInArrow(common, PACKED)))
+    return beside.repartition(tasks, "bucket").mapInArrow(
+        gather, "word long, cls int, band int, total long, at binary, n binary")
+
+
+def byte_runs(values: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """The bytes of runs of numbers, ``values[cut[i]:cut[i + 1]]``."""
+    offsets = (cut * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def number_runs(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of such a column, and where each run starts and the last ends."""
+    if len(column) == 0:
+        return np.zeros(0, kind), np.zeros(1, np.int64)
+    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
+    width = np.dtype(kind).itemsize
+    data = column.buffers()[2]
+    whole = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    return np.frombuffer(whole.tobytes(), kind), (offsets - offsets[0]) // width
 
 
 def class_grid(beside: DataFrame) -> np.ndarray:
     """Class bigrams, as ``neighbours`` has them."""
-    got = (beside.filter("word is null").select(F.explode(F.arrays_zip("at", "n")).alias("z"))
-           .groupBy("z.at").agg(F.sum("z.n").alias("n")).toArrow())
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(KINDS * KINDS, np.int64)
+        for batch in batches:
+            at, n = number_runs(batch.column(0), np.int16)[0], number_runs(batch.column(1), np.int64)[0]
+            np.add.at(total, at, n)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["at", "n"])
+
+    got = (beside.filter("word is null").select("at", "n").mapInArrow(add, "at long, n long")
+           .groupBy("at").agg(F.sum("n").alias("n")).toArrow())
     grid = np.zeros(KINDS * KINDS)
     grid[got["at"].to_numpy()] = got["n"].to_numpy()
     return grid.reshape(KINDS, KINDS)
@@ -447,8 +610,8 @@ def moved(beside: DataFrame, grid: np.ndarray, end: int, turn: int) -> DataFrame
         for batch in batches:
             word, cls, band = (batch.column(i).to_numpy() for i in range(3))
             cls = cls.copy()
-            cut = batch.column(3).offsets.to_numpy()
-            at, n = batch.column(3).values.to_numpy(), batch.column(4).values.to_numpy()
+            at, cut = number_runs(batch.column(3), np.int16)
+            n = number_runs(batch.column(4), np.int64)[0]
             movable = (cls >= CLASSES) if turn == 0 else (mix(word.view(U64)) & U64(1) == U64(turn & 1))
             todo = np.flatnonzero(movable & (word != end))
             for k in range(0, len(todo), TOGETHER):
@@ -465,15 +628,15 @@ def moved(beside: DataFrame, grid: np.ndarray, end: int, turn: int) -> DataFrame
     return beside.filter("word is not null").select("word", "cls", "band", "at", "n").mapInArrow(scan, "word long, cls int, band int")
 
 
-def exchange_all(bigrams: DataFrame, head_class: np.ndarray, head_band: np.ndarray, tail: DataFrame,
+def exchange_all(bigrams: DataFrame, head_class: np.ndarray, head_band: np.ndarray, tail: DataFrame, tasks: int,
                  rounds: int = WHOLE_ROUNDS) -> tuple[DataFrame, np.ndarray, np.ndarray, list[float]]:
     """``neighbours``, classes of the head and class bigrams of the best round, and the likelihood after each.
 
     The classes of the head (at most ``HEAD``) and the class bigrams reach the driver, nothing of other words does.
     """
-    rows, best, history = bigrams.count(), None, []
+    best, history = None, []
     for turn in range(rounds + 1):
-        beside = staged(neighbours(bigrams, head_class, head_band, tail, rows), "neighbours")
+        beside = staged(neighbours(bigrams, head_class, head_band, tail, tasks), "neighbours", "zstd")
         grid = class_grid(beside)
         history.append(likelihood_of(grid))
         if turn <= 1 or history[-1] > best[3]:       # the classes to begin with are not the same kind of classes
@@ -523,8 +686,9 @@ def train(texts: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
     head_class = np.append(band.astype(np.int64) + CLASSES, KINDS - 1)
     head_class[np.searchsorted(head, clustered)] = classes[:len(clustered)]
     tail = staged(tail_words(counts, head), "tail")
-    bigrams = staged(word_bigrams(texts, head, text), "bigrams")
-    beside, head_class, grid, later = exchange_all(bigrams, head_class, np.append(band, LENGTHS), tail)
+    tasks = 1 + 2 * tokens // ROWS_PER_TASK         # follows the tokens alone: a task that has counts for every bucket writes as many rows
+    bigrams = staged(word_bigrams(texts, head, tasks, text), "bigrams")
+    beside, head_class, grid, later = exchange_all(bigrams, head_class, np.append(band, LENGTHS), tail, tasks)
     discard(counts, seeds, bigrams)
     prior = (grid.sum(axis=0) + 1) / (grid.sum() + KINDS)
     transition = (grid + PRIOR * prior) / (grid.sum(axis=1, keepdims=True) + PRIOR)

@@ -659,3 +659,32 @@ def test_pipeline_stages_pass_texts_in_small_batches(spark):
             assert int(spark.conf.get(key)) <= 1000 and out.count() > 0
     finally:
         spark.conf.set(key, before)
+
+
+def test_counts_beside_words_are_shuffled_packed(spark, monkeypatch):
+    """What is shuffled in a round are arrays, a few for each task and bucket whatever the words, and they add up to the counts of all pairs."""
+    monkeypatch.setattr(brown, "HEAD", 40)
+    random.seed(5)
+    texts = [" ".join(f"w{int(random.paretovariate(0.7)) % 300}" for _ in range(80)) for _ in range(120)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    seen = collections.Counter(w for t in texts for w in t.split())
+    hash_of = dict(zip(seen, words.words_of(pa.array(list(seen))).hash.view(np.int64).tolist()))
+    head = np.sort(np.array([hash_of[w] for w, _ in seen.most_common(40)], np.int64))
+    name = {w: int(np.searchsorted(head, h)) if h in head else int(h | brown.TAIL) for w, h in hash_of.items()}
+    found = brown.word_bigrams(docs, head, 2).collect()
+    chains = [[40, *map(name.get, t.split()), 40] for t in texts]
+    pairs = collections.Counter(p for c in chains for p in zip(c, c[1:]))
+    got, swapped = collections.Counter(), collections.Counter()
+    for r in found:
+        if r.blob is None:
+            got[r.a, r.b] += r.n
+        else:
+            key, n = brown.unpacked(r.blob, 2)
+            for k, m in zip(np.cumsum(key).tolist(), n.tolist()):
+                if r.kind == 0:
+                    got[divmod(k, 41)] += m
+                else:
+                    swapped[divmod(k, 41)[::-1]] += m
+    assert got == pairs
+    assert swapped == {p: n for p, n in pairs.items() if min(p) >= 0}
+    assert sum(r.blob is not None for r in found) <= 2 * 2 * 2
