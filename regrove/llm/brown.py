@@ -8,9 +8,10 @@ move a word belongs to a class of words of its length; the end of a text has its
 probability is that of its class after the previous class times that of the word in its class, smoothed.  An unseen word counts as
 one more word of the class that holds most words of its length that were seen once.
 
-Only the classes of the ``HEAD`` most frequent words travel to every task; those of all other words stay in a table that is joined.
-Pairs of head words are dealt once to the task of each of their words, so that a round counts the classes beside them where they lie.
-Counts pass from task to task as compressed arrays, not one by one.
+Only the classes of the ``HEAD`` most frequent words travel to every task; all other words lie in buckets by their hash, with the words
+beside them and their classes.  Pairs of head words are dealt once to the task of each of their words, so that a round counts the classes
+beside them where they lie, and a word outside the head tells its class to the words beside it.
+Counts and words pass from task to task as compressed arrays, one for a bucket, not one by one.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ END = np.int64(mix(np.array([77], U64)).view(np.int64)[0])      # stands for the
 GATHER = 1 << 21            # tokens counted together before they leave a task
 ROWS_PER_TASK = 2_000_000   # counts gathered in one task
 TOGETHER = 256              # words whose gains are computed at once
+FEW = 16                    # counts whose gains are looked up
 TAIL = np.int64(-1 << 63)   # added to the hashes of words outside the head: they are negative, head words are numbered
 
 
@@ -48,8 +50,11 @@ def length_class(words) -> np.ndarray:
 
 
 def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    key, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return key, np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
+    key, n = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
+    order = np.argsort(key)
+    key = key[order]
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1])[:len(key)])
+    return key[at], np.add.reduceat(n[order], at) if len(at) else n
 
 
 class Tally:
@@ -250,28 +255,51 @@ def exchange(bigrams: DataFrame, clustered: int, classes: int = CLASSES, rounds:
     return (best[0] if best[0] is not None else cls), history
 
 
-def head_symbols(head: np.ndarray, words) -> np.ndarray:
-    """The place in ``head`` (ascending hashes) of each word, or its negative hash."""
-    h = words.hash.view(np.int64)
-    out = h | TAIL
-    if len(head):
-        at = np.minimum(np.searchsorted(head, h), len(head) - 1)
-        hit = head[at] == h
-        out[hit] = at[hit]
-    return out
+class Head:
+    """Places of word hashes in the head (ascending hashes), looked up by their leading bits, which are spread evenly."""
+
+    def __init__(self, head: np.ndarray):
+        bits = len(head).bit_length() + 1
+        self.shift, self.half = 64 - bits, 1 << (bits - 1)
+        self.first = np.searchsorted(head, np.arange(-self.half, self.half) << self.shift).astype(np.int32)
+        self.hashes = np.append(head, np.iinfo(np.int64).max)
+
+    def symbols(self, words) -> np.ndarray:
+        """The place in the head of each word, or its negative hash."""
+        h = words.hash.view(np.int64)
+        at = self.first[(h >> self.shift) + self.half]
+        found = self.hashes[at]
+        later = np.flatnonzero(found < h)
+        while len(later):
+            at[later] += 1
+            found[later] = self.hashes[at[later]]
+            later = later[found[later] < h[later]]
+        return np.where(found == h, at, h | TAIL)
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays of whole numbers of one length, their bytes sorted by significance and compressed."""
+    """Arrays of whole numbers of one length, their bytes sorted by significance (leading ones that are 0 left out) and compressed."""
     import zstandard
-    planes = [np.ascontiguousarray(x.astype(np.int64)).view(np.uint8).reshape(-1, 8).T.tobytes() for x in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+    planes, widths = [], []
+    for x in arrays:
+        x = np.ascontiguousarray(x.astype(np.int64))
+        low, high = (int(x.min()), int(x.max())) if len(x) else (0, 0)
+        widths.append(8 if low < 0 else max(1, (high.bit_length() + 7) // 8))
+        planes.append(x.view(np.uint8).reshape(-1, 8)[:, :widths[-1]].T.tobytes())
+    return bytes(widths) + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
 def unpacked(blob: bytes, arrays: int) -> list[np.ndarray]:
     import zstandard
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(arrays, 8, -1)
-    return [np.ascontiguousarray(x.T).view(np.int64).ravel() for x in planes]
+    widths = list(blob[:arrays])
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[arrays:]), np.uint8).reshape(sum(widths), -1)
+    out, at = [], 0
+    for width in widths:
+        x = np.zeros((planes.shape[1], 8), np.uint8)
+        x[:, :width] = planes[at:at + width].T
+        out.append(x.view(np.int64).ravel())
+        at += width
+    return out
 
 
 def steps(sorted_keys: np.ndarray) -> np.ndarray:
@@ -281,6 +309,30 @@ def steps(sorted_keys: np.ndarray) -> np.ndarray:
 
 PACKED = "bucket int, kind int, blob binary"
 COMMON, RARE = 0, 1         # kinds of ``PACKED`` rows: sorted keys and counts, or three arrays
+#: ``words`` has the sorted hashes (as steps), length classes and classes of the tail words of a bucket; ``pairs`` has the pairs of each: the
+#: place of the word (as steps), the other word, whether that is ahead (LENGTHS) or behind (0) plus its length class, and the count.
+TAILS = "words binary, pairs binary"
+DEALT = f"{PACKED}, {TAILS}"
+BESIDE = f"bucket int, common binary, rare binary, {TAILS}, grid binary"
+
+
+def binary_rows(names: str, *rows: tuple) -> pa.RecordBatch:
+    """Rows of such a schema."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in names.split(", "))])
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def tail_words(words: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ascending hashes, length classes and classes of the tail words of a bucket."""
+    name, band, cls = unpacked(words, 3)
+    return np.cumsum(name), band, cls
+
+
+def tail_pairs(pairs: bytes) -> tuple[np.ndarray, ...]:
+    """Place of the word, other word, 1 if that is ahead, length class of it if it is no head word, count."""
+    place, other, mark, n = unpacked(pairs, 4)
+    return np.cumsum(place), other, mark // LENGTHS, mark % LENGTHS, n
 
 
 def packed_rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -313,18 +365,18 @@ def bucket_of(word: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(word.view(U64)) % U64(buckets)).astype(np.int64)
 
 
-def word_bigrams(texts: DataFrame, head: np.ndarray, tasks: int, text: str = "text") -> DataFrame:
-    """How often one word follows another, over the whole vocabulary; the end is ``len(head)``.
+def dealt_bigrams(texts: DataFrame, head: np.ndarray, tasks: int, text: str = "text") -> DataFrame:
+    """How often one word follows another, over the whole vocabulary, as a few rows for each bucket of words; the end is ``len(head)``.
 
     Rows with a ``blob`` hold pairs of head words: sorted keys word * (len(head) + 1) + other and counts of all words of a ``bucket``;
-    other is the word behind (``kind`` 0) or ahead (1), so each pair is in two of them.  All other pairs are rows (a, b, n).
+    other is the word behind (``kind`` 0) or ahead (1), so each pair is in two of them.  The others hold all tail words of a bucket, in the
+    classes of their lengths, and their pairs (``TAILS``), so pairs of two tail words are in two of them as well.
     """
     shared, buckets = texts.sparkSession.sparkContext.broadcast(head), 2 * tasks        # HEAD numbers
     size = len(head) + 1
-    schema = f"{PACKED}, a long, b long, n long"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, tally, first = shared.value, Tally(), edges(size, buckets)
+        head, tally, first = Head(shared.value), Tally(), edges(size, buckets)
         held, rare = [], 0
 
         def common_rows():
@@ -335,18 +387,24 @@ def word_bigrams(texts: DataFrame, head: np.ndarray, tasks: int, text: str = "te
             return packed_rows(rows + list(dealt_keys(other[order], n[order], first, size, 1)))
 
         def rare_rows():
-            a, b = (np.concatenate(x) for x in zip(*held))
-            return packed_rows(list(dealt_arrays(bucket_of(a ^ mix(b.view(U64)).view(np.int64), buckets), 2, a, b)))
+            word, other, mark = (np.concatenate(x) for x in zip(*held))
+            return packed_rows(list(dealt_arrays(bucket_of(word, buckets), 2, word, other, mark)))
 
         for batch in batches:
             for piece in slices(batch, "__text"):
                 words = words_of(piece.column(0))
-                b = np.full(len(words.doc) + words.rows, size - 1)
-                b[np.arange(len(words.doc)) + words.doc] = head_symbols(head, words)
+                place = np.arange(len(words.doc)) + words.doc
+                b, band = np.full(len(words.doc) + words.rows, size - 1), np.zeros(len(words.doc) + words.rows, np.int64)
+                b[place] = head.symbols(words)
+                band[place] = length_class(words)
                 a = np.concatenate([[size - 1], b[:-1]])         # texts follow each other over their ends
                 common = (a >= 0) & (b >= 0)
                 tally.add(a[common] * size + b[common])
-                held.append((a[~common], b[~common]))
+                band[b >= 0] = 0
+                band_a = np.concatenate([[0], band[:-1]])
+                behind, ahead = np.flatnonzero(a < 0), np.flatnonzero(b < 0)
+                held.append((np.append(a[behind], b[ahead]), np.append(b[behind], a[ahead]),
+                             np.append(band_a[behind] * LENGTHS + band[behind], (band[ahead] + LENGTHS) * LENGTHS + band_a[ahead])))
                 rare += len(held[-1][0])
                 if rare >= GATHER:
                     yield rare_rows()
@@ -359,185 +417,180 @@ def word_bigrams(texts: DataFrame, head: np.ndarray, tasks: int, text: str = "te
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: dict = {}
-        pairs = []
+        tails: dict = {}
         for batch in batches:
             for bucket, kind, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if kind == 2:
-                    pairs.append(unpacked(blob, 2))
+                    tails.setdefault(bucket, []).append(unpacked(blob, 3))
                 else:
                     key, n = unpacked(blob, 2)
                     keys.setdefault((bucket, kind), []).append((np.cumsum(key), n))
-        none = lambda rows, *kinds: [pa.nulls(rows, k) for k in kinds]
-        names = ["bucket", "kind", "blob", "a", "b", "n"]
         for bucket, kind in list(keys):
             key, n = summed(*zip(*keys.pop((bucket, kind))))
-            yield pa.RecordBatch.from_arrays([*packed_rows([(bucket, kind, packed(steps(key), n))]).columns, *none(1, *[pa.int64()] * 3)], names)
-        if pairs:
-            a, b = (np.concatenate(x) for x in zip(*pairs))
-            del pairs
-            order = np.lexsort((b, a))
-            a, b = a[order], b[order]
-            at = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-            n = np.diff(np.append(at, len(a)))
-            yield pa.RecordBatch.from_arrays([*none(len(at), pa.int32(), pa.int32(), pa.binary()), pa.array(a[at]), pa.array(b[at]), pa.array(n)], names)
+            yield binary_rows(DEALT, (bucket, kind, packed(steps(key), n), None, None))
+        for bucket in list(tails):
+            word, other, mark = (np.concatenate(x) for x in zip(*tails.pop(bucket)))
+            order = np.lexsort((other, mark, word))
+            word, other, mark = word[order], other[order], mark[order]
+            new = np.append(True, word[1:] != word[:-1])
+            at = np.flatnonzero(new | np.append(True, (other[1:] != other[:-1]) | (mark[1:] != mark[:-1])))
+            name, place, band = word[new], np.cumsum(new) - 1, mark[new] // LENGTHS % LENGTHS
+            side = mark // LENGTHS ** 2 * LENGTHS + mark % LENGTHS
+            yield binary_rows(DEALT, (bucket, None, None, packed(steps(name), band, band + CLASSES),
+                                      packed(steps(place[at]), other[at], side[at], np.diff(np.append(at, len(word))))))
 
     found = texts.select(F.col(text).alias("__text")).mapInArrow(scan, PACKED)
-    return found.repartition(tasks, "bucket").mapInArrow(gather, schema)
+    return found.repartition(tasks, "bucket").mapInArrow(gather, DEALT)
+
+
+def word_bigrams(texts: DataFrame, head: np.ndarray, tasks: int, text: str = "text") -> DataFrame:
+    """``dealt_bigrams`` with the pairs of tail words as rows (a, b, n), each once."""
+    schema = f"{PACKED}, a long, b long, n long"
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, kind, blob, words, pairs in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if blob is not None:
+                    yield binary_rows(schema, (bucket, kind, blob, None, None, None))
+                    continue
+                place, other, ahead, _, n = tail_pairs(pairs)
+                word, once = tail_words(words)[0][place], (ahead == 0) | (other >= 0)
+                a, b = np.where(ahead, other, word)[once], np.where(ahead, word, other)[once]
+                none = [pa.nulls(len(a), k) for k in (pa.int32(), pa.int32(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*none, pa.array(a), pa.array(b), pa.array(n[once])], ["bucket", "kind", "blob", "a", "b", "n"])
 
+    return dealt_bigrams(texts, head, tasks, text).mapInArrow(rows, schema)
 
-def tail_words(counts: DataFrame, head: np.ndarray) -> DataFrame:
-    """(word, cls, band) of all counted words outside the head, each in the class of its length."""
-    shared = counts.sparkSession.sparkContext.broadcast(head)
+
+def seed_bigrams(bigrams: DataFrame, symbol: np.ndarray, first_band: int) -> DataFrame:
+    """``symbol_bigrams`` of the texts of ``dealt_bigrams``; ``symbol`` has those of the head and the end."""
+    shared, size, symbols = bigrams.sparkSession.sparkContext.broadcast(symbol), len(symbol), first_band + LENGTHS + 1
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = shared.value
+        symbol, tally = shared.value, Tally()
+
+        def rows():
+            key, n = tally.take()
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["pair", "n"])
+
         for batch in batches:
-            word, band = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            out = np.ones(len(word), bool)
-            if len(head):
-                out = head[np.minimum(np.searchsorted(head, word), len(head) - 1)] != word
-            yield pa.RecordBatch.from_arrays([pa.array(word[out] | TAIL), pa.array(band[out] + np.int32(CLASSES)), pa.array(band[out])],
-                                             ["word", "cls", "band"])
+            for blob, words, pairs in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if blob is not None:
+                    key, n = unpacked(blob, 2)
+                    key = np.cumsum(key)
+                    tally.add(symbol[key // size] * symbols + symbol[key % size], n)
+                else:
+                    place, other, ahead, band, n = tail_pairs(pairs)
+                    word = first_band + tail_words(words)[1][place]
+                    beside = np.where(other >= 0, symbol[np.maximum(other, 0)], first_band + band)
+                    once = (ahead == 0) | (other >= 0)
+                    tally.add(np.where(ahead, beside * symbols + word, word * symbols + beside)[once], n[once])
+                if tally.full():
+                    yield rows()
+        yield rows()
 
-    return counts.filter(F.col("band") < LENGTHS).select("word", "band").mapInArrow(scan, "word long, cls int, band int")
+    found = bigrams.filter("kind = 0 or kind is null").select("blob", "words", "pairs").mapInArrow(scan, "pair long, n long")
+    return found.groupBy("pair").agg(F.sum("n").alias("n")).select(
+        F.expr(f"pair div {symbols}").alias("a"), (F.col("pair") % symbols).alias("b"), "n")
 
 
-def neighbours(bigrams: DataFrame, head_class: np.ndarray, head_band: np.ndarray, tail: DataFrame, tasks: int) -> DataFrame:
-    """A row per word with its class, length class, ``total`` and the counts ``n`` of the classes ``at`` beside it (arrays of bytes and of longs).
+def neighbours(bigrams: DataFrame, head_class: np.ndarray, tails: DataFrame, tasks: int) -> DataFrame:
+    """The classes beside each word as rows of ``BESIDE``; ``tails`` has the buckets of tail words (``TAILS``).
 
-    ``at`` is the class behind the word, or ``KINDS`` and the class ahead of it, or ``2 * KINDS`` for the word behind itself.
-    Rows without a word hold the class bigrams of a task.  ``head_class`` and ``head_band`` include the end; ``bigrams`` are those of ``word_bigrams``.
+    ``common`` (head words) and ``rare`` (tail words of a bucket, with their ``words`` and ``pairs``) are sorted keys
+    word * (2 * KINDS + 1) + at and counts; a tail word is named by its place.  ``at`` is the class behind the word, or ``KINDS`` and the class
+    ahead of it, or ``2 * KINDS`` for the word behind itself.  ``grid`` holds the class bigrams of a task.
+    ``head_class`` includes the end; ``bigrams`` are those of ``dealt_bigrams``.
     """
     spark, buckets = bigrams.sparkSession, 2 * tasks
-    shared = spark.sparkContext.broadcast((head_class, head_band))
-    own, mark = 2 * KINDS, 2 * KINDS + 1
-    width, size = mark + 1, len(head_class)
+    shared = spark.sparkContext.broadcast(head_class)
+    own, width, size = 2 * KINDS, 2 * KINDS + 1, len(head_class)
 
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cls, first = shared.value[0], edges(size, buckets)
+        cls, first = shared.value, edges(size, buckets)
         for batch in batches:
             for bucket, side, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 key, n = unpacked(blob, 2)
                 key = np.cumsum(key)
-                word, other = key // size - first[bucket], key % size
+                word = key // size
+                other = key - word * size
+                word -= first[bucket]
                 rows = int(first[bucket + 1] - first[bucket])
                 table = np.bincount(word * width + cls[other] + side * KINDS, weights=n, minlength=rows * width)
                 if side == 0:
                     same = word + first[bucket] == other
                     table[word[same] * width + own] = n[same]
                 at = np.flatnonzero(table)
-                yield packed_rows([(bucket, COMMON, packed(steps(at + first[bucket] * width), table[at]))])
+                yield binary_rows(DEALT, (bucket, COMMON, packed(steps(at + first[bucket] * width), table[at]), None, None))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cls = shared.value[0]
-
-        def triples():
-            for batch in batches:
-                a, b, n = (batch.column(i).to_numpy() for i in range(3))
-                behind, ahead, same = (a < 0) & (b >= 0), (b < 0) & (a >= 0), a == b
-                yield (np.concatenate([a[behind], b[ahead], a[same]]),
-                       np.concatenate([cls[b[behind]], KINDS + cls[a[ahead]], np.full(int(same.sum()), own)]),
-                       np.concatenate([n[behind], n[ahead], n[same]]))
-        yield from dealt(triples())
-
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from dealt(tuple(b.column(i).to_numpy() for i in range(3)) for b in batches)
-
-    def dealt(triples) -> Iterator[pa.RecordBatch]:
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, tally, held, rare = edges(size, buckets), Tally(), [], 0
 
+        def rows(some):
+            return binary_rows(DEALT, *((*row, None, None) for row in some))
+
         def rare_rows():
             word, at, n = (np.concatenate(x) for x in zip(*held))
-            return packed_rows(list(dealt_arrays(bucket_of(word, buckets), RARE, word, at, n)))
-
-        for word, at, n in triples:
-            head = word >= 0
-            if head.any():
-                tally.add(word[head] * width + at[head], n[head])
-            held.append((word[~head], at[~head].astype(np.int64), n[~head]))
-            rare += len(held[-1][0])
-            if rare >= GATHER // 2:
-                yield rare_rows()
-                held, rare = [], 0
-            if tally.full():
-                yield packed_rows(list(dealt_keys(*tally.take(), first, width, COMMON)))
+            return rows(dealt_arrays(bucket_of(word, buckets), RARE, word, at, n))
+
+        for batch in batches:
+            for bucket, words, pairs in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                yield binary_rows(DEALT, (bucket, None, None, words, pairs))
+                place, other, ahead, _, n = tail_pairs(pairs)
+                at = tail_words(words)[2][place] + KINDS * (1 - ahead)      # the word is ahead of the one behind it
+                head = other >= 0
+                tally.add(other[head] * width + at[head], n[head])
+                held.append((other[~head], at[~head], n[~head]))
+                rare += len(held[-1][0])
+                if rare >= GATHER // 2:
+                    yield rare_rows()
+                    held, rare = [], 0
+                if tally.full():
+                    yield rows(dealt_keys(*tally.take(), first, width, COMMON))
         if rare:
             yield rare_rows()
-        yield packed_rows(list(dealt_keys(*tally.take(), first, width, COMMON)))
+        key, n = tally.take()
+        if len(key):
+            yield rows(dealt_keys(key, n, first, width, COMMON))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head_class, head_band = shared.value
-        keys, rare = [], []
+        head_class, grid = shared.value, np.zeros(KINDS * KINDS)
+        keys, rare, tails = {}, {}, []
+
+        def add(cls, at, n):
+            grid[:] += np.bincount((cls * KINDS + at)[at < KINDS], weights=n[at < KINDS], minlength=KINDS * KINDS)
+
         for batch in batches:
-            for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if kind == COMMON:
+            for bucket, kind, blob, words, pairs in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if blob is None:
+                    tails.append((bucket, words, pairs))
+                elif kind == COMMON:
                     key, n = unpacked(blob, 2)
-                    keys.append((np.cumsum(key), n))
+                    keys.setdefault(bucket, []).append((np.cumsum(key), n))
                 else:
-                    rare.append(unpacked(blob, 3))
-        if not keys and not rare:
-            return
-        word, at, n = (np.zeros(0, np.int64) for _ in range(3))
-        if rare:
-            word, at, n = (np.concatenate(x) for x in zip(*rare))
-            del rare
-            names, place = np.unique(word, return_inverse=True)
-            key, n = summed([place * width + at], [n])
-            word, at = names[key // width], key % width
-        if keys:
-            key, more = summed(*zip(*keys))
-            del keys
-            word, at, n = np.append(word, key // width), np.append(at, key % width), np.append(n, more)
-        first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-        name, last = word[first], np.append(first[1:], len(word)) - 1
-        common = name >= 0
-        place = np.where(common, name, 0)
-        cls = np.where(common, head_class[place], n[last] // LENGTHS)       # the mark of a tail word comes last
-        band = np.where(common, head_band[place], n[last] % LENGTHS)
-        owner = np.cumsum(np.append(True, word[1:] != word[:-1])) - 1
-        total = np.bincount(owner, weights=np.where(at < KINDS, n, 0), minlength=len(name)).astype(np.int64)
-        after = at < KINDS
-        grid = np.bincount(cls[owner[after]] * KINDS + at[after], weights=n[after], minlength=KINDS * KINDS).astype(np.int64)
-        kept = at < mark
-        owner, at, n = owner[kept], at[kept], n[kept]
-        bounds = np.searchsorted(owner, np.arange(len(name) + 1))
-        names = ["word", "cls", "band", "total", "at", "n"]
-        for i in range(0, len(name), 8192):
-            p, cut = slice(i, i + 8192), bounds[i:i + 8193]
-            yield pa.RecordBatch.from_arrays([pa.array(name[p]), pa.array(cls[p].astype(np.int32)), pa.array(band[p].astype(np.int32)), pa.array(total[p]),
-                                              byte_runs(at[cut[0]:cut[-1]].astype(np.int16), cut - cut[0]), byte_runs(n[cut[0]:cut[-1]], cut - cut[0])], names)
+                    rare.setdefault(bucket, []).append(unpacked(blob, 3))
+        for bucket in list(keys):
+            key, n = summed(*zip(*keys.pop(bucket)))
+            word = key // width
+            add(head_class[word], key - word * width, n)
+            yield binary_rows(BESIDE, (bucket, packed(steps(key), n), None, None, None, None))
+        for bucket, words, pairs in tails:
+            name, _, cls = tail_words(words)
+            place, other, ahead, _, n = tail_pairs(pairs)
+            head, same = other >= 0, (other == name[place]) & (ahead == 0)
+            found = [(place[head] * width + head_class[other[head]] + ahead[head] * KINDS, n[head]), (place[same] * width + own, n[same])]
+            found += [(np.searchsorted(name, word) * width + at, m) for word, at, m in rare.pop(bucket, [])]
+            key, n = summed(*zip(*found))
+            place = key // width
+            add(cls[place], key - place * width, n)
+            yield binary_rows(BESIDE, (bucket, None, packed(steps(key), n), words, pairs, None))
         some = np.flatnonzero(grid)
-        ends = np.array([0, len(some)])
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()),
-                                          byte_runs(some.astype(np.int16), ends), byte_runs(grid[some], ends)], names)
-
-    known = tail.select(F.col("word").alias("w"), "cls")
-    rare = bigrams.filter("blob is null").select("a", "b", "n")
-    beside = (rare.filter("b < 0").join(known, F.col("b") == F.col("w")).select("a", F.col("cls").cast("long"), "n")
-              .union(rare.filter("a < 0").join(known, F.col("a") == F.col("w")).select("b", (F.col("cls") + KINDS).cast("long"), "n"))
-              .union(tail.select("word", F.lit(mark).cast("long"), (F.col("cls") * LENGTHS + F.col("band")).cast("long")))
-              .mapInArrow(met, PACKED)
-              .union(rare.mapInArrow(scan, PACKED))
-              .union(bigrams.filter("blob is not null").select("bucket", "kind", "blob").mapInArrow(common, PACKED)))
-    return beside.repartition(tasks, "bucket").mapInArrow(
-        gather, "word long, cls int, band int, total long, at binary, n binary")
-
-
-def byte_runs(values: np.ndarray, cut: np.ndarray) -> pa.Array:
-    """The bytes of runs of numbers, ``values[cut[i]:cut[i + 1]]``."""
-    offsets = (cut * values.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
-
-
-def number_runs(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of such a column, and where each run starts and the last ends."""
-    if len(column) == 0:
-        return np.zeros(0, kind), np.zeros(1, np.int64)
-    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
-    width = np.dtype(kind).itemsize
-    data = column.buffers()[2]
-    whole = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]] if data is not None else np.zeros(0, np.uint8)
-    return np.frombuffer(whole.tobytes(), kind), (offsets - offsets[0]) // width
+        if len(some):
+            yield binary_rows(BESIDE, (None, None, None, None, None, packed(some, grid[some])))
+
+    beside = (bigrams.filter("blob is not null").select("bucket", "kind", "blob").mapInArrow(common, DEALT)
+              .union(tails.select("bucket", "words", "pairs").mapInArrow(told, DEALT)))
+    return beside.repartition(tasks, "bucket").mapInArrow(gather, BESIDE)
 
 
 def class_grid(beside: DataFrame) -> np.ndarray:
@@ -545,12 +598,13 @@ def class_grid(beside: DataFrame) -> np.ndarray:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(KINDS * KINDS, np.int64)
         for batch in batches:
-            at, n = number_runs(batch.column(0), np.int16)[0], number_runs(batch.column(1), np.int64)[0]
-            np.add.at(total, at, n)
+            for blob in batch.column(0).to_pylist():
+                at, n = unpacked(blob, 2)
+                total[at] += n
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["at", "n"])
 
-    got = (beside.filter("word is null").select("at", "n").mapInArrow(add, "at long, n long")
+    got = (beside.filter("grid is not null").select("grid").mapInArrow(add, "at long, n long")
            .groupBy("at").agg(F.sum("n").alias("n")).toArrow())
     grid = np.zeros(KINDS * KINDS)
     grid[got["at"].to_numpy()] = got["n"].to_numpy()
@@ -561,9 +615,19 @@ def likelihood_of(grid: np.ndarray) -> float:
     return float(xlogx(grid).sum() - xlogx(grid.sum(axis=1)).sum() - xlogx(grid.sum(axis=0)).sum())
 
 
+def few_more(grid: np.ndarray, open_classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """What ``n`` up to ``FEW`` more of a class behind or ahead add to each open class: tables by n, class beside, open class."""
+    n = np.arange(FEW + 1)[:, None, None]
+    return tuple(xlogx(cells + n) - xlogx(cells) for cells in (grid[:open_classes].T, grid[:, :open_classes]))
+
+
 def best_classes(after: np.ndarray, before: np.ndarray, own: np.ndarray, classes: np.ndarray, grid: np.ndarray,
-                 open_classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """What ``best_moves`` finds, for some words only, at the cost of the classes that are beside them."""
+                 open_classes: int, few: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """What ``best_moves`` finds, for some words only, at the cost of the classes that are beside them.
+
+    Counts are whole; ``few`` is ``few_more`` of the grid, for calls that share it.
+    """
+    few = few or few_more(grid, open_classes)
     rows, word = len(classes), np.arange(len(classes))
     left, right = grid.sum(axis=1), grid.sum(axis=0)
     nr, nl = after.sum(axis=1), before.sum(axis=1)
@@ -572,19 +636,26 @@ def best_classes(after: np.ndarray, before: np.ndarray, own: np.ndarray, classes
     l[word, classes] -= own
     pick = np.arange(open_classes)
     corner = grid[pick, pick]
-    change = xlogx(corner + r[:, :open_classes] + l[:, :open_classes] + own[:, None]) - xlogx(corner)
-    change -= xlogx(left[pick] + nr[:, None]) - xlogx(left[pick]) + xlogx(right[pick] + nl[:, None]) - xlogx(right[pick])
+    change = r[:, :open_classes] + l[:, :open_classes] + own[:, None]
+    i, j = np.nonzero(change)
+    change[i, j] = xlogx(corner[j] + change[i, j]) - xlogx(corner)[j]
+    (sizes, which), (sizes_ahead, ahead) = np.unique(nr, return_inverse=True), np.unique(nl, return_inverse=True)
+    change -= ((xlogx(left[pick] + sizes[:, None]) - xlogx(left[pick]))[which] + xlogx(right[pick] + sizes_ahead[:, None])[ahead]
+               - xlogx(right[pick]))
     middle = grid[classes, classes]
     stay = xlogx(middle) - xlogx(middle - r[word, classes] - l[word, classes] - own)
     stay -= xlogx(left[classes]) - xlogx(left[classes] - nr) + xlogx(right[classes]) - xlogx(right[classes] - nl)
-    for table, other, g in ((r, l, grid), (l, r, grid.T)):
+    for table, other, g, known in ((r, l, grid, few[0]), (l, r, grid.T, few[1])):
         i, j = np.nonzero(table)
         if len(i) == 0:
             continue
         n, home = table[i, j], j == classes[i]
-        cells = g[:open_classes, j].T.copy()
-        cells[home] -= other[i[home], :open_classes]        # the word itself has left its class
-        part = xlogx(cells + n[:, None]) - xlogx(cells)
+        part = known[np.minimum(n, FEW).astype(np.int64), j]
+        rest = np.flatnonzero(home | (n > FEW))
+        cells = g[:open_classes, j[rest]].T.copy()
+        left_it = home[rest]
+        cells[left_it] -= other[i[rest[left_it]], :open_classes]        # the word itself has left its class
+        part[rest] = xlogx(cells + n[rest, None]) - xlogx(cells)
         inside = np.flatnonzero(j < open_classes)
         part[inside, j[inside]] = 0                         # in ``corner``
         at = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
@@ -597,46 +668,79 @@ def best_classes(after: np.ndarray, before: np.ndarray, own: np.ndarray, classes
     return target, change[word, target] - stay
 
 
-def moved(beside: DataFrame, grid: np.ndarray, end: int, turn: int) -> DataFrame:
-    """(word, cls, band) after a round in which every word that has its turn takes its best class, the others staying.
+def taken(word: np.ndarray, cls: np.ndarray, key: np.ndarray, n: np.ndarray, grid: np.ndarray, few, turn: int, end: int, open_classes: int) -> np.ndarray:
+    """Classes of some words after a round in which every word that has its turn takes its best class, the others staying.
 
     First all words of length classes have their turn and leave these, then halves of the vocabulary, so that words that attract
-    each other do not swap for ever.
+    each other do not swap for ever.  ``key`` and ``n`` are those of ``neighbours``, words named by their places here.
     """
+    kinds, cls = len(grid), cls.copy()
+    width = 2 * kinds + 1
+    place = key // width
+    at, cut = key - place * width, np.searchsorted(place, np.arange(len(word) + 1))
+    movable = (cls >= open_classes) if turn == 0 else (mix(word.view(U64)) & U64(1) == U64(turn & 1))
+    todo = np.flatnonzero(movable & (word != end))
+    for k in range(0, len(todo), TOGETHER):
+        some = todo[k:k + TOGETHER]
+        size = cut[some + 1] - cut[some]
+        owner = np.repeat(np.arange(len(some)), size)
+        from_ = np.repeat(cut[some] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        table = np.zeros((len(some), width))
+        table[owner, at[from_]] = n[from_]
+        target, gain = best_classes(table[:, :kinds], table[:, kinds:2 * kinds], table[:, -1], cls[some], grid, open_classes, few)
+        cls[some] = np.where((gain > 0) | (cls[some] >= open_classes), target, cls[some])
+    return cls
+
+
+def moved_head(beside: DataFrame, grid: np.ndarray, head_class: np.ndarray, turn: int) -> np.ndarray:
+    """``head_class`` after a round; at most ``HEAD`` numbers reach the driver."""
+    shared = beside.sparkSession.sparkContext.broadcast((grid, head_class))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grid, head_class = shared.value
+        few, width = few_more(grid, CLASSES), 2 * KINDS + 1
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                key, n = unpacked(blob, 2)
+                key = np.cumsum(key)
+                first = int(key[0]) // width
+                word = np.arange(first, int(key[-1]) // width + 1)          # every head word has words beside it
+                cls = taken(word, head_class[word], key - first * width, n, grid, few, turn, len(head_class) - 1, CLASSES)
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(cls)], ["word", "cls"])
+
+    got = beside.filter("common is not null").select("common").mapInArrow(scan, "word long, cls long").toArrow()
+    after = head_class.copy()
+    after[got["word"].to_numpy()] = got["cls"].to_numpy()
+    return after
+
+
+def moved_tails(beside: DataFrame, grid: np.ndarray, turn: int) -> DataFrame:
+    """Buckets of tail words (``TAILS``) after a round."""
     shared = beside.sparkSession.sparkContext.broadcast(grid)
+    schema = f"bucket int, {TAILS}"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grid = shared.value
+        few = few_more(grid, CLASSES)
         for batch in batches:
-            word, cls, band = (batch.column(i).to_numpy() for i in range(3))
-            cls = cls.copy()
-            at, cut = number_runs(batch.column(3), np.int16)
-            n = number_runs(batch.column(4), np.int64)[0]
-            movable = (cls >= CLASSES) if turn == 0 else (mix(word.view(U64)) & U64(1) == U64(turn & 1))
-            todo = np.flatnonzero(movable & (word != end))
-            for k in range(0, len(todo), TOGETHER):
-                some = todo[k:k + TOGETHER]
-                size = cut[some + 1] - cut[some]
-                owner = np.repeat(np.arange(len(some)), size)
-                from_ = np.repeat(cut[some] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-                table = np.zeros((len(some), 2 * KINDS + 1))
-                table[owner, at[from_]] = n[from_]
-                target, gain = best_classes(table[:, :KINDS], table[:, KINDS:2 * KINDS], table[:, -1], cls[some].astype(np.int64), grid, CLASSES)
-                cls[some] = np.where((gain > 0) | (cls[some] >= CLASSES), target, cls[some])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls), batch.column(2)], ["word", "cls", "band"])
-
-    return beside.filter("word is not null").select("word", "cls", "band", "at", "n").mapInArrow(scan, "word long, cls int, band int")
-
-
-def exchange_all(bigrams: DataFrame, head_class: np.ndarray, head_band: np.ndarray, tail: DataFrame, tasks: int,
+            for bucket, rare, words, pairs in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                name, band, cls = tail_words(words)
+                key, n = unpacked(rare, 2)
+                cls = taken(name, cls, np.cumsum(key), n, grid, few, turn, 0, CLASSES)        # hashes of tail words are negative
+                yield binary_rows(schema, (bucket, packed(steps(name), band, cls), pairs))
+
+    return beside.filter("rare is not null").select("bucket", "rare", "words", "pairs").mapInArrow(scan, schema)
+
+
+def exchange_all(bigrams: DataFrame, head_class: np.ndarray, tasks: int,
                  rounds: int = WHOLE_ROUNDS) -> tuple[DataFrame, np.ndarray, np.ndarray, list[float]]:
     """``neighbours``, classes of the head and class bigrams of the best round, and the likelihood after each.
 
     The classes of the head (at most ``HEAD``) and the class bigrams reach the driver, nothing of other words does.
     """
-    best, history = None, []
+    best, history, tails = None, [], bigrams.filter("words is not null")
     for turn in range(rounds + 1):
-        beside = staged(neighbours(bigrams, head_class, head_band, tail, tasks), "neighbours", "zstd")
+        beside = staged(neighbours(bigrams, head_class, tails, tasks), "neighbours")
         grid = class_grid(beside)
         history.append(likelihood_of(grid))
         if turn <= 1 or history[-1] > best[3]:       # the classes to begin with are not the same kind of classes
@@ -646,15 +750,60 @@ def exchange_all(bigrams: DataFrame, head_class: np.ndarray, head_band: np.ndarr
             discard(beside)
             break
         if turn < rounds:
-            after = staged(moved(beside, grid, len(head_class) - 1, turn), "moved")
-            got = after.filter("word >= 0").select("word", "cls").toArrow()        # bounded by HEAD
-            head_class = head_class.copy()
-            head_class[got["word"].to_numpy()] = got["cls"].to_numpy()
-            discard(tail)
-            tail = after.filter("word < 0")
+            head_class, tails = moved_head(beside, grid, head_class, turn), moved_tails(beside, grid, turn)
     return best[0], best[1], best[2], history
 
 
+def totals(beside: DataFrame, head_class: np.ndarray, head_band: np.ndarray) -> DataFrame:
+    """(cls, band, n, v, once) of a part of the words but the end: how many words a class has of a length class, and how often they occur."""
+    shared = beside.sparkSession.sparkContext.broadcast((head_class, head_band))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head_class, head_band = shared.value
+        width, end = 2 * KINDS + 1, len(head_class) - 1
+        found = np.zeros((3, KINDS * (LENGTHS + 1)))
+        for batch in batches:
+            for common, rare, words in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                key, n = unpacked(common or rare, 2)
+                key = np.cumsum(key)
+                word = key // width
+                behind = key - word * width < KINDS
+                if common is not None:
+                    first = int(word[0])
+                    total = np.bincount(word[behind] - first, weights=n[behind], minlength=int(word[-1]) - first + 1)
+                    name = np.arange(first, first + len(total))
+                    name, total = name[name != end], total[name != end]
+                    cls, band = head_class[name], head_band[name]
+                else:
+                    _, band, cls = tail_words(words)
+                    total = np.bincount(word[behind], weights=n[behind], minlength=len(cls))
+                cell = cls * (LENGTHS + 1) + band
+                for i, weight in enumerate((total, np.ones(len(cell)), total == 1)):
+                    found[i] += np.bincount(cell, weights=weight, minlength=found.shape[1])
+        some = np.flatnonzero(found[1])
+        yield pa.RecordBatch.from_arrays([pa.array(x[some].astype(np.int64)) for x in (np.arange(found.shape[1]) // (LENGTHS + 1), np.arange(found.shape[1]) % (LENGTHS + 1), *found)],
+                                         ["cls", "band", "n", "v", "once"])
+
+    return (beside.filter("common is not null or rare is not null").select("common", "rare", "words")
+            .mapInArrow(scan, "cls long, band long, n long, v long, once long"))
+
+
+def tail_table(beside: DataFrame) -> DataFrame:
+    """(word, c, cls) of all words outside the head."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rare, words in zip(*(batch.column(i).to_pylist() for i in range(2))):
+                name, _, cls = tail_words(words)
+                key, n = unpacked(rare, 2)
+                key = np.cumsum(key)
+                word = key // (2 * KINDS + 1)
+                behind = key - word * (2 * KINDS + 1) < KINDS
+                total = np.bincount(word[behind], weights=n[behind], minlength=len(name)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(total), pa.array(cls.astype(np.int32))], ["word", "c", "cls"])
+
+    return beside.filter("rare is not null").select("rare", "words").mapInArrow(scan, "word long, c long, cls int")
+
+
 @dataclass
 class Model:
     """All that scoring needs but the counts and classes of words outside the head."""
@@ -679,28 +828,28 @@ def train(texts: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
     head, n, band = (top[c].to_numpy() for c in ("word", "n", "band"))
     order = np.lexsort((head, -n))
     clustered = head[order][:VOCABULARY]
-    seeds = staged(symbol_bigrams(texts, clustered, text), "seeds")
-    classes, history = exchange(seeds, len(clustered))
     by_hash = np.argsort(head)
-    head, n, band = head[by_hash], n[by_hash], band[by_hash]
-    head_class = np.append(band.astype(np.int64) + CLASSES, KINDS - 1)
-    head_class[np.searchsorted(head, clustered)] = classes[:len(clustered)]
-    tail = staged(tail_words(counts, head), "tail")
+    head, n, band = head[by_hash], n[by_hash], band[by_hash].astype(np.int64)
     tasks = 1 + 2 * tokens // ROWS_PER_TASK         # follows the tokens alone: a task that has counts for every bucket writes as many rows
-    bigrams = staged(word_bigrams(texts, head, tasks, text), "bigrams")
-    beside, head_class, grid, later = exchange_all(bigrams, head_class, np.append(band, LENGTHS), tail, tasks)
+    bigrams = staged(dealt_bigrams(texts, head, tasks, text), "bigrams")
+    symbol = np.append(band, LENGTHS) + len(clustered)
+    symbol[np.searchsorted(head, clustered)] = np.arange(len(clustered))
+    seeds = staged(seed_bigrams(bigrams, symbol, len(clustered)), "seeds")
+    classes, history = exchange(seeds, len(clustered))
+    head_class = np.append(band + CLASSES, KINDS - 1)
+    head_class[np.searchsorted(head, clustered)] = classes[:len(clustered)]
+    beside, head_class, grid, later = exchange_all(bigrams, head_class, tasks)
     discard(counts, seeds, bigrams)
     prior = (grid.sum(axis=0) + 1) / (grid.sum() + KINDS)
     transition = (grid + PRIOR * prior) / (grid.sum(axis=1, keepdims=True) + PRIOR)
     size, once, words = np.zeros(KINDS), np.zeros((LENGTHS, KINDS)), np.zeros((LENGTHS, KINDS))
-    for r in (beside.filter(F.col("word") != len(head)).groupBy("cls", "band")
-              .agg(F.sum("total").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("total") == 1).alias("once")).collect()):
+    for r in totals(beside, head_class, np.append(band, LENGTHS)).groupBy("cls", "band").agg(*(F.sum(c).alias(c) for c in ("n", "v", "once"))).collect():
         size[r["cls"]] += r["n"]
         words[r["band"], r["cls"]], once[r["band"], r["cls"]] = r["v"], r["once"]
     words[np.arange(LENGTHS), CLASSES + np.arange(LENGTHS)] += 1e-9         # a length that no training word has
     unseen = np.where(once.any(axis=1), once.argmax(axis=1), words.argmax(axis=1))
     held = words.round().sum(axis=0) + np.bincount(unseen, minlength=KINDS)
-    rest = beside.filter("word < 0").select("word", F.col("total").alias("c"), "cls")
+    rest = tail_table(beside)
     held[-1], size[-1] = 1, bands.get(LENGTHS, (0, 0))[0]
     total = size + ADD * held
     transition = SHARE * transition + (1 - SHARE) * total / total.sum()     # words that occur once fit their classes too well
@@ -724,7 +873,7 @@ def score(docs: DataFrame, model: Model, rest: DataFrame, text: str = "text", ke
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        end = len(m.head)
+        head, end = Head(m.head), len(m.head)
         whole = np.log10(m.tokens + ADD * (m.kinds + 1))
         ends = m.ends
         log_count = np.append(np.log10(m.head_count + ADD), np.log10(ends + ADD))
@@ -735,7 +884,7 @@ def score(docs: DataFrame, model: Model, rest: DataFrame, text: str = "text", ke
                 rows = words.rows
                 s = np.full(len(words.doc) + rows, end)
                 place = np.arange(len(words.doc)) + words.doc       # of each word in the chain
-                s[place] = head_symbols(m.head, words)
+                s[place] = head.symbols(words)
                 row = np.repeat(np.arange(rows), np.diff(words.bounds()) + 1)
                 common = s >= 0
                 at = np.where(common, s, 0)

@@ -688,3 +688,83 @@ def test_counts_beside_words_are_shuffled_packed(spark, monkeypatch):
     assert got == pairs
     assert swapped == {p: n for p, n in pairs.items() if min(p) >= 0}
     assert sum(r.blob is not None for r in found) <= 2 * 2 * 2
+
+
+def test_a_round_counts_classes_beside_words_in_their_buckets(spark, monkeypatch):
+    """No row for a word or a pair and no join: rows follow the buckets, and hold the classes beside every word, in the head or not."""
+    monkeypatch.setattr(brown, "HEAD", 40)
+    random.seed(6)
+    texts = [" ".join(f"w{int(random.paretovariate(0.7)) % 300:0{random.choice((1, 9))}}" for _ in range(80)) for _ in range(120)]
+    texts += ["twice twice twice rare1 rare2", "rare2 rare1", "alone", ""]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    seen = collections.Counter(w for t in texts for w in t.split())
+    hash_of = dict(zip(seen, words.words_of(pa.array(list(seen))).hash.view(np.int64).tolist()))
+    common = [w for w, _ in seen.most_common(40)]
+    head = np.sort(np.array([hash_of[w] for w in common], np.int64))
+    name = {w: int(np.searchsorted(head, h)) if w in common else int(h | brown.TAIL) for w, h in hash_of.items()}
+    band = {name[w]: min((len(w) - 1) // 4, brown.LENGTHS - 1) for w in seen}
+    head_class = np.append(np.arange(40) % 7, brown.KINDS - 1)
+    cls = {w: int(head_class[w]) if w >= 0 else brown.CLASSES + b for w, b in band.items()} | {40: brown.KINDS - 1}
+    width, want, grid = 2 * brown.KINDS + 1, collections.Counter(), np.zeros((brown.KINDS, brown.KINDS))
+    for t in texts:
+        chain = [40, *(name[w] for w in t.split()), 40]
+        for a, b in zip(chain, chain[1:]):
+            want[a, cls[b]] += 1
+            want[b, brown.KINDS + cls[a]] += 1
+            grid[cls[a], cls[b]] += 1
+            if a == b:
+                want[a, width - 1] += 1
+
+    bigrams = brown.dealt_bigrams(docs, head, 2).cache()
+    beside = brown.neighbours(bigrams, head_class, bigrams.filter("words is not null"), 2)
+    assert "Join" not in beside._jdf.queryExecution().optimizedPlan().toString()
+    rows = beside.collect()
+    assert bigrams.count() <= 3 * 4 and len(rows) <= 2 * 4 + 2
+    got = collections.Counter()
+    for r in rows:
+        if r.grid is None:
+            key, n = brown.unpacked(r.common or r.rare, 2)
+            key = np.cumsum(key)
+            names = key // width if r.rare is None else brown.tail_words(r.words)[0][key // width]
+            for w, at, m in zip(names.tolist(), (key % width).tolist(), n.tolist()):
+                got[w, at] += m
+    assert got == want and any(w < 0 and at == width - 1 for w, at in got)
+    assert (brown.class_grid(beside) == grid).all()
+    assert {(r.word, r.c, r.cls) for r in brown.tail_table(beside).collect()} == {(name[w], n, cls[name[w]]) for w, n in seen.items() if name[w] < 0}
+
+    clustered = np.array([hash_of[w] for w in common[:25]], np.int64)
+    symbol = np.append([band[i] for i in range(40)], brown.LENGTHS) + 25
+    symbol[np.searchsorted(head, clustered)] = np.arange(25)
+    plain = {(r.a, r.b, r.n) for r in brown.symbol_bigrams(docs, clustered).collect()}
+    assert {(r.a, r.b, r.n) for r in brown.seed_bigrams(bigrams, symbol, 25).collect()} == plain
+    bigrams.unpersist()
+
+
+def test_best_classes_of_large_counts_agree_with_best_moves():
+    """Gains of counts up to ``FEW`` are looked up, those of larger ones computed."""
+    rng = np.random.default_rng(11)
+    n, kinds = 40, 9
+    pair = rng.integers(1, 4 * brown.FEW, (n, n)) * (rng.random((n, n)) < 0.3)
+    cls = np.concatenate([rng.integers(0, 6, 30), rng.integers(6, 8, n - 31), [8]])
+    hot = np.eye(kinds)[cls]
+    after, before, own = pair @ hot, pair.T @ hot, np.diag(pair).astype(float)
+    assert ((after > 0) & (after <= brown.FEW)).any() and (after > brown.FEW).any()
+    grid = hot.T @ pair @ hot
+    target, found = brown.best_classes(after, before, own, cls, grid, 6, brown.few_more(grid, 6))
+    assert found[:30] == pytest.approx(brown.best_moves(after, before, own, cls, 30, 6)[1][:30], abs=1e-8)
+    for w in range(n - 1):
+        moved = cls.copy()
+        moved[w] = target[w]
+        hot = np.eye(kinds)[moved]
+        assert brown.likelihood_of(hot.T @ pair @ hot) - brown.likelihood_of(grid) == pytest.approx(found[w], abs=1e-8)
+
+
+def test_head_words_are_found_by_their_leading_bits():
+    found = words.words_of(pa.array([" ".join(f"w{i}" for i in range(5000))]))
+    every = found.hash.view(np.int64)
+    for size in (0, 1, 2, 3, 1000, 5000):
+        head = np.sort(every[:size])
+        want = [int(np.searchsorted(head, h)) if i < size else int(h | brown.TAIL) for i, h in enumerate(every.tolist())]
+        assert brown.Head(head).symbols(found).tolist() == want
+    for x in (np.zeros(0, np.int64), np.array([0, 255, 256, 1 << 40]), np.array([-1 << 63, 5, -3])):
+        assert [y.tolist() for y in brown.unpacked(brown.packed(x, x[::-1]), 2)] == [x.tolist(), x[::-1].tolist()]
