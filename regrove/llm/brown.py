@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import discard, staged
 from .frequent import most_frequent
-from .words import U64, mix, slices, words_of
+from .words import U64, lean, mix, slices, small_batches, words_of
 
 VOCABULARY = 2048           # words that form the classes to begin with
 CLASSES = 64
@@ -40,6 +40,7 @@ ADD = 0.1
 END = np.int64(mix(np.array([77], U64)).view(np.int64)[0])      # stands for the end of a text
 GATHER = 1 << 21            # tokens counted together before they leave a task
 ROWS_PER_TASK = 2_000_000   # counts gathered in one task
+BLOBS = 16                  # rows of arrays in an Arrow batch
 TOGETHER = 256              # words whose gains are computed at once
 FEW = 16                    # counts whose gains are looked up
 TAIL = np.int64(-1 << 63)   # added to the hashes of words outside the head: they are negative, head words are numbered
@@ -84,6 +85,7 @@ class Tally:
 
 def word_counts(texts: DataFrame, text: str = "text") -> DataFrame:
     """(word, band, n) of every word hash and of the end token."""
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = [Tally() for _ in range(LENGTHS)]
         ends = 0
@@ -375,6 +377,7 @@ def dealt_bigrams(texts: DataFrame, head: np.ndarray, tasks: int, text: str = "t
     shared, buckets = texts.sparkSession.sparkContext.broadcast(head), 2 * tasks        # HEAD numbers
     size = len(head) + 1
 
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, tally, first = Head(shared.value), Tally(), edges(size, buckets)
         held, rare = [], 0
@@ -406,7 +409,7 @@ def dealt_bigrams(texts: DataFrame, head: np.ndarray, tasks: int, text: str = "t
                 held.append((np.append(a[behind], b[ahead]), np.append(b[behind], a[ahead]),
                              np.append(band_a[behind] * LENGTHS + band[behind], (band[ahead] + LENGTHS) * LENGTHS + band_a[ahead])))
                 rare += len(held[-1][0])
-                if rare >= GATHER:
+                if rare >= GATHER // 2:
                     yield rare_rows()
                     held, rare = [], 0
                 if tally.full():
@@ -706,11 +709,13 @@ def moved_head(beside: DataFrame, grid: np.ndarray, head_class: np.ndarray, turn
                 first = int(key[0]) // width
                 word = np.arange(first, int(key[-1]) // width + 1)          # every head word has words beside it
                 cls = taken(word, head_class[word], key - first * width, n, grid, few, turn, len(head_class) - 1, CLASSES)
-                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(cls)], ["word", "cls"])
+                yield binary_rows("blob binary", (packed(word, cls),))
 
-    got = beside.filter("common is not null").select("common").mapInArrow(scan, "word long, cls long").toArrow()
     after = head_class.copy()
-    after[got["word"].to_numpy()] = got["cls"].to_numpy()
+    with small_batches(beside.sparkSession, BLOBS):
+        for r in beside.filter("common is not null").select("common").mapInArrow(scan, "blob binary").collect():
+            word, cls = unpacked(r["blob"], 2)
+            after[word] = cls
     return after
 
 
@@ -740,7 +745,8 @@ def exchange_all(bigrams: DataFrame, head_class: np.ndarray, tasks: int,
     """
     best, history, tails = None, [], bigrams.filter("words is not null")
     for turn in range(rounds + 1):
-        beside = staged(neighbours(bigrams, head_class, tails, tasks), "neighbours")
+        with small_batches(bigrams.sparkSession, BLOBS):
+            beside = staged(neighbours(bigrams, head_class, tails, tasks), "neighbours")
         grid = class_grid(beside)
         history.append(likelihood_of(grid))
         if turn <= 1 or history[-1] > best[3]:       # the classes to begin with are not the same kind of classes
@@ -821,7 +827,9 @@ class Model:
 
 def train(texts: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
     """The model, and the table (word, c, cls) of all training words outside the head."""
-    counts = staged(word_counts(texts, text), "word-counts")
+    spark = texts.sparkSession
+    with small_batches(spark):
+        counts = staged(word_counts(texts, text), "word-counts")
     bands = {r["band"]: (r["n"], r["v"]) for r in counts.groupBy("band").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     tokens, kinds = sum(n for n, _ in bands.values()), sum(v for _, v in bands.values())
     top = most_frequent(counts.filter(F.col("band") < LENGTHS), "word", "n", HEAD).toArrow()     # bounded by HEAD
@@ -831,10 +839,12 @@ def train(texts: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
     by_hash = np.argsort(head)
     head, n, band = head[by_hash], n[by_hash], band[by_hash].astype(np.int64)
     tasks = 1 + 2 * tokens // ROWS_PER_TASK         # follows the tokens alone: a task that has counts for every bucket writes as many rows
-    bigrams = staged(dealt_bigrams(texts, head, tasks, text), "bigrams")
+    with small_batches(spark):
+        bigrams = staged(dealt_bigrams(texts, head, tasks, text), "bigrams")
     symbol = np.append(band, LENGTHS) + len(clustered)
     symbol[np.searchsorted(head, clustered)] = np.arange(len(clustered))
-    seeds = staged(seed_bigrams(bigrams, symbol, len(clustered)), "seeds")
+    with small_batches(spark, BLOBS):
+        seeds = staged(seed_bigrams(bigrams, symbol, len(clustered)), "seeds")
     classes, history = exchange(seeds, len(clustered))
     head_class = np.append(band + CLASSES, KINDS - 1)
     head_class[np.searchsorted(head, clustered)] = classes[:len(clustered)]
@@ -871,13 +881,17 @@ def score(docs: DataFrame, model: Model, rest: DataFrame, text: str = "text", ke
     schema = "".join(f"`{c}` {kinds[c]}, " for c in keep) + (
         "n_tokens long, n_known long, base_part double, score_part double, tail array<long>, tail_band array<int>, ahead array<int>, behind array<int>")
 
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         head, end = Head(m.head), len(m.head)
         whole = np.log10(m.tokens + ADD * (m.kinds + 1))
         ends = m.ends
-        log_count = np.append(np.log10(m.head_count + ADD), np.log10(ends + ADD))
-        emission = np.append(log_count[:-1] - m.class_total[m.head_class[:-1]], 0.0)
+        # One more place, class and transition stand for words outside the head: they add nothing here.
+        log_count = np.append(np.log10(m.head_count + ADD), [np.log10(ends + ADD), 0.0])
+        emission = np.append(log_count[:-2] - m.class_total[m.head_class[:-1]], [0.0, 0.0])
+        head_class, transition = np.append(m.head_class, KINDS), np.zeros((KINDS + 1, KINDS + 1))
+        transition[:KINDS, :KINDS] = m.transition
         for batch in batches:
             for piece in slices(batch, "__text"):
                 words = words_of(piece.column("__text"))
@@ -886,27 +900,29 @@ def score(docs: DataFrame, model: Model, rest: DataFrame, text: str = "text", ke
                 place = np.arange(len(words.doc)) + words.doc       # of each word in the chain
                 s[place] = head.symbols(words)
                 row = np.repeat(np.arange(rows), np.diff(words.bounds()) + 1)
-                common = s >= 0
-                at = np.where(common, s, 0)
-                cls = np.where(common, m.head_class[at], -1)
-                before = np.concatenate([[m.head_class[end]], cls[:-1]])
-                base = np.where(common, log_count[at], 0.0) - whole
-                value = np.where(common, emission[at], 0.0) + np.where((cls >= 0) & (before >= 0), m.transition[before, cls], 0.0)
-                known = np.bincount(row[common & (s != end)], minlength=rows) + (1 if ends else 0)
-                rare = np.flatnonzero(~common)
+                rare = np.flatnonzero(s < 0)
+                at = s.copy()
+                at[rare] = end + 1
+                cls = head_class[at]
+                before = np.concatenate([[head_class[end]], cls[:-1]])
+                base = log_count[at] - whole
+                value = emission[at] + transition.ravel()[before * (KINDS + 1) + cls]
+                known = np.diff(words.bounds()) - np.bincount(row[rare], minlength=rows) + (1 if ends else 0)
+                outside = lambda x: np.where(x < KINDS, x, -1).astype(np.int32)
                 cut = np.searchsorted(row[rare], np.arange(rows + 1)).astype(np.int32)
                 lists = lambda x: pa.ListArray.from_arrays(pa.array(cut), pa.array(x))
                 bands = np.zeros(len(s), np.int32)
                 bands[place] = length_class(words)
-                after = np.append(cls[1:], -1)                      # every text ends with its end
+                after = np.append(cls[1:], KINDS)                   # every text ends with its end
                 yield pa.RecordBatch.from_arrays(
                     [*piece.columns[:len(keep)], pa.array(np.diff(words.bounds()) + 1), pa.array(known),
                      pa.array(np.bincount(row, weights=base, minlength=rows)), pa.array(np.bincount(row, weights=value, minlength=rows)),
-                     lists(s[rare]), lists(bands[rare]), lists(before[rare].astype(np.int32)), lists(after[rare].astype(np.int32))],
+                     lists(s[rare]), lists(bands[rare]), lists(outside(before[rare])), lists(outside(after[rare]))],
                     [*keep, "n_tokens", "n_known", "base_part", "score_part", "tail", "tail_band", "ahead", "behind"])
 
     parts = docs.select(*keep, F.col(text).alias("__text")).mapInArrow(scan, schema)
-    parts = staged(parts.withColumn("__row", F.monotonically_increasing_id()), "scored")
+    with small_batches(spark):
+        parts = staged(parts.withColumn("__row", F.monotonically_increasing_id()), "scored")
     tail = parts.select("__row", F.posexplode(F.arrays_zip("tail", "tail_band", "ahead", "behind")).alias("pos", "z")).select(
         "__row", "pos", F.col("z.tail").alias("word"), F.col("z.tail_band").alias("band"), F.col("z.ahead").alias("ahead"), F.col("z.behind").alias("behind"))
     table = lambda x, names: spark.createDataFrame(list(x), names)          # at most KINDS squared rows
