@@ -13,14 +13,18 @@ from decimal import Decimal
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, discard
+from .blocks import Chunks, Distances, limits, meet, packed, reach, slabs
 from .ordered import running_totals
 
 LEAF_POINTS = 256
 MAX_LEVELS = 24
 BINS = 4096
+CHUNK = 32              # locations of a chunk, for the pairwise median
 
 
 def distance(x1, y1, x2, y2) -> Column:
@@ -76,14 +80,6 @@ def _gap(lo_a, hi_a, lo_b, hi_b) -> tuple[Column, Column]:
     return near, far
 
 
-def _cell_bounds(ai, aj, side_a: float, bi, bj, side_b: float) -> tuple[Column, Column]:
-    span = lambda c, s: (F.col(c) * F.lit(s), (F.col(c) + 1) * F.lit(s))
-    nx, fx = _gap(*span(ai, side_a), *span(bi, side_b))
-    ny, fy = _gap(*span(aj, side_a), *span(bj, side_b))
-    # A hair of slack keeps floor() rounding from pruning a true neighbour.
-    return F.hypot(nx, ny) * (1 - 1e-9), F.hypot(fx, fy) * (1 + 1e-9)
-
-
 def _boxes(df: DataFrame, i: Column, j: Column, x: tuple[str, str], y: tuple[str, str], e: str) -> DataFrame:
     """Box of what is in each cell: ``i<e>, j<e>`` and the limits of x and y."""
     return df.groupBy(i.alias(f"i{e}"), j.alias(f"j{e}")).agg(F.min(x[0]).alias(f"xlo_{e}"), F.max(x[1]).alias(f"xhi_{e}"),
@@ -302,120 +298,187 @@ def _met_one_by_one(pairs: DataFrame, cell: DataFrame, level: int, cutoff: float
     return close.groupBy(lag(F.col("d")).alias("lag")).agg(F.sum(both_n).alias("w"), F.sum(both_n * F.col("d")).alias("wd"), F.sum(sq).alias("sq"))
 
 
+def _square(locs: DataFrame) -> tuple[Quad | None, int]:
+    """The square around distinct locations, cut as finely as possible, and their number."""
+    box = locs.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count(F.lit(1))).first()
+    if not box[4]:
+        return None, 0
+    return Quad(box[0], box[2], max(box[1] - box[0], box[3] - box[2], 1e-9) * (1 + 1e-9), MAX_LEVELS), box[4]
+
+
 def variogram_defaults(points: DataFrame, y: str = "y", lags: int = 50) -> tuple[float, float]:
     """Cutoff of half the northing range and its fiftieth part as lag width."""
     lo, hi = points.agg(F.min(y), F.max(y)).first()
     return (hi - lo) / 2.0, (hi - lo) / 2.0 / lags
 
 
-def _pairs_within(n: str) -> Column:
-    """n * (n - 1) / 2 as an exact whole number."""
-    return F.expr(f"cast(cast({n} as decimal(19, 0)) * cast({n} - 1 as decimal(19, 0)) / 2 as decimal(38, 0))")
+def _pairs(n: np.ndarray) -> np.ndarray:
+    """n * (n - 1) / 2 as exact whole numbers."""
+    n = n.astype(np.int64)
+    return np.where(n % 2 == 0, n // 2 * (n - 1), (n - 1) // 2 * n)
+
 
+def _between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a.astype(np.int64) * b.astype(np.int64)
 
-def _pairs_between(a: str, b: str) -> Column:
-    return F.expr(f"cast(cast({a} as decimal(19, 0)) * cast({b} as decimal(19, 0)) as decimal(38, 0))")
 
+def _reached(values: np.ndarray, weights: np.ndarray, rank: int) -> int:
+    """Place, in increasing order of values, of the one that holds a rank."""
+    order = np.argsort(values, kind="stable")
+    return int(order[np.searchsorted(np.cumsum(weights[order]), rank, side="right")])
 
-def _bracket(hist: DataFrame, low_rank: int, high_rank: int, start: float, step: float) -> tuple[float, float]:
-    """Bin edges around two ranks, from near-side and far-side histograms of bins from ``start``."""
-    rows = sorted(hist.collect())  # at most 2 x BINS rows
-    edges = []
-    for side, rank in ((0, low_rank), (1, high_rank)):
-        seen = 0
-        for s, b, w in rows:
-            if s == side:
-                seen += int(w)
-                if seen > rank:
-                    edges.append(start + (b + side) * step)
-                    break
-    return edges[0], edges[1]
+
+@dataclass(frozen=True)
+class _Bracket:
+    """Distances from ``low`` to ``high`` in ``BINS`` bins, with one bin below and one above; counts come from pairs of blocks."""
+    low: float
+    high: float
+    first: int = 0      # the bins that are asked for
+    last: int = BINS + 1
+
+    @property
+    def step(self) -> float:
+        return max((self.high - self.low) / BINS, 1e-12)
+
+    def bins(self, d: np.ndarray, out: np.ndarray | None = None, whole: np.ndarray | None = None) -> np.ndarray:
+        """Bin of each distance, counted from the one below the bracket."""
+        out = np.empty(d.shape) if out is None else out
+        np.subtract(d, self.low, out=out)
+        np.divide(out, self.step, out=out)
+        np.add(out, 1, out=out)
+        np.clip(out, 0, BINS + 1, out=out)
+        whole = np.empty(d.shape, np.int64) if whole is None else whole
+        np.copyto(whole, out, casting="unsafe")
+        return whole
+
+    def between(self, first: int, last: int) -> tuple[float, float]:
+        """The distances of some bins and a hair beyond; the outer bins end where the bracket does."""
+        hair = 1e-3 * self.step
+        return max(self.low, self.low + (first - 1) * self.step - hair), min(self.high, self.low + last * self.step + hair)
+
+    @property
+    def span(self) -> tuple[float, float]:
+        return self.between(self.first, self.last)
+
+    def ranges(self, pairs):
+        """Numbers of pairs whose chunks' least (side 0) and greatest (side 1) distance lies in each bin."""
+        found = np.zeros((2, BINS + 2), np.int64)
+        for own, p, q in pairs:
+            a = Chunks(p, CHUNK)
+            b = a if own else Chunks(q, CHUNK)
+            for lo, near, far, once in slabs(a, b, own):
+                w = self._weights(a, b, own, lo, near.shape)[once]
+                for side, d in enumerate((near, far)):
+                    np.add.at(found[side], self.bins(d[once]), w)
+        side, at = np.nonzero(found)
+        yield pa.RecordBatch.from_pydict({"side": pa.array(side, pa.int32()), "b": pa.array(at, pa.int32()), "w": pa.array(found[side, at], pa.int64())})
+
+    def counted(self, pairs):
+        """Numbers of pairs of locations by bin; those outside the bracket from their chunks alone, if they suffice."""
+        found = np.zeros(BINS + 2, np.int64)
+        for d, w, bins in self._undecided(pairs, found):
+            if w is None:
+                found += np.bincount(bins.ravel(), minlength=BINS + 2)
+            else:
+                np.add.at(found, bins.ravel(), w.ravel())
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_pydict({"b": pa.array(at, pa.int32()), "w": pa.array(found[at], pa.int64())})
+
+    def listed(self, pairs):
+        """The distances of some bins, each once for some pairs of chunks, with the numbers of pairs."""
+        for d, w, bins in self._undecided(pairs, np.zeros(BINS + 2, np.int64)):
+            here = (bins >= self.first) & (bins <= self.last)
+            if here.any():
+                values, at = np.unique(d[here], return_inverse=True)
+                sums = np.zeros(len(values), np.int64)
+                np.add.at(sums, at.ravel(), 1 if w is None else w[here])
+                yield pa.RecordBatch.from_pydict({"d": values, "w": sums})
+
+    @staticmethod
+    def _weights(a: Chunks, b: Chunks, own: bool, lo: int, shape) -> np.ndarray:
+        w = _between(a.sums["n"][lo:lo + shape[0], None], b.sums["n"][None, :])
+        if own:
+            i = np.arange(shape[0])
+            w[i, i + lo] = _pairs(a.sums["n"][i + lo])
+        return w
+
+    def _undecided(self, pairs, outside: np.ndarray):
+        """(distances, numbers of pairs or None for one each, bins) of pairs of locations; what lies below the bracket for certain is counted in ``outside``."""
+        for own, p, q in pairs:
+            a = Chunks(p, CHUNK)
+            b = a if own else Chunks(q, CHUNK)
+            distances, single, (low, high) = Distances(a, b), a.single and b.single, self.span
+            for lo, near, far, once in slabs(a, b, own):
+                under = once & (far < low)
+                outside[0] += self._weights(a, b, own, lo, near.shape)[under].sum()
+                keep = once & ~under & (near <= high)
+                for r in np.flatnonzero(keep.any(axis=1)):
+                    others = np.flatnonzero(keep[r])
+                    for i, j, d, t, whole in distances.met(lo + r, others, own):
+                        yield d, None if single else _between(a.p[2][i], b.p[2][j]), self.bins(d, t, whole)
+                    if own and not single and keep[r, lo + r]:
+                        n = a.p[2][a.at(lo + r)]
+                        if (n > 1).any():       # copies of a location
+                            d = np.zeros(int((n > 1).sum()))
+                            yield d, _pairs(n[n > 1]), self.bins(d)
 
 
 def pair_distance_median(points: DataFrame, x: str = "x", y: str = "y", stop_at: float = 2e7) -> DataFrame:
     """Exact median of all pairwise distances: one row ``n_pairs, median_distance``.
 
-    Works on pairs of cells, not of points.  At each level, cell pairs whose
-    whole distance range is below the median's bracket are only counted, those
-    above are dropped, and the rest are split until at most ``stop_at`` location
-    pairs are undecided.  Those are streamed into a histogram of the bracket; only
-    the pairs of the median's own bin are ever sorted.
+    A bracket around the median comes from the limits of pairs of blocks, then of pairs of chunks of locations.  Only
+    locations of chunks that may lie in the bracket are met, and counted by bin of it; the bin of the median is the next
+    bracket, until it holds at most ``stop_at`` pairs.  Only the distances of that bin are ever listed and sorted.
     """
     spark = points.sparkSession
-    locs = _locations(points, x, y).persist()
-    box = locs.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.sum("n")).first()
+    locs = cut_lineage(_locations(points, x, y))
     schema = "n_pairs bigint, median_distance double"
-    m = int(box[4] or 0) * (int(box[4] or 0) - 1) // 2
+    m = int(locs.agg(F.sum("n")).first()[0] or 0)
+    m = m * (m - 1) // 2
     if m == 0:
-        locs.unpersist()
         return spark.createDataFrame([(0, None)], schema)
-    size = max(box[1] - box[0], box[3] - box[2], 1e-9) * (1 + 1e-9)
-    quad = Quad(box[0], box[2], size, MAX_LEVELS)
+    quad, n = _square(locs)
+    blocks = packed(locs, *quad.cell("x", "y", MAX_LEVELS), ["x", "y", "n"], n)
+    ends = limits(blocks)
     ranks = ((m - 1) // 2, m // 2)
-    low, high, below = 0.0, math.hypot(size, size) * (1 + 1e-6), 0
-    i, j = quad.cell("x", "y", MAX_LEVELS)
-    cell = locs.withColumns({"i": i, "j": j})
-    pairs = spark.createDataFrame([(0, 0, 0, 0)], "ai int, aj int, bi int, bj int")
-    quarter = F.array(*[F.lit(k) for k in range(16)])
-    for level in range(1, MAX_LEVELS + 1):
-        shift = MAX_LEVELS - level
-        here = cell.groupBy(F.shiftright("i", shift).alias("i"), F.shiftright("j", shift).alias("j")).agg(
-            F.sum("n").alias("n"), F.count(F.lit(1)).cast("double").alias("k"))
-        one = (F.col("ai") == F.col("bi")) & (F.col("aj") == F.col("bj"))  # a cell with itself yields both orders
-        kids = pairs.withColumn("q", F.explode(quarter)).select(
-            one.alias("one"), (F.col("ai") * 2 + F.col("q") % 2).alias("ai"), (F.col("aj") * 2 + F.shiftright("q", 1) % 2).alias("aj"),
-            (F.col("bi") * 2 + F.shiftright("q", 2) % 2).alias("bi"), (F.col("bj") * 2 + F.shiftright("q", 3)).alias("bj"))
-        kids = kids.filter(~F.col("one") | (F.col("ai") < F.col("bi")) | ((F.col("ai") == F.col("bi")) & (F.col("aj") <= F.col("bj"))))
-        kids = kids.join(here.withColumnsRenamed({"i": "ai", "j": "aj", "n": "na", "k": "ka"}), ["ai", "aj"]).join(
-            here.withColumnsRenamed({"i": "bi", "j": "bj", "n": "nb", "k": "kb"}), ["bi", "bj"])
-        same = (F.col("ai") == F.col("bi")) & (F.col("aj") == F.col("bj"))
-        near, far = _cell_bounds("ai", "aj", quad.side(level), "bi", "bj", quad.side(level))
-        kids = kids.withColumns({"near": near, "far": far, "met": F.col("ka") * F.col("kb"), "w": F.when(
-            same, _pairs_within("na")).otherwise(_pairs_between("na", "nb"))})
-        kids = cut_lineage(kids.select("ai", "aj", "bi", "bj", "near", "far", "met", "w"))
-        ends = F.explode(F.array(F.struct(F.lit(0).alias("s"), F.col("near").alias("d")),
-                                 F.struct(F.lit(1).alias("s"), F.col("far").alias("d"))))
-        # Bins divide the bracket left by the level above, so they get finer as it narrows.
-        step = max((high - low) / BINS, 1e-12)
-        bin_of = F.greatest(F.lit(-1), F.least(F.lit(BINS), F.floor((F.col("e.d") - F.lit(low)) / F.lit(step)))).cast("int")
-        hist = kids.select("w", ends.alias("e")).groupBy(F.col("e.s").alias("s"), bin_of.alias("b")).agg(F.sum("w").alias("w"))
-        lo, hi = _bracket(hist, ranks[0] - below, ranks[1] - below, low, step)
-        low, high = max(low, lo), min(high, hi)
-        kept = (F.col("far") >= low) & (F.col("near") <= high)
-        done, undecided = kids.agg(F.coalesce(F.sum(F.when(F.col("far") < low, F.col("w"))), F.lit(0)),
-                                   F.coalesce(F.sum(F.when(kept, F.col("met"))), F.lit(0.0))).first()
-        below += int(done)
-        pairs = kids.filter(kept).select("ai", "aj", "bi", "bj")
-        if undecided <= stop_at:
-            break
-    cell = cell.withColumns({"i": F.shiftright("i", MAX_LEVELS - level), "j": F.shiftright("j", MAX_LEVELS - level)})
-    same = (F.col("ai") == F.col("bi")) & (F.col("aj") == F.col("bj"))
-    left = cell.select(F.col("i").alias("ai"), F.col("j").alias("aj"), F.col("x").alias("xa"),
-                       F.col("y").alias("ya"), F.col("n").alias("ca"))
-    right = cell.select(F.col("i").alias("bi"), F.col("j").alias("bj"), F.col("x").alias("xb"),
-                        F.col("y").alias("yb"), F.col("n").alias("cb"))
-    met = pairs.join(left, ["ai", "aj"]).join(right, ["bi", "bj"])
-    once = (F.col("xa") < F.col("xb")) | ((F.col("xa") == F.col("xb")) & (F.col("ya") < F.col("yb")))
-    met = met.filter(~same | once).select(distance("xa", "ya", "xb", "yb").alias("d"), _pairs_between("ca", "cb").alias("w"))
-    twins = cell.filter("n > 1").join(pairs.filter(same).select(F.col("ai").alias("i"), F.col("aj").alias("j")), ["i", "j"],
-                                      "left_semi").select(F.lit(0.0).alias("d"), _pairs_within("n").alias("w"))
-    open_pairs = met.unionByName(twins)
-    fine = max((high - low) / BINS, 1e-12)
-    bins = open_pairs.groupBy(F.greatest(F.lit(-1), F.least(F.lit(BINS), F.floor(
-        (F.col("d") - F.lit(low)) / F.lit(fine)))).cast("int").alias("b")).agg(F.sum("w").alias("w"))
-    seen, first, last, start = below, None, None, below
-    for b, w in sorted(bins.collect()):  # at most BINS + 2 rows
-        if first is None and seen + int(w) > ranks[0]:
-            first, start = b, seen
-        seen += int(w)
-        if seen > ranks[1]:
-            last = b
+    one, two = np.triu_indices(len(ends["block"]))      # blocks are few, some sqrt(n) / 12
+    near, far = reach(ends, one, ends, two)
+    weight = np.where(one == two, _pairs(ends["n"][one]), _between(ends["n"][one], ends["n"][two]))
+    bracket = _Bracket(float(near[_reached(near, weight, ranks[0])]), float(far[_reached(far, weight, ranks[1])]))
+
+    def settle(fold, schema: str) -> tuple[int, DataFrame]:
+        """Pairs below the bracket by their blocks, and what the undecided pairs of blocks give."""
+        low, high = bracket.span
+        may = (far >= low) & (near <= high)
+        named = [(int(ends["block"][a]), int(ends["block"][b])) for a, b in zip(one[may], two[may])]
+        return int(weight[far < low].sum()), meet(blocks, named, int(ends["k"].max()), 3, fold, schema)
+
+    def at_rank(rows, below: int, rank: int) -> tuple[int, int]:
+        """Bin that holds a rank, and the pairs before it; at most BINS + 2 rows."""
+        for b, w in sorted(rows):
+            if below + w > rank:
+                return b, below
+            below += w
+        raise ValueError("pairs are missing")
+
+    below, hist = settle(bracket.ranges, "side int, b int, w long")
+    rows = hist.groupBy("side", "b").agg(F.sum("w").alias("w")).collect()
+    first, last = (at_rank([(b, w) for s, b, w in rows if s == side], below, rank)[0] for side, rank in enumerate(ranks))
+    bracket = _Bracket(*bracket.between(first, last))
+    while True:
+        below, hist = settle(bracket.counted, "b int, w long")
+        rows = [tuple(r) for r in hist.groupBy("b").agg(F.sum("w").alias("w")).collect()]
+        (first, start), (last, _) = (at_rank(rows, below, rank) for rank in ranks)
+        low, high = bracket.between(first, last)
+        if sum(w for b, w in rows if first <= b <= last) <= stop_at or not high - low < (bracket.high - bracket.low) / 2:
             break
-    b_of = F.greatest(F.lit(-1), F.least(F.lit(BINS), F.floor((F.col("d") - F.lit(low)) / F.lit(fine)))).cast("int")
-    chosen = open_pairs.filter(b_of.between(first, last)).groupBy("d").agg(F.sum("w").alias("w"))
-    pos = running_totals(cut_lineage(chosen), [], "d", ["w"])  # one bin's distances, met once
+        bracket = _Bracket(low, high)
+    bracket = _Bracket(bracket.low, bracket.high, first, last)
+    _, chosen = settle(bracket.listed, "d double, w long")
+    discard(blocks)
+    per = chosen.groupBy("d").agg(F.sum("w").cast("decimal(38,0)").alias("w"))
+    pos = running_totals(cut_lineage(per), [], "d", ["w"])  # one bin's distances, met once
     got = pos.select("d", (F.col("w_before") + F.lit(Decimal(start))).alias("lo"), (F.col("w_before") + F.col("w") + F.lit(Decimal(start))).alias("hi"))
     pick = lambda r: F.min(F.when((F.col("lo") <= F.lit(Decimal(r))) & (F.col("hi") > F.lit(Decimal(r))), F.col("d")))
     middle = got.agg(((pick(ranks[0]) + pick(ranks[1])) / 2.0).alias("v")).first()[0]
-    locs.unpersist()
     return spark.createDataFrame([(m, middle)], schema)
