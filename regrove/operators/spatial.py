@@ -178,126 +178,137 @@ def close_locations(locs: DataFrame, cutoff: float, payload: Sequence[str], bloc
         *[f"{c}_{s}" for s in "ab" for c in keep], "d")
 
 
-_MOMENTS = {"mx": (1, 0), "my": (0, 1), "mxx": (2, 0), "mxy": (1, 1), "myy": (0, 2), "mxxx": (3, 0), "mxxy": (2, 1), "mxyy": (1, 2), "myyy": (0, 3)}
-TAYLOR = 0.1            # a pair of cells may spread over this share of its distance for its sum of distances to come from moments
-
-
-def _cells_with_moments(cell: DataFrame, quad: Quad, level: int) -> DataFrame:
-    """One row per occupied cell of a level: counts, value sums, the box of its locations, and location moments about its centre of mass."""
-    shift, side = MAX_LEVELS - level, quad.side(level)
-    i, j = F.shiftright("i", shift), F.shiftright("j", shift)
-    rows = cell.withColumns({"ci": i, "cj": j}).withColumns({
-        "p": F.col("x") - (F.lit(quad.x0) + (F.col("ci") + 0.5) * F.lit(side)), "q": F.col("y") - (F.lit(quad.y0) + (F.col("cj") + 0.5) * F.lit(side))})
-    power = lambda c, k: F.lit(1.0) if k == 0 else F.col(c) if k == 1 else F.pow(c, F.lit(float(k)))
-    sums = [F.sum(F.col("n") * power("p", a) * power("q", b)).alias(m) for m, (a, b) in _MOMENTS.items()]
-    g = rows.groupBy("ci", "cj").agg(*[F.sum(c).alias(c) for c in ("n", "s", "ss")], F.count(F.lit(1)).cast("double").alias("k"), *sums, *[
-        f(c).alias(f"{c}{e}") for c in "xy" for f, e in ((F.min, "lo"), (F.max, "hi"))])
-    c = F.col
-    ex, ey = c("mx") / c("n"), c("my") / c("n")
-    g = g.withColumns({"ex": ex, "ey": ey})
-    central = {
-        "mxx": c("mxx") - c("n") * c("ex") * c("ex"), "mxy": c("mxy") - c("n") * c("ex") * c("ey"), "myy": c("myy") - c("n") * c("ey") * c("ey"),
-        "mxxx": c("mxxx") - 3 * c("ex") * c("mxx") + 2 * c("n") * c("ex") * c("ex") * c("ex"),
-        "mxxy": c("mxxy") - c("ey") * c("mxx") - 2 * c("ex") * c("mxy") + 2 * c("n") * c("ex") * c("ex") * c("ey"),
-        "mxyy": c("mxyy") - c("ex") * c("myy") - 2 * c("ey") * c("mxy") + 2 * c("n") * c("ex") * c("ey") * c("ey"),
-        "myyy": c("myyy") - 3 * c("ey") * c("myy") + 2 * c("n") * c("ey") * c("ey") * c("ey")}
-    gx, gy = F.lit(quad.x0) + (c("ci") + 0.5) * F.lit(side) + c("ex"), F.lit(quad.y0) + (c("cj") + 0.5) * F.lit(side) + c("ey")
-    return g.select("ci", "cj", "n", "s", "ss", "k", "xlo", "xhi", "ylo", "yhi", gx.alias("gx"), gy.alias("gy"), *[v.alias(m) for m, v in central.items()])
-
-
-def _distance_sum() -> Column:
-    """Sum of the distances between all locations of cell a and of cell b, from moments up to the third.
+TAYLOR = 0.1            # a pair of chunks may spread over this share of its distance for its sum of distances to come from moments
+
+
+def _distance_sum(a: dict[str, np.ndarray], i, b: dict[str, np.ndarray], j) -> np.ndarray:
+    """Sum of the distances between all locations of chunk i of a and of chunk j of b, from moments up to the third.
 
     With r the distance of the centres, u the part of a pair's deviation along it and v the part across, a distance is
     r + u + v^2 / 2r - u v^2 / 2r^2, and a term of the fourth order is left out.
     """
-    c = F.col
-    dx, dy = c("gx_b") - c("gx_a"), c("gy_b") - c("gy_a")
-    r = F.hypot(dx, dy)
+    dx, dy = b["gx"][j] - a["gx"][i], b["gy"][j] - a["gy"][i]
+    r = np.hypot(dx, dy)
     ux, uy = dx / r, dy / r
-    two = {m: c("n_a") * c(f"{m}_b") + c("n_b") * c(f"{m}_a") for m in ("mxx", "mxy", "myy")}
-    three = {m: c("n_a") * c(f"{m}_b") - c("n_b") * c(f"{m}_a") for m in ("mxxx", "mxxy", "mxyy", "myyy")}
+    na, nb = a["n"][i], b["n"][j]
+    two = {m: na * b[m][j] + nb * a[m][i] for m in ("mxx", "mxy", "myy")}
+    three = {m: na * b[m][j] - nb * a[m][i] for m in ("mxxx", "mxxy", "mxyy", "myyy")}
     across = two["mxx"] * uy * uy - 2 * two["mxy"] * ux * uy + two["myy"] * ux * ux
     along = (ux * (three["mxxx"] + three["mxyy"]) + uy * (three["mxxy"] + three["myyy"])
              - (ux * ux * ux * three["mxxx"] + 3 * ux * ux * uy * three["mxxy"] + 3 * ux * uy * uy * three["mxyy"] + uy * uy * uy * three["myyy"]))
-    return c("n_a") * c("n_b") * r + across / (2 * r) - along / (2 * r * r)
+    return na * nb * r + across / (2 * r) - along / (2 * r * r)
+
+
+@dataclass(frozen=True)
+class _Lags:
+    """Lags of a semivariogram, and its sums (weight, weighted distance, squared differences) by lag from pairs of blocks."""
+    cutoff: float
+    width: float
+    last: int
+    chunk: int
+
+    def of(self, d: np.ndarray) -> np.ndarray:
+        return np.minimum(np.floor(d / self.width), self.last)
+
+    def whole(self, near, far, kk) -> np.ndarray:
+        """Pairs whose whole range of distances lies in one lag, and is short enough for a series."""
+        return (far <= self.cutoff) & (self.of(near) == self.of(far)) & (far - near <= TAYLOR * near) & (kk > 1)
+
+    def add_whole(self, sums: np.ndarray, lags: np.ndarray, a, i, b, j) -> None:
+        sq = b["n"][j] * a["ss"][i] + a["n"][i] * b["ss"][j] - 2 * a["s"][i] * b["s"][j]
+        for row, v in zip(sums, (a["n"][i] * b["n"][j], _distance_sum(a, i, b, j), sq)):
+            np.add.at(row, lags.astype(np.int64), v)
+
+    def fold(self, pairs):
+        sums, met = np.zeros((3, self.last + 2)), 0.0
+        for own, p, q in pairs:
+            a = Chunks(p, self.chunk)
+            b = a if own else Chunks(q, self.chunk)
+            met += self._pair(sums, a, b, own)
+        w, wd, sq = sums[:, :-1]
+        lags = np.flatnonzero(w)
+        yield pa.RecordBatch.from_pydict({"lag": pa.array(np.append(lags, -1), pa.int32()), "w": np.append(w[lags], met), "wd": np.append(wd[lags], 0.0),
+                                          "sq": np.append(sq[lags], 0.0)})
+
+    def _pair(self, sums: np.ndarray, a: Chunks, b: Chunks, own: bool) -> float:
+        met, distances = 0.0, Distances(a, b)
+        for lo, near, far, once in slabs(a, b, own):
+            keep = once & (near <= self.cutoff)
+            kk = a.sums["k"][lo:lo + len(near), None] * b.sums["k"]
+            whole = keep & self.whole(near, far, kk)
+            i, j = np.nonzero(whole)
+            if len(i):
+                self.add_whole(sums, self.of(near[i, j]), a.sums, i + lo, b.sums, j)
+            keep &= ~whole
+            met += float(kk[keep].sum())
+            for r in np.flatnonzero(keep.any(axis=1)):
+                others = np.flatnonzero(keep[r])
+                base, edge = int(self.of(near[r, others]).min()), bool((far[r, others] > self.cutoff).any())
+                for one, two, d, t, lag in distances.met(lo + r, others, own):
+                    np.divide(d, self.width, out=t)
+                    np.minimum(t, self.last, out=t)
+                    if base:
+                        np.subtract(t, base, out=t)
+                    np.copyto(lag, t, casting="unsafe")
+                    if edge:
+                        np.putmask(lag, d > self.cutoff, self.last + 1 - base)      # the last place is for these
+                    self._add(sums[:, base:], lag.ravel(), d, t, a, one, b, two)
+        return met
+
+    @staticmethod
+    def _add(sums, lag, d, t, a: Chunks, i, b: Chunks, j) -> None:
+        if a.single and b.single:
+            w = np.bincount(lag)
+            np.subtract(a.p[3][i], b.p[3][j], out=t)
+            np.multiply(t, t, out=t)
+        else:
+            na, nb = a.p[2][i], b.p[2][j]
+            both = na * nb
+            w = np.bincount(lag, both.ravel())
+            d = d * both
+            t = nb * a.p[4][i] + na * b.p[4][j] - 2 * a.p[3][i] * b.p[3][j]
+        for row, v in zip(sums, (w, np.bincount(lag, d.ravel()), np.bincount(lag, t.ravel()))):
+            row[:len(v)] += v
 
 
 def semivariogram(points: DataFrame, value: str, cutoff: float, width: float, x: str = "x", y: str = "y", block: int = 64,
                   work: list | None = None) -> DataFrame:
     """Empirical semivariogram: ``lag, np, dist, gamma`` for pairs within the cutoff.
 
-    A dual descent over pairs of cells.  Pairs of cells beyond the cutoff are dropped.  A pair whose whole range of distances lies in one lag
-    gives its numbers from the cells' moments: ``np`` and ``gamma`` exactly, the sum of distances by a series whose error is some
-    1e-8 of it.  Other pairs are split, until they have at most ``block * block`` pairs of locations, which are then met one by one and folded
-    into lag sums inside the join.  Only pairs near a lag's border or closer than a few cells are ever met: their number grows like the power
-    1.5 of the locations.  ``work`` is a list to which the numbers of pairs met one by one are added.
+    Works on pairs of blocks, then of chunks of at most ``block / 2`` locations.  Pairs beyond the cutoff are dropped.  A pair whose whole range
+    of distances lies in one lag gives its numbers from moments: ``np`` and ``gamma`` exactly, the sum of distances by a series whose error is some
+    1e-8 of it.  The locations of other pairs of chunks are met one by one and folded into lag sums at once.  Where a lag is wide beside a chunk, only
+    pairs near a lag's border or closer than a few chunks are met; where it is narrow, all pairs within the cutoff are, in bounded memory.
+    ``work`` is a list to which the number of pairs met one by one is added.
     """
     locs = cut_lineage(_locations(points, x, y, value))
     spark = points.sparkSession
-    last = math.ceil(cutoff / width - 1e-9) - 1
-    lag = lambda d: F.least(F.floor(d / F.lit(float(width))), F.lit(last)).cast("int")
-    moment_sums = lambda: [F.sum(c).alias(c) for c in ("w", "wd", "sq")]
-    sq = F.col("n_b") * F.col("ss_a") + F.col("n_a") * F.col("ss_b") - 2 * F.col("s_a") * F.col("s_b")
-    both_n = F.col("n_a") * F.col("n_b")
-    copies = locs.filter("n > 1").groupBy(F.lit(0).alias("lag")).agg(
+    lags = _Lags(float(cutoff), float(width), math.ceil(cutoff / width - 1e-9) - 1, max(1, block // 2))
+    moment_sums = [F.sum(c).alias(c) for c in ("w", "wd", "sq")]
+    found = locs.filter("n > 1").groupBy(F.lit(0).alias("lag")).agg(
         F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("w"), F.lit(0.0).alias("wd"), F.sum(F.col("n") * F.col("ss") - F.col("s") * F.col("s")).alias("sq"))
-    parts = [copies]
-    box = locs.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    if box[0] is not None:
-        quad = Quad(box[0], box[2], max(box[1] - box[0], box[3] - box[2], 1e-9) * (1 + 1e-9), MAX_LEVELS)
-        i, j = quad.cell("x", "y", MAX_LEVELS)
-        cell = cut_lineage(locs.withColumns({"i": i, "j": j}))
-        open_pairs, level = spark.createDataFrame([(0, 0, 0, 0)], "ia int, ja int, ib int, jb int"), 0
-        while level < MAX_LEVELS:
-            stride = min(2, MAX_LEVELS - level)
-            level, side = level + stride, 1 << stride
-            here = cut_lineage(_cells_with_moments(cell, quad, level))
-            kid = lambda k, c, down: F.col(c) * side + F.pmod(F.shiftright(k, down), F.lit(side)).cast("int")
-            split = open_pairs.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(side**4 - 1)))).select(
-                ((F.col("ia") == F.col("ib")) & (F.col("ja") == F.col("jb"))).alias("one"), kid("q", "ia", 0).alias("ia"), kid("q", "ja", stride).alias("ja"),
-                kid("q", "ib", 2 * stride).alias("ib"), kid("q", "jb", 3 * stride).alias("jb"))
-            split = split.filter(~F.col("one") | (F.col("ia") < F.col("ib")) | ((F.col("ia") == F.col("ib")) & (F.col("ja") <= F.col("jb"))))
-            side_of = lambda e: here.select(F.col("ci").alias(f"i{e}"), F.col("cj").alias(f"j{e}"), *[F.col(c).alias(f"{c}_{e}") for c in here.columns[2:]])
-            met = split.drop("one").join(side_of("a"), ["ia", "ja"]).join(side_of("b"), ["ib", "jb"])
-            (nx, fx), (ny, fy) = (_gap(F.col(f"{c}lo_a"), F.col(f"{c}hi_a"), F.col(f"{c}lo_b"), F.col(f"{c}hi_b")) for c in "xy")
-            met = met.withColumns({"near": F.hypot(nx, ny) * (1 - 1e-12), "far": F.hypot(fx, fy) * (1 + 1e-12)}).filter(F.col("near") <= F.lit(float(cutoff)))
-            same = (F.col("ia") == F.col("ib")) & (F.col("ja") == F.col("jb"))
-            whole = ~same & (F.col("far") <= F.lit(float(cutoff))) & (lag(F.col("near")) == lag(F.col("far"))) & (
-                F.col("far") - F.col("near") <= TAYLOR * F.col("near"))
-            few = (F.col("k_a") * F.col("k_b") <= block * block) | F.lit(level == MAX_LEVELS)
-            state = F.when(whole & (F.col("k_a") * F.col("k_b") > 1), 0).when(few, 1).otherwise(2)
-            kept = cut_lineage(met.select("ia", "ja", "ib", "jb", (F.col("k_a") * F.col("k_b")).alias("kk"), state.alias("state"), F.when(state == 0, F.struct(
-                lag(F.col("near")).alias("lag"), both_n.alias("w"), _distance_sum().alias("wd"), sq.alias("sq"))).alias("m")))
-            parts.append(kept.filter("state = 0").select("m.*").groupBy("lag").agg(*moment_sums()))
-            counts = {r["state"]: r for r in kept.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.sum("kk").alias("kk")).collect()}     # 3 rows
-            if 1 in counts:
-                if work is not None:
-                    work.append(counts[1]["kk"])
-                parts.append(_met_one_by_one(kept.filter("state = 1"), cell, level, cutoff, lag, both_n, sq))
-            if 2 not in counts:
-                break
-            open_pairs = kept.filter("state = 2").select("ia", "ja", "ib", "jb")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    both = found.groupBy("lag").agg(*moment_sums())
+    quad, n = _square(locs)
+    if n:
+        blocks = packed(locs, *quad.cell("x", "y", MAX_LEVELS), ["x", "y", "n", "s", "ss"], n)
+        ends = limits(blocks)
+        sums, pairs = np.zeros((3, lags.last + 1)), []
+        for a in range(len(ends["block"])):
+            others = np.arange(a, len(ends["block"]))
+            near, far = reach(ends, a, ends, others)
+            whole = lags.whole(near, far, ends["k"][a] * ends["k"][others]) & (others > a)
+            if whole.any():
+                lags.add_whole(sums, lags.of(near[whole]), ends, np.full(whole.sum(), a), ends, others[whole])
+            pairs += [(int(ends["block"][a]), int(ends["block"][b])) for b in others[(near <= cutoff) & ~whole]]
+        met = meet(blocks, pairs, int(ends["k"].max()), 5, lags.fold, "lag int, w double, wd double, sq double")
+        discard(blocks)
+        if work is not None:
+            work.append(met.filter("lag = -1").agg(F.sum("w")).first()[0])
+        settled = [(k, *(float(v) for v in sums[:, k])) for k in map(int, np.flatnonzero(sums[0]))]
+        found = found.unionByName(met.filter("lag >= 0")).unionByName(spark.createDataFrame(settled, "lag int, w double, wd double, sq double"))
+    both = found.groupBy("lag").agg(*moment_sums)
     return both.select("lag", F.col("w").cast("bigint").alias("np"), (F.col("wd") / F.col("w")).alias("dist"), (F.col("sq") / (2 * F.col("w"))).alias("gamma"))
 
 
-def _met_one_by_one(pairs: DataFrame, cell: DataFrame, level: int, cutoff: float, lag, both_n: Column, sq: Column) -> DataFrame:
-    """Lag sums of all pairs of locations of some pairs of cells; every pair of cells has a bounded number of them."""
-    shift = MAX_LEVELS - level
-    at = cell.select(F.shiftright("i", shift).alias("i"), F.shiftright("j", shift).alias("j"), "x", "y", "n", "s", "ss")
-    side_of = lambda e: at.select(*[F.col(c).alias(f"{c}{e}") for c in "ij"], *[F.col(c).alias(f"{c}_{e}") for c in ("x", "y", "n", "s", "ss")])
-    met = pairs.select("ia", "ja", "ib", "jb").join(side_of("a"), ["ia", "ja"]).join(side_of("b"), ["ib", "jb"])
-    same = (F.col("ia") == F.col("ib")) & (F.col("ja") == F.col("jb"))
-    first = (F.col("x_a") < F.col("x_b")) | ((F.col("x_a") == F.col("x_b")) & (F.col("y_a") < F.col("y_b")))
-    d = distance("x_a", "y_a", "x_b", "y_b")
-    close = met.filter(~same | first).withColumn("d", d).filter(F.col("d") <= F.lit(float(cutoff)))
-    return close.groupBy(lag(F.col("d")).alias("lag")).agg(F.sum(both_n).alias("w"), F.sum(both_n * F.col("d")).alias("wd"), F.sum(sq).alias("sq"))
-
-
 def _square(locs: DataFrame) -> tuple[Quad | None, int]:
     """The square around distinct locations, cut as finely as possible, and their number."""
     box = locs.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count(F.lit(1))).first()

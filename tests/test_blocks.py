@@ -62,3 +62,29 @@ def test_pair_median_of_two_distances(spark):
     p = np.vstack([p, [[0.0, 1000.0]]])
     r = sp.pair_distance_median(table(spark, p, np.zeros(len(p))), stop_at=10).first()
     assert r["median_distance"] == np.median(distances(p)[2])
+
+
+def lag_sums(p, z, cutoff, width):
+    i, j, d = distances(p)
+    last = round(cutoff / width) - 1
+    for k in range(last + 1):
+        here = (d <= cutoff) & (np.minimum(d // width, last) == k)
+        if here.any():
+            yield k, here.sum(), d[here].mean(), (0.5 * (z[i] - z[j])[here] ** 2).mean()
+
+
+def test_semivariogram_writes_no_pairs(spark, written):
+    p, z = places(1500, 5)
+    got = sp.semivariogram(table(spark, p, z), "z", 50.0, 1.0, block=4).collect()
+    assert sorted((r["lag"], r["np"]) for r in got) == [(k, n) for k, n, _, _ in lag_sums(p, z, 50.0, 1.0)]
+    assert max(written) < 10 * 1500
+
+
+@pytest.mark.parametrize("cutoff, width, block", [(45.0, 5.0, 64), (120.0, 40.0, 8), (12.0, 4.0, 2)])
+def test_semivariogram_over_blocks(spark, small_blocks, cutoff, width, block):
+    p, z = places(901, 6)
+    got = {r["lag"]: r for r in sp.semivariogram(table(spark, p, z), "z", cutoff, width, block=block).collect()}
+    want = list(lag_sums(p, z, cutoff, width))
+    assert sorted(got) == [w[0] for w in want]
+    for k, n, dist, gamma in want:
+        assert got[k]["np"] == n and got[k]["dist"] == pytest.approx(dist, rel=1e-6) and got[k]["gamma"] == pytest.approx(gamma)
