@@ -2,8 +2,8 @@
 
 All columns are melted to (variable, value, row) and range-sorted once; a value's or a group's rows may fill any number
 of sorted partitions, as the row is the last sort key.  Each partition numbers its own rows as a stream and reports only its first and
-last group and tied value.  From these few numbers per partition follow the offsets, and the ranks of values tied across
-partitions.  One more shuffle brings the ranks back beside their row.
+last group and tied value, and those tied over more rows than are held at a time.  From these few numbers per partition follow the
+offsets, and the ranks of values tied across partitions.  One more shuffle brings the ranks back beside their row.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from pyspark.sql.types import DecimalType, DoubleType, FloatType
 from ..session import staged
 
 ROW = "__row"
-INSIDE, FIRST_GROUP, FIRST_TIE, LAST_TIE = range(4)
+INSIDE, FIRST_GROUP, FIRST_TIE, LAST_TIE, LONG_TIE = range(5)        # a partition's long ties have a zone each, from LONG_TIE up
+HELD = 1 << 16          # rows of an open tie that are held until its size is known
 _MELTED = f"{ROW} long, var int, part int, zone int, place double, g long, v long, in_group long, in_tie long"
 
 
@@ -52,13 +53,18 @@ def rank_columns(base: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> D
     sorted_rows = melted.repartitionByRange(*order).sortWithinPartitions(*order)
     slim = sorted_rows.select(ROW, "var", F.xxhash64(*group).alias("g"), F.xxhash64("i", "f", "d").alias("v"))
     placed = staged(slim.mapInArrow(_number, _MELTED), "placed")
-    ends = placed.filter("g is not null").orderBy("part", "zone").select("part", "zone", "g", "v", "in_group", "in_tie").collect()   # two rows per partition
-    shifts = partition_shifts([tuple(r) for r in ends])
-    table = base.sparkSession.createDataFrame(shifts, "part int, shift double, first double, last double")
-    found = placed.filter("g is null").join(F.broadcast(table), "part")     # one row per partition
-    zone = F.col("zone")
-    rank = F.when(zone == FIRST_TIE, F.col("first")).when(zone == LAST_TIE, F.col("last")).when(
-        zone == FIRST_GROUP, F.col("place") + F.col("shift")).otherwise(F.col("place"))
+    # Two rows per partition, and one for each tie of more than HELD rows.
+    ends = placed.filter("g is not null").orderBy("part", "zone").select("part", "zone", "g", "v", "in_group", "in_tie", "place").collect()
+    shifts = partition_shifts([tuple(r)[:6] for r in ends if r["zone"] < LONG_TIE])
+    shift, last = {p: s for p, s, _, _ in shifts}, {p: b for p, _, _, b in shifts}
+    added = [(p, zone, v) for p, s, a, b in shifts for zone, v in ((FIRST_GROUP, s), (FIRST_TIE, a), (LAST_TIE, b))]
+    for r in ends:
+        if r["zone"] >= LONG_TIE:
+            part, within = r["part"], r["g"]
+            added.append((part, r["zone"], last[part] if within == LAST_TIE else r["place"] + (shift[part] if within == FIRST_GROUP else 0.0)))
+    table = base.sparkSession.createDataFrame(added, "part int, zone int, added double")
+    found = placed.filter("g is null").join(F.broadcast(table), ["part", "zone"], "left")
+    rank = F.when(F.col("zone") == INSIDE, F.col("place")).when(F.col("zone") == FIRST_GROUP, F.col("place") + F.col("added")).otherwise(F.col("added"))
     return found.groupBy(ROW).agg(*[F.max(F.when(F.col("var") == n, rank)).alias(f"rank_{c}") for n, c in enumerate(cols)])
 
 
@@ -66,16 +72,19 @@ _NAMES = [ROW, "var", "part", "zone", "place", "g", "v", "in_group", "in_tie"]
 
 
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ranks inside one sorted partition, then a row each for its first and its last group and tie.
+    """Ranks inside one sorted partition, then a row each for its first and its last group and tie, and for each long tie.
 
-    Batches are cut into ties; the last tie of a batch is held back until the next one tells whether it goes on.
+    Batches are cut into ties; the last tie of a batch is held back until the next one tells whether it goes on.  Of a tie that
+    fills more than ``HELD`` rows all but one go out under a zone of their own, whose rank follows when the tie has ended.
     """
     from pyspark import TaskContext
     part = TaskContext.get().partitionId()
     held: list[tuple[np.ndarray, np.ndarray]] = []      # rows and variables of the open tie
     tie, start = None, 0                                # its group and value, its first place in the group
+    gone, kept = 0, 0                                   # its rows that went out before, and those held
     groups, done = 0, 0                                 # groups begun, ties written
     first, first_group = None, None                     # first tie: group, value, rows; rows of the first group
+    long: list[tuple[int, float]] = []                  # long ties: where they lie, rank in the partition
 
     def written(rows, var, zone, place):
         n = len(rows)
@@ -83,46 +92,67 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(var, pa.int32()), pa.array(np.full(n, part), pa.int32()),
                                            pa.array(zone, pa.int32()), pa.array(place, pa.float64()), none, none, none, none], _NAMES)
 
+    def own_zone():
+        """Zone of the open tie's rows that go out before it has ended."""
+        return LONG_TIE + len(long) if done else FIRST_TIE
+
     for batch in batches:
         rows, var, g, v = (batch.column(c).to_numpy() for c in (ROW, "var", "g", "v"))
         if not len(rows):
             continue
         if tie and g[-1] == tie[0] and v[-1] == tie[1] and g[0] == tie[0] and v[0] == tie[1]:
             held.append((rows, var))        # sorted, so all of the batch belongs to the open tie
-            continue
-        if tie:
-            before = sum(len(x) for x, _ in held)
-            rows, var = (np.concatenate([*x, y]) for x, y in zip(zip(*held), (rows, var)))
-            g, v = (np.concatenate([np.full(before, t), x]) for t, x in zip(tie, (g, v)))
-        starts = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (v[1:] != v[:-1])))
-        sizes = np.diff(np.append(starts, len(rows)))
-        fresh = np.append(tie is None, g[starts[1:]] != g[starts[:-1]])
-        origin = np.maximum.accumulate(np.where(fresh, starts, -1))
-        place = np.where(origin >= 0, starts - origin, starts + start)
-        number = groups + np.cumsum(fresh)
-        if first_group is None and number[-1] > 1:
-            last_of_first = int(np.flatnonzero(number == 1)[-1])
-            first_group = int(place[last_of_first] + sizes[last_of_first])
-        k = len(starts) - 1
-        if k and first is None:
-            first = (int(g[0]), int(v[0]), int(sizes[0]))
-        if k:
-            at = np.repeat(np.arange(k), sizes[:k])
-            zone = np.where(number[:k] == 1, FIRST_GROUP, INSIDE)
-            if done == 0:
-                zone[0] = FIRST_TIE
-            yield written(rows[:starts[k]], var[:starts[k]], zone[at], (place + (sizes + 1) / 2.0)[at])
-        held = [(rows[starts[k]:], var[starts[k]:])]
-        tie, start, groups, done = (g[-1], v[-1]), int(place[k]), int(number[k]), done + k
+            kept += len(rows)
+        else:
+            if tie:
+                rows, var = (np.concatenate([*x, y]) for x, y in zip(zip(*held), (rows, var)))
+                g, v = (np.concatenate([np.full(kept, t), x]) for t, x in zip(tie, (g, v)))
+            starts = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (v[1:] != v[:-1])))
+            here = np.diff(np.append(starts, len(rows)))
+            sizes = here.copy()
+            sizes[0] += gone
+            fresh = np.append(tie is None, g[starts[1:]] != g[starts[:-1]])
+            origin = np.maximum.accumulate(np.where(fresh, starts, -1))
+            place = np.where(origin >= 0, starts - origin, starts + start)
+            place[1:] += np.where(origin[1:] >= 0, 0, gone)
+            number = groups + np.cumsum(fresh)
+            if first_group is None and number[-1] > 1:
+                last_of_first = int(np.flatnonzero(number == 1)[-1])
+                first_group = int(place[last_of_first] + sizes[last_of_first])
+            k = len(starts) - 1
+            if k and first is None:
+                first = (int(g[0]), int(v[0]), int(sizes[0]))
+            if k:
+                at = np.repeat(np.arange(k), here[:k])
+                zone, rank = np.where(number[:k] == 1, FIRST_GROUP, INSIDE), place[:k] + (sizes[:k] + 1) / 2.0
+                if done == 0:
+                    zone[0] = FIRST_TIE
+                elif gone:
+                    within, zone[0] = int(zone[0]), own_zone()
+                    long.append((within, float(rank[0])))
+                yield written(rows[:starts[k]], var[:starts[k]], zone[at], rank[at])
+                gone = 0
+            held, kept = [(rows[starts[k]:], var[starts[k]:])], int(here[k])
+            tie, start, groups, done = (g[-1], v[-1]), int(place[k]), int(number[k]), done + k
+        if kept > HELD:
+            rows, var = (np.concatenate(x) for x in zip(*held))
+            yield written(rows[:-1], var[:-1], np.full(kept - 1, own_zone()), np.zeros(kept - 1))
+            held, gone, kept = [(rows[-1:], var[-1:])], gone + kept - 1, 1
     if tie is None:
         return
     rows, var = (np.concatenate(x) for x in zip(*held))
-    n, last = len(rows), (int(tie[0]), int(tie[1]), len(rows))
-    yield written(rows, var, np.full(n, LAST_TIE if done else FIRST_TIE), np.full(n, start + (n + 1) / 2.0))
+    n = gone + kept
+    last = (int(tie[0]), int(tie[1]), n)
+    yield written(rows, var, np.full(kept, LAST_TIE if done else FIRST_TIE), np.full(kept, start + (n + 1) / 2.0))
+    if done and gone:
+        long.append((LAST_TIE, 0.0))
     ends = [(FIRST_TIE, first or last, start + n if first_group is None else first_group), (LAST_TIE, last, start + n)]
+    m = len(long)
     yield pa.RecordBatch.from_arrays([
-        pa.nulls(2, pa.int64()), pa.nulls(2, pa.int32()), pa.array([part] * 2, pa.int32()), pa.array([z for z, _, _ in ends], pa.int32()), pa.nulls(2, pa.float64()),
-        *[pa.array(c, pa.int64()) for c in ([t[0] for _, t, _ in ends], [t[1] for _, t, _ in ends], [m for _, _, m in ends], [t[2] for _, t, _ in ends])]], _NAMES)
+        pa.nulls(2 + m, pa.int64()), pa.nulls(2 + m, pa.int32()), pa.array([part] * (2 + m), pa.int32()),
+        pa.array([z for z, _, _ in ends] + [LONG_TIE + i for i in range(m)], pa.int32()), pa.array([None, None, *(r for _, r in long)], pa.float64()),
+        *[pa.array(c + d, pa.int64()) for c, d in (([t[0] for _, t, _ in ends], [w for w, _ in long]), ([t[1] for _, t, _ in ends], [None] * m),
+                                                   ([n for _, _, n in ends], [None] * m), ([t[2] for _, t, _ in ends], [None] * m))]], _NAMES)
 
 
 def partition_shifts(ends: list[tuple]) -> list[tuple]:

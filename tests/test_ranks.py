@@ -42,6 +42,43 @@ def test_ranks_of_nothing(spark):
     assert hy.spearman_matrix(df.limit(0), ["a", "b"]).first()["rho"] is None
 
 
+@pytest.mark.parametrize("held, batch", [(1, 3), (4, 7), (30, 64)])
+def test_ties_longer_than_what_is_held(monkeypatch, held, batch):
+    """A partition's ties in its first, middle and last place: batches stay small, ranks are whole."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark import TaskContext
+    monkeypatch.setattr(ranks, "HELD", held)
+    monkeypatch.setattr(TaskContext, "get", classmethod(lambda cls: type("Task", (), {"partitionId": lambda self: 0})()))
+    for sizes in ([(1, 100)], [(1, 90), (1, 1), (1, 80)], [(1, 2), (1, 100), (1, 3), (2, 70), (2, 1), (2, 90)], [(1, 1), (2, 200), (3, 1)], [(1, 64), (2, 64)]):
+        g = np.repeat([g for g, _ in sizes], [n for _, n in sizes])
+        v = np.repeat(np.arange(len(sizes)), [n for _, n in sizes])
+        whole = pa.RecordBatch.from_pydict({ranks.ROW: np.arange(len(g)), "var": np.zeros(len(g), np.int32), "g": g, "v": v})
+        out = list(ranks._number(whole.slice(i, batch) for i in range(0, len(g), batch)))
+        assert max(o.num_rows for o in out) <= held + 2 * batch + 2
+        rows = pa.Table.from_batches(out).to_pandas()
+        ends, got = rows[rows["g"].notna()].set_index("zone"), rows[rows["g"].isna()].sort_values(ranks.ROW)
+        (_, shift, first, last), = ranks.partition_shifts([(0, z, *map(int, ends.loc[z, ["g", "v", "in_group", "in_tie"]])) for z in (2, 3)])
+        assert shift == 0.0
+        known = {2: first, 3: last} | {z: last if r["g"] == ranks.LAST_TIE else r["place"] for z, r in ends.iterrows() if z > 3}
+        want = pd.DataFrame({"g": g, "v": v}).groupby("g")["v"].rank().tolist()
+        assert [known.get(z, p) for z, p in zip(got["zone"], got["place"])] == want
+
+
+def test_matrix_with_ties_longer_than_what_is_held(spark):
+    """Ten values tied over 60,000 rows each; each partition begins and ends within one."""
+    df = spark.range(600_000).selectExpr("id % 10 as a", "(id * 7919) % 1000003 as b", "cast((id * 31) % 4 as double) as c")
+    base = ranks.numbered_rows(df.repartition(3))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        got = base.join(ranks.rank_columns(base, [], ["a", "b", "c"]), ranks.ROW).toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for c in "abc":
+        assert (got[f"rank_{c}"] == got[c].rank()).all()
+
+
 def test_shifts_of_ties_over_partitions():
     # value 5 of group 1 fills partition 0's end, all of 1, and 2's beginning
     ends = [(0, 2, 1, 4, 10, 3), (0, 3, 1, 5, 10, 7), (1, 2, 1, 5, 20, 20), (1, 3, 1, 5, 20, 20), (2, 2, 1, 5, 4, 4), (2, 3, 2, 9, 6, 2)]
