@@ -19,6 +19,7 @@ from ..session import staged
 
 ROW = "__row"
 INSIDE, FIRST_GROUP, FIRST_TIE, LAST_TIE, LONG_TIE = range(5)        # a partition's long ties have a zone each, from LONG_TIE up
+PART_ROWS = 4_000_000   # melted rows of a partition, about
 HELD = 1 << 16          # rows of an open tie that are held until its size is known
 _MELTED = f"{ROW} long, var int, part int, zone int, place double, g long, v long, in_group long, in_tie long"
 
@@ -50,7 +51,10 @@ def rank_columns(base: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> D
     melted = _melted(base, keys, cols)
     group = [f"__k{n}" for n in range(len(keys))] + ["var"]
     order = [*group, "i", "f", "d", ROW]
-    sorted_rows = melted.repartitionByRange(*order).sortWithinPartitions(*order)
+    spark = base.sparkSession
+    parts = base.count() * len(cols) // PART_ROWS       # more than the session's where that leaves too many rows to one
+    dealt = melted.repartitionByRange(parts, *order) if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else melted.repartitionByRange(*order)
+    sorted_rows = dealt.sortWithinPartitions(*order)
     slim = sorted_rows.select(ROW, "var", F.xxhash64(*group).alias("g"), F.xxhash64("i", "f", "d").alias("v"))
     placed = staged(slim.mapInArrow(_number, _MELTED), "placed")
     # Two rows per partition, and one for each tie of more than HELD rows.
@@ -62,7 +66,7 @@ def rank_columns(base: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> D
         if r["zone"] >= LONG_TIE:
             part, within = r["part"], r["g"]
             added.append((part, r["zone"], last[part] if within == LAST_TIE else r["place"] + (shift[part] if within == FIRST_GROUP else 0.0)))
-    table = base.sparkSession.createDataFrame(added, "part int, zone int, added double")
+    table = spark.createDataFrame(added, "part int, zone int, added double")
     found = placed.filter("g is null").join(F.broadcast(table), ["part", "zone"], "left")
     rank = F.when(F.col("zone") == INSIDE, F.col("place")).when(F.col("zone") == FIRST_GROUP, F.col("place") + F.col("added")).otherwise(F.col("added"))
     return found.groupBy(ROW).agg(*[F.max(F.when(F.col("var") == n, rank)).alias(f"rank_{c}") for n, c in enumerate(cols)])

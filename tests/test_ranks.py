@@ -83,3 +83,17 @@ def test_shifts_of_ties_over_partitions():
     # value 5 of group 1 fills partition 0's end, all of 1, and 2's beginning
     ends = [(0, 2, 1, 4, 10, 3), (0, 3, 1, 5, 10, 7), (1, 2, 1, 5, 20, 20), (1, 3, 1, 5, 20, 20), (2, 2, 1, 5, 4, 4), (2, 3, 2, 9, 6, 2)]
     assert ranks.partition_shifts(ends) == [(0, 0.0, 2.0, 3 + 32 / 2), (1, 10.0, 3 + 32 / 2, 3 + 32 / 2), (2, 30.0, 3 + 32 / 2, 4 + 1.5)]
+
+
+def test_partitions_follow_the_rows(spark, monkeypatch):
+    """No partition of the sorted rows grows with the table, whatever the session's number of shuffle partitions."""
+    monkeypatch.setattr(ranks, "PART_ROWS", 500)
+    tables, before = [], ranks.staged
+    monkeypatch.setattr(ranks, "staged", lambda df, label: tables.append((label, before(df, label))) or tables[-1][1])
+    df = spark.range(6000).selectExpr("id % 5 as a", "cast((id * 7919) % 6007 as double) as b")
+    base = ranks.numbered_rows(df)
+    got = base.join(ranks.rank_columns(base, [], ["a", "b"]), ranks.ROW).toPandas()
+    for c in "ab":
+        assert (got[f"rank_{c}"] == got[c].rank()).all()
+    sizes = dict(tables)["placed"].filter("g is null").groupBy("part").count().collect()
+    assert len(sizes) > 12 and max(r["count"] for r in sizes) < 2000
